@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..plans import timeline as plan
 from . import check
-from .frames import entity, sources, timeline
+from .frames import entity, sources
 from .standin_sql import BASE, EVENTS
 
 
@@ -24,7 +25,8 @@ SELECT id, dates, event_id, CAST(seq AS BIGINT) AS seq, ROUND(famt, 6) AS famt,
        CAST(event_count AS BIGINT) AS event_count, CAST(time_diff AS BIGINT) AS time_diff
 FROM timeline""")
 def event_timeline(spark, folder):
-    frame, _ = timeline(sources(spark, folder))
+    s = sources(spark, folder)
+    frame = plan.event_timeline(s, entity(s))
     return frame.withColumns(
         {
             **{c: F.round(c, 6) for c in ("famt", "iamt", "aamt")},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,9 @@ ADAPTIVE = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings one."""
     builder = (
@@ -41,19 +45,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, as named by the session; a local one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _LOCAL_FOLDERS.get(context.applicationId)
+        if folder is None:
+            folder = _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return folder
+
+
 def freeze(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared checkpoint folder and reads it back.
+    """Writes a frame to the shared folder and reads it back.
 
-    Used where later steps must see the same rows again even after an executor
-    is lost, such as partition numbers or small tables of hot keys.
+    Later steps then see the same rows again even after an executor is lost,
+    nothing upstream is computed twice, and the reader prunes columns and knows
+    the size of the table when it chooses a join.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
