@@ -23,4 +23,4 @@ def check(sql: str | None = None):
 
 
 def load() -> None:
-    from . import labelling, statics, timelines  # noqa: F401
+    from . import basics, evaluation, labelling, modelling, reports, statics, survivals, timelines  # noqa: F401

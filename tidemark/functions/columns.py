@@ -66,7 +66,7 @@ def money_text(column) -> Column:
 
 
 def percent_text(column) -> Column:
-    return F.format_string("%.2f%%", 100 * _c(column))
+    return F.concat(F.replace(F.format_number(100 * _c(column), 2), F.lit(",")), F.lit("%"))
 
 
 def spaced(column) -> Column:
