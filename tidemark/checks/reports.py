@@ -7,8 +7,9 @@ from ..operators import features as feature_op
 from ..operators.quantiles import box_statistics
 from ..plans import labels as label_plan
 from ..plans import matrix, report, static, timeline as timeline_plan
+from ..session import freeze
 from . import check
-from .frames import labelled, live, sources, timeline, TITLES
+from .frames import entity, labelled, live, sources, timeline, TITLES
 from .labelling import ASOF_SQL, CATEGORIES, CUTS_SQL, FLAGS_SQL, _asof, _scaled
 from .standin_sql import BASE, COMPANIES, EVENTS, OUTCOMES, SOURCES
 from .statics import CODES, STATIC_SQL, TODAY
@@ -17,8 +18,6 @@ from .statics import CODES, STATIC_SQL, TODAY
 @check(BASE + "SELECT CAST(YEAR(dates) AS BIGINT) AS year, COUNT(*) AS founded FROM entity GROUP BY 1")
 def founded_per_year(spark, folder):
     s = sources(spark, folder)
-    from .frames import entity
-
     return report.founded_per_year(entity(s)).withColumn("year", F.col("year").cast("long"))
 
 
@@ -105,10 +104,8 @@ SELECT id, event_id, CAST(seq AS BIGINT) AS seq, ROUND(famt_cumsum, 4) AS famt_c
        CAST(time_diff AS BIGINT) AS time_diff, CAST(time_to_event AS BIGINT) AS time_to_event FROM numbered""")
 def numbered_events(spark, folder):
     """Running amount, event number, gap and age before negative times are dropped."""
-    from .frames import entity
-
     s = sources(spark, folder)
-    starts = timeline_plan.timeline_starts(entity(s), s["funding_rounds"])
+    starts = timeline_plan.timeline_starts(freeze(entity(s)), s["funding_rounds"])
     numbered = timeline_plan.number_events(timeline_plan.time_events(timeline_plan.all_events(s), starts))
     return numbered.select(
         "id", "event_id", "seq", F.round("famt_cumsum", 4).alias("famt_cumsum"), "event_count",

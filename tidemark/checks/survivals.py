@@ -230,6 +230,49 @@ def event_matrix_long(spark, folder):
     )
 
 
+def _exit_sql(source: str) -> str:
+    return INTERVALS_SQL + f""",
+cleaned AS (SELECT * FROM intervals WHERE NOT (start = stop AND start = 0) AND start >= 0 AND stop >= 0),
+subjects_km AS ({source}),
+counts AS (
+  SELECT t, SUM(removed) AS removed, SUM(d) AS d FROM (
+    SELECT stop AS t, COUNT(*) AS removed, COUNT(*) FILTER (WHERE success) AS d FROM subjects_km GROUP BY 1
+    UNION ALL SELECT 0, 0, 0) GROUP BY t
+),
+risk AS (SELECT *, SUM(removed) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM counts)
+SELECT CAST(t AS DOUBLE) AS t, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS d,
+       ROUND(PRODUCT(1 - d / CAST(n AS DOUBLE)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 6) AS survival
+FROM risk"""
+
+
+def _exits(spark, folder, per_subject):
+    cleaned = op.clean_intervals(_intervals(spark, folder))
+    return plan.exit_curve(cleaned, "id", "success", per_subject).select(
+        "t", "n", "d", F.round("survival", 6).alias("survival")
+    )
+
+
+@check(_exit_sql("SELECT id, MAX(stop) AS stop, BOOL_OR(success) AS success FROM cleaned GROUP BY id"))
+def km_exits(spark, folder):
+    return _exits(spark, folder, True)
+
+
+@check(_exit_sql("SELECT stop, success FROM cleaned"))
+def km_exits_per_interval(spark, folder):
+    return _exits(spark, folder, False)
+
+
+@check(LINES_SQL + """
+SELECT l_orderkey, l_linenumber, 0.0::DOUBLE AS start, CAST(duration AS DOUBLE) AS stop, event,
+       COALESCE(quantity, MEDIAN(quantity) OVER ()) AS quantity
+FROM (SELECT * REPLACE (CASE WHEN priority <> '5-LOW' THEN quantity END AS quantity) FROM lines) WHERE duration > 0""")
+def interval_fill(spark, folder):
+    gaps = _lines(spark, folder).withColumn("quantity", F.when(F.col("priority") != "5-LOW", F.col("quantity")))
+    return plan.fill_intervals(op.long_format(gaps, "duration"), ["quantity"]).select(
+        "l_orderkey", "l_linenumber", "start", "stop", "event", "quantity"
+    )
+
+
 @check()
 def cox_ph(spark, folder):
     """Hazard of a return by quantity and discount."""

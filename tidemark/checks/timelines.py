@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..plans import timeline as plan
+from ..session import freeze
 from . import check
 from .frames import entity, sources
 from .standin_sql import BASE, EVENTS
@@ -26,7 +27,7 @@ SELECT id, dates, event_id, CAST(seq AS BIGINT) AS seq, ROUND(famt, 6) AS famt,
 FROM timeline""")
 def event_timeline(spark, folder):
     s = sources(spark, folder)
-    frame = plan.event_timeline(s, entity(s))
+    frame = plan.event_timeline(s, freeze(entity(s)))
     return frame.withColumns(
         {
             **{c: F.round(c, 6) for c in ("famt", "iamt", "aamt")},

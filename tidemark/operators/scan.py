@@ -81,24 +81,26 @@ def ordered_scan(
     order: list,
     calcs: dict[str, Calc],
     limit: int | None = ROWS_PER_GROUP,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Adds one column per entry of ``calcs``; ``order`` must be unique inside a group.
 
     ``limit=None`` states that the group size has a fixed bound, such as one
-    row per calendar day, and skips the count.
+    row per calendar day, and skips the count.  ``sized_by`` is a frame that is
+    cheaper to count and holds at least the rows of every group.
     """
     order = columns(order)
     if limit is None:
         return _scan(df, by, order, calcs)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    large = freeze(sizes.filter(F.col("_size") > limit)) if _any_over(sizes, limit) else None
+    sizes = (df if sized_by is None else sized_by).groupBy(*by).agg(F.count(F.lit(1)).alias("_scan_size"))
+    large = freeze(sizes.filter(F.col("_scan_size") > limit)) if _any_over(sizes, limit) else None
     if large is None:
         return _scan(df, by, order, calcs)
-    rows = large.agg(F.sum("_size")).first()[0]
+    rows = large.agg(F.sum("_scan_size")).first()[0]
     parts = max(2, -(-2 * rows // limit))
     if by:
-        small_rows = null_safe_join(df, large.drop("_size"), by, "left_anti")
-        large_rows = null_safe_join(df, large.drop("_size"), by, "left_semi")
+        small_rows = null_safe_join(df, large.drop("_scan_size"), by, "left_anti")
+        large_rows = null_safe_join(df, large.drop("_scan_size"), by, "left_semi")
         return _scan(small_rows, by, order, calcs).unionByName(
             _scan_in_parts(large_rows, by, order, calcs, parts)
         )
@@ -106,37 +108,37 @@ def ordered_scan(
 
 
 def _any_over(sizes: DataFrame, limit: int) -> bool:
-    return (sizes.agg(F.max("_size")).first()[0] or 0) > limit
+    return (sizes.agg(F.max("_scan_size")).first()[0] or 0) > limit
 
 
 def _scan_in_parts(
     df: DataFrame, by: list[str], order: list[Column], calcs: dict[str, Calc], parts: int
 ) -> DataFrame:
     keys = columns(by)
-    placed = freeze(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
-    local = _scan(placed, by + ["_part"], order, {**calcs, "_row": row_number()})
+    placed = freeze(df.repartitionByRange(parts, *keys, *order).withColumn("_scan_part", F.spark_partition_id()))
+    local = _scan(placed, by + ["_scan_part"], order, {**calcs, "_scan_row": row_number()})
 
-    ends = [F.count(F.lit(1)).alias("_n")]
+    ends = [F.count(F.lit(1)).alias("_scan_n")]
     for name, calc in calcs.items():
         value = F.col(calc.value) if calc.value else None
         end = {
             "sum": lambda: F.sum(value),
             "product": lambda: F.product(value),
             "max": lambda: F.max(value),
-            "last": lambda: F.max_by(value, F.when(value.isNotNull(), F.col("_row"))),
-            "previous": lambda: F.max_by(value, F.col("_row")),
-            "following": lambda: F.min_by(value, F.col("_row")),
+            "last": lambda: F.max_by(value, F.when(value.isNotNull(), F.col("_scan_row"))),
+            "previous": lambda: F.max_by(value, F.col("_scan_row")),
+            "following": lambda: F.min_by(value, F.col("_scan_row")),
             "number": lambda: F.count(F.lit(1)),
         }[calc.kind]()
-        ends.append(end.alias(f"_end_{name}"))
-    table = local.groupBy(*keys, "_part").agg(*ends)
+        ends.append(end.alias(f"_scan_end_{name}"))
+    table = local.groupBy(*keys, "_scan_part").agg(*ends)
 
     # at most one row per part and group boundary
-    between = W.partitionBy(*by).orderBy("_part")
+    between = W.partitionBy(*by).orderBy("_scan_part")
     before = between.rowsBetween(W.unboundedPreceding, -1)
     carried = []
     for name, calc in calcs.items():
-        end = F.col(f"_end_{name}")
+        end = F.col(f"_scan_end_{name}")
         carry = {
             "sum": lambda: F.sum(end).over(before),
             "number": lambda: F.sum(end).over(before),
@@ -146,13 +148,13 @@ def _scan_in_parts(
             "previous": lambda: F.lag(end).over(between),
             "following": lambda: F.lead(end).over(between),
         }[calc.kind]()
-        carried.append(carry.alias(f"_carry_{name}"))
-    carry = table.select(*by, "_part", "_n", *carried)
-    joined = null_safe_join(local, carry, by + ["_part"])
+        carried.append(carry.alias(f"_scan_carry_{name}"))
+    carry = table.select(*by, "_scan_part", "_scan_n", *carried)
+    joined = null_safe_join(local, carry, by + ["_scan_part"])
 
     out = []
     for name, calc in calcs.items():
-        here, came = F.col(name), F.col(f"_carry_{name}")
+        here, came = F.col(name), F.col(f"_scan_carry_{name}")
         out.append(
             {
                 "sum": lambda: F.coalesce(here + came, here, came),
@@ -160,8 +162,8 @@ def _scan_in_parts(
                 "product": lambda: F.coalesce(here * came, here, came),
                 "max": lambda: F.greatest(here, came),
                 "last": lambda: F.coalesce(here, came),
-                "previous": lambda: F.when(F.col("_row") == 1, came).otherwise(here),
-                "following": lambda: F.when(F.col("_row") == F.col("_n"), came).otherwise(here),
+                "previous": lambda: F.when(F.col("_scan_row") == 1, came).otherwise(here),
+                "following": lambda: F.when(F.col("_scan_row") == F.col("_scan_n"), came).otherwise(here),
             }[calc.kind]().alias(name)
         )
     return joined.select(*df.columns, *out)

@@ -12,6 +12,7 @@ from ..operators.sampling import stratified_split, upsample
 from ..session import freeze
 from .labels import LATE, SLOW, TIMELY
 from .matrix import NUMERIC
+from .report import comparable_companies
 
 CLASSES = [TIMELY, LATE, SLOW]
 
@@ -43,7 +44,7 @@ def predict_cut(cut_rows: DataFrame, labels: DataFrame, categories: list[str], c
 
 
 def predict_unlabelled(asof: DataFrame, labels: DataFrame, categories: list[str]) -> dict[str, DataFrame]:
-    """Predictions, scores and importances over all cuts of an as-of matrix.
+    """Predictions, scores, importances and similar companies over all cuts of an as-of matrix.
 
     The loop runs over the distinct cuts, not over companies; a coarser step of
     the cuts means fewer models.
@@ -51,4 +52,5 @@ def predict_unlabelled(asof: DataFrame, labels: DataFrame, categories: list[str]
     asof = freeze(asof)
     cuts = sorted(r[0] for r in asof.select("cut").distinct().collect())
     parts = [predict_cut(asof.filter(F.col("cut") == cut), labels, categories, cut) for cut in cuts]
-    return {name: reduce(DataFrame.unionByName, [p[name] for p in parts]) for name in parts[0]}
+    tables = {name: reduce(DataFrame.unionByName, [p[name] for p in parts]) for name in parts[0]}
+    return {**tables, "similar": comparable_companies(asof, categories)}

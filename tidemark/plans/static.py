@@ -89,7 +89,7 @@ def mean_round_gap(objects: DataFrame, funding_rounds: DataFrame, limit: int | N
         .withColumn("time_to_funding", days_between("founded_at", "funded_at"))
         .filter(F.col("time_to_funding").isNotNull())
     )
-    scanned = ordered_scan(timed, ["id"], ["funded_at", "funding_round_id"], {"_before": previous("time_to_funding")}, limit)
+    scanned = ordered_scan(timed, ["id"], ["funded_at", "funding_round_id"], {"_before": previous("time_to_funding")}, limit, rounds)
     gap = F.coalesce(F.col("time_to_funding") - F.col("_before"), "time_to_funding")
     return scanned.select("id", gap.alias("gap")).filter(F.col("gap") >= 0).groupBy("id").agg(
         F.avg("gap").alias("mean_round_gap")

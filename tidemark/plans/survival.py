@@ -7,9 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import days_between
+from ..operators.features import impute
 from ..operators.sampling import folds
 from ..operators.scan import ROWS_PER_GROUP
-from ..operators.survival import add_covariates, concordance, cox_fit, long_format
+from ..operators.survival import (
+    add_covariates,
+    clean_intervals,
+    concordance,
+    cox_fit,
+    kaplan_meier,
+    last_intervals,
+    long_format,
+)
 from ..session import freeze
 from .entity import founded_companies
 
@@ -36,6 +45,23 @@ def survival_input(
     return add_covariates(summed, daily, "id", "t", "success", limit=limit)
 
 
+def fill_intervals(df: DataFrame, numeric: list[str], limit: int | None = ROWS_PER_GROUP) -> DataFrame:
+    """Clean intervals with missing numbers at the exact median of their column."""
+    return impute(clean_intervals(df), numeric, limit=limit)
+
+
+def exit_curve(
+    intervals: DataFrame, key: str, event: str, per_subject: bool = True, limit: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """Survival of entities given as intervals.
+
+    By default an entity counts once, with its last stop; otherwise every
+    interval counts as a subject of its own that ends at its stop.
+    """
+    subjects = last_intervals(intervals, key, event) if per_subject else intervals
+    return kaplan_meier(subjects, "stop", event, limit=limit)
+
+
 def event_times(objects: DataFrame, acquisitions: DataFrame) -> DataFrame:
     """Per company the days to its last funding, its closing and its sale."""
     sold = acquisitions.groupBy(F.col("acquired_object_id").alias("id")).agg(F.min("acquired_at").alias("acquired_at"))

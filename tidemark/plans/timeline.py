@@ -66,7 +66,9 @@ def time_events(events: DataFrame, starts: DataFrame) -> DataFrame:
     return append_events(timed.drop("founded_on"), own)
 
 
-def number_events(timed: DataFrame, limit: int | None = ROWS_PER_GROUP) -> DataFrame:
+def number_events(
+    timed: DataFrame, limit: int | None = ROWS_PER_GROUP, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Running amount, event number and gap to the previous event of the same kind.
 
     All three use one grouping and one order, hence one shuffle and one sort.
@@ -81,6 +83,7 @@ def number_events(timed: DataFrame, limit: int | None = ROWS_PER_GROUP) -> DataF
             "_before": previous("time_to_event"),
         },
         limit=limit,
+        sized_by=sized_by,
     )
     return scanned.withColumn("famt_cumsum", F.when(F.col("famt").isNotNull(), F.col("_sum"))).withColumn(
         "time_diff", F.coalesce(F.col("time_to_event") - F.col("_before"), "time_to_event")
@@ -90,7 +93,8 @@ def number_events(timed: DataFrame, limit: int | None = ROWS_PER_GROUP) -> DataF
 def event_timeline(sources: dict, entity: DataFrame, limit: int | None = ROWS_PER_GROUP) -> DataFrame:
     """The timeline; rows before the founding date go after numbering, not before."""
     starts = timeline_starts(entity, sources["funding_rounds"])
-    numbered = number_events(time_events(all_events(sources), starts), limit)
+    events = all_events(sources)
+    numbered = number_events(time_events(events, starts), limit, events)
     return numbered.filter((F.col("time_diff") >= 0) & (F.col("time_to_event") >= 0)).select(
         "id", "dates", "event_id", "seq", "famt", "investors", "famt_cumsum", "iamt", "iparts", "aamt",
         "time_to_event", "event_count", "time_diff",
@@ -111,7 +115,7 @@ def funding_trajectory(objects: DataFrame, funding_rounds: DataFrame, limit: int
         .withColumn("time_to_funding", days_between("founded_at", "funded_at"))
         .filter(F.col("time_to_funding").isNotNull())
     )
-    numbered = ordered_scan(dated, ["id"], ["funded_at", "funding_round_id"], {"n": row_number()}, limit)
+    numbered = ordered_scan(dated, ["id"], ["funded_at", "funding_round_id"], {"n": row_number()}, limit, rounds)
     return numbered.select(
         "id", "name", "funding_round_id", "funding_round_code", "funded_at", "raised_amount_usd",
         "time_to_funding", (F.col("n") - 1).alias("fund_idx"),

@@ -7,24 +7,24 @@ and products, ``supplier`` the financial organisations and ``part`` the people.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+Read = Callable[[str], DataFrame]
+
 SOLD_VALUE = 150
 LISTED_VALUE = 250
 FOUNDED_VALUE = 100
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def _key(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def objects(spark: SparkSession, folder: str) -> DataFrame:
+def objects(read: Read) -> DataFrame:
     kind, value, day = F.col("event_type"), F.col("value"), F.to_date("ts")
-    activity = table(spark, folder, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(
+    activity = read("events").groupBy(F.col("user_id").alias("c_custkey")).agg(
         F.min(F.when((kind == "signup") & (value > FOUNDED_VALUE), day)).alias("founded_at"),
         F.max(day).alias("last_seen"),
         F.count_if(kind == "purchase").alias("funding_rounds"),
@@ -37,7 +37,7 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
     )
     closed = F.col("c_acctbal") < 0
     companies = (
-        table(spark, folder, "customer")
+        read("customer")
         .join(activity, "c_custkey", "left")
         .select(
             _key("c:", "c_custkey").alias("id"),
@@ -53,16 +53,16 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
             "funding_rounds", "investment_rounds", "invested_companies", "funding_total_usd", "last_funding_at",
         )
     )
-    products = table(spark, folder, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
+    products = read("orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
         _key("r:", "o_orderkey").alias("id"), _key("Product ", "o_orderkey").alias("name"),
         F.lit("live").alias("status"), F.lit("Product").alias("entity_type"),
         _key("c:", "o_custkey").alias("parent_id"),
     )
-    investors = table(spark, folder, "supplier").select(
+    investors = read("supplier").select(
         _key("f:", "s_suppkey").alias("id"), F.col("s_name").alias("name"),
         F.lit("operating").alias("status"), F.lit("FinancialOrg").alias("entity_type"),
     )
-    people = table(spark, folder, "part").select(
+    people = read("part").select(
         _key("p:", "p_partkey").alias("id"),
         F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"),
         F.lit("live").alias("status"), F.lit("Person").alias("entity_type"),
@@ -73,9 +73,9 @@ def objects(spark: SparkSession, folder: str) -> DataFrame:
     return frame
 
 
-def funding_rounds(spark: SparkSession, folder: str) -> DataFrame:
+def funding_rounds(read: Read) -> DataFrame:
     value = F.col("value")
-    return table(spark, folder, "events").filter(F.col("event_type") == "purchase").select(
+    return read("events").filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("funding_round_id"),
         _key("c:", "user_id").alias("object_id"),
         F.when(value < 20, "angel").otherwise("venture").alias("funding_round_type"),
@@ -86,21 +86,21 @@ def funding_rounds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def investments(spark: SparkSession, folder: str) -> DataFrame:
-    organisations = table(spark, folder, "lineitem").select(
+def investments(read: Read) -> DataFrame:
+    organisations = read("lineitem").select(
         F.col("l_orderkey").alias("funding_round_id"), _key("f:", "l_suppkey").alias("investor_object_id")
     )
-    companies = table(spark, folder, "orders").select(
+    companies = read("orders").select(
         F.col("o_orderkey").alias("funding_round_id"), _key("c:", "o_custkey").alias("investor_object_id")
     )
     return organisations.unionByName(companies)
 
 
-def acquisitions(spark: SparkSession, folder: str) -> DataFrame:
-    sold = table(spark, folder, "events").filter(
+def acquisitions(read: Read) -> DataFrame:
+    sold = read("events").filter(
         (F.col("event_type") == "error") & (F.col("value") > SOLD_VALUE)
     )
-    buyers = table(spark, folder, "orders").select(
+    buyers = read("orders").select(
         F.col("o_orderkey").alias("event_id"), "o_custkey", "o_orderstatus"
     )
     return sold.join(buyers, "event_id", "left").select(
@@ -113,8 +113,8 @@ def acquisitions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def ipos(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").filter(
+def ipos(read: Read) -> DataFrame:
+    return read("events").filter(
         (F.col("event_type") == "view") & (F.col("value") > LISTED_VALUE)
     ).select(
         F.col("event_id").alias("ipo_id"), _key("c:", "user_id").alias("object_id"),
@@ -122,16 +122,16 @@ def ipos(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def milestones(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").filter(F.col("event_type") == "click").select(
+def milestones(read: Read) -> DataFrame:
+    return read("events").filter(F.col("event_type") == "click").select(
         F.col("event_id").alias("milestone_id"), _key("c:", "user_id").alias("object_id"),
         F.to_date("ts").alias("milestone_at"),
     )
 
 
-def offices(spark: SparkSession, folder: str) -> DataFrame:
+def offices(read: Read) -> DataFrame:
     price = F.col("o_totalprice")
-    return table(spark, folder, "orders").select(
+    return read("orders").select(
         F.col("o_orderkey").alias("office_id"),
         _key("c:", "o_custkey").alias("object_id"),
         F.when(F.col("o_orderpriority") != "5-LOW", price / 10000).alias("latitude"),
@@ -140,11 +140,11 @@ def offices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def relationships(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select(
+def relationships(read: Read) -> DataFrame:
+    orders = read("orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"
     )
-    return table(spark, folder, "lineitem").join(orders, "l_orderkey").select(
+    return read("lineitem").join(orders, "l_orderkey").select(
         _key("p:", "l_partkey").alias("person_object_id"),
         _key("c:", "o_custkey").alias("relationship_object_id"),
         F.add_months(F.to_date("l_shipdate"), 300).alias("start_at"),
@@ -165,12 +165,17 @@ TABLES = {
 
 
 class Sources(dict):
-    """Source tables by name, derived on first use."""
+    """Source tables by name, derived on first use; each file is opened once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__()
-        self._spark, self._folder = spark, folder
+        self._spark, self._folder, self._files = spark, folder, {}
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self._files:
+            self._files[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._files[name]
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = TABLES[name](self._spark, self._folder)
+        self[name] = TABLES[name](self.read)
         return self[name]
