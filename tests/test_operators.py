@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as c
-from tidemark.operators import evaluate, features, models, sampling
+from tidemark.operators import evaluate, features, models, sampling, similar
 from tidemark.operators.quantiles import box_statistics, exact_quantiles
 from tidemark.operators.similar import nearest, neighbour_vote
 
@@ -146,11 +146,11 @@ def _vectors(spark, n=120, dim=6):
 
 @pytest.mark.parametrize("metric", ["cosine", "euclid"])
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("block", [11, 1000])
-def test_nearest_against_brute_force(spark, metric, by, block):
+@pytest.mark.parametrize("block,cells_from", [(11, 10**6), (1000, 10**6), (15, 1)])
+def test_nearest_against_brute_force(spark, metric, by, block, cells_from):
     frame, data, group = _vectors(spark)
     got = {}
-    for r in nearest(frame, frame, 4, by=by, metric=metric, block_rows=block).collect():
+    for r in nearest(frame, frame, 4, by=by, metric=metric, block_rows=block, cells_from=cells_from).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
     for i in range(len(data)):
         near = []
@@ -166,6 +166,23 @@ def test_nearest_against_brute_force(spark, metric, by, block):
         assert [(-b[1], pytest.approx(b[0], abs=2e-6)) for b in best] == [(j, s) for _, j, s in sorted(got[i])]
 
 
+def test_far_cells_are_left_out(spark):
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(12, 5)) * 100
+    data = np.concatenate([c + draw.normal(size=(40, 5)) for c in centres])
+    frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "id long, vector array<double>")
+    cell = np.arange(12)
+    d = similar._distances(data[:1], centres, "euclid")[0]
+    to_own = [similar._distances(data[40 * c: 40 * c + 40], centres[c: c + 1], "euclid") for c in cell]
+    group = (cell, np.full(12, 40), np.array([x.min() for x in to_own]), np.array([x.max() for x in to_own]))
+    assert list(similar._visits(True, d, group, 3, np.inf)) == [0]
+    assert list(similar._visits(False, d, group, 3, 4.0)) == []
+    assert len(similar._visits(False, d, group, 3, np.inf)) == 11
+    got = nearest(frame, frame, 3, metric="euclid", block_rows=40, cells_from=1)
+    want = nearest(frame, frame, 3, metric="euclid")
+    assert rows(got) == rows(want)
+
+
 def test_exact_match_outvotes(spark):
     near = spark.createDataFrame(
         [(1, 10, 0.0), (1, 11, -0.1), (1, 12, -0.1), (2, 11, -0.5), (2, 10, -0.5)], "query_id long, item_id long, score double"

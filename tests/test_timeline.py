@@ -179,7 +179,7 @@ def _random_timeline(spark):
 def test_states_equal_a_rebuild_at_every_cut(spark):
     events = _random_timeline(spark)
     for limit in (None, 4):
-        states = matrix.states(events, limit).cache()
+        states = matrix.states(events, limit=limit).cache()
         for cut in (0, 1, 17, 30, 61):
             want = matrix.event_features(events.filter(F.col("time_to_event") < cut))
             at = states.filter((F.col("day") < cut) & (F.col("next_day").isNull() | (F.col("next_day") >= cut)))

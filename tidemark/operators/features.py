@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import freeze
 from .keys import null_safe_join
 from .quantiles import exact_quantiles
 from .scan import ROWS_PER_GROUP
@@ -40,7 +41,7 @@ def impute(
 ) -> DataFrame:
     """Missing values become the exact median of the column in its group, or zero if there is none."""
     by = list(by)
-    medians = exact_quantiles(df, names, by, limit=limit).withColumnsRenamed({c: f"_median_{c}" for c in names})
+    medians = freeze(exact_quantiles(df, names, by, limit=limit).withColumnsRenamed({c: f"_median_{c}" for c in names}))
     joined = null_safe_join(df, medians, by, "left") if by else df.join(F.broadcast(medians), how="left")
     return joined.select(
         *[
@@ -53,8 +54,10 @@ def impute(
 def standardise(df: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
     """Zero mean and unit population deviation per group; a constant column becomes zero."""
     by = list(by)
-    moments = df.groupBy(*by).agg(
-        *[F.avg(c).alias(f"_mean_{c}") for c in names], *[F.stddev_pop(c).alias(f"_dev_{c}") for c in names]
+    moments = freeze(
+        df.groupBy(*by).agg(
+            *[F.avg(c).alias(f"_mean_{c}") for c in names], *[F.stddev_pop(c).alias(f"_dev_{c}") for c in names]
+        )
     )
     joined = null_safe_join(df, moments, by, "left") if by else df.join(F.broadcast(moments), how="left")
 
@@ -95,7 +98,8 @@ def fill_and_scale(
             n * (variance + (average - mean) * (average - mean)) + gaps * (fill - mean) * (fill - mean)
         ) / F.col("_rows")
         stated += [fill.alias(f"_fill_{c}"), mean.alias(f"_mean_{c}"), F.sqrt(spread).alias(f"_dev_{c}")]
-    summary = summary.select(*stated)
+    # written first, so that the join sees its size and leaves the rows in place if it is small
+    summary = freeze(summary.select(*stated))
     joined = null_safe_join(df, summary, by) if by else df.join(F.broadcast(summary))
 
     def scaled(c: str) -> Column:

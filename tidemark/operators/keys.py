@@ -6,10 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A side is broadcast only when its counted rows stay below this bound.
-BROADCAST_ROWS = 1_000_000
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which a NULL key meets a NULL key; the key appears once."""
     if not on:
@@ -22,10 +18,5 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint, given only after counting that the frame stays within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def columns(names) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import freeze
 from .keys import null_safe_join
 from .scan import ROWS_PER_GROUP, ordered_scan, running_sum
 
@@ -63,7 +64,8 @@ def box_statistics(df: DataFrame, by: str, days: str, reach: float = 1.5) -> Dat
     quarters = counted.groupBy(by).agg(
         F.sum("_weight").alias("n"),
         F.percentile(days, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_weight")).alias("_q"),
-    ).select(by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+    )
+    quarters = freeze(quarters).select(by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
     span = reach * (F.col("q3") - F.col("q1"))
     inside = (F.col(days) >= F.col("q1") - span) & (F.col(days) <= F.col("q3") + span)
     return (

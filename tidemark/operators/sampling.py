@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import hash_number
+from ..session import freeze
 from .keys import null_safe_join
 
 BINS = 65_536
@@ -35,7 +36,7 @@ def numbered(df: DataFrame, by: list[str], key: str, name: str = "number") -> Da
 def stratified_split(df: DataFrame, label: str | None, key: str, share: float) -> DataFrame:
     """Adds ``is_train``, true for exactly ``round(share * n)`` rows of every class."""
     by = [label] if label else []
-    sizes = df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * share).alias("_train"))
+    sizes = freeze(df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * share).alias("_train")))
     return null_safe_join(numbered(df, by, key, "_number"), sizes, by).withColumn(
         "is_train", F.col("_number") <= F.col("_train")
     ).drop("_number", "_train")

@@ -1,9 +1,9 @@
 """Nearest neighbours between two sets of vectors.
 
-Both sets are spread over a grid of blocks: every query meets every block of
-items once, block by block, as one matrix product.  A block pair returns only
-its best ``k`` per query, so pairs are never written out, and no block grows
-with the data.
+Both sets are spread over a grid of blocks and compared block by block, as one
+matrix product.  A block pair returns only its best ``k`` per query, so pairs
+are never written out, and no block grows with the data.  With many items the
+search is confined to cells that can hold a result.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..session import freeze
 from .keys import null_safe_join
 
 BLOCK_ROWS = 20_000
@@ -24,11 +25,7 @@ DECIMALS = 6
 def _scores(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
     """Higher is nearer."""
     if metric == "cosine":
-        def unit(m):
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(size == 0, 1.0, size)
-
-        return np.round(np.abs(unit(queries) @ unit(items).T), DECIMALS)
+        return np.round(np.abs(_unit(queries) @ _unit(items).T), DECIMALS)
     square = (queries**2).sum(1)[:, None] + (items**2).sum(1)[None, :] - 2 * queries @ items.T
     return -np.round(np.sqrt(np.maximum(square, 0.0)), DECIMALS)
 
@@ -60,22 +57,11 @@ def _best_pairs(queries: pd.DataFrame, items: pd.DataFrame, k: int, metric: str)
     return pd.concat(best, ignore_index=True)[columns]
 
 
-def nearest(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int,
-    id_column: str = "id",
-    vector: str = "vector",
-    by: list[str] = (),
-    metric: str = "cosine",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """The ``k`` nearest items of every query, itself excluded, ranked from 1.
+def _match(queries: DataFrame, items: DataFrame, k: int, by: list[str], metric: str, block_rows: int) -> DataFrame:
+    """Best ``k`` items per query and block, for queries and items of the same group.
 
-    ``cosine`` ranks by absolute cosine similarity, ``euclid`` by distance (the
-    score is then the negative distance).  Ties go to the smaller item id.
+    Expects the columns ``query_id`` or ``item_id`` and ``_vector``.
     """
-    by = list(by)
     grid = null_safe_join(
         queries.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_query_blocks")),
         items.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_item_blocks")),
@@ -83,13 +69,11 @@ def nearest(
     )
 
     def placed(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        rows = side.select(*by, F.col(id_column).alias(name), F.col(vector).alias("_vector"))
-        sized = null_safe_join(rows, grid, by)
         # fresh columns, since both sides may come from one frame
-        return sized.select(
+        return null_safe_join(side, grid, by).select(
             *[F.col(c).alias(c) for c in by],
-            name,
-            "_vector",
+            F.col(name).alias(name),
+            F.col("_vector").alias("_vector"),
             F.pmod(F.xxhash64(name), F.col(f"_{own}_blocks")).alias(f"_{own}"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}_blocks") - 1)).alias(f"_{other}"),
         )
@@ -99,8 +83,8 @@ def nearest(
     schema = StructType(
         [StructField(c, queries.schema[c].dataType) for c in by]
         + [
-            StructField("query_id", queries.schema[id_column].dataType),
-            StructField("item_id", items.schema[id_column].dataType),
+            StructField("query_id", queries.schema["query_id"].dataType),
+            StructField("item_id", items.schema["item_id"].dataType),
             StructField("score", DoubleType()),
         ]
     )
@@ -111,11 +95,158 @@ def nearest(
             found.insert(position, name, key[position])
         return found
 
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
+
+
+def _top(pairs: DataFrame, k: int, by: list[str]) -> DataFrame:
     ranked = W.partitionBy(*by, "query_id").orderBy(F.col("score").desc(), "item_id")
     return pairs.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
+def nearest(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    id_column: str = "id",
+    vector: str = "vector",
+    by: list[str] = (),
+    metric: str = "cosine",
+    block_rows: int = BLOCK_ROWS,
+    cells_from: int = 10 * BLOCK_ROWS,
+) -> DataFrame:
+    """The ``k`` nearest items of every query, itself excluded, ranked from 1.
+
+    ``cosine`` ranks by absolute cosine similarity, ``euclid`` by distance (the
+    score is then the negative distance).  Ties go to the smaller item id.
+    From ``cells_from`` items on, the search leaves out cells of items that
+    cannot hold a result; the result is the same.
+    """
+    by = list(by)
+    left = queries.select(*by, F.col(id_column).alias("query_id"), F.col(vector).alias("_vector"))
+    right = items.select(*by, F.col(id_column).alias("item_id"), F.col(vector).alias("_vector"))
+    count = right.count()
+    if count < cells_from:
+        pairs = _match(left, right, k, by, metric, block_rows)
+    else:
+        # the bounds of all cells are known to every task, so their number is limited
+        groups = right.select(*by).distinct().count() if by else 1
+        cells = int(min(MOST_CELLS, max(2, count // block_rows), MOST_STATS // groups))
+        if cells < 2:
+            pairs = _match(left, right, k, by, metric, block_rows)
+        else:
+            pairs = _match_in_cells(left, right, k, by, metric, block_rows, cells)
+    return _top(pairs, k, by)
+
+
+# ---- leaving out cells -----------------------------------------------------
+#
+# Items belong to the cell of their nearest pivot.  A first search visits the
+# nearest cells of a query and gives a distance that the k-th result cannot
+# exceed.  By the triangle inequality a cell whose distances to its pivot lie in
+# [low, high] holds nothing nearer than max(d - high, low - d), with d from
+# query to pivot, so a second search visits only cells below the first result.
+# The angle between lines is the distance that goes with absolute cosine.
+
+MOST_CELLS = 1024
+MOST_STATS = 1_000_000
+_SLACK = 1e-6
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1.0, size)
+
+
+def _distances(rows: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return np.arccos(np.clip(np.abs(_unit(rows) @ _unit(pivots).T), 0.0, 1.0))
+    square = (rows**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * rows @ pivots.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _reach(score: np.ndarray, metric: str) -> np.ndarray:
+    """Largest distance of an item that could still rank beside a rounded score."""
+    if metric == "cosine":
+        return np.arccos(np.clip(score - _SLACK, 0.0, 1.0)) + _SLACK
+    return -score + 2 * _SLACK
+
+
+def _visits(first: bool, d: np.ndarray, group: tuple | None, k: int, reach: float) -> np.ndarray:
+    """Cells to visit: the nearest that together hold enough items, or the others within reach."""
+    if group is None:
+        return np.empty(0, dtype="int64")
+    cell, size, low, high = group
+    order = np.argsort(d[cell], kind="stable")
+    enough = int(np.searchsorted(np.cumsum(size[order]), k + 1)) + 1
+    if first:
+        return cell[order[:enough]]
+    rest = order[enough:]
+    to_pivot = d[cell[rest]]
+    bound = np.maximum(to_pivot - high[rest], low[rest] - to_pivot)
+    return cell[rest[bound <= reach]]
+
+
+def _match_in_cells(left, right, k, by, metric, block_rows, cells) -> DataFrame:
+    # a fixed number of vectors, whatever the number of items
+    rows = right.orderBy(F.xxhash64("item_id"), "item_id").limit(cells).select("_vector").collect()
+    pivots = np.array([r[0] for r in rows], dtype="float64")
+
+    def assign(batches):
+        for batch in batches:
+            if len(batch):
+                d = _distances(np.stack(batch["_vector"]).astype("float64"), pivots, metric)
+                own = d.argmin(axis=1)
+                yield batch.assign(_cell=own.astype("int64"), _d=d[np.arange(len(own)), own])
+
+    celled = freeze(right.mapInPandas(assign, StructType(right.schema.fields + [
+        StructField("_cell", LongType()), StructField("_d", DoubleType())])))
+    # at most MOST_STATS rows
+    stats = celled.groupBy(*by, "_cell").agg(
+        F.count(F.lit(1)).alias("_items"), F.min("_d").alias("_low"), F.max("_d").alias("_high")
+    ).toPandas()
+    groups = {}
+    for key, part in stats.groupby(by, dropna=False) if by else [((), stats)]:
+        groups[_key(key)] = tuple(part[c].to_numpy() for c in ("_cell", "_items", "_low", "_high"))
+
+    def visiting(first: bool):
+        def run(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                d = _distances(np.stack(batch["_vector"]).astype("float64"), pivots, metric)
+                reach = np.full(len(batch), np.inf) if first else _reach(batch["_worst"].to_numpy(), metric)
+                keys = batch[by].itertuples(index=False, name=None) if by else [()] * len(batch)
+                lists = [
+                    _visits(first, d[n], groups.get(_key(key)), k, reach[n]) for n, key in enumerate(keys)
+                ]
+                times = [len(x) for x in lists]
+                out = batch.drop(columns=[] if first else ["_worst"])
+                out = out.loc[out.index.repeat(times)]
+                yield out.assign(_cell=np.concatenate(lists).astype("int64") if lists else [])
+
+        return run
+
+    visit_schema = StructType(left.schema.fields + [StructField("_cell", LongType())])
+    members = celled.drop("_d")
+    keys = by + ["_cell"]
+    near = freeze(left.mapInPandas(visiting(True), visit_schema))
+    found = freeze(_top(_match(near, members, k, keys, metric, block_rows).drop("_cell"), k, by).drop("rank"))
+    worst = found.groupBy(*by, "query_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-float("inf"))).alias("_worst")
+    )
+    bounded = null_safe_join(left, worst, by + ["query_id"], "left").withColumn(
+        "_worst", F.coalesce("_worst", F.lit(-float("inf")))
+    )
+    others = freeze(bounded.mapInPandas(visiting(False), visit_schema))
+    return found.unionByName(_match(others, members, k, keys, metric, block_rows).drop("_cell"))
+
+
+def _key(key) -> tuple:
+    """Group key that finds itself again when a value is missing."""
+    key = key if isinstance(key, tuple) else (key,)
+    return tuple(None if v is None or v != v else v for v in key)
+
+
 def neighbour_vote(neighbours: DataFrame, labels: DataFrame, id_column: str = "id", label: str = "label") -> DataFrame:
     """Class with the highest sum of inverse distances; the smallest class on a tie.
 

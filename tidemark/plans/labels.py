@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.quantiles import day_quantile
+from ..session import freeze
 
 TIMELY, LATE, SLOW, YOUNG = 0, 1, 2, 3
 CLASS_NAMES = {TIMELY: "Timely Exit", LATE: "Late Exit", SLOW: "Slow Growth"}
@@ -43,7 +44,7 @@ def outcome_labels(timeline: DataFrame, entity: DataFrame) -> DataFrame:
     return (
         entity.select("id", "category_code")
         .join(spans, "id", "left")
-        .join(exit_thresholds(timeline, entity), "category_code", "left")
+        .join(freeze(exit_thresholds(timeline, entity)), "category_code", "left")
         .select(
             "id",
             F.when(F.col("last_exit") >= threshold, LATE)

@@ -77,13 +77,18 @@ def _day_totals(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("id", F.col("time_to_event").alias("day")).agg(*parts)
 
 
-def states(timeline: DataFrame, limit: int | None = ROWS_PER_GROUP) -> DataFrame:
+def states(timeline: DataFrame, entity: DataFrame | None = None, limit: int | None = ROWS_PER_GROUP) -> DataFrame:
     """Event features after each event day, valid from ``day`` until ``next_day``.
 
     Running totals give every later cut its features without joining events to
-    cuts.
+    cuts.  With ``entity`` every company also has its state before any event,
+    at day -1.
     """
     days = _day_totals(timeline)
+    if entity is not None:
+        days = days.unionByName(
+            entity.select("id", F.lit(-1).alias("day")), allowMissingColumns=True
+        )
     sums = ["famt_sum", "famt_n"] + [f"{k}_{p}" for k in KINDS for p in ("sum", "n")]
     tops = ["famt_cumsum"] + [f"{k}_events" for k in KINDS]
     calcs = {f"run_{c}": running_sum(c) for c in sums}
@@ -108,16 +113,6 @@ def _constant_array(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def cut_members(entity: DataFrame, labels: DataFrame, cuts: DataFrame, days: list[int]) -> DataFrame:
-    """Every labelled company at every cut, every unlabelled company at its own cut."""
-    every = _constant_array(days, "int")
-    roles = labels.join(cuts, "id", "left").select("id", (F.col("label") == YOUNG).alias("is_query"), "cut")
-    own = F.when(F.col("cut").isNotNull(), F.array("cut")).otherwise(F.array().cast("array<int>"))
-    return entity.join(roles, "id").withColumn(
-        "cut", F.explode(F.when(F.col("is_query"), own).otherwise(every))
-    )
-
-
 def asof_matrix(
     timeline: DataFrame,
     entity: DataFrame,
@@ -128,24 +123,29 @@ def asof_matrix(
 ) -> DataFrame:
     """Feature matrix per cut, from events strictly younger than the cut.
 
-    Each state emits the cuts it is valid for, so only result rows are made.
-    Filling and scaling happen inside the cut.
+    A cut holds every labelled company, and the unlabelled ones whose own cut
+    it is.  Companies and their states meet on the id; only then does each
+    state write out the cuts it is valid for, so nothing but result rows is
+    made and none of them is shuffled by company.  Filling and scaling happen
+    inside the cut.
     """
     days = cut_list(cuts)
-    end = max(days, default=0)
+    end = max(days, default=-1)
     wanted = set(days)
-    is_cut = _constant_array([int(d in wanted) for d in range(1, end + 1)], "boolean")
+    is_cut = _constant_array([int(d in wanted) for d in range(end + 1)], "boolean")
+    roles = labels.join(cuts, "id", "left").select("id", (F.col("label") == YOUNG).alias("is_query"), "cut")
+    companies = entity.join(roles, "id").select("id", "category_code", "is_query", F.col("cut").alias("_own"), *STATIC)
     last = F.least(F.coalesce("next_day", F.lit(end)), F.lit(end))
-    valid = F.filter(F.sequence(F.col("day") + 1, last), lambda c: F.element_at(is_cut, c))
-    at_cut = (
-        states(timeline, limit)
+    span = F.sequence(F.col("day") + 1, last)
+    valid = F.when(
+        F.col("is_query"), F.filter(F.array("_own"), lambda c: (c > F.col("day")) & (c <= last))
+    ).otherwise(F.filter(span, lambda c: F.element_at(is_cut, c + 1)))
+    raw = (
+        states(timeline, entity, limit)
         .filter(F.col("day") < end)
+        .join(companies, "id")
         .withColumn("cut", F.explode(valid))
-        .drop("day", "next_day")
-    )
-    members = cut_members(entity, labels, cuts, days)
-    raw = members.join(at_cut, ["id", "cut"], "left").select(
-        "cut", "id", "is_query", *NUMERIC, *indicators("category_code", categories)
+        .select("cut", "id", "is_query", *NUMERIC, *indicators("category_code", categories))
     )
     return fill_and_scale(freeze(raw), NUMERIC, ["cut"], limit)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import count_true, days_between, ratio, smallest
 from ..operators.features import one_hot
 from ..operators.scan import ROWS_PER_GROUP, ordered_scan, previous
+from ..session import freeze
 from .entity import children, experience, first_place, founded_companies
 
 # a row with none of these says nothing about its company
@@ -161,7 +162,8 @@ def age_thresholds(static: DataFrame, deviations: float = 2.0) -> DataFrame:
 def static_labels(static: DataFrame, deviations: float = 2.0) -> DataFrame:
     """0 closed, 1 sold or listed, 2 operating beyond the threshold, 3 operating below it."""
     age, threshold, status = F.col("age_at_exit"), F.col("threshold"), F.col("status")
-    return static.join(age_thresholds(static, deviations), "category_code", "left").withColumn(
+    # written first: the join then knows how small the table is
+    return static.join(freeze(age_thresholds(static, deviations)), "category_code", "left").withColumn(
         "label",
         F.when(status == "closed", 0)
         .when(status.isin("acquired", "ipo"), 1)
