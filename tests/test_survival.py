@@ -176,6 +176,15 @@ def test_cox_against_brute_force(spark, ties, with_start, limit):
     assert summary["s"]["exp_coef"] == pytest.approx(math.exp(coef[0]), abs=1e-5)
 
 
+def test_cox_spread_over_tasks(spark, monkeypatch):
+    data = _subjects(120)
+    df = spark.createDataFrame(data, SCHEMA)
+    plain = op.cox_fit(df, ["s", "x"], "t", "e")
+    monkeypatch.setattr(op, "_SPREAD_EVENTS", 1)
+    monkeypatch.setattr(op, "_TIES_PER_ROW", 2)
+    assert op.cox_fit(df, ["s", "x"], "t", "e").coef == pytest.approx(plain.coef, abs=1e-9)
+
+
 def _brute_concordance(data):
     comparable = concordant = tied = 0
     for a in data:

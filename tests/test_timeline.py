@@ -212,6 +212,18 @@ def test_asof_matrix_members(spark):
         assert totals[cut] == events.filter(F.col("time_to_event") < cut).count()
 
 
+def test_category_named_like_a_feature(spark):
+    events = _random_timeline(spark)
+    entity = spark.createDataFrame(
+        [(f"c{i}", 1.0, 2.0, i, 1, 5, "offices" if i % 2 else None) for i in range(40)],
+        "id string, latitude double, longitude double, offices long, products long, experience long, category_code string",
+    )
+    got = matrix.feature_matrix(events, entity, ["offices"])
+    assert got.columns == ["id", *matrix.NUMERIC, "category_offices"]
+    assert got.agg(F.sum("category_offices")).first()[0] == 20
+    assert got.agg(F.stddev_pop("offices")).first()[0] == pytest.approx(1)
+
+
 def test_cuts_round_up(spark):
     events = _events(spark, [("a", "funded", 7), ("b", "funded", 10)])
     label = spark.createDataFrame([("a", 3), ("b", 3)], "id string, label int")

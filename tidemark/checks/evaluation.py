@@ -234,8 +234,18 @@ def search_rank(spark, folder):
     return op.search_report(results, "score", 10).select("candidate", "score", "rank")
 
 
-@check(SCORES_SQL + """,
-aged AS (SELECT vec_id % 30 AS age, label, prediction FROM predicted),
+# the return flag of a line plays the class, its quantity the rule that predicts it, its years to shipment the age
+AGED_SQL = """
+WITH aged AS (
+  SELECT abs(YEAR(l.l_shipdate) - YEAR(o.o_orderdate)) AS age,
+         CASE l.l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,
+         CASE WHEN l.l_quantity < 17 THEN 0 WHEN l.l_quantity < 34 THEN 1 ELSE 2 END AS prediction
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+),
+"""
+
+
+@check(AGED_SQL + """
 cells AS (SELECT age, label, prediction, COUNT(*) AS n FROM aged GROUP BY 1, 2, 3),
 classes AS (SELECT age, label AS cls FROM cells UNION SELECT age, prediction FROM cells),
 sums AS (
@@ -250,7 +260,13 @@ SELECT CAST(age AS BIGINT) AS age, ROUND(AVG(COALESCE(hits / NULLIF(CAST(predict
        CAST(SUM(support) AS BIGINT) AS support
 FROM sums GROUP BY age""")
 def score_by_age(spark, folder):
-    aged = _predicted(spark, folder).withColumn("age", F.col("vec_id") % 30)
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
+    aged = spark.read.parquet(f"{folder}/lineitem.parquet").join(orders, "l_orderkey").select(
+        F.abs(F.year("l_shipdate") - F.year("o_orderdate")).cast("long").alias("age"),
+        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("label"),
+        F.when(quantity < 17, 0).when(quantity < 34, 1).otherwise(2).alias("prediction"),
+    )
     scores = op.class_scores(aged, "label", "prediction", ["age"])
     return op.macro_scores(scores, ["age"]).select(
         "age", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"

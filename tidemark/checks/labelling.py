@@ -61,7 +61,10 @@ def _scaled(by: str = "") -> str:
     )
 
 
-FLAGS_SQL = ", ".join(f"CAST(COALESCE(category_code = '{c}', FALSE) AS BIGINT) AS {c}" for c in CATEGORIES)
+FLAGS = plan.category_columns(CATEGORIES)
+FLAGS_SQL = ", ".join(
+    f"CAST(COALESCE(category_code = '{c}', FALSE) AS BIGINT) AS {flag}" for c, flag in zip(CATEGORIES, FLAGS)
+)
 MATRIX_SQL = OUTCOMES + f""",
 kinds AS ({_features_sql('live_tl')}),
 raw_matrix AS (SELECT l.*, k.* EXCLUDE (id) FROM live l LEFT JOIN kinds k USING (id)),
@@ -72,7 +75,7 @@ filled AS (SELECT id, category_code, {_filled('raw_matrix')} FROM raw_matrix)
 def _shown(df, *keys):
     return df.select(
         *keys, *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in plan.NUMERIC],
-        *[F.col(c).cast("long").alias(c) for c in CATEGORIES],
+        *[F.col(c).cast("long").alias(c) for c in FLAGS],
     )
 
 
@@ -83,9 +86,13 @@ def feature_matrix(spark, folder):
 
 @check(OUTCOMES + f"SELECT id, {FLAGS_SQL} FROM live")
 def one_hot(spark, folder):
-    _, companies = live(sources(spark, folder))
-    values = op.category_values(companies, "category_code")
-    return companies.select("id", *[c.cast("long").alias(v) for c, v in zip(op.indicators("category_code", values), values)])
+    s = sources(spark, folder)
+    _, companies = live(s)
+    values = op.category_values(s["objects"], "category_code")
+    names = plan.category_columns(values)
+    return op.one_hot(companies, "category_code", values, "category_").select(
+        "id", *[F.col(c).cast("long").alias(c) for c in names]
+    )
 
 
 @check(MATRIX_SQL + "SELECT id, " + ", ".join(f"ROUND({c}, 8) AS {c}" for c in plan.NUMERIC) + " FROM filled")

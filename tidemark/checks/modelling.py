@@ -8,13 +8,11 @@ from ..plans import matrix, predict, report
 from ..session import freeze
 from . import check
 from .evaluation import HASH_SQL
-from .frames import labelled, live, sources
-from .labelling import CATEGORIES, _asof
-
-FEATURES = [*matrix.NUMERIC, *CATEGORIES]
-# order status plays the class; F is taken as the class that sets the size
-STATUS = {"F": 2, "O": 0, "P": 1}
+from .frames import labelled, sources
+from .labelling import CATEGORIES, FLAGS
 
+FEATURES = [*matrix.NUMERIC, *FLAGS]
+# order status plays the class; F is the class that sets the size
 NUMBERED_SQL = f"""
 WITH classed AS (
   SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 0 ELSE 1 END AS label FROM orders

@@ -10,7 +10,7 @@ from ..plans import matrix, report, static, timeline as timeline_plan
 from ..session import freeze
 from . import check
 from .frames import entity, labelled, live, sources, timeline, TITLES
-from .labelling import ASOF_SQL, CATEGORIES, CUTS_SQL, FLAGS_SQL, _asof, _scaled
+from .labelling import ASOF_SQL, CATEGORIES, CUTS_SQL, FLAGS, FLAGS_SQL, _asof, _scaled
 from .standin_sql import BASE, COMPANIES, EVENTS, OUTCOMES, SOURCES
 from .statics import CODES, STATIC_SQL, TODAY
 
@@ -192,7 +192,7 @@ def success_message(spark, folder):
 
 
 def _cosine_sql() -> str:
-    names = [*matrix.NUMERIC, *CATEGORIES]
+    names = [*matrix.NUMERIC, *FLAGS]
     dot = " + ".join(f"a.{n} * b.{n}" for n in names)
     left = " + ".join(f"a.{n} * a.{n}" for n in names)
     right = " + ".join(f"b.{n} * b.{n}" for n in names)

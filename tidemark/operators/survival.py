@@ -291,6 +291,8 @@ def chi_square_tail(x: float, degrees: int) -> float:
 # ---- proportional hazards --------------------------------------------------
 
 _TIES_PER_ROW = 100_000
+# beyond this many events the terms of tied events are spread over all tasks
+_SPREAD_EVENTS = 1_000_000
 
 
 class HazardFit:
@@ -355,11 +357,15 @@ def cox_fit(
             ],
         )
     )
+    # partitions to spread over, or none
+    spread = 0
+    if ties == "efron" and data.filter("_e").count() > _SPREAD_EVENTS:
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     beta = np.zeros(p)
     likelihood = -math.inf
     taken = 0
     for taken in range(1, steps + 1):
-        likelihood, gradient, hessian = _cox_step(data, beta, p, pairs, ties, limit)
+        likelihood, gradient, hessian = _cox_step(data, beta, p, pairs, ties, spread, limit)
         move = np.linalg.solve(hessian, gradient)
         size = float(np.abs(move).max())
         beta = beta + move * min(1.0, 5.0 / size if size else 1.0)
@@ -369,7 +375,7 @@ def cox_fit(
     return HazardFit(covariates, beta / scales, error, likelihood, taken, means)
 
 
-def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
+def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, spread: int, limit):
     x = [F.col(f"x{i}") for i in range(p)]
     risk = sum((float(b) * xi for b, xi in zip(beta, x)), F.lit(0.0))
     weighted = data.withColumn("_w", F.exp(risk)).withColumn("_r", risk)
@@ -410,7 +416,10 @@ def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
         blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / _TIES_PER_ROW).cast("int")))
         first = F.col("_block").cast("long") * _TIES_PER_ROW
         last = F.least(first + (_TIES_PER_ROW - 1), F.col("k").cast("long") - 1)
-        sums = sums.withColumn("_block", blocks).withColumn("_tie", F.explode(F.sequence(first, last)))
+        sums = sums.withColumn("_block", blocks)
+        if spread:
+            sums = sums.repartition(spread, "t", "_block")
+        sums = sums.withColumn("_tie", F.explode(F.sequence(first, last)))
         share = F.col("_tie") / F.col("k")
         lead = F.when(F.col("_tie") == 0, 1.0).otherwise(0.0)
         times = F.lit(1.0)

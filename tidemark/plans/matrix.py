@@ -17,6 +17,11 @@ NUMERIC = STATIC + DYNAMIC
 MOST_CUTS = 40_000
 
 
+def category_columns(categories: list[str]) -> list[str]:
+    """Indicator names; the prefix keeps a category such as ``offices`` apart from the feature of that name."""
+    return [f"category_{c}" for c in categories]
+
+
 def _is(kind: str) -> Column:
     return F.col("event_id") == kind
 
@@ -37,7 +42,7 @@ def event_features(timeline: DataFrame) -> DataFrame:
 def raw_matrix(timeline: DataFrame, entity: DataFrame, categories: list[str]) -> DataFrame:
     """Features with gaps: numeric columns and one 0/1 column per category."""
     return entity.join(event_features(timeline), "id", "left").select(
-        "id", *NUMERIC, *indicators("category_code", categories)
+        "id", *NUMERIC, *indicators("category_code", categories, "category_")
     )
 
 
@@ -145,7 +150,7 @@ def asof_matrix(
         .filter(F.col("day") < end)
         .join(companies, "id")
         .withColumn("cut", F.explode(valid))
-        .select("cut", "id", "is_query", *NUMERIC, *indicators("category_code", categories))
+        .select("cut", "id", "is_query", *NUMERIC, *indicators("category_code", categories, "category_"))
     )
     return fill_and_scale(freeze(raw), NUMERIC, ["cut"], limit)
 

@@ -11,7 +11,7 @@ from ..operators.models import forest, importances, predict
 from ..operators.sampling import stratified_split, upsample
 from ..session import freeze
 from .labels import LATE, SLOW, TIMELY
-from .matrix import NUMERIC
+from .matrix import NUMERIC, category_columns
 from .report import comparable_companies
 
 CLASSES = [TIMELY, LATE, SLOW]
@@ -29,7 +29,7 @@ def balanced_split(labelled: DataFrame, share: float, majority: int = SLOW) -> D
 def predict_cut(cut_rows: DataFrame, labels: DataFrame, categories: list[str], cut: int, share: float = 0.6) -> dict:
     """Model of one cut: predictions for its unlabelled companies, scores and importances."""
     spark = cut_rows.sparkSession
-    features = [*NUMERIC, *categories]
+    features = [*NUMERIC, *category_columns(categories)]
     known = cut_rows.filter("NOT is_query").join(labels, "id")
     sample = freeze(balanced_split(known.select("id", "label", *features), share))
     model = forest(features).fit(sample.filter("is_train"))

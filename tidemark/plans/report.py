@@ -10,7 +10,7 @@ from ..functions.columns import date_text, display_names, money_text, percent_te
 from ..operators.scan import ROWS_PER_GROUP, ordered_scan, row_number
 from ..operators.similar import BLOCK_ROWS, nearest
 from .labels import LATE, SLOW, TIMELY
-from .matrix import NUMERIC
+from .matrix import NUMERIC, category_columns
 
 # Display names of categories and features.
 CATEGORY_NAMES = {
@@ -137,7 +137,7 @@ def comparable_companies(
     asof: DataFrame, categories: list[str], k: int = 6, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The labelled companies most similar to each unlabelled one, as of its own age."""
-    vector = F.array(*[F.col(c).cast("double") for c in [*NUMERIC, *categories]])
+    vector = F.array(*[F.col(c).cast("double") for c in [*NUMERIC, *category_columns(categories)]])
     rows = asof.select("cut", "id", "is_query", vector.alias("vector"))
     return nearest(
         rows.filter("is_query"), rows.filter("NOT is_query"), k, by=["cut"], block_rows=block_rows
