@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..operators.features import minus_minimum
 from ..plans import entity as entity_plan
 from ..plans import static as static_plan
 from . import check
@@ -88,7 +89,7 @@ def offices_of_company(spark, folder):
     s = sources(spark, folder)
     wanted = s["objects"].filter(c.equals_text("name", "customer#000000012") & (F.col("entity_type") == "company"))
     return (
-        s["offices"].join(F.broadcast(wanted.select(F.col("id").alias("object_id"), "name")), "object_id")
+        s["offices"].join(wanted.select(F.col("id").alias("object_id"), "name"), "object_id")
         .select("name", "office_id", "latitude", "longitude", "description")
         .orderBy("office_id")
         .limit(50)
@@ -201,10 +202,8 @@ SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS BIGINT) AS returned,
 FROM lineitem""")
 def derived_numbers(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    # one row, so no window over the whole table
-    least = lines.agg(F.min("l_linenumber").alias("_least"))
-    return lines.join(F.broadcast(least)).select(
+    return minus_minimum(lines, "l_linenumber", "shifted").select(
         "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("long").alias("returned"),
-        (F.col("l_linenumber") - F.col("_least")).cast("long").alias("shifted"),
+        F.col("shifted").cast("long").alias("shifted"),
         F.round(F.sqrt("l_quantity"), 6).alias("root"),
     )

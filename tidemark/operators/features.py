@@ -126,6 +126,12 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
     ).select("p.*")
 
 
+def minus_minimum(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the distance of a column from its minimum, which is found as one row."""
+    least = df.agg(F.min(column).alias("_least"))
+    return df.join(F.broadcast(least)).withColumn(name, F.col(column) - F.col("_least")).drop("_least")
+
+
 def noise_columns(df: DataFrame, count: int, seed: int) -> DataFrame:
     """Adds standard-normal noise columns."""
     return df.select("*", *[F.randn(seed + i).alias(f"noise_{i}") for i in range(count)])

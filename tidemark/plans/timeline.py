@@ -56,14 +56,19 @@ def timeline_starts(entity: DataFrame, funding_rounds: DataFrame) -> DataFrame:
 
 
 def time_events(events: DataFrame, starts: DataFrame) -> DataFrame:
-    """Adds days since founding; events of companies without a start drop out."""
+    """Adds the founding events and days since founding; companies without a start drop out.
+
+    Founding events are stacked before the join, so that the join on the id
+    already places the rows for the numbering that follows.
+    """
+    own = starts.select("id", "dates", F.lit("founded").alias("event_id"), F.lit(0).cast("long").alias("seq"))
     founded = starts.select("id", F.col("dates").alias("founded_on"))
-    timed = events.join(founded, "id").withColumn("time_to_event", days_between("founded_on", "dates"))
-    own = starts.select(
-        "id", "dates", F.lit("founded").alias("event_id"), F.lit(0).cast("long").alias("seq"),
-        F.lit(0).alias("time_to_event"),
+    return (
+        append_events(events, own)
+        .join(founded, "id")
+        .withColumn("time_to_event", days_between("founded_on", "dates"))
+        .drop("founded_on")
     )
-    return append_events(timed.drop("founded_on"), own)
 
 
 def number_events(

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 # rows per insert when writing to a database
 BATCH_ROWS = 5000
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes NULL, the only missing marker the operators know."""
+    real = {f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in real else F.col(c) for c in df.columns])
+
+
 def query(spark: SparkSession, text: str, dates: list[str] = (), **parameters) -> DataFrame:
     """Result of a SQL text over registered views; parameters are bound, dates become ``DateType``."""
     frame = spark.sql(text, args=parameters) if parameters else spark.sql(text)
@@ -23,7 +29,7 @@ def register(frames: dict[str, DataFrame]) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV with a header; a key column stays a column."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return without_nan(spark.read.schema(schema).option("header", True).csv(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -56,8 +62,10 @@ def read_database(
     spark: SparkSession, url: str, table: str, split_by: str, low: int, high: int, parts: int, **options
 ) -> DataFrame:
     """Database table read by ``parts`` tasks over ranges of a numeric column."""
-    return spark.read.jdbc(
-        url, table, column=split_by, lowerBound=low, upperBound=high, numPartitions=parts, properties=options
+    return without_nan(
+        spark.read.jdbc(
+            url, table, column=split_by, lowerBound=low, upperBound=high, numPartitions=parts, properties=options
+        )
     )
 
 
