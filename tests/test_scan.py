@@ -13,6 +13,7 @@ CALCS = {
     "known": scan.last_known("x"),
     "top": scan.running_max("x"),
     "times": scan.running_product("f"),
+    "whole": scan.group_sum("x"),
 }
 
 
@@ -31,6 +32,8 @@ def _expected(data, descending=False):
     for key in {r[0] for r in data}:
         group = sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2]), reverse=descending)
         total = known = top = prev = None
+        whole = [r[3] for r in group if r[3] is not None]
+        whole = sum(whole) if whole else None
         times = 1.0
         for n, r in enumerate(group, 1):
             x = r[3]
@@ -40,14 +43,14 @@ def _expected(data, descending=False):
                 known = x
             times *= r[4]
             after = group[n][3] if n < len(group) else None
-            out[r[2]] = (total, n, prev, after, known, top, round(times, 9))
+            out[r[2]] = (total, n, prev, after, known, top, round(times, 9), whole)
             prev = x
     return out
 
 
 def _got(df):
     return {
-        r["i"]: (r["total"], r["n"], r["prev"], r["next"], r["known"], r["top"], round(r["times"], 9))
+        r["i"]: (r["total"], r["n"], r["prev"], r["next"], r["known"], r["top"], round(r["times"], 9), r["whole"])
         for r in df.collect()
     }
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import ratio
-from .keys import null_safe_join
-from .scan import ROWS_PER_GROUP, last_known, ordered_scan, previous, running_sum
+from .scan import ROWS_PER_GROUP, group_sum, last_known, ordered_scan, previous, running_sum
 
 
 def _zero(column: Column) -> Column:
@@ -74,23 +73,32 @@ def roc_curve(
     Rows with equal scores are counted before anything is ordered.
     """
     by = list(by)
-    counted = df.groupBy(*by, score).agg(
-        F.count_if(F.col(positive)).alias("_pos"), F.count_if(~F.col(positive)).alias("_neg")
-    )
-    totals = counted.groupBy(*by).agg(F.sum("_pos").alias("_all_pos"), F.sum("_neg").alias("_all_neg"))
-    run = ordered_scan(
-        counted, by, [F.col(score).desc()], {"_tp": running_sum("_pos"), "_fp": running_sum("_neg")}, limit
+
+    def cell(threshold: Column, pos: Column, neg: Column) -> Column:
+        return F.struct(threshold.alias("s"), pos.cast("long").alias("p"), neg.cast("long").alias("n"))
+
+    row = cell(F.col(score), F.col(positive).cast("int"), (~F.col(positive)).cast("int"))
+    # a missing threshold is the origin; its rows collapse before the shuffle
+    origin = cell(F.lit(None).cast(df.schema[score].dataType), F.lit(0), F.lit(0))
+    counted = (
+        df.filter(F.col(score).isNotNull())
+        .select(*by, F.explode(F.array(row, origin)).alias("c"))
+        .groupBy(*by, F.col("c.s").alias("threshold"))
+        .agg(F.sum("c.p").alias("_pos"), F.sum("c.n").alias("_neg"))
     )
-    points = null_safe_join(run, totals, by).select(
+    calcs = {
+        "_tp": running_sum("_pos"), "_fp": running_sum("_neg"),
+        "_all_pos": group_sum("_pos"), "_all_neg": group_sum("_neg"),
+    }
+    run = ordered_scan(counted, by, [F.col("threshold").desc_nulls_first()], calcs, limit)
+    return run.select(
         *by,
-        F.col(score).alias("threshold"),
+        "threshold",
         ratio("_fp", "_all_neg").alias("fpr"),
         ratio("_tp", "_all_pos").alias("tpr"),
         # area of the trapezoid that ends in this point
-        ratio(F.col("_neg") * (2 * F.col("_tp") - F.col("_pos")), 2 * F.col("_all_neg") * F.col("_all_pos")).alias("area"),
+        (ratio("_neg", "_all_neg") * ratio(2 * F.col("_tp") - F.col("_pos"), 2 * F.col("_all_pos"))).alias("area"),
     )
-    origin = totals.select(*by, *[F.lit(0.0).alias(c) for c in ("fpr", "tpr", "area")])
-    return points.unionByName(origin, allowMissingColumns=True)
 
 
 def roc_auc(curve: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import freeze
 from .keys import null_safe_join
-from .scan import ROWS_PER_GROUP, ordered_scan, running_sum
+from .scan import ROWS_PER_GROUP, group_sum, ordered_scan, running_sum
 
 
 def day_quantile(value: str, probability: float, weight: str):
@@ -39,12 +39,12 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_weight"))
     )
     keys = by + ["_name"]
-    summed = ordered_scan(counted, keys, ["_value"], {"_upto": running_sum("_weight")}, limit)
+    summed = ordered_scan(
+        counted, keys, ["_value"], {"_upto": running_sum("_weight"), "_rows": group_sum("_weight")}, limit
+    )
     place = probability * (F.col("_rows") - 1)
     low = F.floor(place)
-    # one row per group and column
-    totals = counted.groupBy(*keys).agg(F.sum("_weight").alias("_rows"))
-    picked = null_safe_join(summed, totals, keys).groupBy(*keys).agg(
+    picked = summed.groupBy(*keys).agg(
         F.min(F.when(F.col("_upto") > low, F.col("_value"))).alias("_low"),
         F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_value"))).alias("_high"),
         F.max(place - low).alias("_share"),

@@ -24,7 +24,7 @@ def numbered(df: DataFrame, by: list[str], key: str, name: str = "number") -> Da
     # at most BINS rows per group
     sizes = hashed.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(*by, "_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    shifts = freeze(sizes.select(*by, "_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift")))
     inside = W.partitionBy(*by, "_bin").orderBy("_hash", key)
     return (
         null_safe_join(hashed.withColumn(name, F.row_number().over(inside)), shifts, by + ["_bin"])

@@ -38,6 +38,11 @@ def running_max(column: str) -> Calc:
     return Calc("max", column)
 
 
+def group_sum(column: str) -> Calc:
+    """Sum over the whole group, on every row."""
+    return Calc("total", column)
+
+
 def last_known(column: str) -> Calc:
     """Latest non-null value up to and including the row."""
     return Calc("last", column)
@@ -64,6 +69,7 @@ def _in_window(calc: Calc, ordered) -> Column:
         "sum": lambda: F.sum(value).over(upto),
         "product": lambda: F.product(value).over(upto),
         "max": lambda: F.max(value).over(upto),
+        "total": lambda: F.sum(value).over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         "last": lambda: F.last(value, ignorenulls=True).over(upto),
         "previous": lambda: F.lag(value).over(ordered),
         "following": lambda: F.lead(value).over(ordered),
@@ -125,6 +131,7 @@ def _scan_in_parts(
             "sum": lambda: F.sum(value),
             "product": lambda: F.product(value),
             "max": lambda: F.max(value),
+            "total": lambda: F.sum(value),
             "last": lambda: F.max_by(value, F.when(value.isNotNull(), F.col("_scan_row"))),
             "previous": lambda: F.max_by(value, F.col("_scan_row")),
             "following": lambda: F.min_by(value, F.col("_scan_row")),
@@ -144,6 +151,7 @@ def _scan_in_parts(
             "number": lambda: F.sum(end).over(before),
             "product": lambda: F.product(end).over(before),
             "max": lambda: F.max(end).over(before),
+            "total": lambda: F.sum(end).over(between.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
             "last": lambda: F.last(end, ignorenulls=True).over(before),
             "previous": lambda: F.lag(end).over(between),
             "following": lambda: F.lead(end).over(between),
@@ -161,6 +169,7 @@ def _scan_in_parts(
                 "number": lambda: here + F.coalesce(came, F.lit(0)),
                 "product": lambda: F.coalesce(here * came, here, came),
                 "max": lambda: F.greatest(here, came),
+                "total": lambda: came,
                 "last": lambda: F.coalesce(here, came),
                 "previous": lambda: F.when(F.col("_scan_row") == 1, came).otherwise(here),
                 "following": lambda: F.when(F.col("_scan_row") == F.col("_scan_n"), came).otherwise(here),

@@ -62,10 +62,12 @@ def _match(queries: DataFrame, items: DataFrame, k: int, by: list[str], metric:
 
     Expects the columns ``query_id`` or ``item_id`` and ``_vector``.
     """
-    grid = null_safe_join(
-        queries.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_query_blocks")),
-        items.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_item_blocks")),
-        by,
+    grid = freeze(
+        null_safe_join(
+            queries.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_query_blocks")),
+            items.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_item_blocks")),
+            by,
+        )
     )
 
     def placed(side: DataFrame, name: str, own: str, other: str) -> DataFrame:

@@ -120,17 +120,15 @@ def last_intervals(df: DataFrame, key: str, event: str) -> DataFrame:
 
 def _counted(df: DataFrame, duration: str, event: str, by: list[str]) -> DataFrame:
     """Removals and deaths per distinct time, with a row at time zero."""
-    happened = F.col(event).cast("boolean")
-    counts = df.filter(F.col(duration).isNotNull()).groupBy(*by, F.col(duration).cast("double").alias("t")).agg(
-        F.count(F.lit(1)).alias("removed"), F.count_if(happened).alias("d")
-    )
-    zero = F.lit(0).cast("long")
-    if by:
-        origin = counts.select(*by).distinct()
-    else:
-        origin = df.sparkSession.range(1).select()
-    origin = origin.select(*by, F.lit(0.0).alias("t"), zero.alias("removed"), zero.alias("d"))
-    return counts.unionByName(origin).groupBy(*by, "t").agg(F.sum("removed").alias("removed"), F.sum("d").alias("d"))
+    def cell(t: Column, removed: Column, d: Column) -> Column:
+        return F.struct(t.alias("t"), removed.cast("long").alias("removed"), d.cast("long").alias("d"))
+
+    died = F.coalesce(F.col(event).cast("boolean").cast("int"), F.lit(0))
+    subject = cell(F.col(duration).cast("double"), F.lit(1), died)
+    # the zero rows collapse before the shuffle
+    origin = cell(F.lit(0.0), F.lit(0), F.lit(0))
+    cells = df.filter(F.col(duration).isNotNull()).select(*by, F.explode(F.array(subject, origin)).alias("c"))
+    return cells.groupBy(*by, F.col("c.t").alias("t")).agg(F.sum("c.removed").alias("removed"), F.sum("c.d").alias("d"))
 
 
 def life_table(
