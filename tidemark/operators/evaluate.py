@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import ratio
+from ..session import freeze
 from .scan import ROWS_PER_GROUP, group_sum, last_known, ordered_scan, previous, running_sum
 
 
@@ -80,7 +81,8 @@ def roc_curve(
     row = cell(F.col(score), F.col(positive).cast("int"), (~F.col(positive)).cast("int"))
     # a missing threshold is the origin; its rows collapse before the shuffle
     origin = cell(F.lit(None).cast(df.schema[score].dataType), F.lit(0), F.lit(0))
-    counted = (
+    # written, so that counting its groups does not read the scores again
+    counted = freeze(
         df.filter(F.col(score).isNotNull())
         .select(*by, F.explode(F.array(row, origin)).alias("c"))
         .groupBy(*by, F.col("c.s").alias("threshold"))
@@ -117,12 +119,14 @@ def interpolate(
         F.min("tpr").alias("_low"), F.max("tpr").alias("_high"), F.lit(False).alias("_asked")
     ).withColumn("_x", F.col("fpr"))
     points = grid.select(*by, "fpr", F.lit(True).alias("_asked"))
-    merged = knots.unionByName(points, allowMissingColumns=True).groupBy(*by, "fpr").agg(
-        *[F.max(c).alias(c) for c in ("_low", "_high", "_x", "_asked")]
+    merged = freeze(
+        knots.unionByName(points, allowMissingColumns=True)
+        .groupBy(*by, "fpr")
+        .agg(*[F.max(c).alias(c) for c in ("_low", "_high", "_x", "_asked")])
     )
     left = ordered_scan(merged, by, ["fpr"], {"_x0": last_known("_x"), "_y0": last_known("_high")}, limit)
     both = ordered_scan(
-        left, by, [F.col("fpr").desc()], {"_x1": last_known("_x"), "_y1": last_known("_low")}, limit
+        left, by, [F.col("fpr").desc()], {"_x1": last_known("_x"), "_y1": last_known("_low")}, limit, merged
     )
     slope = ratio(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0"))
     value = F.when(F.col("_x").isNotNull(), F.col("_high")).otherwise(
@@ -134,7 +138,7 @@ def interpolate(
 def trapezoid(curve: DataFrame, by: list[str] = (), limit: int | None = ROWS_PER_GROUP) -> DataFrame:
     """Area under points with distinct ``fpr``."""
     by = list(by)
-    stepped = ordered_scan(curve, by, ["fpr"], {"_x": previous("fpr"), "_y": previous("tpr")}, limit)
+    stepped = ordered_scan(freeze(curve), by, ["fpr"], {"_x": previous("fpr"), "_y": previous("tpr")}, limit)
     piece = (F.col("fpr") - F.col("_x")) * (F.col("tpr") + F.col("_y")) / 2
     return stepped.groupBy(*by).agg(F.coalesce(F.sum(piece), F.lit(0.0)).alias("auc"))
 

@@ -38,6 +38,9 @@ def exact_quantiles(
         .groupBy(*by, "_name", "_value")
         .agg(F.count(F.lit(1)).alias("_weight"))
     )
+    if limit is not None:
+        # written, so that counting its groups does not read the rows again
+        counted = freeze(counted)
     keys = by + ["_name"]
     summed = ordered_scan(
         counted, keys, ["_value"], {"_upto": running_sum("_weight"), "_rows": group_sum("_weight")}, limit

@@ -53,14 +53,14 @@ def add_covariates(
     ends = intervals.groupBy(key).agg(
         F.max("stop").alias("_end"), F.max_by(event, F.struct("start", "stop")).alias("_event")
     )
-    steps = (
+    steps = freeze(
         changes.filter(F.col(time).isNotNull())
         .groupBy(key, F.col(time).cast("double").alias("start"))
         .agg(*[F.sum(F.col(c).cast("double")).alias(f"_new_{names[c]}") for c in values])
     )
     if cumulative:
         sums = {f"_run_{names[c]}": running_sum(f"_new_{names[c]}") for c in values}
-        steps = ordered_scan(steps, [key], ["start"], sums, limit).select(
+        steps = ordered_scan(steps, [key], ["start"], sums, limit, steps).select(
             key, "start", *[F.col(f"_run_{names[c]}").alias(f"_new_{names[c]}") for c in values]
         )
     steps = steps.join(ends.select(key, "_end"), key).filter(F.col("start") <= F.col("_end")).drop("_end")
@@ -72,7 +72,7 @@ def add_covariates(
         .agg(*[F.max(c).alias(c) for c in carried + fresh])
     )
     plain = [c for c in carried if c not in names.values()]
-    points = points.select(
+    points = freeze(points).select(
         key,
         "start",
         *plain,
@@ -136,9 +136,12 @@ def life_table(
 ) -> DataFrame:
     """Per distinct time the number at risk ``n``, deaths ``d`` and all removals."""
     by = list(by)
-    return ordered_scan(
-        _counted(df, duration, event, by), by, [F.col("t").desc()], {"n": running_sum("removed")}, limit
-    )
+    # written, so that counting its groups does not read the subjects again
+    return _at_risk(freeze(_counted(df, duration, event, by)), by, limit)
+
+
+def _at_risk(counts: DataFrame, by: list[str], limit: int | None) -> DataFrame:
+    return ordered_scan(counts, by, [F.col("t").desc()], {"n": running_sum("removed")}, limit)
 
 
 def kaplan_meier(
@@ -147,14 +150,15 @@ def kaplan_meier(
     """Survival with its Greenwood variance at every distinct time."""
     by = list(by)
     n, d = F.col("n"), F.col("d")
-    table = life_table(df, duration, event, by, limit).withColumns(
+    counts = freeze(_counted(df, duration, event, by))
+    table = _at_risk(counts, by, limit).withColumns(
         {
             "_factor": F.coalesce(1 - ratio("d", "n"), F.lit(1.0)),
             "_part": ratio("d", n.cast("double") * (n - d)),
         }
     )
     curve = ordered_scan(
-        table, by, ["t"], {"survival": running_product("_factor"), "_sum": running_sum("_part")}, limit
+        table, by, ["t"], {"survival": running_product("_factor"), "_sum": running_sum("_part")}, limit, counts
     )
     variance = F.col("survival") * F.col("survival") * F.coalesce("_sum", F.lit(0.0))
     return curve.select(*by, "t", "n", "d", "survival", variance.alias("variance"))
@@ -187,8 +191,9 @@ def nelson_aalen(
     by = list(by)
     n, d = F.col("n"), F.col("d")
     step = _harmonic(n) - _harmonic(n - d) if smoothing else F.coalesce(ratio("d", "n"), F.lit(0.0))
-    table = life_table(df, duration, event, by, limit).withColumn("_step", step)
-    return ordered_scan(table, by, ["t"], {"hazard": running_sum("_step")}, limit).select(
+    counts = freeze(_counted(df, duration, event, by))
+    table = _at_risk(counts, by, limit).withColumn("_step", step)
+    return ordered_scan(table, by, ["t"], {"hazard": running_sum("_step")}, limit, counts).select(
         *by, "t", "n", "d", "hazard"
     )
 
@@ -215,7 +220,7 @@ def _logrank_times(df: DataFrame, duration: str, event: str, group: str, groups:
         inside = F.col(group) == F.lit(g)
         per_group.append(F.count_if(inside).alias(f"_m{i}"))
         per_group.append(F.count_if(inside & happened).alias(f"d{i}"))
-    counts = df.filter(F.col(group).isin(list(groups))).groupBy(F.col(duration).alias("t")).agg(*per_group)
+    counts = freeze(df.filter(F.col(group).isin(list(groups))).groupBy(F.col(duration).alias("t")).agg(*per_group))
     risk = {f"n{i}": running_sum(f"_m{i}") for i in range(len(groups))}
     at_risk = ordered_scan(counts, [], [F.col("t").desc()], risk, limit)
     total = sum((F.col(f"n{i}") for i in range(1, len(groups))), F.col("n0")).cast("double")
@@ -355,6 +360,9 @@ def cox_fit(
             ],
         )
     )
+    # the times stay the same in every step, so their number is checked once
+    if limit is not None and data.select(F.explode(F.array("_t", "_from"))).distinct().count() * 2 <= limit:
+        limit = None
     # partitions to spread over, or none
     spread = 0
     if ties == "efron" and data.filter("_e").count() > _SPREAD_EVENTS:
@@ -473,7 +481,7 @@ def concordance(
 
     def later(frame: DataFrame, keys: list[str], asks: Column, has: Column, name: str) -> DataFrame:
         """Sum of ``asks`` times the ``has`` of later rows with the same keys."""
-        cells = frame.groupBy(*by, *keys, "t", "after").agg(F.sum(asks).alias("asks"), F.sum(has).alias("has"))
+        cells = freeze(frame.groupBy(*by, *keys, "t", "after").agg(F.sum(asks).alias("asks"), F.sum(has).alias("has")))
         run = ordered_scan(
             cells, by + keys, [F.col("t").desc(), F.col("after").desc()], {"seen": running_sum("has")}, limit
         )

@@ -99,7 +99,7 @@ def states(timeline: DataFrame, entity: DataFrame | None = None, limit: int | No
     calcs = {f"run_{c}": running_sum(c) for c in sums}
     calcs.update({f"run_{c}": running_max(c) for c in tops})
     calcs["next_day"] = following("day")
-    run = ordered_scan(days, ["id"], ["day"], calcs, limit)
+    run = ordered_scan(freeze(days), ["id"], ["day"], calcs, limit)
 
     def mean(total: str, count: str) -> Column:
         return F.try_divide(F.col(f"run_{total}").cast("double"), F.col(f"run_{count}").cast("double"))
