@@ -183,6 +183,19 @@ def test_far_cells_are_left_out(spark):
     assert rows(got) == rows(want)
 
 
+def test_tasks_need_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); import numpy as np; print(f(np.ones((1, 2)), np.ones((1, 2)), 'cosine'))"
+    done = subprocess.run(
+        [sys.executable, "-c", code], input=cloudpickle.dumps(similar._scores), cwd=tmp_path, capture_output=True
+    )
+    assert done.stdout.strip() == b"[[1.]]", done.stderr
+
+
 def test_exact_match_outvotes(spark):
     near = spark.createDataFrame(
         [(1, 10, 0.0), (1, 11, -0.1), (1, 12, -0.1), (2, 11, -0.5), (2, 10, -0.5)], "query_id long, item_id long, score double"

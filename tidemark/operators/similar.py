@@ -8,14 +8,20 @@ search is confined to cells that can hold a result.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import freeze
 from .keys import null_safe_join
 
+# tasks get the functions of this module by value, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 20_000
 _CHUNK_CELLS = 4_000_000
 # scores are compared at this many decimals, so that equal vectors tie
