@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, models, sampling
+from ..operators import evaluate, features, models, sampling
 from ..plans import labels as label_plan
 from ..plans import matrix, predict, report
 from ..session import freeze
@@ -116,8 +116,15 @@ def knn_search(spark, folder):
 def _training(spark, folder):
     """Feature matrix of the labelled companies and of the unlabelled ones."""
     frame, companies, labels = labelled(sources(spark, folder))
-    features = freeze(matrix.feature_matrix(frame, companies, CATEGORIES).join(labels, "id"))
-    return features.filter(F.col("label") != label_plan.YOUNG), features.filter(F.col("label") == label_plan.YOUNG)
+    rows = freeze(matrix.feature_matrix(frame, companies, CATEGORIES).join(labels, "id"))
+    return rows.filter(F.col("label") != label_plan.YOUNG), rows.filter(F.col("label") == label_plan.YOUNG)
+
+
+@check()
+def noise_features(spark, folder):
+    """Vectors with twenty noise columns beside them."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label")
+    return features.noise_columns(vectors, 20, models.SEED)
 
 
 STEP = 15

@@ -21,6 +21,12 @@ def founded_per_year(spark, folder):
     return report.founded_per_year(entity(s)).withColumn("year", F.col("year").cast("long"))
 
 
+@check("SELECT CAST(COUNT(*) AS VARCHAR) AS answer FROM orders WHERE MONTH(o_orderdate) = 3 AND o_orderpriority = '2-HIGH'")
+def count_answer(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    return report.count_answer(orders.filter((F.month("o_orderdate") == 3) & (F.col("o_orderpriority") == "2-HIGH")))
+
+
 @check("SELECT CAST(YEAR(o_orderdate) AS BIGINT) AS year, COUNT(*) AS n FROM orders GROUP BY 1")
 def orders_per_year(spark, folder):
     return spark.read.parquet(f"{folder}/orders.parquet").groupBy(

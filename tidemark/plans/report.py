@@ -177,6 +177,12 @@ def named_importances(importances: DataFrame, top: int = 6) -> DataFrame:
     )
 
 
+def count_answer(rows: DataFrame, asked: bool = True) -> DataFrame:
+    """Number of rows as text, or a note when nothing was asked for."""
+    count = F.count(F.lit(1)).cast("string")
+    return rows.agg((count if asked else F.lit("check your input")).alias("answer"))
+
+
 def founded_per_year(entity: DataFrame) -> DataFrame:
     return entity.groupBy(F.year("dates").alias("year")).agg(F.count(F.lit(1)).alias("founded"))
 
