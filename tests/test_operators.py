@@ -120,6 +120,16 @@ def test_upsample(spark):
     assert len({r["id"] for r in got if r["label"] == 2}) == 90
 
 
+def test_upsample_of_a_tiny_class(spark, monkeypatch):
+    df, _ = _classes(spark)
+    one = df.filter("label = 2 OR id = '1-3'")
+    plain = rows(sampling.upsample(one, "label", "id", 2, [0, 1]), "label", "id", "draw")
+    assert [r[:2] for r in plain if r[0] == 1] == [(1, "1-3")] * 90
+    # the draws do not depend on how many copies serve them
+    monkeypatch.setattr(sampling, "_DRAWS_PER_COPY", 4)
+    assert rows(sampling.upsample(one, "label", "id", 2, [0, 1]), "label", "id", "draw") == plain
+
+
 def test_stratified_split_and_folds(spark):
     df, sizes = _classes(spark)
     got = sampling.stratified_split(df, "label", "id", 0.6).collect()

@@ -97,12 +97,12 @@ def _static(spark, folder):
 
 
 @check(STATIC_SQL + "SELECT " + ", ".join(
-    PLAIN + [f"CAST({c} AS BIGINT) AS {c}" for c in INTS] + [f"ROUND({c}, 4) AS {c}" for c in REALS]
+    PLAIN + [f"CAST({c} AS BIGINT) AS {c}" for c in INTS] + [f"ROUND({c}, 6) AS {c}" for c in REALS]
     + [f"CAST(COALESCE(last_funding_round_code = '{k}', FALSE) AS BIGINT) AS code_{k}" for k in CODES]
 ) + " FROM static")
 def static_features(spark, folder):
     return _static(spark, folder).select(
-        *PLAIN, *[F.col(c).cast("long").alias(c) for c in INTS], *[F.round(c, 4).alias(c) for c in REALS],
+        *PLAIN, *[F.col(c).cast("long").alias(c) for c in INTS], *[F.round(c, 6).alias(c) for c in REALS],
         *[F.col(f"code_{k}").cast("long").alias(f"code_{k}") for k in CODES],
     )
 

@@ -7,7 +7,7 @@ numbered inside a bin and shifted by the rows of the bins before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import hash_number
 from ..session import freeze
@@ -15,6 +15,7 @@ from .keys import null_safe_join
 
 BINS = 65_536
 _BIN_WIDTH = 2**32 // BINS
+_DRAWS_PER_COPY = 1000
 
 
 def numbered(df: DataFrame, by: list[str], key: str, name: str = "number") -> DataFrame:
@@ -54,24 +55,35 @@ def upsample(df: DataFrame, label: str, key: str, majority: int, minorities: lis
 
     A draw is one majority number and one minority class, so the draws are made
     where the majority rows are; the drawn rows come by an equi join on
-    (class, number).  ``draw`` tells copies of a row apart.
+    (class, number).  Rows of a small class are drawn often, so they are copied
+    until a copy serves about ``_DRAWS_PER_COPY`` draws and the draws are dealt
+    over the copies.  ``draw`` tells copies of a row apart.
     """
+    kind = df.schema[label].dataType
     wanted = df.filter(F.col(label).isin([majority, *minorities]))
     rows = numbered(wanted, [label], key, "_number")
     kept = rows.filter(F.col(label) == majority).withColumn("draw", F.col("_number")).drop("_number")
-    if not minorities:
+    # one row per listed class
+    sizes = {r[0]: r[1] for r in wanted.groupBy(label).count().collect()}
+    drawn_classes = [m for m in minorities if m in sizes]
+    if not drawn_classes:
         return kept
-    # one row per class
-    sizes = wanted.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).filter(F.col(label) != majority)
+    copies = {m: max(1, -(-sizes.get(majority, 0) // (sizes[m] * _DRAWS_PER_COPY))) for m in drawn_classes}
+
+    def of_class(values: dict) -> Column:
+        return F.coalesce(*[F.when(F.col(label) == m, F.lit(values[m])) for m in drawn_classes])
+
     draws = (
         rows.filter(F.col(label) == majority)
         .select(F.col("_number").alias("draw"))
-        .withColumn(label, F.explode(F.array(*[F.lit(m).cast(df.schema[label].dataType) for m in minorities])))
-        .join(F.broadcast(sizes), label)
-        .withColumn("_number", hash_number(label, "draw") % F.col("_size") + 1)
-        .drop("_size")
+        .withColumn(label, F.explode(F.array(*[F.lit(m).cast(kind) for m in drawn_classes])))
+        .withColumn("_number", hash_number(label, "draw") % of_class(sizes) + 1)
+        .withColumn("_copy", F.pmod(F.xxhash64("draw"), of_class(copies)))
+    )
+    pool = rows.filter(F.col(label).isin(drawn_classes)).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), (of_class(copies) - 1).cast("long")))
     )
-    drawn = draws.join(rows, [label, "_number"]).drop("_number")
+    drawn = draws.join(pool, [label, "_number", "_copy"]).drop("_number", "_copy")
     return kept.unionByName(drawn)
 
 
