@@ -286,3 +286,12 @@ def test_forest(spark):
     assert all(abs(r["proba0"] + r["proba1"] + r["proba2"] - 1) < 1e-9 for r in got)
     weight = dict(rows(models.importances(model, ["x", "y"], "m", spark), "feature", "importance"))
     assert weight["x"] > weight["y"]
+
+
+def test_empty_input(spark):
+    empty = spark.createDataFrame([], "id long, x double, label int, vector array<double>")
+    assert features.fill_and_scale(empty, ["x"]).count() == 0
+    assert features.impute(empty, ["x"]).count() == 0
+    assert sampling.upsample(empty, "label", "id", 2, [0, 1]).count() == 0
+    assert sampling.stratified_split(empty, "label", "id", 0.5).count() == 0
+    assert nearest(empty, empty, 3).count() == 0

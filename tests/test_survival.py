@@ -4,7 +4,6 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from tidemark.operators import survival as op
 from tidemark.plans import survival as plan

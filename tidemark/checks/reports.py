@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import features as feature_op
 from ..operators.quantiles import box_statistics
-from ..plans import labels as label_plan
 from ..plans import matrix, report, static, timeline as timeline_plan
 from ..session import freeze
 from . import check
-from .frames import entity, labelled, live, sources, timeline, TITLES
+from .frames import TITLES, entity, labelled, sources, timeline
 from .labelling import ASOF_SQL, CATEGORIES, CUTS_SQL, FLAGS, FLAGS_SQL, _asof, _scaled
 from .standin_sql import BASE, COMPANIES, EVENTS, OUTCOMES, SOURCES
 from .statics import CODES, STATIC_SQL, TODAY

@@ -1,20 +1,14 @@
 """Sources and sinks: each query writes a whole table, reads it back and returns it."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, tune
+from ..session import frozen_path, tune
 from ..sources import tables
 from . import check
 from .frames import entity, sources
 from .standin_sql import BASE
 
 
-def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
-
-
 def _file(spark, folder, name):
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -35,7 +29,7 @@ def sql_scan(spark, folder):
 
 @check("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_scan(spark, folder):
-    customer, path = _file(spark, folder, "customer"), _folder(spark)
+    customer, path = _file(spark, folder, "customer"), frozen_path(spark)
     tables.write_csv(customer, path)
     return tables.read_csv(spark, path, customer.schema).withColumn(
         "c_nationkey", F.col("c_nationkey").cast("long")
@@ -44,7 +38,7 @@ def csv_scan(spark, folder):
 
 @check(BASE + "SELECT id, name, category_code, status, dates, CAST(experience AS BIGINT) AS experience FROM entity")
 def feature_table_round_trip(spark, folder):
-    path = _folder(spark)
+    path = frozen_path(spark)
     tables.write_frames({"entity": entity(sources(spark, folder))}, path)
     return tables.read_frames(spark, path, ["entity"])["entity"].select(
         "id", "name", "category_code", "status", "dates", "experience"

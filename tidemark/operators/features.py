@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import ratio
 from ..session import freeze
 from .keys import null_safe_join
 from .quantiles import exact_quantiles
@@ -93,10 +94,10 @@ def fill_and_scale(
         fill = F.coalesce(f"_median_{c}", F.lit(0.0))
         n, gaps = F.col(f"_n_{c}"), F.col("_rows") - F.col(f"_n_{c}")
         average, variance = F.coalesce(f"_avg_{c}", F.lit(0.0)), F.coalesce(f"_var_{c}", F.lit(0.0))
-        mean = (n * average + gaps * fill) / F.col("_rows")
-        spread = (
-            n * (variance + (average - mean) * (average - mean)) + gaps * (fill - mean) * (fill - mean)
-        ) / F.col("_rows")
+        mean = ratio(n * average + gaps * fill, "_rows")
+        spread = ratio(
+            n * (variance + (average - mean) * (average - mean)) + gaps * (fill - mean) * (fill - mean), "_rows"
+        )
         stated += [fill.alias(f"_fill_{c}"), mean.alias(f"_mean_{c}"), F.sqrt(spread).alias(f"_dev_{c}")]
     # written first, so that the join sees its size and leaves the rows in place if it is small
     summary = freeze(summary.select(*stated))

@@ -112,10 +112,11 @@ def static_features(
     """All static features; every source is reduced to one row per company before it is joined."""
     objects, rounds = sources["objects"], sources["funding_rounds"]
     acquisitions, ipos = sources["acquisitions"], sources["ipos"]
+    # rows are made unique while they are narrow; the joins go on with the same partitioning
     companies = founded_companies(objects).select(
         "id", "name", "permalink", "category_code", "status", "founded_at", "closed_at",
         "funding_rounds", "investment_rounds", "invested_companies", "funding_total_usd",
-    )
+    ).dropDuplicates(["id"])
     parts = [
         first_acquisition(acquisitions),
         first_listing(ipos),
@@ -149,7 +150,7 @@ def static_features(
             "age_at_exit": F.coalesce("age_at_exit", days_between("founded_at", F.lit(today).cast("date"))),
         }
     )
-    return one_hot(frame, "last_funding_round_code", round_codes, "code_").dropDuplicates(["id"])
+    return one_hot(frame, "last_funding_round_code", round_codes, "code_")
 
 
 def age_thresholds(static: DataFrame, deviations: float = 2.0) -> DataFrame:

@@ -58,6 +58,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def frozen_path(spark: SparkSession) -> str:
+    """New path below the folder of this application, which may be removed when the application has ended."""
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
@@ -66,6 +71,6 @@ def freeze(df: DataFrame) -> DataFrame:
     the size of the table when it chooses a join.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
+    path = frozen_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
