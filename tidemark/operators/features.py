@@ -40,7 +40,10 @@ def known_label_indicators(df: DataFrame, label: str, classes: list[int], unknow
 def impute(
     df: DataFrame, names: list[str], by: list[str] = (), limit: int | None = ROWS_PER_GROUP
 ) -> DataFrame:
-    """Missing values become the exact median of the column in its group, or zero if there is none."""
+    """Missing values become the exact median of the column in its group, or zero if there is none.
+
+    Reads ``df`` twice; so do ``standardise`` and ``fill_and_scale``.
+    """
     by = list(by)
     medians = freeze(exact_quantiles(df, names, by, limit=limit).withColumnsRenamed({c: f"_median_{c}" for c in names}))
     joined = null_safe_join(df, medians, by, "left") if by else df.join(F.broadcast(medians), how="left")

@@ -63,7 +63,7 @@ def box_statistics(df: DataFrame, by: str, days: str, reach: float = 1.5) -> Dat
 
     Whiskers are the outermost values within ``reach`` times the quartile span.
     """
-    counted = df.filter(F.col(days).isNotNull()).groupBy(by, days).agg(F.count(F.lit(1)).alias("_weight"))
+    counted = freeze(df.filter(F.col(days).isNotNull()).groupBy(by, days).agg(F.count(F.lit(1)).alias("_weight")))
     quarters = counted.groupBy(by).agg(
         F.sum("_weight").alias("n"),
         F.percentile(days, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_weight")).alias("_q"),

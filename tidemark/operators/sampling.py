@@ -60,11 +60,11 @@ def upsample(df: DataFrame, label: str, key: str, majority: int, minorities: lis
     over the copies.  ``draw`` tells copies of a row apart.
     """
     kind = df.schema[label].dataType
-    wanted = df.filter(F.col(label).isin([majority, *minorities]))
-    rows = numbered(wanted, [label], key, "_number")
+    # numbered once, read for the kept rows, the draws and the pool
+    rows = freeze(numbered(df.filter(F.col(label).isin([majority, *minorities])), [label], key, "_number"))
     kept = rows.filter(F.col(label) == majority).withColumn("draw", F.col("_number")).drop("_number")
     # one row per listed class
-    sizes = {r[0]: r[1] for r in wanted.groupBy(label).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     drawn_classes = [m for m in minorities if m in sizes]
     if not drawn_classes:
         return kept

@@ -19,7 +19,7 @@ CLASSES = [TIMELY, LATE, SLOW]
 def balanced_split(labelled: DataFrame, share: float, majority: int = SLOW) -> DataFrame:
     """Balances the classes and marks the training rows, exactly ``share`` of each class."""
     minorities = [c for c in CLASSES if c != majority]
-    drawn = upsample(labelled, "label", "id", majority, minorities)
+    drawn = freeze(upsample(labelled, "label", "id", majority, minorities))
     return stratified_split(
         drawn.withColumn("_key", F.concat_ws("#", "id", "label", F.col("draw").cast("string"))), "label", "_key", share
     ).drop("_key")

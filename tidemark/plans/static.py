@@ -163,7 +163,8 @@ def age_thresholds(static: DataFrame, deviations: float = 2.0) -> DataFrame:
 def static_labels(static: DataFrame, deviations: float = 2.0) -> DataFrame:
     """0 closed, 1 sold or listed, 2 operating beyond the threshold, 3 operating below it."""
     age, threshold, status = F.col("age_at_exit"), F.col("threshold"), F.col("status")
-    # written first: the join then knows how small the table is
+    # the table is read twice, and the join then knows how small the thresholds are
+    static = freeze(static)
     return static.join(freeze(age_thresholds(static, deviations)), "category_code", "left").withColumn(
         "label",
         F.when(status == "closed", 0)
