@@ -176,6 +176,27 @@ def test_nearest_against_brute_force(spark, metric, by, block, cells_from):
         assert [(-b[1], pytest.approx(b[0], abs=2e-6)) for b in best] == [(j, s) for _, j, s in sorted(got[i])]
 
 
+def _near_brute(data, k):
+    out = []
+    for i in range(len(data)):
+        near = [(round(-float(np.linalg.norm(data[i] - data[j])), 6), -j) for j in range(len(data)) if j != i]
+        out += [(i, -j, s) for s, j in sorted(near, reverse=True)[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cells_from", [1, 10**6])
+def test_many_copies(spark, cells_from):
+    draw = np.random.default_rng(6)
+    data = draw.integers(0, 3, size=(150, 3)).astype(float)
+    data[draw.random(150) < 0.5] = [1.0, 1.0, 1.0]
+    frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "id long, vector array<double>")
+    useful = similar._useful_copies(frame.select(F.col("id").alias("item_id"), F.col("vector").alias("_vector")), 4, [])
+    assert useful.groupBy("_vector").count().agg(F.max("count")).first()[0] == 5
+    assert "WindowGroupLimit" in useful._jdf.queryExecution().executedPlan().toString()
+    got = nearest(frame, frame, 4, metric="euclid", block_rows=20, cells_from=cells_from)
+    assert rows(got, "query_id", "item_id", "score") == sorted(_near_brute(data, 4), key=repr)
+
+
 def test_far_cells_are_left_out(spark):
     draw = np.random.default_rng(8)
     centres = draw.normal(size=(12, 5)) * 100

@@ -106,6 +106,17 @@ def _match(queries: DataFrame, items: DataFrame, k: int, by: list[str], metric:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
 
 
+def _useful_copies(items: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Items without the copies that can never be a result.
+
+    Equal vectors tie and the smaller id wins, so of any number of copies only
+    the first ``k`` count, and one more for a query that is a copy itself.
+    Spark cuts the groups to that size before the shuffle.
+    """
+    same = W.partitionBy(*by, "_vector").orderBy("item_id")
+    return items.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= k + 1).drop("_copy")
+
+
 def _top(pairs: DataFrame, k: int, by: list[str]) -> DataFrame:
     ranked = W.partitionBy(*by, "query_id").orderBy(F.col("score").desc(), "item_id")
     return pairs.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
@@ -131,7 +142,9 @@ def nearest(
     """
     by = list(by)
     left = queries.select(*by, F.col(id_column).alias("query_id"), F.col(vector).alias("_vector"))
-    right = items.select(*by, F.col(id_column).alias("item_id"), F.col(vector).alias("_vector"))
+    right = freeze(
+        _useful_copies(items.select(*by, F.col(id_column).alias("item_id"), F.col(vector).alias("_vector")), k, by)
+    )
     count = right.count()
     if count < cells_from:
         pairs = _match(left, right, k, by, metric, block_rows)
