@@ -1,10 +1,57 @@
-"""The corpus pipeline: one stage after the other, each over all that its predecessor kept."""
+"""The corpus pipeline: language identification, near-duplicates, decontamination, mixing and sharding of documents.
+
+Each stage takes all rows that its predecessor kept and is written before the next one reads it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import decontamination, language_id, mixing, near_dedup, sharding
+from tidemark.llm.frames import freeze, table, tune
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in which no language can be told: without text or letters."""
+    named = language_id.identify(docs, language_id.fit(docs))
+    return named.where(named[named.columns[-2]] != "und").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group linked at a similarity of 0.8 over five-word shingles."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents, so that the sources come to their target weights."""
+    return mixing.mixed(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document that is left."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+
+#: Language models and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ValueError("no stages")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tune(spark)
+    for _, stage in STAGES[:-1]:
+        docs = freeze(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

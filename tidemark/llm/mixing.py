@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import freeze, word_count
+from .frames import freeze, fresh, word_count
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -95,44 +95,69 @@ def _threshold(rows: DataFrame, state: DataFrame) -> DataFrame:
     return frame
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, source, h, size, source_size, target, copies, taken (= size * copies).
-
-    Every document of a source is taken as often as the target holds the source whole, and once more if its hash is
-    below the threshold of a round; so no document is taken more than `most` times (rounded up). The words taken stay
-    below the target by less than the smallest document that was passed over in the last round.
-    A NULL source is a source of its own. A NULL or blank text has size 0 and is taken as often as its source is
-    whole. Rows with the same id share a hash and stand or fall together. No rows give no rows.
-    """
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+def thresholds(docs: DataFrame, weights, share: float, most: float, rounds: int) -> DataFrame:
+    """One row per source: name, source_size, target, whole, and the hash range and room of every round."""
+    slim = docs.select("source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
     slim = freeze(slim)
     sources = freeze(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("whole", whole.cast("long")).withColumnRenamed("source", "name")
-    rows = slim.join(sources.select("name", "sid"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = slim.join(sources.select("name", "sid"), F.col("source").eqNullSafe(F.col("name"))).select("sid", "size", "h")
     rows = freeze(rows)
     state = sources.select(
         "sid", F.lit(0).cast("long").alias("lo"),
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("room"),
     )
-    picked, taken = sources, []
+    picked = sources
     for k in range(rounds):
         found = _threshold(rows, state)
         picked = picked.join(
             found.select("sid", *[F.col(a).alias(f"{a}_{k}") for a in ("lo", "start", "room")]), "sid"
         )
-        inside = (F.col("h") >= F.col(f"lo_{k}")) & (F.col("h") < F.col(f"start_{k}"))
-        taken.append(inside & (F.col("size") > 0) & (F.col("size") <= F.col(f"room_{k}")))
         state = found.select("sid", F.col("end").alias("lo"), F.col("left").alias("room"))
-    picked = freeze(picked).drop("name")
-    extra = F.when(reduce(lambda a, b: a | b, taken), 1).otherwise(0)
-    out = rows.join(picked, "sid").withColumn("copies", (F.col("whole") + extra).cast("long"))
-    return out.select(
-        "doc_id", "source", "h", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"),
+    return freeze(picked.drop("sid"))
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
+    """The documents with a struct column `mix`: size, source_size, target, copies, taken (= size * copies).
+
+    Every document of a source is taken as often as the target holds the source whole, and once more if its hash is
+    below the threshold of a round; so no document is taken more than `most` times (rounded up). The words taken stay
+    below the target by less than the smallest document that was passed over in the last round.
+    A NULL source is a source of its own. A NULL or blank text has size 0 and is taken as often as its source is
+    whole. Rows with the same id share a hash and stand or fall together. No rows give no rows. A column `mix` of the
+    documents moves the new one to `mix_`.
+    """
+    plan = thresholds(docs, weights, share, most, rounds)
+    own = fresh(docs, "mix")
+    size, h = word_count(F.col("text")), id_hash(F.col("doc_id"))
+    plan = plan.select(F.struct("*").alias(f"{own}_plan"))
+    at = F.col(f"{own}_plan")
+    rows = docs.withColumn(own, F.struct(size.alias("size"), h.alias("h")))
+    rows = rows.join(plan, F.col("source").eqNullSafe(at["name"]))
+    size, h = F.col(f"{own}.size"), F.col(f"{own}.h")
+    taken = [
+        (h >= at[f"lo_{k}"]) & (h < at[f"start_{k}"]) & (size > 0) & (size <= at[f"room_{k}"]) for k in range(rounds)
+    ]
+    copies = (at["whole"] + F.when(reduce(lambda a, b: a | b, taken), 1).otherwise(0)).cast("long")
+    return rows.select(
+        *docs.columns,
+        F.struct(
+            size.alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"),
+            copies.alias("copies"), (size * copies).alias("taken"),
+        ).alias(own),
     )
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    rows = mix(docs, **settings)
+    own, turn = rows.columns[-1], fresh(rows, "turn")
+    copies = F.col(f"{own}.copies")
+    rows = rows.where(copies > 0).withColumn(turn, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return rows.select(*docs.columns)
+
+
 def sql(rounds: int = ROUNDS) -> str:
     """The same result as SQL: thresholds as running sums in hash order."""
     steps = ["r0 AS (SELECT *, CAST(-1 AS BIGINT) AS lo, room AS left_ FROM placed)"]

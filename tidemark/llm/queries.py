@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontamination, language_id, mixing, near_dedup, sharding
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +24,32 @@ def query(sql: str | None = None):
     return add
 
 
+@query(decontamination.SQL)
+def op1_decontamination(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op2_sharding(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+@query(near_dedup.SQL)
+def op3_near_dedup(spark, folder):
+    groups = near_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query(mixing.sql())
 def op4_mixing(spark, folder):
-    mixed = mixing.mix(table(spark, folder, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+@query()
+def op10_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs)
+    named = language_id.identify(docs.select("doc_id", "text"), model)
+    remainder = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4))
+    return named.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
