@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, near_dedup, sharding
+from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, repeats, sharding, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,35 @@ def op4_mixing(spark, folder):
     return mixing.mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@query(warc.SQL)
+def op5_warc(spark, folder):
+    return warc.archived(table(spark, folder, "pages"))
+
+
+@query()
+def op6_html_text(spark, folder):
+    return html_text.main_texts(table(spark, folder, "pages"))
+
+
+@query()
+def op7_quality_rules(spark, folder):
+    docs = quality.assess(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return docs.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "char_distance", "word_distance",
+    )
+
+
+@query()
+def op8_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op9_suffix_dedup(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 @query()
 def op10_language_id(spark, folder):
     docs = table(spark, folder, "documents")
