@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, rows_with_bit
 from .components import components
 from .frames import freeze, fresh, parts_for
 from .words import runs, shingle_sets
@@ -249,7 +250,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
         lambda other: F.struct(F.least(other, F.col("own")).alias("i"), F.greatest(other, F.col("own")).alias("j")),
     )
     wanted = cells.select("root", "node", F.col("pick.doc_id").alias("w_id"), F.col("pick.mark").alias("w_mark"), pairs.alias("pairs"))
-    found = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    # Texts of other documents need not be moved.
+    near = rows_with_bit(slim, "mark", bitmap(wanted, "w_mark"))
+    match = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))
+    found = near.join(wanted.hint("merge"), match)
     sets = found.select("root", "node", "pairs", "text").mapInArrow(
         _sets(width, "blank_fold"), "root long, node long, pairs array<struct<i:int,j:int>>, shingles binary"
     )
@@ -272,18 +276,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
 
 
 def one_of_each(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The documents with one row of each group left; rows without words all stay."""
-    id_, mark = fresh(docs, "kept_id"), fresh(docs, "kept_mark")
-    decided = near_duplicates(docs, width, part, whole).where("chosen")
-    decided = decided.groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).agg(
-        F.max(F.col("n_shingles") == 0).alias(fresh(docs, "kept_blank"))
+    """The documents with one row of each group left; rows without words all stay.
+
+    Only rows that may have to go, by a bitmap of their marks, meet the decisions in a join.
+    """
+    groups = freeze(near_duplicates(docs, width, part, whole))
+    seen = groups.where("n_shingles > 0").groupBy("doc_id", "mark").agg(
+        F.max("chosen").alias("stays"), F.count(F.lit(1)).alias("rows")
     )
-    blank = fresh(docs, "kept_blank")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(mark))
-    rows = docs.join(decided, match)
-    one = rows.where(~F.col(blank)).dropDuplicates([id_, mark])
-    return one.union(rows.where(blank)).select(*docs.columns)
+    doubtful = freeze(seen.where(~F.col("stays") | (F.col("rows") > 1)))
+    bits = bitmap(doubtful, "mark")
+    key, id_, mark = (fresh(docs, n) for n in ("row_mark", "kept_id", "kept_mark"))
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    sure = rows_with_bit(marked, key, bits, False)
+    unsure = rows_with_bit(marked, key, bits)
+    decided = doubtful.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("stays").alias(fresh(docs, "stays")))
+    stays = F.col(fresh(docs, "stays"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(mark))
+    rows = unsure.join(decided.hint("merge"), match, "left")
+    untouched = rows.where(F.col(mark).isNull()).select(*docs.columns)
+    one = rows.where(stays).dropDuplicates([id_, mark]).select(*docs.columns)
+    return sure.select(*docs.columns).union(untouched).union(one)
 
 
 SQL = r"""WITH RECURSIVE words AS (
