@@ -131,8 +131,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     plan = thresholds(docs, weights, share, most, rounds)
     own = fresh(docs, "mix")
     size, h = word_count(F.col("text")), id_hash(F.col("doc_id"))
-    plan = plan.select(F.struct("*").alias(f"{own}_plan"))
-    at = F.col(f"{own}_plan")
+    held = fresh(docs, "mix_plan")
+    plan = plan.select(F.struct("*").alias(held))
+    at = F.col(held)
     rows = docs.withColumn(own, F.struct(size.alias("size"), h.alias("h")))
     rows = rows.join(plan, F.col("source").eqNullSafe(at["name"]))
     size, h = F.col(f"{own}.size"), F.col(f"{own}.h")
