@@ -6,10 +6,11 @@ A byte goes if a string of `LENGTH` bytes around it also starts in a document wi
 2. Every string (window) of LENGTH bytes is assigned to an anchor: the 16-byte gram in it with the smallest hash. Equal
    windows have equal anchors. Windows in a row with one anchor form a region. Packs ask which anchors occur elsewhere;
    an anchor of one document cannot repeat, and its windows are settled.
-3. For the rest packs send each distinct region once, with its smallest document id, to the task of its anchor. There the
-   regions are dealt to shards; the transform of each shard is built, and the transforms are merged by refining their
-   interleave symbol by symbol. A refinement also shows where common prefixes end; rows whose common prefix reaches
-   LENGTH form the repeated intervals, and the smallest document of an interval is that of all its windows.
+3. For the rest packs send each distinct region once, with its smallest document id, to the task of its anchor. Windows
+   whose hash no other region of the task has are settled. The parts of regions that remain are dealt to shards; the
+   transform of each shard is built, and the transforms are merged by refining their interleave symbol by symbol. A
+   refinement also shows where common prefixes end; rows whose common prefix reaches LENGTH form the repeated intervals,
+   and the smallest document of an interval is that of all its windows.
 4. The packs get back, per region, the windows with a smaller document, and cut their texts.
 
 An anchor in very many packs would bring all its regions to one task. Its windows get keys of their own instead.
@@ -33,9 +34,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 50
 GRAM = 16
 #: Bytes of text in a pack and in a bucket of packs; windows handled in one go.
-PACK_BYTES, BUCKET_BYTES, WINDOWS = 4 << 20, 16 << 20, 1 << 20
+PACK_BYTES, BUCKET_BYTES, WINDOWS = 1 << 20, 16 << 20, 1 << 17
 #: Entries of an anchor from which its windows get keys of their own.
-HOT = 512
+HOT = 2048
+#: Bytes of regions whose transforms are merged in one go; the regions of one anchor stay together.
+MERGED_BYTES = 2 << 20
 SHARDS = 4
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -55,46 +58,58 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mix64(x)
 
 
+def window_hashes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the window at each place, from the grams that cover it."""
+    out = grams[at]
+    for k in (GRAM, 2 * GRAM, LENGTH - GRAM):
+        out = (out * np.uint64(0xD6E8FEB86659FD93)) ^ (out >> np.uint64(29)) ^ grams[at + k]
+    return mix64(out)
+
+
 def window_runs(raw: np.ndarray, bounds: np.ndarray):
-    """Regions of joined texts: (first window, last window, text, anchor hash) arrays.
+    """Regions of joined texts: (first window, last window, text, anchor hash, hash of the region) arrays.
 
     `bounds` are the offsets of the texts. The anchor is the leftmost of the smallest grams, compared by 32 bits of the
     hash; where two windows are equal, so are the places of their anchors.
     """
     out = []
     total = len(raw) - LENGTH + 1
+    width = LENGTH - GRAM + 1
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     for lo in range(0, max(0, total), WINDOWS):
         hi = min(total, lo + WINDOWS)
         hashes = gram_hashes(raw[lo : hi + LENGTH - 1])
         keyed = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        width, reach = LENGTH - GRAM + 1, 1
+        reach = 1
         while reach * 2 <= width:
             keyed = np.minimum(keyed[:-reach], keyed[reach:])
             reach *= 2
         if reach < width:
             keyed = np.minimum(keyed[: len(keyed) - (width - reach)], keyed[width - reach :])
         at = (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        text = np.searchsorted(bounds, np.arange(lo, hi), side="right") - 1 if len(bounds) > 2 else np.zeros(hi - lo, dtype=np.int64)
-        valid = np.arange(lo, hi) + LENGTH <= bounds[text + 1]
+        text = owner[lo:hi]
+        # A window is inside a text if its first and its last byte are of the same one.
+        valid = text == owner[lo + LENGTH - 1 : hi + LENGTH - 1]
         new = np.ones(hi - lo, dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
-        new &= valid
-        first = np.flatnonzero(new)
+        stop = np.append(np.flatnonzero(new | ~valid), hi - lo)
+        opens = valid[stop[:-1]] & new[stop[:-1]]
+        first, last = stop[:-1][opens], stop[1:][opens] - 1
         if not len(first):
             continue
-        stop = new | ~valid
-        edges = np.append(np.flatnonzero(stop), hi - lo)
-        last = edges[np.searchsorted(edges, first, side="right")] - 1
-        out.append((first + lo, last + lo, text[first], hashes[at[first]]))
+        # The windows at both ends cover a region, which is never longer than two windows.
+        region = window_hashes(hashes, first) * np.uint64(0x9E3779B97F4A7C15) + window_hashes(hashes, last)
+        region = mix64(region + (last - first).astype(np.uint64))
+        out.append((first + lo, last + lo, text[first].astype(np.int64), hashes[at[first]], region))
     if not out:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, np.zeros(0, dtype=np.uint64)
+        return none, none, none, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def windows_of(raw: np.ndarray, runs):
     """The windows of the runs, each as a run of its own whose key is a hash of its bytes."""
-    first, last, text, _ = runs
+    first, last, text = runs[:3]
     n = last - first + 1
     at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
     key = np.zeros(len(at), dtype=np.uint64)
@@ -102,7 +117,8 @@ def windows_of(raw: np.ndarray, runs):
         two = raw[at + offset].astype(np.uint64) * np.uint64(257) + raw[at + offset + 1]
         key = (key ^ two) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(29)
-    return at, at, np.repeat(text, n), mix64(key)
+    key = mix64(key)
+    return at, at, np.repeat(text, n), key, key
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -129,43 +145,42 @@ def pack_parts(row: dict):
 
 
 def asked(row: dict, parts: int):
-    """The regions that a pack asks about: runs, the number of each run's distinct region, and the regions' rows.
+    """The regions that a pack asks about.
 
-    The same pack and answers always give the same numbers.
+    Returns its bytes, text bounds and ids; the first window, text and region number of every run; and per number the
+    key, region hash, first window, last window, smallest and largest document. The same pack and answers always give
+    the same numbers.
     """
     raw, bounds, ids, known = pack_parts(row)
     runs = window_runs(raw, bounds)
     answers = row["shared"] or []
-    none = {"key": [], "region": [], "least": [], "most": []}
-    empty = (runs[0][:0], runs[1][:0], runs[2][:0], np.zeros(0, dtype=np.int64), none)
-    if not answers or not len(runs[0]):
-        return raw, bounds, ids, known, empty
     code = lambda h, p: (h & LOW48) ^ mix64(p.astype(np.uint64))
     mine = code(runs[3], part_of(runs[3], parts))
 
     def member(name):
-        parts_ = [code(from_six(a[name]), np.full(len(a[name]) // 6, a["part"])) for a in answers if a[name]]
-        return np.isin(mine, np.concatenate(parts_)) if parts_ else np.zeros(len(mine), dtype=bool)
+        theirs = [code(from_six(a[name]), np.full(len(a[name]) // 6, a["part"])) for a in answers if a[name]]
+        return np.isin(mine, np.concatenate(theirs)) & known[runs[2]] if theirs else np.zeros(len(mine), dtype=bool)
 
-    usual, hot = member("usual") & known[runs[2]], member("hot") & known[runs[2]]
+    usual, hot = member("usual"), member("hot")
     kept = [x[usual] for x in runs]
     if hot.any():
         kept = [np.concatenate(pair) for pair in zip(kept, windows_of(raw, [x[hot] for x in runs]), strict=True)]
-    numbers: dict = {}
-    regions = {"key": [], "region": [], "least": [], "most": []}
-    number = np.zeros(len(kept[0]), dtype=np.int64)
-    data = raw.tobytes()
-    for k, (lo, hi, text, key) in enumerate(zip(*(x.tolist() for x in kept), strict=True)):
-        region, doc = data[lo : hi + LENGTH], int(ids[text])
-        at = numbers.setdefault((key, region), len(numbers))
-        number[k] = at
-        if at == len(regions["key"]):
-            for name, value in (("key", key), ("region", region), ("least", doc), ("most", doc)):
-                regions[name].append(value)
-        else:
-            regions["least"][at] = min(regions["least"][at], doc)
-            regions["most"][at] = max(regions["most"][at], doc)
-    return raw, bounds, ids, known, (kept[0], kept[1], kept[2], number, regions)
+    first, last, text, key, region = kept
+    both = mix64(key + np.uint64(1)) ^ region
+    _, pick, number = np.unique(both, return_index=True, return_inverse=True)
+    if len(pick):
+        order = np.argsort(number, kind="stable")
+        starts = np.concatenate(([0], np.cumsum(np.bincount(number))[:-1]))
+        docs = ids[text][order]
+        least, most = np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts)
+    else:
+        least = most = np.zeros(0, dtype=np.int64)
+    return raw, bounds, ids, (first, text, number), (key[pick], region[pick], first[pick], last[pick], least, most)
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes data[begin : begin + size] of all entries, joined."""
+    return data[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
 
 
 # --- transforms ----------------------------------------------------------------------------------------------------
@@ -263,16 +278,15 @@ def merge_transforms(transforms: list[np.ndarray], chains: list[int], depth: int
 def least_documents(strings: list[bytes], docs: np.ndarray, shards: int = SHARDS) -> list[np.ndarray]:
     """For every string, the smallest document that has each of its windows, from the repeated intervals."""
     shards = max(1, min(shards, len(strings)))
-    cuts = np.linspace(0, len(strings), shards + 1).astype(int)
-    transforms, chains, place, owner, first = [], [], [], [], []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        before, suffix, base = shard_transform(strings[lo:hi], two_byte_symbols)
+    transforms, chains, place, owner = [], [], [], []
+    for k in range(shards):
+        own = np.arange(k, len(strings), shards)
+        before, suffix, base = shard_transform([strings[i] for i in own], two_byte_symbols)
         text = np.searchsorted(base, suffix, side="right") - 1
         transforms.append(before)
-        chains.append(2 * (hi - lo))
-        owner.append(text + lo)
+        chains.append(2 * len(own))
+        owner.append(own[text])
         place.append(suffix - base[text])
-        first.append(base)
     rows, differs = merge_transforms(transforms, chains, LENGTH // 2)
     owner, place = np.concatenate(owner)[rows], np.concatenate(place)[rows]
     size = np.array([len(s) for s in strings])
@@ -287,6 +301,31 @@ def least_documents(strings: list[bytes], docs: np.ndarray, shards: int = SHARDS
     return np.split(flat, starts[1:])
 
 
+def settle(data: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Smallest document of every window of the regions data[begin : begin + size], region after region."""
+    counts = size - LENGTH + 1
+    raw = gathered(data, begin, size)
+    owner = np.repeat(np.arange(len(size)), counts)
+    at = np.arange(counts.sum()) + np.repeat((np.cumsum(size) - size) - (np.cumsum(counts) - counts), counts)
+    flat = docs[owner]
+    hashes = window_hashes(gram_hashes(raw), at)
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    twice = np.zeros(len(at), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    if twice.any():
+        edge = twice.copy()
+        edge[1:] &= ~twice[:-1] | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(edge)
+        ends = np.append(np.flatnonzero(edge | ~twice), len(at))
+        last = ends[np.searchsorted(ends, first, side="right")] - 1
+        joined = raw.tobytes()
+        strings = [joined[a : b + LENGTH] for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+        flat[twice] = np.concatenate(least_documents(strings, docs[owner[first]]))
+    return flat
+
+
 # --- tasks ---------------------------------------------------------------------------------------------------------
 
 
@@ -315,34 +354,37 @@ def _packs(batches):
         yield packed()
 
 
+def _rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _anchors(parts: int):
     """(part, pack, hashes): the distinct anchors of a pack, twice if two of its documents have them."""
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                raw, bounds, ids, known = pack_parts(row)
-                _, _, text, hashes = window_runs(raw, bounds)
-                keep = known[text]
-                order = np.lexsort((ids[text[keep]], hashes[keep]))
-                hashes, owner = hashes[keep][order], ids[text[keep]][order]
-                new = np.ones(len(hashes), dtype=bool)
-                new[1:] = hashes[1:] != hashes[:-1]
-                first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                last = np.append(first[1:], len(hashes)) - 1
-                several = owner[first] != owner[last]
-                sent = np.sort(np.concatenate((hashes[first], hashes[first][several])))
-                part = part_of(sent, parts)
-                cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                ends = np.append(cut[1:], len(sent))
-                blobs = [six_bytes(sent[a:b]) for a, b in zip(cut, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[cut], pa.int32()), pa.array([row["pack"]] * len(cut), pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["part", "pack", "hashes"],
-                )
+        for row in _rows(batches):
+            raw, bounds, ids, known = pack_parts(row)
+            _, _, text, hashes, _ = window_runs(raw, bounds)
+            keep = known[text]
+            hashes, owner = hashes[keep], ids[text[keep]]
+            if not len(hashes):
+                continue
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+            sent = np.sort(np.concatenate((hashes[first], hashes[first][several])))
+            part = part_of(sent, parts)
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            ends = np.append(cut[1:], len(sent))
+            blobs = [six_bytes(sent[a:b]) for a, b in zip(cut, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[cut], pa.int32()), pa.array([row["pack"]] * len(cut), pa.int64()), pa.array(blobs, pa.binary())],
+                names=["part", "pack", "hashes"],
+            )
 
     return run
 
@@ -371,87 +413,99 @@ def _shared(frame):
 
 
 def _asks(parts: int):
-    """(key, region, pack, number, least, most): the distinct shared regions of a pack."""
+    """(key, region_hash, region, pack, number, least, most): the distinct shared regions of a pack."""
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                *_, regions = asked(row, parts)[4]
-                n = len(regions["key"])
-                for lo in range(0, n, 50_000):
-                    hi = min(n, lo + 50_000)
-                    key = np.array(regions["key"][lo:hi], dtype=np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key), pa.array(regions["region"][lo:hi], pa.binary()),
-                            pa.array([row["pack"]] * (hi - lo), pa.int64()), pa.array(np.arange(lo, hi, dtype=np.int32)),
-                            pa.array(regions["least"][lo:hi], pa.int64()), pa.array(regions["most"][lo:hi], pa.int64()),
-                        ],
-                        names=["key", "region", "pack", "number", "least", "most"],
-                    )
+        for row in _rows(batches):
+            raw, _, _, _, (key, region, first, last, least, most) = asked(row, parts)
+            size = last - first + LENGTH
+            for lo in range(0, len(key), 50_000):
+                part = slice(lo, min(len(key), lo + 50_000))
+                offsets = np.concatenate(([0], np.cumsum(size[part]))).astype(np.int32)
+                joined = pa.py_buffer(gathered(raw, first[part], size[part]).tobytes())
+                n = len(offsets) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key[part].view(np.int64)), pa.array(region[part].view(np.int64)),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), joined]),
+                        pa.array(np.full(n, row["pack"], dtype=np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32)),
+                        pa.array(least[part]), pa.array(most[part]),
+                    ],
+                    names=[c.split()[0] for c in ASK.split(", ")],
+                )
 
     return run
 
 
+ASK = "key long, region_hash long, region binary, pack long, number int, least long, most long"
 SEGMENT = np.dtype([("number", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("least", "<i8")])
 
 
-def _settled(frame):
+def _settled(table):
     """(pack, segments): runs of windows of a region with the smallest document that has them."""
-    import pandas as pd
+    import pyarrow as pa
 
-    frame = frame.sort_values(["key", "region"], kind="stable")
-    key, region = frame["key"].to_numpy(), frame["region"].to_numpy()
+    table = table.combine_chunks()
+    column = {n: table[n].to_numpy() for n in ("key", "region_hash", "pack", "number", "least", "most")}
+    region = table["region"].combine_chunks()
+    region = region.chunk(0) if isinstance(region, pa.ChunkedArray) else region
+    region = region.cast(pa.large_binary())
+    _, offsets, data = region.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[region.offset : region.offset + len(region) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)
+    order = np.lexsort((column["region_hash"], column["key"]))
+    key, code = column["key"][order], column["region_hash"][order]
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     new = new_key.copy()
-    new[1:] |= np.fromiter((a != b for a, b in zip(region[1:], region[:-1], strict=True)), dtype=bool, count=len(region) - 1)
+    new[1:] |= code[1:] != code[:-1]
     first = np.flatnonzero(new)
-    least = np.minimum.reduceat(frame["least"].to_numpy(), first)
-    strings = region[first]
+    docs = np.minimum.reduceat(column["least"][order], first)
+    begin, size = offsets[order[first]], offsets[order[first] + 1] - offsets[order[first]]
+    counts = size - LENGTH + 1
+    base = np.cumsum(counts) - counts
+    # The only region of an anchor is a repeated interval as a whole.
+    flat = np.repeat(docs, counts)
     group = np.cumsum(new_key)[first]
-    several = np.bincount(group)[group] > 1
-    # A single region of an anchor is a repeated interval as a whole.
-    lo = [np.zeros(1, dtype=np.int64)] * len(first)
-    hi = [np.array([len(s) - LENGTH]) for s in strings]
-    value = [least[k : k + 1] for k in range(len(first))]
-    many = np.flatnonzero(several)
-    budget, begin = 2_000_000, 0
-    while begin < len(many):
-        # Anchors are merged together in runs of bounded size; the regions of one anchor stay together.
-        sizes = np.cumsum([len(strings[k]) for k in many[begin : begin + 60_000]])
-        end = begin + max(1, int(np.searchsorted(sizes, budget)))
+    many = np.flatnonzero(np.bincount(group)[group] > 1)
+    at, upto = 0, np.cumsum(size[many])
+    while at < len(many):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MERGED_BYTES)))
         while end < len(many) and group[many[end]] == group[many[end - 1]]:
             end += 1
-        chosen = many[begin:end]
-        for k, docs in zip(chosen, least_documents([strings[k] for k in chosen], least[chosen]), strict=True):
-            cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
-            lo[k], hi[k], value[k] = cut, np.append(cut[1:], len(docs)) - 1, docs[cut]
-        begin = end
-    at = np.cumsum(new) - 1
-    segments, packs = [], []
-    for k, number, pack, most in zip(at, frame["number"], frame["pack"], frame["most"], strict=True):
-        useful = value[k] < most
-        if useful.any():
-            part = np.zeros(int(useful.sum()), dtype=SEGMENT)
-            part["number"], part["lo"], part["hi"], part["least"] = number, lo[k][useful], hi[k][useful], value[k][useful]
-            segments.append(part)
-            packs.append(np.full(len(part), pack))
-    if not segments:
-        return pd.DataFrame({"pack": np.zeros(0, dtype=np.int64), "segments": []})
-    segments, packs = np.concatenate(segments), np.concatenate(packs)
+        own = many[at:end]
+        where = np.arange(counts[own].sum()) + np.repeat(base[own] - (np.cumsum(counts[own]) - counts[own]), counts[own])
+        flat[where] = settle(data, begin[own], size[own], docs[own])
+        at = end
+    starts = np.zeros(len(flat), dtype=bool)
+    starts[base] = True
+    starts[1:] |= flat[1:] != flat[:-1]
+    cut = np.flatnonzero(starts)
+    of = np.searchsorted(base, cut, side="right") - 1
+    low, high, value = cut - base[of], np.append(cut[1:], len(flat)) - 1 - base[of], flat[cut]
+    begins = np.searchsorted(of, np.arange(len(first)))
+    pieces = np.bincount(of, minlength=len(first))
+    ask = np.cumsum(new) - 1
+    n = pieces[ask]
+    row = np.repeat(order, n)
+    seg = np.arange(n.sum()) + np.repeat(begins[ask] - (np.cumsum(n) - n), n)
+    useful = value[seg] < column["most"][row]
+    row, seg = row[useful], seg[useful]
+    out = np.zeros(len(row), dtype=SEGMENT)
+    out["number"], out["lo"], out["hi"], out["least"] = column["number"][row], low[seg], high[seg], value[seg]
+    packs = column["pack"][row]
     order = np.argsort(packs, kind="stable")
-    segments, packs = segments[order], packs[order]
-    cut = np.flatnonzero(np.concatenate(([True], packs[1:] != packs[:-1])))
-    blobs = [segments[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(packs)), strict=True)]
-    return pd.DataFrame({"pack": packs[cut], "segments": blobs})
+    out, packs = out[order], packs[order]
+    cut = np.flatnonzero(np.concatenate(([True], packs[1:] != packs[:-1]))) if len(packs) else np.zeros(0, dtype=np.int64)
+    blobs = [out[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(packs)), strict=False)]
+    return pa.table({"pack": pa.array(packs[cut], pa.int64()), "segments": pa.array(blobs, pa.binary())})
 
 
 def cut_texts(row: dict, parts: int):
     """(id, bytes, removed, spans, kept bytes) of every text of a pack."""
     found = b"".join(row["found"] or [])
     if found:
-        raw, bounds, ids, known, (first, _, text, number, _) = asked(row, parts)
+        raw, bounds, ids, (first, text, number), _ = asked(row, parts)
         segments = np.frombuffer(found, dtype=SEGMENT)
         segments = segments[np.argsort(segments["number"], kind="stable")]
         lo = np.searchsorted(segments["number"], number)
@@ -464,7 +518,7 @@ def cut_texts(row: dict, parts: int):
         cover = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
         removed = np.cumsum(cover[:-1]) > 0
     else:
-        raw, bounds, _, known = pack_parts(row)
+        raw, bounds, _, _ = pack_parts(row)
         removed = np.zeros(len(raw), dtype=bool)
     for k, doc_id in enumerate(row["ids"]):
         lo, hi = int(bounds[k]), int(bounds[k + 1])
@@ -479,12 +533,11 @@ def _cut(parts: int):
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = [(i, n, m, s, hashlib.sha256(kept).hexdigest()) for i, n, m, s, kept in cut_texts(row, parts)]
-                kinds = [pa.int64()] * 4 + [pa.string()]
-                names = [n.split()[0] for n in OUT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for row in _rows(batches):
+            rows = [(i, n, m, s, hashlib.sha256(kept).hexdigest()) for i, n, m, s, kept in cut_texts(row, parts)]
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            names = [n.split()[0] for n in OUT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -514,11 +567,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     answers = shared.groupBy("pack").agg(F.collect_list(F.struct("part", "usual", "hot")).alias("shared"))
     known = packs.join(answers, "pack", "left").select("pack", "ids", "sizes", "bytes", "shared")
 
-    asks = known.where("shared is not null").mapInArrow(
-        _asks(parts), "key long, region binary, pack long, number int, least long, most long"
-    )
+    asks = known.where("shared is not null").mapInArrow(_asks(parts), ASK)
     asks = asks.withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(4 * parts)).cast("int"))
-    settled = asks.groupBy("bundle").applyInPandas(_settled, "pack long, segments binary")
+    settled = asks.groupBy("bundle").applyInArrow(_settled, "pack long, segments binary")
     path = frozen_path(spark)
     settled.write.parquet(path)
     settled = spark.read.schema(settled.schema).parquet(path)
