@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -91,9 +92,7 @@ def test_indicators_and_noise(spark):
     assert rows(features.one_hot(df, "k", ["a", "b"]), "id", "a", "b") == [(1, 1, 0), (2, 0, 0), (3, 0, 1)]
     known = features.known_label_indicators(df, "label", [0, 1], unknown=3)
     assert rows(known, "id", "is_0", "is_1") == [(1, 1, 0), (3, 0, 1)]
-    with pytest.raises(ValueError):
-        features.category_values(df, "k", most=1)
-    noisy = features.noise_columns(spark.range(2000), 2, seed=7).agg(F.stddev("noise_0"), F.corr("noise_0", "noise_1")).first()
+    noisy = features.noise_columns(spark.range(2000), 2, 7, "id").agg(F.stddev("noise_0"), F.corr("noise_0", "noise_1")).first()
     assert abs(noisy[0] - 1) < 0.1 and abs(noisy[1]) < 0.1
 
 
@@ -156,11 +155,11 @@ def _vectors(spark, n=120, dim=6):
 
 @pytest.mark.parametrize("metric", ["cosine", "euclid"])
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("block,cells_from", [(11, 10**6), (1000, 10**6), (15, 1)])
-def test_nearest_against_brute_force(spark, metric, by, block, cells_from):
+@pytest.mark.parametrize("block,cells", [(11, 1), (1000, None), (15, 9)])
+def test_nearest_against_brute_force(spark, metric, by, block, cells):
     frame, data, group = _vectors(spark)
     got = {}
-    for r in nearest(frame, frame, 4, by=by, metric=metric, block_rows=block, cells_from=cells_from).collect():
+    for r in nearest(frame, frame, 4, by=by, metric=metric, block_rows=block, cells=cells).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
     for i in range(len(data)):
         near = []
@@ -171,21 +170,21 @@ def test_nearest_against_brute_force(spark, metric, by, block, cells_from):
                 s = abs(data[i] @ data[j] / np.linalg.norm(data[i]) / np.linalg.norm(data[j]))
             else:
                 s = -np.linalg.norm(data[i] - data[j])
-            near.append((round(s, 6), -j))
+            near.append((round(s, 12), -j))
         best = sorted(near, reverse=True)[:4]
         assert [(-b[1], pytest.approx(b[0], abs=2e-6)) for b in best] == [(j, s) for _, j, s in sorted(got[i])]
 
 
-def _near_brute(data, k):
+def _near_brute(data, k, decimals=15):
     out = []
     for i in range(len(data)):
-        near = [(round(-float(np.linalg.norm(data[i] - data[j])), 6), -j) for j in range(len(data)) if j != i]
+        near = [(round(-float(np.sqrt(((data[i] - data[j]) ** 2).sum())), decimals), -j) for j in range(len(data)) if j != i]
         out += [(i, -j, s) for s, j in sorted(near, reverse=True)[:k]]
     return sorted(out)
 
 
-@pytest.mark.parametrize("cells_from", [1, 10**6])
-def test_many_copies(spark, cells_from):
+@pytest.mark.parametrize("cells", [1, 12])
+def test_many_copies(spark, cells):
     draw = np.random.default_rng(6)
     data = draw.integers(0, 3, size=(150, 3)).astype(float)
     data[draw.random(150) < 0.5] = [1.0, 1.0, 1.0]
@@ -193,25 +192,47 @@ def test_many_copies(spark, cells_from):
     useful = similar._useful_copies(frame.select(F.col("id").alias("item_id"), F.col("vector").alias("_vector")), 4, [])
     assert useful.groupBy("_vector").count().agg(F.max("count")).first()[0] == 5
     assert "WindowGroupLimit" in useful._jdf.queryExecution().executedPlan().toString()
-    got = nearest(frame, frame, 4, metric="euclid", block_rows=20, cells_from=cells_from)
+    got = nearest(frame, frame, 4, metric="euclid", block_rows=20, cells=cells)
     assert rows(got, "query_id", "item_id", "score") == sorted(_near_brute(data, 4), key=repr)
 
 
+def _rounded(found):
+    return sorted((r["query_id"], r["item_id"], round(r["score"], 9)) for r in found.collect())
+
+
 def test_far_cells_are_left_out(spark):
     draw = np.random.default_rng(8)
     centres = draw.normal(size=(12, 5)) * 100
     data = np.concatenate([c + draw.normal(size=(40, 5)) for c in centres])
     frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "id long, vector array<double>")
-    cell = np.arange(12)
-    d = similar._distances(data[:1], centres, "euclid")[0]
-    to_own = [similar._distances(data[40 * c: 40 * c + 40], centres[c: c + 1], "euclid") for c in cell]
-    group = (cell, np.full(12, 40), np.array([x.min() for x in to_own]), np.array([x.max() for x in to_own]))
-    assert list(similar._visits(True, d, group, 3, np.inf)) == [0]
-    assert list(similar._visits(False, d, group, 3, 4.0)) == []
-    assert len(similar._visits(False, d, group, 3, np.inf)) == 11
-    got = nearest(frame, frame, 3, metric="euclid", block_rows=40, cells_from=1)
-    want = nearest(frame, frame, 3, metric="euclid")
-    assert rows(got) == rows(want)
+
+    class Pivots:
+        value = centres
+
+    cells = pd.DataFrame({"_g": 0, "_cell": np.arange(12), "_items": 40, "_reach": 6.0})
+    pairs = similar._pairer(Pivots, 3, "euclid")(cells, cells)
+    assert (pairs["_query_cell"] == pairs["_item_cell"]).all() and len(pairs) == 12
+    got = nearest(frame, frame, 3, metric="euclid", block_rows=40, cells=12)
+    assert rows(got, "query_id", "item_id") == [(i, j) for i, j, _ in _near_brute(data, 3)] or _rounded(got) == [
+        (i, j, round(s, 9)) for i, j, s in _near_brute(data, 3, 12)
+    ]
+
+
+def test_large_values_and_copies(spark):
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(20, 4)) * 1e6
+    data = np.concatenate([c + draw.normal(size=(30, 4)) for c in centres])
+    data[1::2] = data[::2]
+    frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "id long, vector array<double>")
+    want = []
+    for i in range(len(data)):
+        d = np.sqrt(((data - data[i]) ** 2).sum(1))
+        order = sorted((d[j], j) for j in range(len(data)) if j != i)[:5]
+        want += [(i, j, -s) for s, j in order]
+    for cells, block in ((None, None), (7, 50), (40, 17)):
+        got = nearest(frame, frame, 5, metric="euclid", cells=cells, block_rows=block)
+        assert rows(got, "query_id", "item_id") == sorted(((i, j) for i, j, _ in want), key=repr)
+        assert got.filter("rank = 1 AND score <> 0").count() == 0
 
 
 def test_tasks_need_no_installed_package(tmp_path):
@@ -222,7 +243,7 @@ def test_tasks_need_no_installed_package(tmp_path):
 
     code = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); import numpy as np; print(f(np.ones((1, 2)), np.ones((1, 2)), 'cosine'))"
     done = subprocess.run(
-        [sys.executable, "-c", code], input=cloudpickle.dumps(similar._scores), cwd=tmp_path, capture_output=True
+        [sys.executable, "-c", code], input=cloudpickle.dumps(similar._exact), cwd=tmp_path, capture_output=True
     )
     assert done.stdout.strip() == b"[[1.]]", done.stderr
 

@@ -42,6 +42,15 @@ def test_repeated_change_times_are_added(spark):
     ]
 
 
+def test_stated_nulls_stay(spark):
+    base = spark.createDataFrame(
+        [("a", 0.0, 5.0, "x", False), ("a", 5.0, 9.0, None, True)], "id string, start double, stop double, kind string, E boolean"
+    )
+    changes = spark.createDataFrame([("a", -2, 1.0), ("a", 7, 2.0)], "id string, t int, v double")
+    got = rows(op.add_covariates(base, changes, "id", "t", "E"), "start", "kind", "v")
+    assert got == [(-2.0, "x", 1.0), (0.0, "x", 1.0), (5.0, None, 1.0), (7.0, None, 2.0)]
+
+
 def test_event_rows(spark):
     base = spark.createDataFrame([(1, 1, None, 2), (2, None, 5, None), (3, 3, 5, 7)], "id int, E1 int, E2 int, E3 int")
     assert rows(op.event_rows(base, "id", ["E1", "E2", "E3"])) == [
@@ -179,11 +188,36 @@ def test_cox_spread_over_tasks(spark, monkeypatch):
     data = _subjects(120)
     df = spark.createDataFrame(data, SCHEMA)
     plain = op.cox_fit(df, ["s", "x"], "t", "e")
-    monkeypatch.setattr(op, "_SPREAD_EVENTS", 1)
     monkeypatch.setattr(op, "_TIES_PER_ROW", 2)
     assert op.cox_fit(df, ["s", "x"], "t", "e").coef == pytest.approx(plain.coef, abs=1e-9)
 
 
+def test_hopeless_fit_says_so(spark):
+    data = [(float(i), i % 2 == 0, 1.0 * (i % 3), 2.0 * (i % 3)) for i in range(30)]
+    df = spark.createDataFrame(data, "t double, e boolean, a double, b double")
+    assert not op.cox_fit(df, ["a", "b"], "t", "e").converged
+    apart = spark.createDataFrame([(float(i), i < 10, float(i < 10)) for i in range(30)], "t double, e boolean, x double")
+    assert not op.cox_fit(apart, ["x"], "t", "e", steps=6).converged
+
+
+def test_additive_hazard_without_covariates_is_nelson_aalen(spark):
+    df = spark.createDataFrame(_subjects(80), SCHEMA)
+    want = {r["t"]: r["hazard"] for r in op.nelson_aalen(df, "t", "e", smoothing=False).collect()}
+    got = op.additive_hazard(df, [], "t", "e").collect()
+    assert got and all(r["baseline"] == pytest.approx(want[r["t"]]) for r in got)
+
+
+def test_baseline_without_effect_is_breslow(spark):
+    df = spark.createDataFrame(_subjects(80), SCHEMA)
+    fit = op.cox_fit(df, ["s"], "t", "e")
+    fit.coef = fit.coef * 0
+    base = op.baseline_hazard(df, fit, "t", "e")
+    want = {r["t"]: r["hazard"] for r in op.nelson_aalen(df, "t", "e", smoothing=False).collect()}
+    assert all(r["hazard"] == pytest.approx(want[r["t"]]) for r in base.collect())
+    curves = op.subject_curves(base, df.limit(2).withColumn("k", F.monotonically_increasing_id()), fit, "k")
+    assert curves.count() == 2 * base.count()
+
+
 def _brute_concordance(data):
     comparable = concordant = tied = 0
     for a in data:

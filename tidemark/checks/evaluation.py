@@ -5,17 +5,26 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as op
 from ..operators.sampling import folds
 from ..operators.similar import nearest, neighbour_vote
+from ..session import freeze
 from . import check
 
 CLASSES = list(range(10))
-# the first ten elements of a vector play the scores of the ten classes
-SCORES_SQL = """
-WITH scored AS (
-  SELECT e.vec_id, e.label, k.cls, ROUND(CAST(e.embedding[k.cls + 1] AS DOUBLE), 2) AS score, e.label = k.cls AS positive
-  FROM embeddings e, (SELECT UNNEST(range(0, 10)) AS cls) k
+# the product of a vector with the mean vector of a class plays its score for the class
+FLAT_SQL = """
+WITH flat AS (
+  SELECT vec_id, label, UNNEST(range(0, len(embedding))) AS pos, UNNEST(embedding::DOUBLE[]) AS v FROM embeddings
+),
+"""
+SCORES_SQL = FLAT_SQL + """
+means AS (SELECT label AS cls, pos, AVG(v) AS c FROM flat GROUP BY 1, 2),
+centres AS (SELECT cls, list(c ORDER BY pos) AS centre FROM means GROUP BY cls),
+scored AS (
+  SELECT e.vec_id, e.label, CAST(k.cls AS BIGINT) AS cls, ROUND(list_dot_product(e.embedding::DOUBLE[], k.centre), 3) AS score,
+         e.label = k.cls AS positive
+  FROM embeddings e, centres k
 ),
 predicted AS (
-  SELECT vec_id, label, arg_max(cls, score * 1000 - cls) AS prediction FROM scored GROUP BY vec_id, label
+  SELECT vec_id, label, arg_max(cls, score * 100000 - cls) AS prediction FROM scored GROUP BY vec_id, label
 )
 """
 
@@ -24,39 +33,57 @@ def _embeddings(spark, folder):
     return spark.read.parquet(f"{folder}/embeddings.parquet")
 
 
+def _with_centres(frame, group):
+    """Adds ``centres``, the mean vector of every group as one small array of (cls, centre)."""
+    means = frame.select(F.col(group).alias("cls"), F.posexplode("embedding").alias("pos", "v")).groupBy("cls", "pos").agg(
+        F.avg(F.col("v").cast("double")).alias("c")
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"])
+    each = means.groupBy("cls").agg(ordered.alias("centre"))
+    # one row: as many vectors as there are classes
+    row = freeze(each.agg(F.array_sort(F.collect_list(F.struct("cls", "centre"))).alias("centres")))
+    return frame.join(F.broadcast(row))
+
+
+def _dot(centre):
+    products = F.zip_with("embedding", centre, lambda a, b: a.cast("double") * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+
 def _scored(spark, folder):
     """One row per vector and class."""
-    pairs = F.posexplode(F.slice("embedding", 1, len(CLASSES)))
-    return _embeddings(spark, folder).select("vec_id", "label", pairs.alias("cls", "_value")).select(
-        "vec_id", "label", "cls", F.round(F.col("_value").cast("double"), 2).alias("score"),
-        (F.col("label") == F.col("cls")).alias("positive"),
+    frame = _with_centres(_embeddings(spark, folder), "label")
+    return frame.withColumn("_k", F.explode("centres")).select(
+        "vec_id", "label", F.col("_k.cls").cast("long").alias("cls"), F.round(_dot(F.col("_k.centre")), 3).alias("score"),
+        (F.col("label") == F.col("_k.cls")).alias("positive"),
     )
 
 
 def _predicted(spark, folder):
-    rounded = F.transform(F.slice("embedding", 1, len(CLASSES)), lambda v: F.round(v.cast("double"), 2))
-    return _embeddings(spark, folder).withColumn("_s", rounded).select(
-        "vec_id", "label", (F.array_position("_s", F.array_max("_s")) - 1).cast("int").alias("prediction")
-    )
+    frame = _with_centres(_embeddings(spark, folder), "label")
+    scores = F.transform("centres", lambda k: F.struct(-F.round(_dot(k["centre"]), 3), k["cls"].alias("cls")))
+    return frame.select("vec_id", "label", F.array_min(scores)["cls"].cast("int").alias("prediction"))
 
 
 @check("""
 WITH pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS item_id,
-         ROUND(ABS(list_dot_product(a.v, b.v) / SQRT(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 6) AS score
+         ABS(list_dot_product(a.v, b.v) / SQRT(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) AS score
   FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a
   JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id
 )
-SELECT query_id, item_id, score, rank FROM (
+SELECT query_id, item_id, ROUND(score, 9) AS score, rank FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs) WHERE rank <= 6""")
 def cosine_topk(spark, folder):
     vectors = _embeddings(spark, folder)
-    return nearest(vectors, vectors, 6, "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+    return nearest(vectors, vectors, 6, "vec_id", "embedding").withColumns(
+        {"rank": F.col("rank").cast("long"), "score": F.round("score", 9)}
+    )
 
 
 @check("""
 WITH pairs AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, ROUND(list_distance(a.v, b.v), 6) AS d
+  SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, list_distance(a.v, b.v) AS d
   FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a
   JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id
 ),
@@ -65,7 +92,7 @@ near AS (
 ),
 votes AS (
   SELECT query_id, label, COUNT(*) FILTER (WHERE d = 0) AS exact,
-         ROUND(COALESCE(SUM(1 / NULLIF(d, 0)), 0), 6) AS vote
+         COALESCE(SUM(1 / NULLIF(d, 0)), 0) AS vote
   FROM near GROUP BY query_id, label
 )
 SELECT query_id, prediction FROM (
@@ -77,6 +104,48 @@ def knn_vote(spark, folder):
     return neighbour_vote(near, vectors, "vec_id").withColumn("prediction", F.col("prediction").cast("long"))
 
 
+# unscaled amounts of orders and their dearest line, with exact copies of every 50th order
+RAW_SQL = """
+WITH lines AS (
+  SELECT o.o_orderkey AS id, [o.o_totalprice::DOUBLE, MAX(l.l_extendedprice)::DOUBLE, o.o_custkey::DOUBLE] AS v,
+         CASE o.o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label
+  FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, o.o_totalprice, o.o_custkey, o.o_orderstatus
+),
+items AS (SELECT * FROM lines UNION ALL SELECT id + 1000000000, v, label FROM lines WHERE id % 50 = 0),
+pairs AS (
+  SELECT a.id AS query_id, b.id AS item_id, b.label, list_distance(a.v, b.v) AS d
+  FROM (SELECT * FROM lines WHERE id % 50 = 0) a JOIN items b ON a.id <> b.id
+),
+near AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rn FROM pairs) WHERE rn <= 5
+),
+votes AS (
+  SELECT query_id, label, COUNT(*) FILTER (WHERE d = 0) AS exact, COALESCE(SUM(1 / NULLIF(d, 0)), 0) AS vote
+  FROM near GROUP BY query_id, label
+)
+SELECT query_id, prediction FROM (
+  SELECT query_id, CAST(label AS BIGINT) AS prediction,
+         ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY exact DESC, vote DESC, label) AS rn FROM votes) WHERE rn = 1"""
+
+
+@check(RAW_SQL)
+def knn_vote_raw(spark, folder):
+    """Vote over unscaled amounts: the queries are the orders whose key is divisible by 50, against all orders."""
+    dearest = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max("l_extendedprice").alias("dearest")
+    )
+    status = F.col("o_orderstatus")
+    lines = spark.read.parquet(f"{folder}/orders.parquet").join(dearest, "o_orderkey").select(
+        F.col("o_orderkey").alias("id"),
+        F.array(*[F.col(c).cast("double") for c in ("o_totalprice", "dearest", "o_custkey")]).alias("vector"),
+        F.when(status == "F", 0).when(status == "O", 1).otherwise(2).alias("label"),
+    )
+    asked = lines.filter(F.col("id") % 50 == 0)
+    items = lines.unionByName(asked.withColumn("id", F.col("id") + 1_000_000_000))
+    near = nearest(asked, items, 5, metric="euclid")
+    return neighbour_vote(near, items).withColumn("prediction", F.col("prediction").cast("long"))
+
+
 REPORT_SQL = SCORES_SQL + """,
 cells AS (SELECT label, prediction, COUNT(*) AS n FROM predicted GROUP BY 1, 2),
 classes AS (SELECT label AS cls FROM cells UNION SELECT prediction FROM cells),
@@ -196,11 +265,16 @@ def macro_auc(spark, folder):
 
 
 HASH_SQL = "CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
-FOLD_SQL = f"""
-WITH target AS (
-  SELECT vec_id, label < 5 AS positive, ROUND(CAST(embedding[1] AS DOUBLE), 2) AS score,
+DRAW_SQL = HASH_SQL.replace("1, 8", "1, 15")
+FOLD_SQL = FLAT_SQL + f"""
+sides AS (SELECT label < 5 AS positive, pos, AVG(v) AS c FROM flat GROUP BY 1, 2),
+direction AS (
+  SELECT list(a.c - b.c ORDER BY a.pos) AS d FROM sides a JOIN sides b USING (pos) WHERE a.positive AND NOT b.positive
+),
+target AS (
+  SELECT vec_id, label < 5 AS positive, ROUND(list_dot_product(embedding::DOUBLE[], d), 3) AS score,
          CAST((ROW_NUMBER() OVER (PARTITION BY label < 5 ORDER BY {HASH_SQL.format(key='vec_id')}, vec_id) - 1) % 6 AS INTEGER) AS fold
-  FROM embeddings
+  FROM embeddings, direction
 ),
 scored AS (SELECT fold AS cls, score, positive FROM target)"""
 
@@ -213,9 +287,10 @@ SELECT ROUND(fpr, 6) AS fpr,
        ROUND(STDDEV_POP(CASE WHEN fpr = 0 THEN 0 ELSE tpr END), 6) AS std_tpr
 FROM lerp GROUP BY fpr""")
 def kfold_roc(spark, folder):
-    target = _embeddings(spark, folder).select(
-        "vec_id", (F.col("label") < 5).alias("positive"), F.round(F.col("embedding")[0].cast("double"), 2).alias("score")
-    )
+    frame = _with_centres(_embeddings(spark, folder).withColumn("side", F.col("label") < 5), "side")
+    # false sorts before true
+    towards = F.zip_with(F.col("centres")[1]["centre"], F.col("centres")[0]["centre"], lambda a, b: a - b)
+    target = frame.select("vec_id", F.col("side").alias("positive"), F.round(_dot(towards), 3).alias("score"))
     curves = op.roc_curve(folds(target, "positive", "vec_id", 6), "score", "positive", ["fold"])
     return op.fold_roc(curves, "fold", 6).select(
         *[F.round(c, 6).alias(c) for c in ("fpr", "mean_tpr", "std_tpr")]
@@ -224,12 +299,13 @@ def kfold_roc(spark, folder):
 
 @check("""
 SELECT * FROM (
-  SELECT CAST(vec_id AS BIGINT) AS candidate, ROUND(CAST(embedding[1] AS DOUBLE), 2) AS score,
-         RANK() OVER (ORDER BY ROUND(CAST(embedding[1] AS DOUBLE), 2) DESC) AS rank
+  SELECT CAST(vec_id AS BIGINT) AS candidate, ROUND(list_sum(embedding::DOUBLE[]), 2) AS score,
+         RANK() OVER (ORDER BY ROUND(list_sum(embedding::DOUBLE[]), 2) DESC) AS rank
   FROM embeddings) WHERE rank <= 10""")
 def search_rank(spark, folder):
     results = _embeddings(spark, folder).select(
-        F.col("vec_id").alias("candidate"), F.round(F.col("embedding")[0].cast("double"), 2).alias("score")
+        F.col("vec_id").alias("candidate"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double")), 2).alias("score"),
     )
     return op.search_report(results, "score", 10).select("candidate", "score", "rank")
 

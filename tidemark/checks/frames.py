@@ -21,6 +21,11 @@ def entity(s: Sources) -> DataFrame:
     return entity_frame(s["objects"], s["offices"], s["relationships"], TITLES)
 
 
+def single_timeline(s: Sources) -> DataFrame:
+    """Timeline for one reading: nothing is written, so only the columns asked for are computed."""
+    return event_timeline(s, entity(s))
+
+
 def timeline(s: Sources) -> tuple[DataFrame, DataFrame]:
     """Timeline and entity frame, both written once: all later steps read them several times."""
     companies = freeze(entity(s))

@@ -133,19 +133,27 @@ def grouped_median(spark, folder):
     return found.select("l_returnflag", *[F.round(c, 6).alias(c) for c in names])
 
 
-CUTS_SQL = """,
+def _cuts_sql(step: int) -> str:
+    return f""",
 cuts AS (
-  SELECT o.id, MAX(t.time_to_event) AS cut FROM outcome o JOIN live_tl t USING (id) WHERE o.label = 3 GROUP BY o.id
+  SELECT o.id, CAST(CEIL(MAX(t.time_to_event) / {step}.0) * {step} AS BIGINT) AS cut, MAX(t.time_to_event) AS age
+  FROM outcome o JOIN live_tl t USING (id) WHERE o.label = 3 GROUP BY o.id
 )"""
 
-ASOF_SQL = OUTCOMES + CUTS_SQL + f""",
+
+CUTS_SQL = _cuts_sql(1)
+
+
+def _asof_sql(step: int) -> str:
+    return OUTCOMES + _cuts_sql(step) + f""",
 members AS (
-  SELECT d.cut, l.*, FALSE AS is_query FROM live l JOIN outcome o USING (id), (SELECT DISTINCT cut FROM cuts) d WHERE o.label <> 3
+  SELECT d.cut, l.*, FALSE AS is_query, d.cut AS until
+  FROM live l JOIN outcome o USING (id), (SELECT DISTINCT cut FROM cuts) d WHERE o.label <> 3
   UNION ALL
-  SELECT c.cut, l.*, TRUE FROM live l JOIN cuts c USING (id)
+  SELECT c.cut, l.*, TRUE, c.age FROM live l JOIN cuts c USING (id)
 ),
 seen AS (
-  SELECT m.cut, t.* FROM members m JOIN live_tl t USING (id) WHERE t.time_to_event < m.cut
+  SELECT m.cut, t.* FROM members m JOIN live_tl t USING (id) WHERE t.time_to_event < m.until
 ),
 asof_kinds AS ({_features_sql('seen').replace('SELECT id,', 'SELECT cut, id,').replace('GROUP BY id', 'GROUP BY cut, id')}),
 raw_asof AS (SELECT m.*, k.* EXCLUDE (cut, id) FROM members m LEFT JOIN asof_kinds k USING (cut, id)),
@@ -153,6 +161,9 @@ filled_asof AS (SELECT cut, id, is_query, category_code, {_filled('raw_asof', 'c
 """
 
 
+ASOF_SQL = _asof_sql(1)
+
+
 def _asof(s, step=1):
     frame, companies, labels = labelled(s)
     cuts = plan.cut_ages(frame, labels, step)
@@ -164,6 +175,12 @@ def asof_features(spark, folder):
     return _shown(_asof(sources(spark, folder)), F.col("cut").cast("long").alias("cut"), "id", "is_query")
 
 
+@check(_asof_sql(15) + f"SELECT CAST(cut AS BIGINT) AS cut, id, is_query, {_scaled('cut')}, {FLAGS_SQL} FROM filled_asof")
+def asof_features_bucketed(spark, folder):
+    """Cuts rounded up to 15 days; an unlabelled company is still seen as of its own age."""
+    return _shown(_asof(sources(spark, folder), 15), F.col("cut").cast("long").alias("cut"), "id", "is_query")
+
+
 @check(OUTCOMES + CUTS_SQL + """
 SELECT CAST(d.cut AS BIGINT) AS cut, COUNT(t.id) AS events, ROUND(COALESCE(SUM(t.famt), 0), 4) AS amount
 FROM (SELECT DISTINCT cut FROM cuts) d LEFT JOIN live_tl t ON t.time_to_event < d.cut

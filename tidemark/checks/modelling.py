@@ -4,12 +4,15 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, models, sampling
 from ..plans import labels as label_plan
-from ..plans import matrix, predict, report
+from ..plans import bulk, matrix, predict, report
+from ..plans.static import static_features
 from ..session import freeze
 from . import check
-from .evaluation import HASH_SQL
+from .evaluation import DRAW_SQL, HASH_SQL
 from .frames import labelled, sources
-from .labelling import CATEGORIES, FLAGS
+from .labelling import CATEGORIES, CUTS_SQL, FLAGS
+from .standin_sql import OUTCOMES
+from .statics import CODES, STATIC_SQL, TITLES, TODAY
 
 FEATURES = [*matrix.NUMERIC, *FLAGS]
 # order status plays the class; F is the class that sets the size
@@ -34,7 +37,7 @@ def _classed(spark, folder):
 
 @check(NUMBERED_SQL + f""",
 draws AS (
-  SELECT n.number AS draw, m.label, {HASH_SQL.format(key="m.label || ':' || n.number")} % m.size + 1 AS number
+  SELECT n.number AS draw, m.label, {DRAW_SQL.format(key="m.label || ':' || n.number")} % m.size + 1 AS number
   FROM numbered n, (SELECT DISTINCT label, size FROM numbered WHERE label <> 2) m WHERE n.label = 2
 )
 SELECT CAST(label AS BIGINT) AS label, number AS draw, o_orderkey FROM numbered WHERE label = 2
@@ -79,14 +82,14 @@ WITH folded AS (
 ),
 near AS (
   SELECT * FROM (
-    SELECT a.fold, a.vec_id, a.label AS truth, b.label, ROUND(list_distance(a.v, b.v), 6) AS d,
-           ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY ROUND(list_distance(a.v, b.v), 6), b.vec_id) AS rank
-    FROM folded a JOIN folded b ON a.fold <> b.fold) WHERE rank <= 9
+    SELECT a.fold, a.vec_id, a.label AS truth, b.label, list_distance(a.v, b.v) AS d,
+           ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
+    FROM folded a JOIN folded b ON a.fold <> b.fold) WHERE rank <= 49
 ),
 votes AS (
   SELECT fold, k.size, vec_id, truth, label, COUNT(*) AS uniform, COUNT(*) FILTER (WHERE d = 0) AS exact,
-         ROUND(COALESCE(SUM(1 / NULLIF(d, 0)), 0), 6) AS near
-  FROM near n, (SELECT UNNEST([1, 2, 5, 9]) AS size) k WHERE n.rank <= k.size GROUP BY ALL
+         COALESCE(SUM(1 / NULLIF(d, 0)), 0) AS near
+  FROM near n, (SELECT UNNEST(range(1, 50)) AS size) k WHERE n.rank <= k.size GROUP BY ALL
 ),
 chosen AS (
   SELECT fold, size, truth, 'uniform' AS weights, label AS pred FROM votes
@@ -107,7 +110,7 @@ SELECT CAST(size AS BIGINT) AS size, weights, ROUND(AVG(f1), 6) AS score, ROUND(
 FROM macro GROUP BY size, weights""")
 def knn_search(spark, folder):
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
-    return models.knn_search(vectors, [1, 2, 5, 9], "vec_id", "embedding").select(
+    return models.knn_search(vectors, list(range(1, 50)), "vec_id", "embedding").select(
         F.col("size").cast("long").alias("size"), "weights",
         F.round("score", 6).alias("score"), F.round("deviation", 6).alias("deviation"),
     )
@@ -120,11 +123,23 @@ def _training(spark, folder):
     return rows.filter(F.col("label") != label_plan.YOUNG), rows.filter(F.col("label") == label_plan.YOUNG)
 
 
-@check()
+NOISE = 200
+
+
+def _even_sql(i: int, start: int) -> str:
+    digest = f"md5(vec_id || ':{models.SEED}:{i}')"
+    return f"(CAST('0x' || substr({digest}, {start}, 12) AS BIGINT)::DOUBLE + 1) / (2.0::DOUBLE ** 48 + 1)"
+
+
+@check("SELECT vec_id, label, " + ", ".join(
+    f"ROUND(SQRT(-2 * LN({_even_sql(i, 1)})) * COS(2 * PI() * {_even_sql(i, 13)}), 6) + 0.0 AS noise_{i}" for i in range(NOISE)
+) + " FROM embeddings")
 def noise_features(spark, folder):
-    """Vectors with twenty noise columns beside them."""
+    """Vectors with two hundred noise columns beside them."""
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label")
-    return features.noise_columns(vectors, 20, models.SEED)
+    return features.noise_columns(vectors, NOISE, models.SEED, "vec_id").select(
+        "vec_id", "label", *[(F.round(f"noise_{i}", 6) + F.lit(0.0)).alias(f"noise_{i}") for i in range(NOISE)]
+    )
 
 
 STEP = 15
@@ -168,5 +183,66 @@ def rf_population(spark, folder):
 def random_search(spark, folder):
     """Macro F1 of random forest settings, best first."""
     known, _ = _training(spark, folder)
-    found = models.random_search(known, FEATURES, "id", models.random_candidates(4, len(FEATURES)))
+    found = models.random_search(known, FEATURES, "id", models.random_candidates(50, len(FEATURES)))
     return evaluate.search_report(found, "score", 3)
+
+
+def _bulk_matrix(spark, folder, two_classes=False):
+    static = static_features(sources(spark, folder), TITLES, TODAY, CODES)
+    return freeze(bulk.bulk_matrix(static, two_classes))
+
+
+@check()
+def bulk_predictions(spark, folder):
+    """Class and probabilities of every company from the four-class model of its static features."""
+    return bulk.bulk_model(_bulk_matrix(spark, folder))["predictions"]
+
+
+@check()
+def bulk_scores(spark, folder):
+    """Macro scores of the four-class model on the tenth held out."""
+    return bulk.bulk_model(_bulk_matrix(spark, folder))["scores"]
+
+
+def _sound(predictions, classes):
+    """Rows of a prediction table, those whose probabilities do not add up, and those whose class is not the likeliest."""
+    chances = F.array(*[F.col(f"proba{k}") for k in range(classes)])
+    total = F.aggregate(chances, F.lit(0.0), lambda a, b: a + b)
+    return predictions.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) > 1e-9).alias("bad_sums"),
+        F.count_if(F.get(chances, F.col("pred")) < F.array_max(chances) - 1e-9).alias("bad_classes"),
+    )
+
+
+@check(STATIC_SQL + "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS bad_sums, CAST(0 AS BIGINT) AS bad_classes FROM static")
+def bulk_prediction_check(spark, folder):
+    return _sound(bulk_predictions(spark, folder), 4)
+
+
+@check(OUTCOMES + CUTS_SQL + "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS bad_sums, CAST(0 AS BIGINT) AS bad_classes FROM cuts")
+def rf_prediction_check(spark, folder):
+    return _sound(rf_predictions(spark, folder), 3)
+
+
+_FILLED = ", ".join(f"COALESCE({c}::DOUBLE, MEDIAN({c}::DOUBLE) OVER (), 0) AS {c}" for c in bulk.FEATURES)
+_BULK_SCALED = ", ".join(
+    f"CASE WHEN STDDEV_POP({c}) OVER () > 1e-12 THEN ({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER () ELSE 0 END"
+    for c in bulk.FEATURES
+)
+
+
+@check(STATIC_SQL + f""",
+filled AS (SELECT id, {_FILLED} FROM static),
+vectors AS (SELECT id, [{_BULK_SCALED}] AS v FROM filled),
+pairs AS (
+  SELECT a.id AS query_id, b.id AS item_id,
+         ABS(list_dot_product(a.v, b.v) / NULLIF(SQRT(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 0)) AS score
+  FROM vectors a JOIN vectors b ON a.id <> b.id
+)
+SELECT query_id, rank, ROUND(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs) WHERE rank <= 6""")
+def bulk_similar(spark, folder):
+    """The six most similar companies of every company, by rank and score."""
+    return bulk.bulk_similar(_bulk_matrix(spark, folder)).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score")
+    )

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import features as feature_op
 from ..operators.quantiles import box_statistics
-from ..plans import matrix, report, static, timeline as timeline_plan
+from ..plans import bulk, matrix, predict, report, static, timeline as timeline_plan
 from ..session import freeze
 from . import check
-from .frames import TITLES, entity, labelled, sources, timeline
+from .frames import TITLES, entity, labelled, single_timeline, sources
 from .labelling import ASOF_SQL, CATEGORIES, CUTS_SQL, FLAGS, FLAGS_SQL, _asof, _scaled
 from .standin_sql import BASE, COMPANIES, EVENTS, OUTCOMES, SOURCES
 from .statics import CODES, STATIC_SQL, TODAY
@@ -82,8 +82,7 @@ def funding_trajectory(spark, folder):
 SELECT id, MAX(dates) AS dates, ROUND(MAX(famt_cumsum), 4) AS famt_cumsum, CAST(MAX(time_to_event) AS BIGINT) AS time_to_event
 FROM timeline WHERE event_id = 'funded' GROUP BY id""")
 def max_by_key(spark, folder):
-    frame, _ = timeline(sources(spark, folder))
-    return report.last_funding(frame).withColumns(
+    return report.last_funding(single_timeline(sources(spark, folder))).withColumns(
         {"famt_cumsum": F.round("famt_cumsum", 4), "time_to_event": F.col("time_to_event").cast("long")}
     )
 
@@ -93,15 +92,14 @@ SELECT id, CAST(seq AS BIGINT) AS seq, ROUND(time_to_event / 365.0::DOUBLE, 6) A
 FROM timeline WHERE event_id = 'funded'
 UNION ALL SELECT DISTINCT id, -1, 0.0, 0.0 FROM timeline WHERE event_id = 'funded'""")
 def trajectory_points(spark, folder):
-    frame, _ = timeline(sources(spark, folder))
-    return timeline_plan.trajectory_points(frame).withColumns(
+    return timeline_plan.trajectory_points(single_timeline(sources(spark, folder))).withColumns(
         {"years": F.round("years", 6), "amount": F.round("amount", 4)}
     )
 
 
 @check(EVENTS + "SELECT MAX(dates) AS today FROM timeline")
 def latest_date(spark, folder):
-    return report.latest_date(timeline(sources(spark, folder))[0])
+    return report.latest_date(single_timeline(sources(spark, folder)))
 
 
 @check(EVENTS + """
@@ -111,7 +109,8 @@ def numbered_events(spark, folder):
     """Running amount, event number, gap and age before negative times are dropped."""
     s = sources(spark, folder)
     starts = timeline_plan.timeline_starts(freeze(entity(s)), s["funding_rounds"])
-    numbered = timeline_plan.number_events(timeline_plan.time_events(timeline_plan.all_events(s), starts))
+    events = timeline_plan.all_events(s)
+    numbered = timeline_plan.number_events(timeline_plan.time_events(events, starts), sized_by=events)
     return numbered.select(
         "id", "event_id", "seq", F.round("famt_cumsum", 4).alias("famt_cumsum"), "event_count",
         F.col("time_diff").cast("long").alias("time_diff"), F.col("time_to_event").cast("long").alias("time_to_event"),
@@ -191,7 +190,7 @@ def outcome_message(spark, folder):
 SELECT id, permalink, 'The company ' || name || CASE WHEN status IN ('acquired', 'ipo')
   THEN ' will likely exit successfully!' ELSE ' will probably not exit successfully!' END AS message FROM static""")
 def success_message(spark, folder):
-    frame = static.static_features(sources(spark, folder), TITLES, TODAY, CODES)
+    frame = freeze(static.static_features(sources(spark, folder), TITLES, TODAY, CODES))
     flagged = static.static_labels(frame).select("id", (F.col("label") == 1).alias("success"))
     return report.success_messages(frame, flagged)
 
@@ -201,7 +200,7 @@ def _cosine_sql() -> str:
     dot = " + ".join(f"a.{n} * b.{n}" for n in names)
     left = " + ".join(f"a.{n} * a.{n}" for n in names)
     right = " + ".join(f"b.{n} * b.{n}" for n in names)
-    return f"ROUND(ABS(({dot}) / NULLIF(SQRT(({left}) * ({right})), 0)), 6)"
+    return f"ABS(({dot}) / NULLIF(SQRT(({left}) * ({right})), 0))"
 
 
 @check(ASOF_SQL + f""",
@@ -210,11 +209,12 @@ pairs AS (
   SELECT a.cut, a.id AS query_id, b.id AS item_id, {_cosine_sql()} AS score
   FROM scaled a JOIN scaled b USING (cut) WHERE a.is_query AND NOT b.is_query
 )
-SELECT CAST(cut AS BIGINT) AS cut, query_id, rank, score FROM (
+SELECT CAST(cut AS BIGINT) AS cut, query_id, rank, ROUND(score, 6) AS score FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY cut, query_id ORDER BY score DESC, item_id) AS rank FROM pairs) WHERE rank <= 6""")
 def comparable_companies(spark, folder):
     return report.comparable_companies(_asof(sources(spark, folder)), CATEGORIES).select(
-        F.col("cut").cast("long").alias("cut"), "query_id", F.col("rank").cast("long").alias("rank"), "score"
+        F.col("cut").cast("long").alias("cut"), "query_id", F.col("rank").cast("long").alias("rank"),
+        F.round("score", 6).alias("score"),
     )
 
 
@@ -256,3 +256,34 @@ def display_columns(spark, folder):
 def oldest_cut(spark, folder):
     frame, _, labels = labelled(sources(spark, folder))
     return report.oldest_cut(matrix.cut_ages(frame, labels)).withColumn("cut", F.col("cut").cast("long"))
+
+
+def _model_predictions(spark, folder):
+    """Frames of the labelled companies and the model output for the unlabelled ones."""
+    frame, companies, labels = labelled(sources(spark, folder))
+    asof = matrix.asof_matrix(frame, companies, labels, matrix.cut_ages(frame, labels, MODEL_STEP), CATEGORIES)
+    return frame, companies, labels, predict.predict_unlabelled(asof, labels, CATEGORIES)["predictions"]
+
+
+MODEL_STEP = 365
+
+
+@check()
+def exit_ranking_model(spark, folder):
+    """Exit candidates by the predictions of the yearly models."""
+    frame, companies, _, predictions = _model_predictions(spark, folder)
+    return report.exit_candidates(predictions, companies, frame)
+
+
+@check()
+def outcome_message_model(spark, folder):
+    frame, companies, labels, predictions = _model_predictions(spark, folder)
+    return report.outcome_messages(companies, frame, labels, predictions)
+
+
+@check()
+def success_message_model(spark, folder):
+    """Messages from the two-class model over all companies."""
+    frame = freeze(static.static_features(sources(spark, folder), TITLES, TODAY, CODES))
+    found = bulk.bulk_model(bulk.bulk_matrix(frame, two_classes=True), majority=0, classes=2)["predictions"]
+    return report.success_messages(frame, found.select("id", (F.col("pred") == 1).alias("success")))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import days_between
 from ..operators import survival as op
 from ..plans import survival as plan
+from ..plans.static import static_features
 from ..session import freeze, tune
 from . import check
 from .frames import sources
 from .standin_sql import BASE
+from .statics import CODES, STATIC_SQL, TITLES, TODAY
 
 GROUPS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 LINES_SQL = """
@@ -150,16 +152,15 @@ def long_format(spark, folder):
     )
 
 
-INTERVALS_SQL = BASE + """,
+INTERVALS_SQL = STATIC_SQL + """,
 subjects AS (
-  SELECT id, category_code, status IN ('acquired', 'ipo') AS success,
-         CAST(date_diff('day', founded_at, DATE '2024-01-31') AS DOUBLE) AS stop
-  FROM companies
+  SELECT id, category_code, status IN ('acquired', 'ipo') AS success, CAST(age_at_exit AS DOUBLE) AS stop
+  FROM static WHERE id IN (SELECT id FROM timed_rounds)
 ),
 changes AS (
   SELECT c.id, CAST(date_diff('day', c.founded_at, f.funded_at) AS DOUBLE) AS t, SUM(f.raised_amount_usd) AS amount
   FROM companies c JOIN funding_rounds f ON f.object_id = c.id
-  WHERE f.raised_amount_usd IS NOT NULL GROUP BY 1, 2
+  WHERE f.raised_amount_usd IS NOT NULL AND f.funded_at IS NOT NULL GROUP BY 1, 2
 ),
 kept AS (
   SELECT g.id, g.t, g.amount, SUM(g.amount) OVER (PARTITION BY g.id ORDER BY g.t) AS total
@@ -167,8 +168,8 @@ kept AS (
 ),
 points AS (
   SELECT id, t AS start, amount, total FROM kept JOIN subjects s USING (id) WHERE t <= s.stop
-  UNION ALL SELECT id, 0, 0, COALESCE((SELECT MAX_BY(k.total, k.t) FROM kept k WHERE k.id = s.id AND k.t < 0), 0)
-  FROM subjects s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.id = s.id AND k.t = 0)
+  UNION ALL SELECT id, 0, 0, COALESCE((SELECT MAX_BY(k.total, k.t) FROM kept k WHERE k.id = s.id AND k.t < 0 AND k.t <= s.stop), 0)
+  FROM subjects s WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.id = s.id AND k.t = 0 AND s.stop >= 0)
 ),
 filled AS (
   SELECT p.id, p.start, s.category_code,
@@ -177,7 +178,7 @@ filled AS (
   FROM points p JOIN subjects s USING (id) WINDOW w AS (PARTITION BY p.id ORDER BY p.start)
 ),
 intervals AS (
-  SELECT id, CASE WHEN start >= 0 THEN category_code END AS category_code, start, COALESCE(next_start, final_stop) AS stop, amount, total,
+  SELECT id, category_code, start, COALESCE(next_start, final_stop) AS stop, amount, total,
          success AND next_start IS NULL AS success
   FROM filled
 )
@@ -186,7 +187,8 @@ intervals AS (
 
 def _intervals(spark, folder):
     s = sources(spark, folder)
-    return plan.survival_input(s["objects"], s["funding_rounds"], "2024-01-31")
+    static = static_features(s, TITLES, TODAY, CODES)
+    return plan.survival_input(static, s["objects"], s["funding_rounds"])
 
 
 @check(INTERVALS_SQL + """
@@ -273,11 +275,115 @@ def interval_fill(spark, folder):
     )
 
 
-@check()
+_PAIRS = [(1, 1), (1, 2), (2, 2)]
+
+
+def _newton_sql(steps: int) -> str:
+    """Newton steps for two covariates with Efron's ties, written out one after the other."""
+    data = """,
+data AS (
+  SELECT duration AS t, event AS e, quantity - AVG(quantity) OVER () AS x1, discount - AVG(discount) OVER () AS x2 FROM lines
+),
+b0 AS (SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS h11, 0.0::DOUBLE AS h12, 0.0::DOUBLE AS h22)"""
+    parts = [LINES_SQL + data]
+    sums = ["1.0", "x1", "x2"] + [f"x{i} * x{j}" for i, j in _PAIRS]
+    names = ["0", "1", "2"] + [f"{i}{j}" for i, j in _PAIRS]
+    for k in range(steps):
+        at_risk = ", ".join(f"SUM(w * {x}) AS a{n}" for x, n in zip(sums, names))
+        dead = ", ".join(f"COALESCE(SUM(w * {x}) FILTER (WHERE e), 0) AS d{n}" for x, n in zip(sums, names))
+        running = ", ".join(f"SUM(a{n}) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS r{n}" for n in names)
+        s = {n: f"(r{n} - f * d{n})" for n in names}
+        gradient = ", ".join(f"SUM(kx{i} / k - {s[str(i)]} / {s['0']}) AS g{i}" for i in (1, 2))
+        hessian = ", ".join(
+            f"SUM({s[f'{i}{j}']} / {s['0']} - {s[str(i)]} * {s[str(j)]} / ({s['0']} * {s['0']})) AS h{i}{j}" for i, j in _PAIRS
+        )
+        parts.append(f"""
+w{k} AS (SELECT t, e, x1, x2, EXP(b1 * x1 + b2 * x2) AS w FROM data, b{k}),
+p{k} AS (
+  SELECT t, {at_risk}, {dead}, COUNT(*) FILTER (WHERE e) AS k, SUM(x1) FILTER (WHERE e) AS kx1, SUM(x2) FILTER (WHERE e) AS kx2
+  FROM w{k} GROUP BY t
+),
+r{k} AS (SELECT *, {running} FROM p{k}),
+f{k} AS (SELECT *, UNNEST(range(CAST(k AS BIGINT))) / CAST(k AS DOUBLE) AS f FROM r{k} WHERE k > 0),
+n{k} AS (SELECT {gradient}, {hessian} FROM f{k}),
+b{k + 1} AS (
+  SELECT b.b1 + (n.h22 * n.g1 - n.h12 * n.g2) / (n.h11 * n.h22 - n.h12 * n.h12) AS b1,
+         b.b2 + (n.h11 * n.g2 - n.h12 * n.g1) / (n.h11 * n.h22 - n.h12 * n.h12) AS b2, n.h11, n.h12, n.h22
+  FROM b{k} b, n{k} n
+)""")
+    return ",".join(parts)
+
+
+NEWTON = 7
+NEWTON_SQL = _newton_sql(NEWTON)
+
+
+@check(NEWTON_SQL + f""",
+fitted AS (
+  SELECT 'quantity' AS covariate, b1 AS coef, SQRT(h22 / (h11 * h22 - h12 * h12)) AS se FROM b{NEWTON}
+  UNION ALL SELECT 'discount', b2, SQRT(h11 / (h11 * h22 - h12 * h12)) FROM b{NEWTON}
+)
+SELECT covariate, ROUND(coef, 5) AS coef, ROUND(EXP(coef), 5) AS exp_coef, ROUND(se, 5) AS se, ROUND(coef / se, 4) AS z,
+       ROUND(coef - 1.959963984540054 * se, 5) AS lower, ROUND(coef + 1.959963984540054 * se, 5) AS upper, TRUE AS converged
+FROM fitted""")
 def cox_ph(spark, folder):
     """Hazard of a return by quantity and discount."""
     fit = op.cox_fit(_lines(spark, folder), ["quantity", "discount"], "duration", "event")
-    return fit.summary(spark)
+    return fit.summary(spark).select(
+        "covariate", *[F.round(c, 5).alias(c) for c in ("coef", "exp_coef", "se", "lower", "upper")],
+        F.round("z", 4).alias("z"), "converged",
+    )
+
+
+@check(NEWTON_SQL + f""",
+last AS (SELECT t, e, EXP(b1 * x1 + b2 * x2) AS w FROM data, b{NEWTON}),
+per AS (SELECT t, SUM(w) AS w, COUNT(*) FILTER (WHERE e) AS d FROM last GROUP BY t),
+base AS (SELECT t, d, d / SUM(w) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS step FROM per),
+total AS (SELECT t, d, SUM(step) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS hazard FROM base),
+means AS (SELECT AVG(quantity) AS m1, AVG(discount) AS m2 FROM lines),
+factors AS (
+  SELECT priority, EXP(b1 * (AVG(quantity) - ANY_VALUE(m1)) + b2 * (AVG(discount) - ANY_VALUE(m2))) AS factor
+  FROM lines, means, b{NEWTON} GROUP BY priority, b1, b2
+)
+SELECT priority, CAST(t AS DOUBLE) AS t, ROUND(EXP(-hazard * factor), 6) AS survival FROM total, factors WHERE d > 0""")
+def cox_survival(spark, folder):
+    """Predicted survival of the mean subject of every priority."""
+    lines = freeze(_lines(spark, folder))
+    fit = op.cox_fit(lines, ["quantity", "discount"], "duration", "event")
+    subjects = lines.groupBy("priority").agg(F.avg("quantity").alias("quantity"), F.avg("discount").alias("discount"))
+    curves = op.subject_curves(op.baseline_hazard(lines, fit, "duration", "event"), subjects, fit, "priority")
+    return curves.withColumn("survival", F.round("survival", 6))
+
+
+@check(LINES_SQL + """,
+per AS (
+  SELECT duration AS t, COUNT(*)::DOUBLE AS n, SUM(quantity) AS x, SUM(discount) AS y, SUM(quantity * quantity) AS xx,
+         SUM(quantity * discount) AS xy, SUM(discount * discount) AS yy, COUNT(*) FILTER (WHERE event) AS d,
+         COALESCE(SUM(quantity) FILTER (WHERE event), 0) AS dx, COALESCE(SUM(discount) FILTER (WHERE event), 0) AS dy
+  FROM lines GROUP BY 1
+),
+risk AS (
+  SELECT t, d, dx, dy, SUM(n) OVER w AS n, SUM(x) OVER w AS x, SUM(y) OVER w AS y, SUM(xx) OVER w AS xx, SUM(xy) OVER w AS xy,
+         SUM(yy) OVER w AS yy FROM per WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING)
+),
+det AS (SELECT *, n * (xx * yy - xy * xy) - x * (x * yy - xy * y) + y * (x * xy - xx * y) AS det FROM risk WHERE d > 0),
+solved AS (
+  SELECT t, ((xx * yy - xy * xy) * d + (xy * y - x * yy) * dx + (x * xy - xx * y) * dy) / det AS b0,
+         ((xy * y - x * yy) * d + (n * yy - y * y) * dx + (x * y - n * xy) * dy) / det AS b1,
+         ((x * xy - xx * y) * d + (x * y - n * xy) * dx + (n * xx - x * x) * dy) / det AS b2, det > 1e-6 * n * xx * yy AS sound FROM det
+),
+steps AS (
+  SELECT t, CASE WHEN sound THEN b0 ELSE 0 END AS b0, CASE WHEN sound THEN b1 ELSE 0 END AS b1, CASE WHEN sound THEN b2 ELSE 0 END AS b2
+  FROM solved
+)
+SELECT CAST(t AS DOUBLE) AS t, ROUND(SUM(b0) OVER w, 5) + 0.0 AS baseline, ROUND(SUM(b1) OVER w, 5) + 0.0 AS quantity,
+       ROUND(SUM(b2) OVER w, 5) + 0.0 AS discount
+FROM steps WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)""")
+def additive_hazard(spark, folder):
+    """Cumulative additive hazard of a return by quantity and discount, while more than three lines are at risk."""
+    lines = _lines(spark, folder)
+    found = op.additive_hazard(lines, ["quantity", "discount"], "duration", "event")
+    return found.select("t", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("baseline", "quantity", "discount")])
 
 
 @check()
@@ -292,6 +398,6 @@ def cox_time_varying(spark, folder):
 
 @check()
 def kfold_concordance(spark, folder):
-    """Concordance on each of three held-out folds."""
+    """Concordance on each of ten held-out folds."""
     lines = freeze(_lines(spark, folder).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "quantity", "duration")))
-    return plan.kfold_concordance(lines, ["quantity", "discount"], "duration", "event", "key", k=3)
+    return plan.kfold_concordance(lines, ["quantity", "discount"], "duration", "event", "key", k=10)

@@ -88,6 +88,12 @@ def hash_number(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def draw_number(*parts) -> Column:
+    """Repeatable number in [0, 2^60), for draws from classes of any size."""
+    text = F.concat_ws(":", *[_c(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import ratio
@@ -11,11 +13,9 @@ from .quantiles import exact_quantiles
 from .scan import ROWS_PER_GROUP
 
 
-def category_values(df: DataFrame, column: str, most: int = 10_000) -> list:
-    """Distinct values of a category column, refused when there are too many for columns."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values")
+def category_values(df: DataFrame, column: str) -> list:
+    """Distinct values of a category column; each becomes a column, so a wide category needs a stated list instead."""
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in found)
 
 
@@ -136,6 +136,16 @@ def minus_minimum(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(F.broadcast(least)).withColumn(name, F.col(column) - F.col("_least")).drop("_least")
 
 
-def noise_columns(df: DataFrame, count: int, seed: int) -> DataFrame:
-    """Adds standard-normal noise columns."""
-    return df.select("*", *[F.randn(seed + i).alias(f"noise_{i}") for i in range(count)])
+def noise_columns(df: DataFrame, count: int, seed: int, key: str) -> DataFrame:
+    """Adds standard-normal noise columns, drawn from the md5 of ``key`` and so the same on every run."""
+
+    def drawn(i: int) -> Column:
+        digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(i))))
+
+        def even(start: int) -> Column:
+            return (F.conv(F.substring(digest, start, 12), 16, 10).cast("double") + 1) / (2.0**48 + 1)
+
+        # two even draws in (0, 1) make a normal one
+        return F.sqrt(-2 * F.log(even(1))) * F.cos(2 * math.pi * even(13))
+
+    return df.select("*", *[drawn(i).alias(f"noise_{i}") for i in range(count)])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import freeze
 from .evaluate import class_scores, macro_scores
 from .sampling import folds
-from .similar import DECIMALS, nearest
+from .similar import nearest
 
 # the deepest tree the library allows stands for one without a depth limit
 DEEPEST = 30
@@ -143,7 +143,7 @@ def knn_search(
     votes = voters.groupBy("fold", "size", "query_id", "_label").agg(
         F.count(F.lit(1)).cast("double").alias("_uniform"),
         F.count_if(distance == 0).alias("_exact"),
-        F.round(F.coalesce(F.sum(F.when(distance > 0, 1 / distance)), F.lit(0.0)), DECIMALS).alias("_near"),
+        F.coalesce(F.sum(F.when(distance > 0, 1 / distance)), F.lit(0.0)).alias("_near"),
     )
     chosen = votes.groupBy("fold", "size", "query_id").agg(
         F.max_by("_label", F.struct("_uniform", -F.col("_label"))).alias("uniform"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import hash_number
+from ..functions.columns import draw_number, hash_number
 from ..session import freeze
 from .keys import null_safe_join
 
@@ -77,7 +77,7 @@ def upsample(df: DataFrame, label: str, key: str, majority: int, minorities: lis
         rows.filter(F.col(label) == majority)
         .select(F.col("_number").alias("draw"))
         .withColumn(label, F.explode(F.array(*[F.lit(m).cast(kind) for m in drawn_classes])))
-        .withColumn("_number", hash_number(label, "draw") % of_class(sizes) + 1)
+        .withColumn("_number", draw_number(label, "draw") % of_class(sizes) + 1)
         .withColumn("_copy", F.pmod(F.xxhash64("draw"), of_class(copies)))
     )
     pool = rows.filter(F.col(label).isin(drawn_classes)).withColumn(

@@ -1,13 +1,16 @@
-"""Nearest neighbours between two sets of vectors.
-
-Both sets are spread over a grid of blocks and compared block by block, as one
-matrix product.  A block pair returns only its best ``k`` per query, so pairs
-are never written out, and no block grows with the data.  With many items the
-search is confined to cells that can hold a result.
+"""Exact nearest neighbours between two sets of vectors.
+
+Every vector belongs to the cell of its nearest pivot.  From the radii of the
+cells the triangle inequality says which pairs of a query cell and an item cell
+can hold a result; only blocks of vectors with such a pair are compared.  A
+block pair returns its best ``k`` per query, so pairs are never written out.
+Cells and block sizes follow the number of items; there is one way for all
+sizes.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -22,18 +25,50 @@ from .keys import null_safe_join
 # tasks get the functions of this module by value, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 20_000
+# a block holds about 20 times the root of the items, within these bounds
+LEAST_BLOCK, MOST_BLOCK = 2_000, 200_000
 _CHUNK_CELLS = 4_000_000
-# scores are compared at this many decimals, so that equal vectors tie
-DECIMALS = 6
+_EPSILON = float(np.finfo("float64").eps)
+
+
+# ---- distances -------------------------------------------------------------
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1.0, size)
+
 
+def _rough(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances by a matrix product, and a bound of their error per row of ``left``.
 
-def _scores(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
-    """Higher is nearer."""
+    Both sides are moved to the middle of the right one first; what the product
+    of the moved rows may lose, and what moving them lost, is the bound.
+    """
+    middle = right.mean(axis=0)
+    a, b = left - middle, right - middle
+    a2, b2 = (a**2).sum(1), (b**2).sum(1)
+    square = a2[:, None] + b2[None, :] - 2 * a @ b.T
+    width = left.shape[1] + 8
+    largest = max(np.abs(left).max(initial=0.0), np.abs(right).max(initial=0.0))
+    lost = np.sqrt(8 * width * _EPSILON * (a2 + b2.max(initial=0.0))) + 8 * width * _EPSILON * largest
+    return np.sqrt(np.maximum(square, 0.0)), lost
+
+
+def _exact(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
+    """Score of each pair of rows, higher is nearer; equal vectors always get equal scores."""
     if metric == "cosine":
-        return np.round(np.abs(_unit(queries) @ _unit(items).T), DECIMALS)
-    square = (queries**2).sum(1)[:, None] + (items**2).sum(1)[None, :] - 2 * queries @ items.T
-    return -np.round(np.sqrt(np.maximum(square, 0.0)), DECIMALS)
+        return np.abs((_unit(left) * _unit(right)).sum(1))
+    return -np.sqrt(((left - right) ** 2).sum(1))
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rough scores and a bound of their error per row of ``left``."""
+    if metric == "cosine":
+        scores = np.abs(_unit(left) @ _unit(right).T)
+        return scores, np.full(len(left), 64 * (left.shape[1] + 8) * _EPSILON)
+    distance, lost = _rough(left, right)
+    return -distance, lost
 
 
 def _best_pairs(queries: pd.DataFrame, items: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
@@ -49,61 +84,96 @@ def _best_pairs(queries: pd.DataFrame, items: pd.DataFrame, k: int, metric: str)
     step = max(1, _CHUNK_CELLS // len(right_ids))
     for start in range(0, len(left_ids), step):
         part = slice(start, start + step)
-        scores = _scores(left[part], right, metric)
+        scores, lost = _candidates(left[part], right, metric)
         scores[left_code[part][:, None] == right_code[None, :]] = -np.inf
         if scores.shape[1] > k:
-            bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1: k]
+            bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1: k] - 2 * lost[:, None]
         else:
             bound = np.full((scores.shape[0], 1), -np.inf)
         row, column = np.nonzero((scores >= bound) & (scores > -np.inf))
+        # the rough scores choose the candidates, the exact ones their ranks
         found = pd.DataFrame(
-            {"query_id": left_ids[part][row], "item_id": right_ids[column], "score": scores[row, column]}
+            {
+                "query_id": left_ids[part][row],
+                "item_id": right_ids[column],
+                "score": _exact(left[part][row], right[column], metric),
+            }
         ).sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
         best.append(found.groupby("query_id", sort=False).head(k))
     return pd.concat(best, ignore_index=True)[columns]
 
 
-def _match(queries: DataFrame, items: DataFrame, k: int, by: list[str], metric: str, block_rows: int) -> DataFrame:
-    """Best ``k`` items per query and block, for queries and items of the same group.
+# ---- cells -----------------------------------------------------------------
 
-    Expects the columns ``query_id`` or ``item_id`` and ``_vector``.
-    """
-    grid = freeze(
-        null_safe_join(
-            queries.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_query_blocks")),
-            items.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_item_blocks")),
-            by,
-        )
-    )
 
-    def placed(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        # fresh columns, since both sides may come from one frame
-        return null_safe_join(side, grid, by).select(
-            *[F.col(c).alias(c) for c in by],
-            F.col(name).alias(name),
-            F.col("_vector").alias("_vector"),
-            F.pmod(F.xxhash64(name), F.col(f"_{own}_blocks")).alias(f"_{own}"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}_blocks") - 1)).alias(f"_{other}"),
-        )
-
-    keys = by + ["_query", "_item"]
-    left, right = placed(queries, "query_id", "query", "item"), placed(items, "item_id", "item", "query")
-    schema = StructType(
-        [StructField(c, queries.schema[c].dataType) for c in by]
-        + [
-            StructField("query_id", queries.schema["query_id"].dataType),
-            StructField("item_id", items.schema["item_id"].dataType),
-            StructField("score", DoubleType()),
-        ]
+def _apart(rows: np.ndarray, pivots: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to pivots and a bound of their error; lines have their angle as distance."""
+    if metric == "cosine":
+        return np.arccos(np.clip(np.abs(_unit(rows) @ _unit(pivots).T), 0.0, 1.0)), np.full(len(rows), 1e-6)
+    return _rough(rows, pivots)
+
+
+def _assigner(pivots, metric: str):
+    def assign(batches):
+        own_pivots = pivots.value
+        for batch in batches:
+            if len(batch):
+                rows = np.stack(batch["_vector"]).astype("float64")
+                step = max(1, _CHUNK_CELLS // len(own_pivots))
+                cell, reach = [], []
+                for start in range(0, len(rows), step):
+                    d, lost = _apart(rows[start: start + step], own_pivots, metric)
+                    own = d.argmin(axis=1)
+                    cell.append(own)
+                    reach.append(d[np.arange(len(own)), own] + lost)
+                yield batch.assign(_cell=np.concatenate(cell).astype("int64"), _reach=np.concatenate(reach))
+
+    return assign
+
+
+def _pairer(pivots, k: int, metric: str):
+    """Cell pairs of one group that can hold a result."""
+
+    def pair(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        own_pivots = pivots.value
+        cell, size, reach = items["_cell"].to_numpy(), items["_items"].to_numpy(), items["_reach"].to_numpy()
+        asking, item_cells = [], []
+        for a, radius in zip(queries["_cell"], queries["_reach"]):
+            d, lost = _apart(own_pivots[a: a + 1], own_pivots[cell], metric)
+            # all items of the nearest cells lie within the last of these, so the k-th result does
+            within = d[0] + lost[0] + radius + reach
+            order = np.argsort(within, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(size[order]), k + 1))
+            bound = within[order[enough]] if enough < len(order) else np.inf
+            hit = cell[d[0] - lost[0] - radius - reach <= bound * (1 + 1e-12)]
+            asking.append(np.full(len(hit), a))
+            item_cells.append(hit)
+        group = int(queries["_g"].iloc[0]) if len(queries) else 0
+        out = pd.DataFrame({"_query_cell": np.concatenate(asking or [np.zeros(0)]).astype("int64"),
+                            "_item_cell": np.concatenate(item_cells or [np.zeros(0)]).astype("int64")})
+        out.insert(0, "_g", group)
+        return out
+
+    return pair
+
+
+def _blocks(celled: DataFrame, rows: int) -> DataFrame:
+    """Blocks of about ``rows`` vectors per cell: neighbouring cells share one, a large cell has several."""
+    # one row per group and cell
+    sizes = celled.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_reach").alias("_reach"))
+    before = W.partitionBy("_g").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    first = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long")
+    return sizes.withColumn("_first", first).withColumn("_parts", F.ceil(F.col("_n") / rows).cast("long"))
+
+
+def _placed(celled: DataFrame, blocks: DataFrame, name: str, block: str) -> DataFrame:
+    part = F.pmod(F.xxhash64(name), F.col("_parts"))
+    return celled.drop("_reach").join(blocks.select("_g", "_cell", "_first", "_parts"), ["_g", "_cell"]).select(
+        "_g", name, "_vector", (F.col("_first") + part).alias(block)
     )
 
-    def match(key: tuple, q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        found = _best_pairs(q, i, k, metric)
-        for position, name in enumerate(by):
-            found.insert(position, name, key[position])
-        return found
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
+# ---- search ----------------------------------------------------------------
 
 
 def _useful_copies(items: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -130,142 +200,81 @@ def nearest(
     vector: str = "vector",
     by: list[str] = (),
     metric: str = "cosine",
-    block_rows: int = BLOCK_ROWS,
-    cells_from: int = 10 * BLOCK_ROWS,
+    block_rows: int | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest items of every query, itself excluded, ranked from 1.
 
     ``cosine`` ranks by absolute cosine similarity, ``euclid`` by distance (the
-    score is then the negative distance).  Ties go to the smaller item id.
-    From ``cells_from`` items on, the search leaves out cells of items that
-    cannot hold a result; the result is the same.
+    score is then the negative distance).  Scores are compared in full; ties go
+    to the smaller item id.  ``block_rows`` and ``cells`` follow the number of
+    items unless they are given; the result does not depend on them.
+
+    The pivots are broadcast: a quarter of the root of the items in number,
+    about 13 MB at ten thousand million items of 64 numbers.
     """
-    by = list(by)
+    by, spark = list(by), items.sparkSession
+    right = items.select(*by, F.col(id_column).alias("item_id"), F.col(vector).alias("_vector"))
+    right = freeze(_useful_copies(right, k, by))
     left = queries.select(*by, F.col(id_column).alias("query_id"), F.col(vector).alias("_vector"))
-    right = freeze(
-        _useful_copies(items.select(*by, F.col(id_column).alias("item_id"), F.col(vector).alias("_vector")), k, by)
-    )
+    # a number for every group, so that missing values need no care below
+    groups = right.select(*by).distinct() if by else spark.range(1).select()
+    groups = freeze(groups.withColumn("_g", F.monotonically_increasing_id()))
+    left = null_safe_join(left, groups, by).drop(*by)
+    right = null_safe_join(right, groups, by).drop(*by)
     count = right.count()
-    if count < cells_from:
-        pairs = _match(left, right, k, by, metric, block_rows)
-    else:
-        # the bounds of all cells are known to every task, so their number is limited
-        groups = right.select(*by).distinct().count() if by else 1
-        cells = int(min(MOST_CELLS, max(2, count // block_rows), MOST_STATS // groups))
-        if cells < 2:
-            pairs = _match(left, right, k, by, metric, block_rows)
-        else:
-            pairs = _match_in_cells(left, right, k, by, metric, block_rows, cells)
-    return _top(pairs, k, by)
-
-
-# ---- leaving out cells -----------------------------------------------------
-#
-# Items belong to the cell of their nearest pivot.  A first search visits the
-# nearest cells of a query and gives a distance that the k-th result cannot
-# exceed.  By the triangle inequality a cell whose distances to its pivot lie in
-# [low, high] holds nothing nearer than max(d - high, low - d), with d from
-# query to pivot, so a second search visits only cells below the first result.
-# The angle between lines is the distance that goes with absolute cosine.
-
-MOST_CELLS = 1024
-MOST_STATS = 1_000_000
-_SLACK = 1e-6
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size == 0, 1.0, size)
-
-
-def _distances(rows: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return np.arccos(np.clip(np.abs(_unit(rows) @ _unit(pivots).T), 0.0, 1.0))
-    square = (rows**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * rows @ pivots.T
-    return np.sqrt(np.maximum(square, 0.0))
-
+    rows = block_rows or min(MOST_BLOCK, max(LEAST_BLOCK, int(20 * math.sqrt(count))))
+    wanted = cells or max(1, int(math.sqrt(count) / 4))
+    picked = right.orderBy(F.xxhash64("item_id"), "item_id", "_g").limit(wanted).select("_vector").collect()
+    schema = StructType(
+        [
+            StructField("_g", LongType()),
+            StructField("query_id", left.schema["query_id"].dataType),
+            StructField("item_id", right.schema["item_id"].dataType),
+            StructField("score", DoubleType()),
+        ]
+    )
+    if not picked:
+        return _top(null_safe_join(spark.createDataFrame([], schema).drop("_g"), groups, []).select(
+            *by, "query_id", "item_id", "score"), k, by)
+    pivots = np.array([r[0] for r in picked], dtype="float64")
+    # cells of neighbouring numbers lie near each other, so that a block holds few regions
+    pivots = pivots[np.argsort(_apart(pivots, pivots[:1], metric)[0][:, 0], kind="stable")]
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def celled(side: DataFrame) -> DataFrame:
+        added = StructType(side.schema.fields + [StructField("_cell", LongType()), StructField("_reach", DoubleType())])
+        return freeze(side.mapInPandas(_assigner(shared, metric), added))
+
+    left, right = celled(left), celled(right)
+    left_blocks, right_blocks = freeze(_blocks(left, rows)), freeze(_blocks(right, rows))
+    asking = left_blocks.select("_g", "_cell", "_reach").groupBy("_g")
+    holding = right_blocks.select("_g", "_cell", "_reach", F.col("_n").alias("_items")).groupBy("_g")
+    cell_pairs = asking.cogroup(holding).applyInPandas(
+        _pairer(shared, k, metric), "_g long, _query_cell long, _item_cell long"
+    )
 
-def _reach(score: np.ndarray, metric: str) -> np.ndarray:
-    """Largest distance of an item that could still rank beside a rounded score."""
-    if metric == "cosine":
-        return np.arccos(np.clip(score - _SLACK, 0.0, 1.0)) + _SLACK
-    return -score + 2 * _SLACK
-
-
-def _visits(first: bool, d: np.ndarray, group: tuple | None, k: int, reach: float) -> np.ndarray:
-    """Cells to visit: the nearest that together hold enough items, or the others within reach."""
-    if group is None:
-        return np.empty(0, dtype="int64")
-    cell, size, low, high = group
-    order = np.argsort(d[cell], kind="stable")
-    enough = int(np.searchsorted(np.cumsum(size[order]), k + 1)) + 1
-    if first:
-        return cell[order[:enough]]
-    rest = order[enough:]
-    to_pivot = d[cell[rest]]
-    bound = np.maximum(to_pivot - high[rest], low[rest] - to_pivot)
-    return cell[rest[bound <= reach]]
-
-
-def _match_in_cells(left, right, k, by, metric, block_rows, cells) -> DataFrame:
-    # a fixed number of vectors, whatever the number of items
-    rows = right.orderBy(F.xxhash64("item_id"), "item_id").limit(cells).select("_vector").collect()
-    pivots = np.array([r[0] for r in rows], dtype="float64")
+    def numbers(blocks: DataFrame, cell: str, name: str) -> DataFrame:
+        span = F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)
+        return blocks.select("_g", F.col("_cell").alias(cell), F.explode(span).alias(name))
 
-    def assign(batches):
-        for batch in batches:
-            if len(batch):
-                d = _distances(np.stack(batch["_vector"]).astype("float64"), pivots, metric)
-                own = d.argmin(axis=1)
-                yield batch.assign(_cell=own.astype("int64"), _d=d[np.arange(len(own)), own])
-
-    celled = freeze(right.mapInPandas(assign, StructType(right.schema.fields + [
-        StructField("_cell", LongType()), StructField("_d", DoubleType())])))
-    # at most MOST_STATS rows
-    stats = celled.groupBy(*by, "_cell").agg(
-        F.count(F.lit(1)).alias("_items"), F.min("_d").alias("_low"), F.max("_d").alias("_high")
-    ).toPandas()
-    groups = {}
-    for key, part in stats.groupby(by, dropna=False) if by else [((), stats)]:
-        groups[_key(key)] = tuple(part[c].to_numpy() for c in ("_cell", "_items", "_low", "_high"))
-
-    def visiting(first: bool):
-        def run(batches):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                d = _distances(np.stack(batch["_vector"]).astype("float64"), pivots, metric)
-                reach = np.full(len(batch), np.inf) if first else _reach(batch["_worst"].to_numpy(), metric)
-                keys = batch[by].itertuples(index=False, name=None) if by else [()] * len(batch)
-                lists = [
-                    _visits(first, d[n], groups.get(_key(key)), k, reach[n]) for n, key in enumerate(keys)
-                ]
-                times = [len(x) for x in lists]
-                out = batch.drop(columns=[] if first else ["_worst"])
-                out = out.loc[out.index.repeat(times)]
-                yield out.assign(_cell=np.concatenate(lists).astype("int64") if lists else [])
-
-        return run
-
-    visit_schema = StructType(left.schema.fields + [StructField("_cell", LongType())])
-    members = celled.drop("_d")
-    keys = by + ["_cell"]
-    near = freeze(left.mapInPandas(visiting(True), visit_schema))
-    found = freeze(_top(_match(near, members, k, keys, metric, block_rows).drop("_cell"), k, by).drop("rank"))
-    worst = found.groupBy(*by, "query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-float("inf"))).alias("_worst")
-    )
-    bounded = null_safe_join(left, worst, by + ["query_id"], "left").withColumn(
-        "_worst", F.coalesce("_worst", F.lit(-float("inf")))
+    block_pairs = freeze(
+        cell_pairs.join(numbers(left_blocks, "_query_cell", "_query"), ["_g", "_query_cell"])
+        .join(numbers(right_blocks, "_item_cell", "_item"), ["_g", "_item_cell"])
+        .select("_g", "_query", "_item").distinct()
     )
-    others = freeze(bounded.mapInPandas(visiting(False), visit_schema))
-    return found.unionByName(_match(others, members, k, keys, metric, block_rows).drop("_cell"))
+    keys = ["_g", "_query", "_item"]
+    sent = _placed(left, left_blocks, "query_id", "_query").join(block_pairs, ["_g", "_query"])
+    held = _placed(right, right_blocks, "item_id", "_item").join(block_pairs, ["_g", "_item"])
 
+    def match(key: tuple, q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        found = _best_pairs(q, i, k, metric)
+        found.insert(0, "_g", key[0])
+        return found
 
-def _key(key) -> tuple:
-    """Group key that finds itself again when a value is missing."""
-    key = key if isinstance(key, tuple) else (key,)
-    return tuple(None if v is None or v != v else v for v in key)
+    pairs = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(match, schema)
+    named = pairs.join(groups, "_g").select(*by, "query_id", "item_id", "score")
+    return _top(named, k, by)
 
 
 def neighbour_vote(neighbours: DataFrame, labels: DataFrame, id_column: str = "id", label: str = "label") -> DataFrame:
@@ -280,5 +289,5 @@ def neighbour_vote(neighbours: DataFrame, labels: DataFrame, id_column: str = "i
         F.coalesce(F.sum(F.when(distance > 0, 1 / distance)), F.lit(0.0)).alias("_vote"),
     )
     # any exact match ranks above every vote without one
-    best = F.max_by("_label", F.struct("_exact", F.round("_vote", DECIMALS), -F.col("_label")))
+    best = F.max_by("_label", F.struct("_exact", "_vote", -F.col("_label")))
     return votes.groupBy("query_id").agg(best.alias("prediction"))

@@ -46,12 +46,20 @@ def add_covariates(
     interval of no length.  Several changes at one time are added up.  Only the
     last piece keeps the event.  ``cumulative`` carries the running sum in
     columns with ``prefix``; before the first change a covariate is zero.
+    Other columns keep what their interval states, a NULL too; pieces before
+    the first interval have its values.
     """
     values = [c for c in changes.columns if c not in (key, time)]
     names = {c: prefix + c if cumulative else c for c in values}
     carried = [c for c in intervals.columns if c not in (key, "start", "stop", event)]
+    plain = [c for c in carried if c not in names.values()]
+    earlier = [c for c in carried if c in names.values()]
+    # one value, so that a NULL in it is not taken for a gap
+    stated = F.struct(F.lit(True).alias("_stated"), *[F.col(c) for c in plain])
     ends = intervals.groupBy(key).agg(
-        F.max("stop").alias("_end"), F.max_by(event, F.struct("start", "stop")).alias("_event")
+        F.max_by("stop", F.struct("start", "stop")).alias("_end"),
+        F.max_by(event, F.struct("start", "stop")).alias("_event"),
+        F.min_by(stated, "start").alias("_first_row"),
     )
     steps = freeze(
         changes.filter(F.col(time).isNotNull())
@@ -66,29 +74,27 @@ def add_covariates(
     steps = steps.join(ends.select(key, "_end"), key).filter(F.col("start") <= F.col("_end")).drop("_end")
     fresh = [f"_new_{n}" for n in names.values()]
     points = (
-        intervals.select(key, "start", *carried)
+        intervals.select(key, "start", stated.alias("_row"), *earlier)
         .unionByName(steps, allowMissingColumns=True)
         .groupBy(key, "start")
-        .agg(*[F.max(c).alias(c) for c in carried + fresh])
+        .agg(*[F.max(c).alias(c) for c in ["_row", *earlier, *fresh]])
     )
-    plain = [c for c in carried if c not in names.values()]
     points = freeze(points).select(
         key,
         "start",
-        *plain,
+        "_row",
         *[
             F.coalesce(F.col(f"_new_{n}"), F.col(n).cast("double")).alias(n) if n in carried else F.col(f"_new_{n}").alias(n)
             for n in names.values()
         ],
     )
-    columns = plain + list(names.values())
-    calcs = {f"_last_{c}": last_known(c) for c in columns}
+    calcs = {f"_last_{c}": last_known(c) for c in ["_row", *names.values()]}
     pieces = ordered_scan(points, [key], ["start"], {**calcs, "_next": following("start")}, limit)
     return pieces.join(ends, key).select(
         key,
         "start",
         F.coalesce("_next", "_end").alias("stop"),
-        *[F.col(f"_last_{c}").alias(c) for c in plain],
+        *[F.coalesce("_last__row", "_first_row")[c].alias(c) for c in plain],
         *[F.coalesce(f"_last_{c}", F.lit(0.0)).alias(c) for c in names.values()],
         (F.col("_event").cast("boolean") & F.col("_next").isNull()).alias(event),
     )
@@ -294,26 +300,28 @@ def chi_square_tail(x: float, degrees: int) -> float:
 # ---- proportional hazards --------------------------------------------------
 
 _TIES_PER_ROW = 100_000
-# beyond this many events the terms of tied events are spread over all tasks
-_SPREAD_EVENTS = 1_000_000
+_NORMAL_95 = 1.959963984540054
 
 
 class HazardFit:
-    """Coefficients of a proportional hazards model."""
+    """Coefficients of a proportional hazards model; ``converged`` says whether the last step was small enough."""
 
-    def __init__(self, names, coef, error, likelihood, steps, means):
+    def __init__(self, names, coef, error, likelihood, steps, means, converged):
         self.names, self.coef, self.error = list(names), coef, error
-        self.likelihood, self.steps, self.means = likelihood, steps, means
+        self.likelihood, self.steps, self.means, self.converged = likelihood, steps, means, converged
 
     def summary(self, spark) -> DataFrame:
+        """One row per covariate with its 95 % limits."""
         rows = []
         for name, coef, error in zip(self.names, self.coef, self.error):
             z = coef / error
             rows.append(
-                (name, float(coef), math.exp(coef), float(error), float(z), math.erfc(abs(z) / math.sqrt(2)))
+                (name, float(coef), math.exp(coef), float(error), float(coef - _NORMAL_95 * error),
+                 float(coef + _NORMAL_95 * error), float(z), math.erfc(abs(z) / math.sqrt(2)), self.converged)
             )
         return spark.createDataFrame(
-            rows, "covariate string, coef double, exp_coef double, se double, z double, p double"
+            rows, "covariate string, coef double, exp_coef double, se double, lower double, upper double, z double, "
+            "p double, converged boolean"
         )
 
     def risk(self) -> Column:
@@ -335,11 +343,13 @@ def cox_fit(
     tolerance: float = 1e-9,
     limit: int | None = ROWS_PER_GROUP,
 ) -> HazardFit:
-    """Newton steps on the partial likelihood.
+    """Newton steps on the partial likelihood, halved while they lower it.
 
     Each step is one aggregate over the rows: sums per distinct time, running
     sums for the risk sets, one row of totals.  Only that row reaches the
     driver.  With ``start`` a row counts in the risk sets after its start.
+    A model that does not settle in ``steps`` steps, or whose information is
+    singular, comes back with ``converged`` false.
     """
     p = len(covariates)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
@@ -363,25 +373,33 @@ def cox_fit(
     # the times stay the same in every step, so their number is checked once
     if limit is not None and data.select(F.explode(F.array("_t", "_from"))).distinct().count() * 2 <= limit:
         limit = None
-    # partitions to spread over, or none
-    spread = 0
-    if ties == "efron" and data.filter("_e").count() > _SPREAD_EVENTS:
-        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     beta = np.zeros(p)
-    likelihood = -math.inf
-    taken = 0
-    for taken in range(1, steps + 1):
-        likelihood, gradient, hessian = _cox_step(data, beta, p, pairs, ties, spread, limit)
-        move = np.linalg.solve(hessian, gradient)
-        size = float(np.abs(move).max())
-        beta = beta + move * min(1.0, 5.0 / size if size else 1.0)
-        if size < tolerance:
+    likelihood, gradient, hessian = _cox_step(data, beta, p, pairs, ties, limit)
+    taken, converged = 0, False
+    while taken < steps and not converged:
+        try:
+            move = np.linalg.solve(hessian, gradient)
+        except np.linalg.LinAlgError:
             break
-    error = np.sqrt(np.diag(np.linalg.inv(hessian))) / scales
-    return HazardFit(covariates, beta / scales, error, likelihood, taken, means)
-
-
-def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, spread: int, limit):
+        taken += 1
+        size = float(np.abs(move).max())
+        move = move * min(1.0, 5.0 / size if size else 1.0)
+        for _ in range(20):
+            found = _cox_step(data, beta + move, p, pairs, ties, limit)
+            if found[0] is not None and found[0] >= likelihood - 1e-9 * abs(likelihood):
+                break
+            move = move / 2
+        beta = beta + move
+        likelihood, gradient, hessian = found
+        converged = size < tolerance
+    try:
+        error = np.sqrt(np.diag(np.linalg.inv(hessian))) / scales
+    except np.linalg.LinAlgError:
+        error, converged = np.full(p, np.nan), False
+    return HazardFit(covariates, beta / scales, error, likelihood, taken, means, converged)
+
+
+def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
     x = [F.col(f"x{i}") for i in range(p)]
     risk = sum((float(b) * xi for b, xi in zip(beta, x)), F.lit(0.0))
     weighted = data.withColumn("_w", F.exp(risk)).withColumn("_r", risk)
@@ -418,26 +436,45 @@ def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, spread: int, limi
     sums = ordered_scan(
         per_time, [], [F.col("t").desc(), F.col("_entry").desc()], {f"r_{c}": running_sum(c) for c in risk_names}, limit
     ).filter(F.col("k") > 0)
+    r0, b0, k = F.col("r_a0"), F.col("b0"), F.col("k")
     if ties == "efron":
-        blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / _TIES_PER_ROW).cast("int")))
+        # sums over the ties of f^m / s0 and f^m / s0^2 with f = tie / k, made inside the row
+        sums = sums.withColumn(
+            "_block", F.explode(F.sequence(F.lit(0), F.floor((k - 1) / _TIES_PER_ROW).cast("int")))
+        )
         first = F.col("_block").cast("long") * _TIES_PER_ROW
-        last = F.least(first + (_TIES_PER_ROW - 1), F.col("k").cast("long") - 1)
-        sums = sums.withColumn("_block", blocks)
-        if spread:
-            sums = sums.repartition(spread, "t", "_block")
-        sums = sums.withColumn("_tie", F.explode(F.sequence(first, last)))
-        share = F.col("_tie") / F.col("k")
-        lead = F.when(F.col("_tie") == 0, 1.0).otherwise(0.0)
-        times = F.lit(1.0)
+        tied = F.sequence(first, F.least(first + (_TIES_PER_ROW - 1), k.cast("long") - 1))
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("l", "a0", "a1", "b0", "b1", "b2")])
+
+        def add(total: Column, tie: Column) -> Column:
+            f = tie / k
+            s0 = r0 - f * b0
+            return F.struct(
+                (total["l"] + F.log(s0)).alias("l"), (total["a0"] + 1 / s0).alias("a0"), (total["a1"] + f / s0).alias("a1"),
+                (total["b0"] + 1 / (s0 * s0)).alias("b0"), (total["b1"] + f / (s0 * s0)).alias("b1"),
+                (total["b2"] + f * f / (s0 * s0)).alias("b2"),
+            )
+
+        sums = sums.withColumn("_s", F.aggregate(tied, zero, add))
+        lead = F.when(F.col("_block") == 0, 1.0).otherwise(0.0)
     else:
-        share, lead, times = F.lit(0.0), F.lit(1.0), F.col("k")
-    s0 = F.col("r_a0") - share * F.col("b0")
-    s1 = [F.col(f"r_a1_{i}") - share * F.col(f"b1_{i}") for i in range(p)]
-    s2 = {(i, j): F.col(f"r_a2_{i}_{j}") - share * F.col(f"b2_{i}_{j}") for i, j in pairs}
+        one = F.lit(0.0)
+        sums = sums.withColumn("_s", F.struct(
+            (k * F.log(r0)).alias("l"), (k / r0).alias("a0"), one.alias("a1"), (k / (r0 * r0)).alias("b0"),
+            one.alias("b1"), one.alias("b2"),
+        ))
+        lead = F.lit(1.0)
+    s = {n: F.col(f"_s.{n}") for n in ("l", "a0", "a1", "b0", "b1", "b2")}
+    r1, d1 = [F.col(f"r_a1_{i}") for i in range(p)], [F.col(f"b1_{i}") for i in range(p)]
+
+    def information(i: int, j: int) -> Column:
+        square = r1[i] * r1[j] * s["b0"] - (r1[i] * d1[j] + r1[j] * d1[i]) * s["b1"] + d1[i] * d1[j] * s["b2"]
+        return F.col(f"r_a2_{i}_{j}") * s["a0"] - F.col(f"b2_{i}_{j}") * s["a1"] - square
+
     row = sums.agg(
-        F.sum(lead * F.col("kr") - times * F.log(s0)).alias("l"),
-        *[F.sum(lead * F.col(f"kx_{i}") - times * s1[i] / s0).alias(f"g{i}") for i in range(p)],
-        *[F.sum(times * (s2[i, j] / s0 - s1[i] * s1[j] / (s0 * s0))).alias(f"h{i}_{j}") for i, j in pairs],
+        F.sum(lead * F.col("kr") - s["l"]).alias("l"),
+        *[F.sum(lead * F.col(f"kx_{i}") - (r1[i] * s["a0"] - d1[i] * s["a1"])).alias(f"g{i}") for i in range(p)],
+        *[F.sum(information(i, j)).alias(f"h{i}_{j}") for i, j in pairs],
     ).first()
     gradient = np.array([row[f"g{i}"] for i in range(p)])
     hessian = np.zeros((p, p))
@@ -446,6 +483,78 @@ def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, spread: int, limi
     return row["l"], gradient, hessian
 
 
+def baseline_hazard(
+    df: DataFrame, fit: HazardFit, duration: str, event: str, limit: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """Breslow's cumulative hazard of a subject with mean covariates, per event time."""
+    died = F.coalesce(F.col(event).cast("boolean").cast("long"), F.lit(0).cast("long"))
+    per_time = freeze(
+        df.filter(F.col(duration).isNotNull()).groupBy(F.col(duration).cast("double").alias("t")).agg(
+            F.sum(F.exp(fit.risk())).alias("_w"), F.sum(died).alias("d")
+        )
+    )
+    at_risk = ordered_scan(per_time, [], [F.col("t").desc()], {"_risk": running_sum("_w")}, limit)
+    steps = at_risk.withColumn("_step", ratio("d", "_risk"))
+    return ordered_scan(steps, [], ["t"], {"hazard": running_sum("_step")}, limit, per_time).filter("d > 0").select(
+        "t", "d", "hazard"
+    )
+
+
+def subject_curves(baseline: DataFrame, subjects: DataFrame, fit: HazardFit, key: str) -> DataFrame:
+    """Survival of each subject at every event time; a row per subject and time, so subjects are few or chosen."""
+    scored = freeze(subjects.select(key, F.exp(fit.risk()).alias("_factor")))
+    curve = freeze(baseline.agg(F.array_sort(F.collect_list(F.struct("t", "hazard"))).alias("_curve")))
+    return scored.join(F.broadcast(curve)).select(key, "_factor", F.explode("_curve").alias("c")).select(
+        key, "c.t", F.exp(-F.col("c.hazard") * F.col("_factor")).alias("survival")
+    )
+
+
+def additive_hazard(
+    df: DataFrame, covariates: list[str], duration: str, event: str, ridge: float = 0.0,
+    limit: int | None = ROWS_PER_GROUP,
+) -> DataFrame:
+    """Aalen's additive model: cumulative regression functions of the baseline and every covariate.
+
+    Per event time one small matrix of sums over the risk set is solved; the
+    rows themselves are read once.  A matrix that is singular, or nearly so as
+    at the end of a study, adds nothing.
+    """
+    names = ["baseline", *covariates]
+    p = len(names)
+    x = [F.lit(1.0)] + [F.col(c).cast("double") for c in covariates]
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    died = F.coalesce(F.col(event).cast("boolean"), F.lit(False))
+    per_time = freeze(
+        df.filter(F.col(duration).isNotNull()).groupBy(F.col(duration).cast("double").alias("t")).agg(
+            *[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs],
+            *[F.sum(F.when(died, x[i]).otherwise(0.0)).alias(f"d{i}") for i in range(p)],
+        )
+    )
+    at_risk = ordered_scan(
+        per_time, [], [F.col("t").desc()], {f"r{i}_{j}": running_sum(f"m{i}_{j}") for i, j in pairs}, limit
+    ).filter("d0 > 0").select("t", *[f"r{i}_{j}" for i, j in pairs], *[f"d{i}" for i in range(p)])
+
+    def solve(batches):
+        for batch in batches:
+            out = np.zeros((len(batch), p))
+            for n, row in enumerate(batch.itertuples(index=False)):
+                values = row._asdict()
+                m = np.zeros((p, p))
+                for i, j in pairs:
+                    m[i, j] = m[j, i] = values[f"r{i}_{j}"]
+                m += ridge * np.eye(p)
+                if np.linalg.det(m) > 1e-6 * np.prod(np.diag(m)):
+                    out[n] = np.linalg.solve(m, [values[f"d{i}"] for i in range(p)])
+            found = batch[["t"]].copy()
+            for i in range(p):
+                found[f"s{i}"] = out[:, i]
+            yield found
+
+    steps = freeze(at_risk.mapInPandas(solve, "t double, " + ", ".join(f"s{i} double" for i in range(p))))
+    summed = ordered_scan(steps, [], ["t"], {f"c{i}": running_sum(f"s{i}") for i in range(p)}, limit)
+    return summed.select("t", *[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
+
+
 # ---- concordance -----------------------------------------------------------
 
 

@@ -13,8 +13,6 @@ STATIC = ["latitude", "longitude", "offices", "products", "experience"]
 KINDS = ["funded", "milestone", "investment", "acquisition"]
 DYNAMIC = ["mean_famt", "famt_cumsum"] + [c for k in KINDS for c in (f"mean_{k}_time", f"{k}_events")]
 NUMERIC = STATIC + DYNAMIC
-# cut ages are whole days, so this many cover more than a century
-MOST_CUTS = 40_000
 
 
 def category_columns(categories: list[str]) -> list[str]:
@@ -54,20 +52,16 @@ def feature_matrix(
 
 
 def cut_ages(timeline: DataFrame, labels: DataFrame, step: int = 1) -> DataFrame:
-    """Cut of every unlabelled company: its own age, rounded up to a multiple of ``step`` days."""
+    """Cut of every unlabelled company: its own age, rounded up to a multiple of ``step`` days.
+
+    ``age`` stays beside it, since a company's own events count only up to its own age.
+    """
     young = labels.filter(F.col("label") == YOUNG).select("id")
     return ages(timeline).join(young, "id", "left_semi").select(
-        "id", (F.ceil(F.col("age") / step) * step).cast("int").alias("cut")
+        "id", (F.ceil(F.col("age") / step) * step).cast("int").alias("cut"), F.col("age").cast("int").alias("age")
     )
 
 
-def cut_list(cuts: DataFrame) -> list[int]:
-    found = cuts.select("cut").filter(F.col("cut").isNotNull()).distinct().limit(MOST_CUTS + 1).collect()
-    if len(found) > MOST_CUTS:
-        raise ValueError("too many distinct cuts; use a larger step")
-    return sorted(r[0] for r in found)
-
-
 def _day_totals(timeline: DataFrame) -> DataFrame:
     """Addable parts of the event features per company and day."""
     parts = [
@@ -111,13 +105,6 @@ def states(timeline: DataFrame, entity: DataFrame | None = None, limit: int | No
     return run.select("id", "day", "next_day", *columns)
 
 
-def _constant_array(values: list[int], kind: str) -> Column:
-    """One folded literal, however long the list is."""
-    if not values:
-        return F.array().cast(f"array<{kind}>")
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def asof_matrix(
     timeline: DataFrame,
     entity: DataFrame,
@@ -129,25 +116,28 @@ def asof_matrix(
     """Feature matrix per cut, from events strictly younger than the cut.
 
     A cut holds every labelled company, and the unlabelled ones whose own cut
-    it is.  Companies and their states meet on the id; only then does each
-    state write out the cuts it is valid for, so nothing but result rows is
-    made and none of them is shuffled by company.  Filling and scaling happen
-    inside the cut.
+    it is; those are seen as of their own age, which a rounded cut may exceed.
+    Companies and their states meet on the id; only then does each state write
+    out the cuts it is valid for, so nothing but result rows is made and none
+    of them is shuffled by company.  Filling and scaling happen inside the cut.
     """
-    days = cut_list(cuts)
-    end = max(days, default=-1)
-    wanted = set(days)
-    is_cut = _constant_array([int(d in wanted) for d in range(end + 1)], "boolean")
-    roles = labels.join(cuts, "id", "left").select("id", (F.col("label") == YOUNG).alias("is_query"), "cut")
-    companies = entity.join(roles, "id").select("id", "category_code", "is_query", F.col("cut").alias("_own"), *STATIC)
-    last = F.least(F.coalesce("next_day", F.lit(end)), F.lit(end))
-    span = F.sequence(F.col("day") + 1, last)
-    valid = F.when(
-        F.col("is_query"), F.filter(F.array("_own"), lambda c: (c > F.col("day")) & (c <= last))
-    ).otherwise(F.filter(span, lambda c: F.element_at(is_cut, c + 1)))
+    # cuts are whole days of age: one row, as long as the oldest company has days
+    calendar = freeze(
+        cuts.agg(F.array_sort(F.collect_set("cut")).alias("_cuts"), F.coalesce(F.max("cut"), F.lit(-1)).alias("_end"))
+    )
+    roles = labels.join(cuts, "id", "left").select("id", (F.col("label") == YOUNG).alias("is_query"), "cut", "age")
+    companies = entity.join(roles, "id").select(
+        "id", "category_code", "is_query", F.col("cut").alias("_own"), F.col("age").alias("_age"), *STATIC
+    )
+    last = F.coalesce("next_day", "_end")
+    own = (F.col("_age") > F.col("day")) & (F.col("_age") <= F.coalesce("next_day", "_age"))
+    valid = F.when(F.col("is_query"), F.when(own, F.array("_own"))).otherwise(
+        F.filter("_cuts", lambda c: (c > F.col("day")) & (c <= last))
+    )
     raw = (
         states(timeline, entity, limit)
-        .filter(F.col("day") < end)
+        .join(F.broadcast(calendar))
+        .filter(F.col("day") < F.col("_end"))
         .join(companies, "id")
         .withColumn("cut", F.explode(valid))
         .select("cut", "id", "is_query", *NUMERIC, *indicators("category_code", categories, "category_"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import date_text, display_names, money_text, percent_text, spaced, starts_with
 from ..operators.scan import ROWS_PER_GROUP, ordered_scan, row_number
-from ..operators.similar import BLOCK_ROWS, nearest
+from ..operators.similar import nearest
 from .labels import LATE, SLOW, TIMELY
 from .matrix import NUMERIC, category_columns
 
@@ -134,7 +134,7 @@ def success_messages(static: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def comparable_companies(
-    asof: DataFrame, categories: list[str], k: int = 6, block_rows: int = BLOCK_ROWS
+    asof: DataFrame, categories: list[str], k: int = 6, block_rows: int | None = None
 ) -> DataFrame:
     """The labelled companies most similar to each unlabelled one, as of its own age."""
     vector = F.array(*[F.col(c).cast("double") for c in [*NUMERIC, *category_columns(categories)]])

@@ -24,23 +24,27 @@ from .entity import founded_companies
 
 
 def survival_input(
-    objects: DataFrame, funding_rounds: DataFrame, today: str, limit: int | None = ROWS_PER_GROUP
+    static: DataFrame, objects: DataFrame, funding_rounds: DataFrame, limit: int | None = ROWS_PER_GROUP
 ) -> DataFrame:
-    """Companies as (start, stop] intervals with the latest and the summed funding amount."""
+    """Funded companies as (start, stop] intervals with the latest and the summed funding amount.
+
+    A company lasts to its age at exit, or to its present age if it has none;
+    only companies with a dated round of known amount enter.
+    """
     companies = founded_companies(objects)
-    subjects = companies.select(
-        "id", "category_code", F.col("status").isin("acquired", "ipo").alias("success"),
-        days_between("founded_at", F.lit(today).cast("date")).alias("age"),
-    )
     amounts = (
         funding_rounds.filter(F.col("raised_amount_usd").isNotNull())
         .select(F.col("object_id").alias("id"), "funded_at", "raised_amount_usd")
         .join(companies.select("id", "founded_at"), "id")
         .select("id", days_between("founded_at", "funded_at").alias("t"), "raised_amount_usd")
+        .filter(F.col("t").isNotNull())
     )
     # amounts of one day are added up before anything is ordered
     daily = freeze(amounts.groupBy("id", "t").agg(F.sum("raised_amount_usd").alias("raised_amount_usd")))
-    base = long_format(subjects, "age")
+    subjects = static.select(
+        "id", "category_code", F.col("status").isin("acquired", "ipo").alias("success"), "age_at_exit"
+    ).join(daily.select("id"), "id", "left_semi")
+    base = freeze(long_format(subjects, "age_at_exit"))
     summed = freeze(add_covariates(base, daily, "id", "t", "success", cumulative=True, limit=limit))
     return add_covariates(summed, daily, "id", "t", "success", limit=limit)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
@@ -83,5 +85,21 @@ def table_listing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
 
 
+def table_profile(frames: dict[str, DataFrame]) -> DataFrame:
+    """Columns of all frames with their types, and how many rows and known values they hold; one aggregate a frame."""
+    parts = []
+    for name, df in frames.items():
+        counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_known_{c}") for c in df.columns])
+        cells = [
+            F.struct(
+                F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(kind).alias("data_type"),
+                F.col("_rows").alias("n_rows"), F.col(f"_known_{c}").alias("n_known"),
+            )
+            for c, kind in df.dtypes
+        ]
+        parts.append(counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_rows(df: DataFrame, count: int = 1) -> DataFrame:
     return df.limit(count)
