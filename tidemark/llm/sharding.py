@@ -1,9 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows of every shard are balanced together.
 
-Equal texts form a group that stays in one shard unless it outweighs a cell; such a heavy group is cut into pieces by
-document id. Light groups share cells by hash. Cells and pieces are summed in one aggregation and are of bounded number,
-so the greedy packing runs on the driver: heaviest first, each into the shard where the dot product of its load with the
-residual capacity is highest.
+Equal texts form a group that stays in one shard, unless it has more than half of a shard's bytes, tokens or rows:
+then it is cut into pieces by document id. Groups lighter than a cell share cells by hash, heavier ones are placed by
+themselves. Cells and pieces are summed in one aggregation and are of bounded number, so the greedy packing runs on the
+driver: heaviest first, each into the shard where the dot product of its load with the residual capacity is highest.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def placed(slim: DataFrame, shards: int = 24, cells: int = CELLS) -> DataFrame:
     """Adds the shard to measured documents.
 
     A group is heavy when one of its loads is above the mean cell; there are at most three times as many heavy groups as
-    cells. It is cut into pieces of about half a cell by the hash of doc_id.
+    cells. One with more than half of a shard is cut into pieces of about a sixteenth by the hash of doc_id.
     """
     spark = slim.sparkSession
     n = shards * cells
@@ -62,8 +62,9 @@ def placed(slim: DataFrame, shards: int = 24, cells: int = CELLS) -> DataFrame:
     loads = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     share = F.greatest(*[F.col(c) / x for c, x in zip(("size", "tokens", "rows"), limit, strict=True)])
     groups = slim.groupBy("grp").agg(*loads).withColumn("share", share)
-    heavy = groups.where((F.col("share") > 1) & (F.col("rows") > 1))
-    heavy = freeze(heavy.select("grp", F.ceil(F.col("share") * 2).cast("long").alias("pieces")))
+    large = (F.col("share") > cells / 2) & (F.col("rows") > 1)
+    pieces = F.when(large, F.ceil(F.col("share") * 16 / cells)).otherwise(1).cast("long")
+    heavy = freeze(groups.where(F.col("share") > 1).select("grp", pieces.alias("pieces")))
     keyed = slim.join(heavy, "grp", "left").withColumn(
         "cell",
         F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("grp"), F.lit(n)))
