@@ -24,7 +24,7 @@ from .words import runs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_PAGES = 400
-#: Cost of a tag in words per unit of log odds, its bounds, and the cost of a tag that no labelled page has.
+#: Cost of a tag in words per unit of log odds, its bounds, and the cost of a block tag that no labelled page has.
 SCALE, LEAST, MOST, UNKNOWN = 4.0, 0.05, 40.0, 3.0
 
 TOKEN = re.compile(
@@ -115,7 +115,10 @@ def extract(page: str, weights: dict[str, float]) -> str:
     words: list[str] = []
     cost = 0.0
     skipped, skip_name = 0, ""
-    articles = 0
+    inside = 0  # open article and main elements
+
+    def cost_of(key: str, name: str) -> float:
+        return weights.get(key, weights.get(name, -UNKNOWN if name in BLOCKS else -LEAST))
 
     def close_block():
         nonlocal cost
@@ -143,25 +146,27 @@ def extract(page: str, weights: dict[str, float]) -> str:
                 close_block()
             elif name == "br":
                 words.append(" ")
-            cost += weights.get(key, weights.get(name, -UNKNOWN))
-            if name == "article":
-                articles += 1
-            if (aside or (name == "header" and not articles)) and name not in VOID:
+            if name in ("article", "main"):
+                inside += 1
+            if (aside or (name == "header" and not inside)) and name not in VOID:
                 close_block()
                 skipped, skip_name = 1, name
+            # What is left out of an article does not part it.
+            if not (skipped and inside):
+                cost += cost_of(key, name)
         elif skipped:
             if name == skip_name:
                 skipped -= 1
-                if not skipped:
-                    cost += weights.get(name, -UNKNOWN)
+                if not skipped and not inside:
+                    cost += cost_of(name, name)
             elif name in ("body", "html"):
                 skipped = 0
         else:
             if name in BLOCKS:
                 close_block()
-            if name == "article":
-                articles = max(0, articles - 1)
-            cost += weights.get(name, -UNKNOWN) / 2
+            if name in ("article", "main"):
+                inside = max(0, inside - 1)
+            cost += cost_of(name, name) / 2
     close_block()
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for k, (tags, text) in enumerate(blocks):
@@ -176,9 +181,14 @@ def extract(page: str, weights: dict[str, float]) -> str:
 
 
 def labelled_pages(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    """At most `most` pages with an article element."""
+    """At most `most` pages with an article element; only their hashes are compared, then only they are fetched."""
     marked = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("page_id", F.lit(5)).alias("h"))
-    return [r.html for r in marked.orderBy("h", "html").limit(most).collect()]
+    last = marked.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    # Rows that share an id share a hash; the limit below keeps the sample bounded all the same.
+    chosen = marked.where(F.col("h") <= last).orderBy("h", F.xxhash64("html"))
+    return [r.html for r in chosen.limit(most).collect()]
 
 
 def main_texts(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
