@@ -13,17 +13,20 @@ from tidemark.llm.frames import freeze, table, tune
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language can be told: without text or letters."""
+    tune(spark)
     named = language_id.identify(docs, language_id.fit(docs))
     return named.where(named[named.columns[-2]] != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked at a similarity of 0.8 over five-word shingles."""
+    tune(spark)
     return near_dedup.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
+    tune(spark)
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -51,7 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tune(spark)
     for _, stage in STAGES[:-1]:
         docs = freeze(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

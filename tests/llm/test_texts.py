@@ -92,7 +92,7 @@ def test_license_places_equal_sql(spark):
 def test_notices_with_small_changes_are_found(spark):
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     changed = bsd.replace("binary forms", "compiled binary forms").replace("provided that", "provided")
-    data = [(1, f"Some text. {bsd}:"), (2, f"Some text. {changed}"), (3, "redistribution and use of gravel"), (4, bsd.replace(" and ", " et ").replace(" or ", " ou ").replace("in ", "dans "))]
+    data = [(1, f"Some text. {bsd}:"), (2, f"Some text. {changed}"), (3, "redistribution and use of gravel"), (4, " ".join("gravel" if k % 4 == 3 else w for k, w in enumerate(bsd.split())))]
     got = {r.doc_id: (r.labels, r.base_labels, r.n_base, r.first_word) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got[1] == ("bsd", "", 0, None) and got[2] == ("bsd", "", 0, None)
     assert got[3] == ("", "", 0, None) and got[4] == ("", "", 0, None)
@@ -108,7 +108,7 @@ def test_automaton_gives_longest_matches():
     table = language_id.automaton(sample, symbols)
     known = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, len(sample) + 1)}
     for _ in range(20):
-        text = [rnd.randrange(2, 6) for _ in range(rnd.randrange(1, 400))]
+        text = [rnd.randrange(2, 5) for _ in range(rnd.randrange(1, 400))]
         count, at = 0, 0
         while at < len(text):
             end = at + 1

@@ -9,7 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import freeze, frozen_path, tune
+from ..session import freeze, frozen_path
+from ..session import tune as tune_skew
 
 __all__ = ["freeze", "frozen_path", "tune", "table", "word_count", "text_bytes", "fresh", "parts_for", "unsigned_crc"]
 
@@ -20,6 +21,18 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to Python; texts are long, and a worker holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The library's settings and small batches, unless the session states them itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return tune_skew(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 

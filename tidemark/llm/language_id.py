@@ -22,7 +22,7 @@ from .words import runs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_CHARS = 24, 2_000, 2_000_000
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_CHARS = 12, 2_000, 1_000_000
 #: Letters with a symbol of their own; rarer ones share one.
 LETTERS = 80
 #: Characters of a lane. Long texts are parsed in lanes side by side; a lane's end closes a phrase in every language.
@@ -108,7 +108,7 @@ def lanes(codes: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray,
 
 
 def phrases(matrix: np.ndarray, table: np.ndarray, symbols: int) -> np.ndarray:
-    """Phrases that each lane needs against one automaton."""
+    """Phrases that each lane needs against one automaton; a letter that the sample lacks closes a phrase."""
     state = np.zeros(matrix.shape[1], dtype=np.int32)
     count = np.ones(matrix.shape[1], dtype=np.int32)
     for row in matrix:
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch, texts in runs(batches, limit=4 << 20):
+        for batch, texts in runs(batches, limit=2 << 20):
             names, margins = classify([t.decode("utf-8", "replace") for t in texts], own)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(margins, pa.float64())],
