@@ -148,7 +148,7 @@ def asked(row: dict, parts: int):
     """The regions that a pack asks about.
 
     Returns its bytes, text bounds and ids; the first window, text and region number of every run; and per number the
-    key, region hash, first window, last window, smallest and largest document. The same pack and answers always give
+    key, first window, last window, smallest and largest document. The same pack and answers always give
     the same numbers.
     """
     raw, bounds, ids, known = pack_parts(row)
@@ -175,7 +175,7 @@ def asked(row: dict, parts: int):
         least, most = np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts)
     else:
         least = most = np.zeros(0, dtype=np.int64)
-    return raw, bounds, ids, (first, text, number), (key[pick], region[pick], first[pick], last[pick], least, most)
+    return raw, bounds, ids, (first, text, number), (key[pick], first[pick], last[pick], least, most)
 
 
 def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -330,14 +330,19 @@ def settle(data: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarr
 
 
 def _packs(batches):
-    """Packs of about PACK_BYTES; a longer text is a pack of its own."""
+    """Packs of about PACK_BYTES; a longer text is a pack of its own.
+
+    Their numbers follow from the task and the order of its rows, so a task that runs again makes the same packs.
+    """
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    held, size = [], 0
+    held, size, made = [], 0, TaskContext.get().partitionId() << 24
 
     def packed():
+        nonlocal made
         texts = [t for _, t in held]
-        pack = uuid.uuid4().int >> 65
+        pack, made = made, made + 1
         columns = [[pack], [[i for i, _ in held]], [[len(t) for t in texts]], [b"".join(texts)]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "ids", "sizes", "bytes"])
@@ -413,12 +418,12 @@ def _shared(frame):
 
 
 def _asks(parts: int):
-    """(key, region_hash, region, pack, number, least, most): the distinct shared regions of a pack."""
+    """(key, region, pack, number, least, most): the distinct shared regions of a pack."""
     import pyarrow as pa
 
     def run(batches):
         for row in _rows(batches):
-            raw, _, _, _, (key, region, first, last, least, most) = asked(row, parts)
+            raw, _, _, _, (key, first, last, least, most) = asked(row, parts)
             size = last - first + LENGTH
             for lo in range(0, len(key), 50_000):
                 part = slice(lo, min(len(key), lo + 50_000))
@@ -427,7 +432,7 @@ def _asks(parts: int):
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key[part].view(np.int64)), pa.array(region[part].view(np.int64)),
+                        pa.array(key[part].view(np.int64)),
                         pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), joined]),
                         pa.array(np.full(n, row["pack"], dtype=np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32)),
                         pa.array(least[part]), pa.array(most[part]),
@@ -438,24 +443,38 @@ def _asks(parts: int):
     return run
 
 
-ASK = "key long, region_hash long, region binary, pack long, number int, least long, most long"
+ASK = "key long, region binary, pack long, number int, least long, most long"
 SEGMENT = np.dtype([("number", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("least", "<i8")])
 
 
+def region_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hash of every region data[offsets[k] : offsets[k + 1]], from the eight-byte words at both ends."""
+    words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    begin, end = offsets[:-1], offsets[1:]
+    out = (end - begin).astype(np.uint64)
+    # Six words reach 48 bytes from either end; no region has more than 2 * LENGTH - GRAM bytes.
+    for k in range(6):
+        for at in (begin + 8 * k, end - 8 * (k + 1)):
+            out = (out ^ words[at]) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+    return mix64(out)
+
+
 def _settled(table):
     """(pack, segments): runs of windows of a region with the smallest document that has them."""
     import pyarrow as pa
 
     table = table.combine_chunks()
-    column = {n: table[n].to_numpy() for n in ("key", "region_hash", "pack", "number", "least", "most")}
+    column = {n: table[n].to_numpy() for n in ("key", "pack", "number", "least", "most")}
     region = table["region"].combine_chunks()
     region = region.chunk(0) if isinstance(region, pa.ChunkedArray) else region
     region = region.cast(pa.large_binary())
     _, offsets, data = region.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[region.offset : region.offset + len(region) + 1]
     data = np.frombuffer(data, dtype=np.uint8)
-    order = np.lexsort((column["region_hash"], column["key"]))
-    key, code = column["key"][order], column["region_hash"][order]
+    code = region_codes(data, offsets)
+    order = np.lexsort((code, column["key"]))
+    key, code = column["key"][order], code[order]
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     new = new_key.copy()
     new[1:] |= code[1:] != code[:-1]
@@ -547,7 +566,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Texts are UTF-8 bytes, NULL as empty; strings do not cross documents and are judged on the input. Rows with the same
     doc_id do not remove each other's strings. A NULL doc_id is smaller than none and loses nothing. Texts shorter than
-    LENGTH stay whole.
+    LENGTH stay whole. The documents are read as they lie in their table; freeze a frame that a shuffle made first.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -556,7 +575,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = parts_for(total, BUCKET_BYTES, 6)
     name = f"packs_{uuid.uuid4().hex}"
     packs = slim.mapInArrow(_packs, "pack long, ids array<long>, sizes array<long>, bytes binary").repartition(buckets, "pack")
-    packs.write.bucketBy(buckets, "pack").option("path", frozen_path(spark)).saveAsTable(name)
+    packs.write.bucketBy(buckets, "pack").option("compression", "zstd").option("path", frozen_path(spark)).saveAsTable(name)
     packs = spark.table(name)
 
     anchors = packs.mapInArrow(_anchors(parts), "part int, pack long, hashes binary")
