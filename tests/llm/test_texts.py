@@ -64,6 +64,29 @@ def test_quality_keeps_good_documents(spark, folder):
     assert got.where("quality = 1 and not base_failed and not kept").count() == 0
 
 
+def test_letters_without_common_words_are_turned_down(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    refs = quality.references(docs)
+    rnd = random.Random(4)
+    plain = " ".join(r.text for r in docs.where("lang = 'en' and length(text) > 1200").limit(20).collect())
+    junk = [" ".join("".join(rnd.choices(re.sub("[^a-z]", "", plain.lower()), k=rnd.randrange(7, 12))) for _ in range(300)) for _ in range(5)]
+    extra = spark.createDataFrame([(-k, "en", t) for k, t in enumerate(junk, 1)], docs.schema)
+    for r in quality.assess(extra, refs).collect():
+        assert not r.base_failed and r.char_distance < quality.FAR_CHARS and not r.kept
+    for _, _, shares, limit in refs.values():
+        nothing = np.append(np.zeros(len(shares) - 1), 1.0)
+        assert limit < quality.distance(nothing, shares)
+
+
+def test_common_words_may_be_long(spark):
+    rnd = random.Random(5)
+    often = ["notwithstanding", "hereinafter", "aforementioned"]
+    text = " ".join(rnd.choice(often) if k % 3 else f"w{rnd.randrange(10**9)}" for k in range(600))
+    refs = quality.references(spark.createDataFrame([(1, "x", text)], "doc_id long, lang string, text string"))
+    assert 1 - refs["x"][2][-1] > 0.6
+    assert quality.word_limit(np.array([0.01, 0.99])) == np.inf
+
+
 def test_distance():
     p, q = np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]), np.array([0.5, 0.5, 0.0])
     assert np.allclose(quality.distance(p, q), [0, 1])

@@ -1,9 +1,12 @@
 """Quality rules: counts per document, and how far its characters and common words are from those of any language.
 
-The reference of a language holds the shares of 14 character classes and of its `COMMON` most frequent short words over
-all documents labelled with it. A document is measured against every language by the Jensen-Shannon distance (the root
-of the divergence in bits, 0 to 1), and the nearest one counts, so a wrong or missing label does no harm. Short
-documents are noisy: a distance only counts from a least length on.
+The reference of a language holds the shares of 14 character classes and of its `COMMON` most frequent words over all
+documents labelled with it. A document is measured against every language by the Jensen-Shannon distance (the root of
+the divergence in bits, 0 to 1), and it is kept if any one language accepts both, so a wrong or missing label does no
+harm. Short documents are noisy: a distance only counts from a least length on.
+
+Most words of any text are not common ones, so a text without a single common word is far less than 1 away. The limit
+for words therefore comes from the reference: the distance of a text that has its common words `FAINT` times as often.
 """
 
 from __future__ import annotations
@@ -21,11 +24,17 @@ from .words import grams, runs, word_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CLASSES = 14
-#: Common words of a language, and the most bytes that a word may have to be one.
-COMMON, WORD_BYTES = 50, 6
-#: Least length for a verdict, in characters and in words, and the distances from which a document is turned down.
+#: Common words of a language.
+COMMON = 50
+#: Least length for a verdict, in characters and in words, and the distance of characters that turns a document down.
 LEAST_CHARS, LEAST_WORDS = 200, 100
-FAR_CHARS, FAR_WORDS = 0.30, 0.45
+FAR_CHARS = 0.30
+#: A text with this part of the common words that a language leads to expect, or less, is turned down by its words.
+FAINT = 0.05
+#: Common words that hold a smaller share of all words (as without blanks between words) cannot tell.
+TELLING = 0.10
+#: Distinct words that a task holds before it passes their counts on.
+HELD_WORDS = 500_000
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -50,28 +59,11 @@ def class_counts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return flat.reshape(-1, CLASSES)
 
 
-def short_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A-Z lowered words of at most WORD_BYTES bytes as numbers, their text, words of each text)."""
-    inside = ~np.isin(raw, np.frombuffer(b" \t\n\x0b\f\r", dtype=np.uint8))
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = bounds[1:-1]
-    edges = edges[(edges > 0) & (edges < len(raw))]
-    first[edges] = inside[edges]
-    last[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    owner = np.searchsorted(bounds, starts, side="right") - 1
-    n_words = np.bincount(owner, minlength=len(bounds) - 1)
-    size = ends - starts
-    small = size <= WORD_BYTES
-    starts, size, owner = starts[small], size[small], owner[small]
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.int64)
-    low = np.append(low, np.zeros(WORD_BYTES, dtype=np.int64))
-    key = np.zeros(len(starts), dtype=np.int64)
-    for k in range(WORD_BYTES):
-        key = np.where(k < size, key * 256 + low[starts + k], key)
-    return key, owner, n_words
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(A-Z lowered words as 63-bit hashes, their text, words of each text)."""
+    words, at = word_hashes(texts, "blank_fold")
+    n_words = np.diff(at)
+    return (words >> np.uint64(1)).astype(np.int64), np.repeat(np.arange(len(texts)), n_words), n_words
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +72,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tally(batches):
-    """(lang, key, n): short words by number, all words as -1, characters of class c as -2 - c."""
+    """(lang, key, n): words by hash, all words as -1, characters of class c as -2 - c."""
     import pandas as pd
     import pyarrow as pa
 
@@ -92,7 +84,7 @@ def _tally(batches):
     held = 0
     for batch, texts in runs(batches):
         raw, bounds = joined(texts)
-        key, owner, n_words = short_words(raw, bounds)
+        key, owner, n_words = words_of(texts)
         classes = class_counts(raw, bounds)
         labels = batch.column(batch.schema.get_field_index("lang")).to_pylist()
         for lang in {x for x in labels if x is not None}:
@@ -104,13 +96,15 @@ def _tally(batches):
             held += len(n)
         if held > 1_000_000:
             kept = [squeezed()]
-            held = len(kept[0]) // 2
+            if len(kept[0]) > HELD_WORDS:
+                yield pa.RecordBatch.from_pandas(kept.pop(), preserve_index=False)
+            held = sum(map(len, kept))
     if kept:
         yield pa.RecordBatch.from_pandas(squeezed(), preserve_index=False)
 
 
 def references(docs: DataFrame) -> dict:
-    """Per language the class shares, the common words and their shares; from all labelled documents.
+    """Per language the class shares, the common words, their shares and the limit; from all labelled documents.
 
     The driver gets COMMON words and the classes per distinct label.
     """
@@ -125,10 +119,20 @@ def references(docs: DataFrame) -> dict:
         words = np.array(sorted(k for k in own if k >= 0), dtype=np.int64)
         shares = np.array([own[w] for w in words], dtype=float) / max(1, own.get(-1, 0))
         if chars.sum() and own.get(-1, 0):
-            out[lang] = (chars / chars.sum(), words, np.append(shares, max(0.0, 1 - shares.sum())))
+            word_shares = np.append(shares, max(0.0, 1 - shares.sum()))
+            out[lang] = (chars / chars.sum(), words, word_shares, word_limit(word_shares))
     return out
 
 
+def word_limit(shares: np.ndarray) -> float:
+    """Distance from which words speak against a language; `shares` are those of its common words, and the rest."""
+    if 1 - shares[-1] < TELLING:
+        return np.inf
+    faint = FAINT * shares
+    faint[-1] = 1 - faint[:-1].sum()
+    return float(distance(faint, shares))
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of each row of p to q."""
 
@@ -138,24 +142,29 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2, 0, 1))
 
 
-def divergences(texts: list[bytes], refs: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest distance of characters and of common words to any language; 0 where the text is too short to tell."""
+def divergences(texts: list[bytes], refs: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest distance of characters and of common words to any language, 0 where the text is too short to tell; and
+    whether a language accepts both."""
     raw, bounds = joined(texts)
     chars = class_counts(raw, bounds)
-    key, owner, n_words = short_words(raw, bounds)
+    key, owner, n_words = words_of(texts)
     n_chars = chars.sum(axis=1)
+    few_chars, few_words = n_chars < LEAST_CHARS, n_words < LEAST_WORDS
     by_chars, by_words = np.full(len(texts), np.inf), np.full(len(texts), np.inf)
-    for shares, words, word_shares in refs.values():
-        by_chars = np.minimum(by_chars, distance(chars / np.maximum(n_chars, 1)[:, None], shares))
+    accepted = np.full(len(texts), not refs)
+    for shares, words, word_shares, limit in refs.values():
+        far_chars = distance(chars / np.maximum(n_chars, 1)[:, None], shares)
         at = np.minimum(np.searchsorted(words, key), len(words) - 1) if len(words) else np.zeros(len(key), dtype=np.int64)
         hit = words[at] == key if len(words) else np.zeros(len(key), dtype=bool)
         width = len(words) + 1
         found = np.bincount(owner[hit] * width + at[hit], minlength=len(texts) * width).reshape(-1, width).astype(float)
         found[:, -1] = n_words - found.sum(axis=1)
-        by_words = np.minimum(by_words, distance(found / np.maximum(n_words, 1)[:, None], word_shares))
-    by_chars[(n_chars < LEAST_CHARS) | ~np.isfinite(by_chars)] = 0.0
-    by_words[(n_words < LEAST_WORDS) | ~np.isfinite(by_words)] = 0.0
-    return by_chars, by_words
+        far_words = distance(found / np.maximum(n_words, 1)[:, None], word_shares)
+        accepted |= (few_chars | (far_chars < FAR_CHARS)) & (few_words | (far_words < limit))
+        by_chars, by_words = np.minimum(by_chars, far_chars), np.minimum(by_words, far_words)
+    by_chars[few_chars | ~np.isfinite(by_chars)] = 0.0
+    by_words[few_words | ~np.isfinite(by_words)] = 0.0
+    return by_chars, by_words, accepted
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
@@ -198,8 +207,8 @@ def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed and kept.
 
-    base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept: not base_failed and both
-    distances below their limits. A NULL text counts as empty (all counts 0, base_failed). Without any labelled document
+    base_failed: fewer than 50 words, or more than half of the words in repeated windows. kept: not base_failed and a
+    language for which both distances are below its limits. A NULL text counts as empty (all counts 0, base_failed). Without any labelled document
     there is no reference and no distance. New names are underscored if the documents have them.
     """
     import pyarrow as pa
@@ -214,9 +223,9 @@ def assess(docs: DataFrame, refs: dict | None = None) -> DataFrame:
         own = shared.value
         for batch, texts in runs(batches):
             found = counts(texts)
-            chars, words = divergences(texts, own)
+            chars, words, accepted = divergences(texts, own)
             failed = (found[:, 0] < 50) | (100 * found[:, 4] > 50 * found[:, 0])
-            kept = ~failed & (chars < FAR_CHARS) & (words < FAR_WORDS)
+            kept = ~failed & accepted
             added = [*found.T, chars, words, failed, kept]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, added)], names=[*batch.schema.names, *names])
 
