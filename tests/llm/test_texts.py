@@ -203,6 +203,37 @@ def test_main_text(body, want):
     assert html_text.extract(page(body), weights) == want
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div id='page' class='has-sidebar'><p>{PROSE}</p></div>", PROSE),
+        (f"<article class='post category-alerts'><p>{PROSE}</p></article>", PROSE),
+        (f"<article class='comments'><p>{PROSE}</p></article>", PROSE),
+        (f"<main class='content no-sidebar'><p>{PROSE}</p></main>", PROSE),
+        (f"<div class='widget'><p>{PROSE}</p><article><p>{PROSE}</p></article></div>", f"{PROSE}\n{PROSE}"),
+        (f"<form><input><main><p>{PROSE}</p></main></form>", PROSE),
+        (f"<nav><a>one</a><article><p>{PROSE}</p></article>", PROSE),
+        (f"<article><p>One</p><div data-id='ad' title='class=ad id=ad'><p>{PROSE}</p></div></article>", f"One\n{PROSE}"),
+        (f"<article><p>One</p><div><div class='ad'>Buy it now</div><p>{PROSE}</p></article>", f"One\n{PROSE}"),
+        (f"<article><section><div class='ad'>Buy it now</section><p>{PROSE}</p></article>", PROSE),
+        (f"<article><datalist><option value=a><option>b</datalist><p>{PROSE}</p></article><select><option>c</option></select>", PROSE),
+        (f"<article><p>One</p><svg width='1'/><p>{PROSE}</p></article><svg><text>x</text></svg>", f"One\n{PROSE}"),
+        (f"<article><div><a class='ad'><div>Buy</a></div></div><p>{PROSE}</p></article>", PROSE),
+        (f"<article><p>{PROSE}</p><div><div><ul><li><a>one</a></li></ul></div></div><div><div><a>two</a></div></div>", PROSE),
+        (f"<article><div><script>var a = 1;</div><p>{PROSE}</p></article>", PROSE),
+        ("<article>" + "".join(f"<table><tr><td><ul><li><div><section><p>Short {k}</section></div></ul></table>" for k in range(9)) + "</article>", "\n".join(f"Short {k}" for k in range(9))),
+    ],
+)
+def test_wrappers_and_open_elements_lose_no_article_text(body, want):
+    weights = html_text.fit_weights(labelled())
+    assert html_text.extract(page(body), weights) == want
+
+
+def test_layout_class_of_body_loses_nothing():
+    got = html_text.extract(page(f"<p>{PROSE}</p>").replace("<body>", "<body class='sidebar right-sidebar'>"), html_text.fit_weights(labelled()))
+    assert got == PROSE
+
+
 def test_pages(spark):
     data = [(k, f"u{k}", h) for k, h in enumerate(labelled())] + [(90, None, None), (91, "u", ""), (92, "u", "<p>"), (90, None, None), (None, "u", "just words"), (93, "u", "<article " + "x" * 50_000)]
     pages = spark.createDataFrame([(*r, "t") for r in data], "page_id long, url string, html string, text string")

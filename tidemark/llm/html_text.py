@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Every word scores +1; a tag scores what labelled pages say: the more often it
 stands outside their article, the more it costs. One scan finds the contiguous part with the largest sum. Within that
-part, elements that are never article text (menus, adverts, forms, comments, ...) are left out.
+part, elements that are never article text (menus, adverts, forms, comments, ...) are left out; inside an open `article`
+or `main` the other tags cost nothing. Elements end where their parent does if their own end tag is missing.
 
 Labelled pages are pages that mark their article with an element of that name. The weights are fitted on a bounded
 sample (`SAMPLE_PAGES`, the first by a hash of the id); the scan covers whole pages.
@@ -10,6 +11,7 @@ sample (`SAMPLE_PAGES`, the first by a hash of the id); the scan covers whole pa
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -32,16 +34,27 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "option"}
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+#: Elements whose content is no markup, and those of them that no page closes late: their parent's end ends them too.
+RAW = {"script", "style", "textarea", "title", "iframe"}
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+BRIEF = {"title"}
+#: Elements with markup that is not shown, or is no text; they are left out, and their tags do not count.
+HIDDEN = {"noscript", "template", "svg", "select", "option", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main",
     "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Elements, and parts of class, id and role names, that are never article text.
+#: What an opened element ends when it is open right above it.
+ENDS = {
+    "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
+    "th": {"td", "th", "p"}, "option": {"option"},
+}
+#: Elements that hold the article or the page, whatever their class is called.
+HOLDERS = {"html", "body", "main", "article"}
+#: Elements, and whole class, id and role names, that are never article text.
 ASIDE_TAGS = {"nav", "aside", "footer", "form", "menu", "button", "dialog", "label"}
 ASIDE_NAMES = re.compile(
     r"^(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?|sidebars?|footers?|comments?|replies"
@@ -53,37 +66,98 @@ ASIDE_NAMES = re.compile(
 
 def key_of(name: str, attributes: str) -> tuple[str, bool]:
     """(name of the tag with its first class or id, whether its element is never article text)."""
-    parts = [a or b or c for a, b, c in NAMED.findall(attributes)] if attributes else []
-    words = [w for p in parts for w in re.split(r"[\s_-]+", p) if w]
-    aside = name in ASIDE_TAGS or any(ASIDE_NAMES.match(w) for w in words)
+    names = []
+    for attribute, a, b, c in ATTRIBUTE.findall(attributes) if attributes else []:
+        if attribute.lower() in ("class", "id", "role"):
+            names += (a or b or c).split()
+    aside = name not in HOLDERS and (name in ASIDE_TAGS or any(ASIDE_NAMES.match(w) for w in names))
+    words = [w for n in names for w in re.split(r"[_-]+", n) if w]
     return (f"{name}.{words[0].lower()}" if words else name), aside
 
 
-def tokens(page: str):
-    """('text', string), ('open', name, key, aside) and ('close', name) in order; raw elements and comments left out."""
+def raw_end(page: str, name: str, at: int, parent: str, known: dict[str, tuple[int, int]]) -> int:
+    """Where the content that begins at `at` ends: behind its end tag, or before that of its parent if it has none.
+
+    `known` holds the next end tag by name (behind the page if there is none), so that no part is searched twice.
+    """
+    if name not in known or known[name][0] < at:
+        end = RAW_END[name].search(page, at)
+        known[name] = end.span() if end else (len(page) + 1, len(page))
+    first, last = known[name]
+    if first <= len(page) and name not in BRIEF:
+        return last
+    above = re.compile(rf"</{re.escape(parent)}\s*>", re.I).search(page, at, min(first, len(page))) if parent else None
+    return above.start() if above else last
+
+
+def tokens(page: str) -> list[list]:
+    """['text', string], ['open', name, key, aside, end, explicit] and ['close', name] in order; raw elements and comments
+    left out.
+
+    `end` is the index of the token that ends the element, `explicit` whether that is its own end tag.
+    """
+    out: list[list] = []
+    stack: list[list] = []  # open elements
+    opened: dict[str, int] = {}  # how many of a name are open
+    known: dict[str, tuple[int, int]] = {}
+
+    def drop(explicit=False):
+        top = stack.pop()
+        opened[top[1]] -= 1
+        top[4], top[5] = len(out), explicit
+
     at, n = 0, len(page)
     while at < n:
         found = TOKEN.search(page, at)
         if found is None:
-            yield "text", page[at:]
-            return
+            out.append(["text", page[at:]])
+            break
         if found.start() > at:
-            yield "text", page[at : found.start()]
+            out.append(["text", page[at : found.start()]])
         at = found.end()
         if found.group(0).startswith("<![CDATA["):
-            yield "text", found.group(0)[9:].removesuffix("]]>")
+            out.append(["text", found.group(0)[9:].removesuffix("]]>")])
             continue
         if not found.group(2):
             continue
         name = found.group(2).lower()
+        closed = found.group(3).endswith("/")
         if found.group(1):
-            yield "close", name
+            if opened.get(name):
+                deep = len(stack) - 1
+                while stack[deep][1] != name:
+                    deep -= 1
+                inline = name not in BLOCKS and name not in HIDDEN
+                if inline and any(t[1] in BLOCKS for t in stack[deep + 1 :]):
+                    # An end tag of an inline element ends no block.
+                    stack.append(stack.pop(deep))
+                else:
+                    while len(stack) > deep + 1:
+                        drop()
+                drop(True)
+            out.append(["close", name])
         elif name in RAW:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else n
+            if not closed:
+                at = raw_end(page, name, at, stack[-1][1] if stack else "", known)
         else:
+            if name in BLOCKS or name in ENDS:
+                ends = ENDS.get(name, {"p"})
+                deep = len(stack) - 1
+                while deep >= 0 and stack[deep][1] not in BLOCKS and stack[deep][1] not in HIDDEN:
+                    deep -= 1
+                while deep >= 0 and stack[deep][1] in ends:
+                    while len(stack) > deep:
+                        drop()
+                    deep -= 1
             key, aside = key_of(name, found.group(3))
-            yield "open", name, key, aside
+            token = ["open", name, key, aside or name in HIDDEN, len(out) + 1, False]
+            out.append(token)
+            if name not in VOID and not (closed and name in HIDDEN):
+                stack.append(token)
+                opened[name] = opened.get(name, 0) + 1
+    while stack:
+        drop()
+    return out
 
 
 def fit_weights(pages: list[str]) -> dict[str, float]:
@@ -91,11 +165,15 @@ def fit_weights(pages: list[str]) -> dict[str, float]:
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
     for page in pages:
-        depth = 0
-        for token in tokens(page):
+        depth, at, found = 0, 0, tokens(page)
+        while at < len(found):
+            token = found[at]
+            at += 1
             if token[0] == "open":
-                _, name, key, _ = token
-                if name == "article":
+                name, key = token[1:3]
+                if name in HIDDEN:
+                    at = token[4] + token[5]
+                elif name == "article":
                     depth += 1
                 else:
                     counts = inside if depth else outside
@@ -114,8 +192,8 @@ def extract(page: str, weights: dict[str, float]) -> str:
     blocks: list[tuple[float, str]] = []  # (score of the tags since the block before, text)
     words: list[str] = []
     cost = 0.0
-    skipped, skip_name = 0, ""
-    inside = 0  # open article and main elements
+    inside: list[int] = []  # ends of the open article and main elements
+    free = 0  # how many of them do not reach to the page's end for want of an end tag
 
     def cost_of(key: str, name: str) -> float:
         return weights.get(key, weights.get(name, -UNKNOWN if name in BLOCKS else -LEAST))
@@ -128,45 +206,54 @@ def extract(page: str, weights: dict[str, float]) -> str:
             cost = 0.0
         words.clear()
 
-    for token in tokens(page):
+    found = tokens(page)
+    marks = [k for k, t in enumerate(found) if t[0] == "open" and t[1] in ("article", "main")]
+    at = 0
+    last = len(found)
+    while last and (found[last - 1] in (["close", "body"], ["close", "html"]) or found[last - 1][0] == "text" and not found[last - 1][1].strip()):
+        last -= 1
+    while at < len(found):
+        token = found[at]
+        at += 1
+        while inside and inside[-1] < at:
+            free -= inside.pop() < last
+        was_free = free
         if token[0] == "text":
-            if not skipped:
-                words.append(token[1])
+            words.append(token[1])
             continue
         name = token[1]
         if token[0] == "open":
-            _, _, key, aside = token
-            # An element that was left open does not swallow the article or the page's main part.
-            if skipped and name in ("article", "main") and skip_name not in ("article", "main"):
-                skipped = 0
-            if skipped:
-                skipped += name == skip_name
+            _, _, key, aside, end, explicit = token
+            if name in HIDDEN:
+                words.append(" ")
+                at = end + explicit
                 continue
             if name in BLOCKS:
                 close_block()
             elif name == "br":
                 words.append(" ")
             if name in ("article", "main"):
-                inside += 1
-            if (aside or (name == "header" and not inside)) and name not in VOID:
+                inside.append(end)
+                free += end < last
+            skip = (aside or (name == "header" and not inside)) and name not in VOID
+            if skip and not inside:
+                # An element with the article or the page's main part in it is kept; one that was left open ends there.
+                mark = bisect.bisect_left(marks, at)
+                if mark < len(marks) and marks[mark] < end:
+                    skip, end, explicit = not explicit, marks[mark], False
+            if skip:
                 close_block()
-                skipped, skip_name = 1, name
-            # What is left out of an article does not part it.
-            if not (skipped and inside):
+                at = end + explicit
+            # What is in an article or left out of it does not part it.
+            if not was_free and not (skip and inside):
                 cost += cost_of(key, name)
-        elif skipped:
-            if name == skip_name:
-                skipped -= 1
-                if not skipped and not inside:
+                if skip and explicit:
                     cost += cost_of(name, name)
-            elif name in ("body", "html"):
-                skipped = 0
         else:
             if name in BLOCKS:
                 close_block()
-            if name in ("article", "main"):
-                inside = max(0, inside - 1)
-            cost += cost_of(name, name) / 2
+            if not free:
+                cost += cost_of(name, name) / 2
     close_block()
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for k, (tags, text) in enumerate(blocks):
