@@ -228,3 +228,13 @@ def test_cuts_round_up(spark):
     events = _events(spark, [("a", "funded", 7), ("b", "funded", 10)])
     label = spark.createDataFrame([("a", 3), ("b", 3)], "id string, label int")
     assert rows(matrix.cut_ages(events, label, 5), "id", "cut") == [("a", 10), ("b", 10)]
+
+
+def test_reports_use_the_models_of_the_predictions(spark, folder, monkeypatch):
+    from tidemark.checks import modelling, reports
+    from tidemark.plans import predict
+
+    # The cut stands for the model: equal cuts make equal predictions.
+    monkeypatch.setattr(predict, "predict_unlabelled", lambda asof, *_: {"predictions": asof.where("is_query").select("id", "cut")})
+    want = rows(modelling.rf_predictions(spark, folder), "id", "cut")
+    assert rows(reports._model_predictions(spark, folder)[3], "id", "cut") == want and want

@@ -10,6 +10,7 @@ from ..session import freeze
 from . import check
 from .frames import TITLES, entity, labelled, single_timeline, sources
 from .labelling import ASOF_SQL, CATEGORIES, CUTS_SQL, FLAGS, FLAGS_SQL, _asof, _scaled
+from .modelling import STEP
 from .standin_sql import BASE, COMPANIES, EVENTS, OUTCOMES, SOURCES
 from .statics import CODES, STATIC_SQL, TODAY
 
@@ -259,18 +260,15 @@ def oldest_cut(spark, folder):
 
 
 def _model_predictions(spark, folder):
-    """Frames of the labelled companies and the model output for the unlabelled ones."""
+    """Frames of the labelled companies and, for the unlabelled ones, the output of the models of `rf_predictions`."""
     frame, companies, labels = labelled(sources(spark, folder))
-    asof = matrix.asof_matrix(frame, companies, labels, matrix.cut_ages(frame, labels, MODEL_STEP), CATEGORIES)
+    asof = matrix.asof_matrix(frame, companies, labels, matrix.cut_ages(frame, labels, STEP), CATEGORIES)
     return frame, companies, labels, predict.predict_unlabelled(asof, labels, CATEGORIES)["predictions"]
 
 
-MODEL_STEP = 365
-
-
 @check()
 def exit_ranking_model(spark, folder):
-    """Exit candidates by the predictions of the yearly models."""
+    """Exit candidates by the predictions of the models by age cut."""
     frame, companies, _, predictions = _model_predictions(spark, folder)
     return report.exit_candidates(predictions, companies, frame)
 
