@@ -144,6 +144,29 @@ def test_automaton_gives_longest_matches():
         assert language_id.phrases(matrix, table, symbols)[0] == count
 
 
+def test_every_letter_of_the_samples_has_a_symbol(spark):
+    rnd = random.Random(3)
+    blocks = {"la": "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "cy": "".join(map(chr, range(0x430, 0x460)))}
+    blocks |= {"h1": "".join(map(chr, range(0x4E00, 0x4F00))), "h2": "".join(map(chr, range(0x4F00, 0x5000)))}
+    blocks |= {"ha": "".join(map(chr, range(0xAC00, 0xAD00))), "uk": blocks["cy"][:32] + "ґєії", "ru": blocks["cy"][:32] + "ёъыэ"}
+    words = {n: ["".join(rnd.choices(b, k=4)) for _ in range(150)] for n, b in blocks.items()}
+    words["uk"] = [w[:3] + rnd.choice("ґєії") for w in words["cy"]]
+    words["ru"] = [w[:3] + rnd.choice("ёъыэ") for w in words["cy"]]
+    data = [(k, n, " ".join(rnd.choices(words[n], k=300))) for k, n in enumerate(sorted(words) * 30)]
+    docs = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    model = language_id.fit(docs)
+    letters = {x for _, _, t in data for x in t if x.isalpha()}
+    assert len({int(model["table"][ord(x)]) for x in letters}) > 0.95 * len(letters) > 600
+    got = language_id.identify(docs, model).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(held) > 30 and all(r.lang == r.lang_pred for r in held)
+
+
+def test_a_rare_letter_takes_no_form_of_a_frequent_one():
+    table = language_id.symbol_table(["i", "s", "ı", "ſ"])
+    assert [int(table[ord(x)]) - language_id.FIRST for x in "iIsSıſ"] == [0, 0, 1, 1, 2, 3]
+
+
 def test_lanes_hold_every_symbol(monkeypatch):
     monkeypatch.setattr(language_id, "LANE", 8)
     table = language_id.symbol_table(list("abc"))
