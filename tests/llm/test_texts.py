@@ -144,6 +144,24 @@ def test_automaton_gives_longest_matches():
         assert language_id.phrases(matrix, table, symbols)[0] == count
 
 
+def test_a_letter_that_the_sample_lacks_is_a_phrase():
+    rnd = random.Random(2)
+    sample = [rnd.randrange(2, 5) for _ in range(300)]
+    symbols = 7
+    table = language_id.automaton(sample, symbols)
+    known = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, len(sample) + 1)}
+    for text in [[5], [2, 3, 5, 4], [5, 5, 2], *([rnd.randrange(2, 6) for _ in range(rnd.randrange(1, 400))] for _ in range(20))]:
+        count, at = 0, 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and tuple(text[at : end + 1]) in known:
+                end += 1
+            count, at = count + 1, end
+        matrix = np.full((language_id.LANE, 1), symbols - 1, dtype=np.int32)
+        matrix[: len(text), 0] = text
+        assert language_id.phrases(matrix, table, symbols)[0] == count
+
+
 def test_every_letter_of_the_samples_has_a_symbol(spark):
     rnd = random.Random(3)
     blocks = {"la": "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "cy": "".join(map(chr, range(0x430, 0x460)))}
