@@ -242,7 +242,7 @@ def test_tasks_need_no_installed_package(tmp_path):
     done = subprocess.run(
         [sys.executable, "-c", code], input=cloudpickle.dumps(similar._exact), cwd=tmp_path, capture_output=True
     )
-    assert done.stdout.strip() == b"[[1.]]", done.stderr
+    assert done.stdout.strip() == b"[1.]", done.stderr
 
 
 def test_exact_match_outvotes(spark):
