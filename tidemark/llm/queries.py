@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, repeats, sharding, warc
+from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, repeats, set_join, sharding, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op10_language_id(spark, folder):
     named = language_id.identify(docs.select("doc_id", "text"), model)
     remainder = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4))
     return named.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query(set_join.SQL)
+def op11_set_join(spark, folder):
+    return set_join.set_join(table(spark, folder, "documents"), width=3, part=90)
