@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, repeats, set_join, sharding, warc
+from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, repeats, set_join, sharding
+from . import spelling, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,9 @@ def op10_language_id(spark, folder):
 @query(set_join.SQL)
 def op11_set_join(spark, folder):
     return set_join.set_join(table(spark, folder, "documents"), width=3, part=90)
+
+
+@query(spelling.SQL)
+def op12_spelling_variants(spark, folder):
+    words = spelling.vocabulary(table(spark, folder, "documents"), drop_one_in=31)
+    return spelling.variants(words)
