@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, repeats, set_join, sharding
-from . import spelling, warc
+from . import decontamination, html_text, language_id, licenses, mixing, near_dedup, quality, ranking, repeats, set_join
+from . import sharding, spelling, warc
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op11_set_join(spark, folder):
 def op12_spelling_variants(spark, folder):
     words = spelling.vocabulary(table(spark, folder, "documents"), drop_one_in=31)
     return spelling.variants(words)
+
+
+@query(ranking.SQL)
+def op13_ranked_search(spark, folder):
+    return ranking.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
