@@ -32,8 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Members of a meeting above which they form a bundle without a look at their histograms.
 MEETING_ROWS = 4_000
-#: Shingles that one block of a bundle may hold.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles and sets that one block of a bundle may hold; sets count since every set asks every block.
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 500
 #: Bins of a histogram.
 BINS = 32
 #: Cost of a binary search step against that of a merged list entry; more means fewer long lists.
@@ -346,7 +346,8 @@ def set_join(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100)
     bundles = _bundles(nodes, part, whole)
 
     cells = bundles.join(nodes.select("node", "pick", "n", "copies"), "node")
-    heavy = cells.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)))
+    heavy = cells.groupBy("root").agg(blocks.cast("int").alias("blocks"))
     cells = cells.join(heavy, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     cells = freeze(cells)
     volume = cells.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
