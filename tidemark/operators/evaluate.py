@@ -13,10 +13,13 @@ def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0.0))
 
 
-def class_scores(df: DataFrame, label: str, prediction: str, by: list[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support per class; a class never predicted scores zero."""
+def class_scores(df: DataFrame, label: str, prediction: str, by: list[str] = (), rows: str | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per class; a class never predicted scores zero.
+
+    ``rows`` names a column that says for how many rows a row stands.
+    """
     by = list(by)
-    cells = df.groupBy(*by, label, prediction).agg(F.count(F.lit(1)).alias("_n"))
+    cells = df.groupBy(*by, label, prediction).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("_n"))
     zero = F.lit(0).cast("long")
     hit = F.when(F.col(label) == F.col(prediction), F.col("_n")).otherwise(zero)
     sides = F.explode(
