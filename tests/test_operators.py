@@ -334,3 +334,30 @@ def test_empty_input(spark):
     assert sampling.upsample(empty, "label", "id", 2, [0, 1]).count() == 0
     assert sampling.stratified_split(empty, "label", "id", 0.5).count() == 0
     assert nearest(empty, empty, 3).count() == 0
+
+
+@pytest.mark.parametrize("near, limit, p", [(1, 7, 0.5), (3, None, 0.9), (50, None, 1.0)])
+def test_exact_quantiles_whatever_the_first_look_gives(spark, near, limit, p):
+    rnd = random.Random(near)
+    data = [
+        (rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, float(rnd.randrange(6)), rnd.gauss(0, 1)]), float(i % 400) if i % 3 else None)
+        for i in range(3000)
+    ] + [("c", None, None), ("d", None, 4.0), ("e", float("inf"), -0.0)]
+    df = spark.createDataFrame(data, "k string, x double, y double").repartition(5)
+    got = {r["k"]: (r["x"], r["y"]) for r in exact_quantiles(df, ["x", "y"], ["k"], p, limit, near).collect()}
+    for k in {d[0] for d in data} - {"c"}:
+        for i in (1, 2):
+            own = sorted(d[i] for d in data if d[0] == k and d[i] is not None)
+            place = p * (len(own) - 1)
+            low, high = int(place), min(int(place) + (place > int(place)), len(own) - 1)
+            want = own[low] + (own[high] - own[low]) * (place - low) if own and low != high else (own[low] if own else None)
+            assert got[k][i - 1] == (None if want is None else pytest.approx(want))
+
+
+def test_quantiles_shuffle_only_values_near_the_rank(spark):
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").cast("double").alias("x"))
+    plan = exact_quantiles(df, ["x"], ["k"], limit=None)._jdf.queryExecution().toString()
+    assert "explode(array_compact" in plan
+    ends = df.groupBy("k").agg(F.percentile_approx("x", F.array(F.lit(0.498), F.lit(0.502)), F.lit(1000)).alias("e"))
+    inside = df.join(ends, "k").filter((F.col("x") >= F.col("e")[0]) & (F.col("x") <= F.col("e")[1])).count()
+    assert 0 < inside < 2000
