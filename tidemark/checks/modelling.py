@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, features, models, sampling
 from ..plans import labels as label_plan
 from ..plans import bulk, matrix, predict, report
+from ..plans.labels import without_closed
 from ..plans.static import static_features
+from ..plans.timeline import on_timeline
 from ..session import freeze
 from . import check
 from .evaluation import DRAW_SQL, HASH_SQL
-from .frames import labelled, sources
+from .frames import labelled, sources, timeline
 from .labelling import CATEGORIES, CUTS_SQL, FLAGS
 from .standin_sql import OUTCOMES
 from .statics import CODES, STATIC_SQL, TITLES, TODAY
@@ -142,7 +144,7 @@ def noise_features(spark, folder):
     )
 
 
-STEP = 15
+STEP = 1
 
 
 def _by_cut(spark, folder):
@@ -172,11 +174,14 @@ def rf_importance(spark, folder):
 
 @check()
 def rf_population(spark, folder):
-    """One model on the balanced labelled companies, applied to all companies."""
-    known, unknown = _training(spark, folder)
-    sample = freeze(predict.balanced_split(known.select("id", "label", *FEATURES), 0.6))
-    model = models.forest(FEATURES).fit(sample.filter("is_train"))
-    return models.predict(model, known.unionByName(unknown), ["id", "label"], 3)
+    """One forest on the balanced labelled companies, applied to all companies, closed ones too."""
+    s = sources(spark, folder)
+    frame, companies = timeline(s)
+    rows = freeze(matrix.feature_matrix(frame, companies, CATEGORIES))
+    alive, living = without_closed(on_timeline(companies, frame), frame)
+    labels = freeze(label_plan.outcome_labels(living, alive))
+    known = rows.join(labels, "id").filter(F.col("label") != label_plan.YOUNG)
+    return predict.predict_population(known, rows, FEATURES).join(labels, "id", "left")
 
 
 @check()

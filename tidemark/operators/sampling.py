@@ -34,9 +34,9 @@ def numbered(df: DataFrame, by: list[str], key: str, name: str = "number") -> Da
     )
 
 
-def stratified_split(df: DataFrame, label: str | None, key: str, share: float) -> DataFrame:
-    """Adds ``is_train``, true for exactly ``round(share * n)`` rows of every class."""
-    by = [label] if label else []
+def stratified_split(df: DataFrame, label: str | list[str] | None, key: str, share: float) -> DataFrame:
+    """Adds ``is_train``, true for exactly ``round(share * n)`` rows of every class; several columns make classes of their own."""
+    by = [label] if isinstance(label, str) else list(label or [])
     sizes = freeze(df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * share).alias("_train")))
     return null_safe_join(numbered(df, by, key, "_number"), sizes, by).withColumn(
         "is_train", F.col("_number") <= F.col("_train")
@@ -87,6 +87,39 @@ def upsample(df: DataFrame, label: str, key: str, majority: int, minorities: lis
     return kept.unionByName(drawn)
 
 
+def upsample_within(
+    df: DataFrame, by: list[str], label: str, key: str, majority: int, minorities: list[int]
+) -> DataFrame:
+    """``upsample`` inside every group of ``by``, all groups in the same jobs.
+
+    Draws are made where the majority rows are, with the sizes of the group's classes beside them; they meet the drawn
+    rows on (group, class, number, copy).  A class without rows is not drawn.
+    """
+    by = list(by)
+    kind = df.schema[label].dataType
+    rows = freeze(numbered(df.filter(F.col(label).isin([majority, *minorities])), [*by, label], key, "_number"))
+    kept = rows.filter(F.col(label) == majority).withColumn("draw", F.col("_number")).drop("_number")
+    # one row per group and class
+    sizes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_size"))
+    most = sizes.filter(F.col(label) == majority).select(*by, F.col("_size").alias("_most"))
+    small = null_safe_join(sizes.filter(F.col(label).isin(minorities)), most, by)
+    small = freeze(small.withColumn(
+        "_copies", F.greatest(F.lit(1), F.ceil(F.col("_most") / (F.col("_size") * _DRAWS_PER_COPY))).cast("long")
+    ).drop("_most"))
+    drawn = rows.filter(F.col(label) == majority).select(*by, F.col("_number").alias("draw")).withColumn(
+        label, F.explode(F.array(*[F.lit(m).cast(kind) for m in minorities]))
+    )
+    draws = null_safe_join(drawn, small, [*by, label]).select(
+        *by, label, "draw", (draw_number(label, "draw") % F.col("_size") + 1).alias("_number"),
+        F.pmod(F.xxhash64("draw"), F.col("_copies")).alias("_copy"),
+    )
+    pool = null_safe_join(rows.filter(F.col(label).isin(minorities)), small, [*by, label]).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
+    ).drop("_size", "_copies")
+    found = null_safe_join(draws, pool, [*by, label, "_number", "_copy"]).drop("_number", "_copy")
+    return kept.unionByName(found)
+
+
 def sample_entities(df: DataFrame, key: str, size: int) -> DataFrame:
     """All rows of ``size`` entities, chosen in md5 order."""
     chosen = df.select(key).distinct().orderBy(hash_number(key), key).limit(size)

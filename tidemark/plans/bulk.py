@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.evaluate import class_scores, macro_scores
 from ..operators.features import fill_and_scale
-from ..operators.models import forest, predict
 from ..operators.sampling import stratified_split, upsample
 from ..operators.similar import nearest
+from ..operators.trees import Rule, fit_predict, with_class
 from ..session import freeze
 from .static import static_labels
 
@@ -39,10 +39,19 @@ def bulk_model(matrix: DataFrame, share: float = 0.9, majority: int = EARLY, cla
     drawn = freeze(upsample(known, "label", "id", majority, [c for c in range(classes) if c != majority]))
     keyed = drawn.withColumn("_key", F.concat_ws("#", "id", "label", F.col("draw").cast("string")))
     split = freeze(stratified_split(keyed, "label", "_key", share))
-    model = forest(FEATURES, min_split=MIN_SPLIT).fit(split.filter("is_train"))
-    tested = predict(model, split.filter("NOT is_train"), ["id", "label"], classes)
+    one = F.lit(0).alias("model")
+    train = split.filter("is_train").select(one, F.col("_key").alias("key"), "label", *FEATURES)
+    held = split.filter("NOT is_train").select(one, F.concat(F.lit("="), "_key").alias("key"), *FEATURES)
+    everyone = matrix.select(one, F.concat(F.lit("?"), F.col("id").cast("string")).alias("key"), *FEATURES)
+    shares, _ = fit_predict(train, everyone.unionByName(held), FEATURES, Rule(classes, min_split=MIN_SPLIT))
+    found = freeze(with_class(shares, classes))
+    asked = F.col("key").startswith("?")
+    tested = found.filter(~asked).select(F.element_at(F.split("key", "#"), -2).cast("int").alias("label"), "pred")
+    named = found.filter(asked).withColumn("id", F.expr("substring(key, 2)").cast(matrix.schema["id"].dataType))
     return {
-        "predictions": predict(model, matrix, ["id", "label"], classes),
+        "predictions": matrix.select("id", "label").join(named, "id").select(
+            "id", "label", "pred", *[f"proba{k}" for k in range(classes)]
+        ),
         "scores": macro_scores(class_scores(tested, "label", "pred")),
     }
 
