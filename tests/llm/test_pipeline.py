@@ -1,6 +1,8 @@
 """Mixing, sharding, the pipeline and the registered queries."""
 
+import hashlib
 import os
+import random
 import sys
 import zlib
 
@@ -85,6 +87,36 @@ def test_mix_of_nothing_and_of_repeated_rows(spark):
     assert got.count() == 2
 
 
+@pytest.mark.parametrize("long_at", [0, 5, -1])
+def test_a_long_text_leaves_no_wide_gap(spark, long_at):
+    """900 words are wanted of a source with one text of 600 words and ten of 40, wherever the hash puts the long one."""
+    by_hash = sorted(range(100, 111), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    data = [(i, "b", "w " * (600 if i == by_hash[long_at] else 40)) for i in by_hash]
+    data += [(i, "a", "w " * 200) for i in range(3)] + [(i, "c", "w " * 200) for i in range(10, 13)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    mixing.mix(docs).select("doc_id", "source", "mix.*").toPandas().to_parquet(path := f"/tmp/mix-{os.getpid()}.parquet")
+    # knows nothing of rounds: what is taken, and the smallest text that is not
+    told = duckdb.sql(f"""SELECT source, any_value(target), sum(taken), min(size) FILTER (WHERE taken < size * ceil(target / source_size))
+      FROM '{path}' GROUP BY source""").fetchall()
+    os.remove(path)
+    for source, target, taken, least in told:
+        assert taken <= target and (least is None or target - taken < least), (source, target, taken, least)
+        assert source != "b" or taken == 880
+
+
+def test_gaps_of_many_long_texts_equal_sql(spark):
+    rnd = random.Random(12)
+    data = []
+    for k in range(14):
+        sizes = [rnd.choice([3, 40, 300, 900, 2000]) for _ in range(rnd.randrange(1, 14))]
+        data += [(1000 * k + i, f"s{k}", "w " * n) for i, n in enumerate(sizes)]
+    data += [data[5], (9, None, "w " * 700), (8, None, "w " * 50), (7, "s1", None)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = rows(mixing.mix(docs), "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    want = mixed_sql(data)
+    assert [(*r[:3], round(r[3], 6), r[4]) for r in got] == [(*r[:3], round(r[3], 6), r[4]) for r in want]
+
+
 # --- sharding ------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,10 @@ Every document gets a 60-bit hash of its id. Per source, words are summed by the
 the running sum passes the budget is split by its next bits, and only its rows are read again, until one document is
 left in it. Documents below that hash are taken. What the budget then lacks (less than the document at the threshold
 has) is the budget of a nested round over the documents above it that still fit. No document is sorted or numbered.
+
+A long document with a late hash can leave a wide gap that nothing above it fills. A source that lacks more than a
+sixteenth of its budget is therefore tried again with the longest document that was passed over and fits the budget taken
+first, and the rest filled by thresholds from the start; of the tries the one nearest to the target counts.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from .frames import freeze, fresh, word_count
 HASH_BITS = 60
 LEVEL_BITS = 12
 ROUNDS = 4
+#: A source that lacks more than this part of its budget is tried again, so many times.
+GAP, TRIES = 16, 2
 
 
 def id_hash(column):
@@ -104,26 +110,54 @@ def thresholds(docs: DataFrame, weights, share: float, most: float, rounds: int)
     sources = sources.withColumn("whole", whole.cast("long")).withColumnRenamed("source", "name")
     rows = slim.join(sources.select("name", "sid"), F.col("source").eqNullSafe(F.col("name"))).select("sid", "size", "h")
     rows = freeze(rows)
-    state = sources.select(
-        "sid", F.lit(0).cast("long").alias("lo"),
-        (F.col("target") - F.col("whole") * F.col("source_size")).alias("room"),
-    )
-    picked = sources
-    for k in range(rounds):
-        found = _threshold(rows, state)
-        picked = picked.join(
-            found.select("sid", *[F.col(a).alias(f"{a}_{k}") for a in ("lo", "start", "room")]), "sid"
+    sources = sources.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    firsts = F.array().cast("array<long>")
+    best = tried = freeze(_tried(rows, sources.select("sid", F.col("budget").alias("room"), firsts.alias("firsts")), rounds))
+    for _ in range(TRIES):
+        lacking = tried.join(sources.select("sid", "budget"), "sid").where(F.col("left") * GAP > F.col("budget"))
+        missed = rows.join(lacking, "sid").where((F.col("size") > 0) & ~_hit(F.col("h"), F.col("size"), F.col, rounds))
+        units = missed.groupBy("sid", "h", "room_0", "firsts").agg(F.sum("size").alias("words")).where("words <= room_0")
+        longest = units.groupBy("sid", "room_0", "firsts").agg(F.max(F.struct("words", (-F.col("h")).alias("less"))).alias("p"))
+        again = freeze(
+            longest.select(
+                "sid", (F.col("room_0") - F.col("p.words")).alias("room"), F.array_append("firsts", -F.col("p.less")).alias("firsts")
+            )
         )
+        if again.isEmpty():
+            break
+        tried = freeze(_tried(rows, again, rounds))
+        nearer = best.alias("b").join(tried.alias("t"), "sid", "left")
+        wins = F.coalesce(F.col("t.left") < F.col("b.left"), F.lit(False))
+        best = freeze(nearer.select("sid", *[F.when(wins, F.col(f"t.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in best.columns if c != "sid"]))
+    return freeze(sources.join(best, "sid").drop("sid", "left", "budget"))
+
+
+def _tried(rows: DataFrame, state: DataFrame, rounds: int) -> DataFrame:
+    """Per source (sid, room, firsts) the hash range and room of every round and what is left; `firsts` are taken already."""
+    firsts = state.select("sid", "firsts")
+    # one row per source
+    others = rows.join(F.broadcast(firsts), "sid").where(~F.array_contains("firsts", F.col("h"))).select("sid", "size", "h")
+    picked, state = firsts, state.select("sid", F.lit(0).cast("long").alias("lo"), "room")
+    for k in range(rounds):
+        found = _threshold(others, state)
+        picked = picked.join(found.select("sid", *[F.col(a).alias(f"{a}_{k}") for a in ("lo", "start", "room")]), "sid")
         state = found.select("sid", F.col("end").alias("lo"), F.col("left").alias("room"))
-    return freeze(picked.drop("sid"))
+    return picked.join(state.select("sid", F.col("room").alias("left")), "sid")
+
+
+def _hit(h, size, at, rounds: int):
+    """Whether a document is below the threshold of a round or taken first."""
+    taken = [(h >= at(f"lo_{k}")) & (h < at(f"start_{k}")) & (size <= at(f"room_{k}")) for k in range(rounds)]
+    return (size > 0) & (F.array_contains(at("firsts"), h) | reduce(lambda a, b: a | b, taken))
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
     """The documents with a struct column `mix`: size, source_size, target, copies, taken (= size * copies).
 
     Every document of a source is taken as often as the target holds the source whole, and once more if its hash is
-    below the threshold of a round; so no document is taken more than `most` times (rounded up). The words taken stay
-    below the target by less than the smallest document that was passed over in the last round.
+    below the threshold of a round or it is taken first; so no document is taken more than `most` times (rounded up). The
+    words taken stay below the target by less than the smallest document that was passed over in the last round; if that
+    is more than a sixteenth of what the whole source leaves open, up to two long documents are tried first.
     A NULL source is a source of its own. A NULL or blank text has size 0 and is taken as often as its source is
     whole. Rows with the same id share a hash and stand or fall together. No rows give no rows. A column `mix` of the
     documents moves the new one to `mix_`.
@@ -137,10 +171,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     rows = docs.withColumn(own, F.struct(size.alias("size"), h.alias("h")))
     rows = rows.join(plan, F.col("source").eqNullSafe(at["name"]))
     size, h = F.col(f"{own}.size"), F.col(f"{own}.h")
-    taken = [
-        (h >= at[f"lo_{k}"]) & (h < at[f"start_{k}"]) & (size > 0) & (size <= at[f"room_{k}"]) for k in range(rounds)
-    ]
-    copies = (at["whole"] + F.when(reduce(lambda a, b: a | b, taken), 1).otherwise(0)).cast("long")
+    copies = (at["whole"] + F.when(_hit(h, size, lambda c: at[c], rounds), 1).otherwise(0)).cast("long")
     return rows.select(
         *docs.columns,
         F.struct(
@@ -160,23 +191,42 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
 
 def sql(rounds: int = ROUNDS) -> str:
-    """The same result as SQL: thresholds as running sums in hash order."""
-    steps = ["r0 AS (SELECT *, CAST(-1 AS BIGINT) AS lo, room AS left_ FROM placed)"]
-    for k in range(rounds):
-        steps.append(
-            f"e{k} AS (SELECT doc_id, source, h, size, source_size, target, whole, lo, left_, hit, "
-            f"size > 0 AND size <= left_ AND h > lo AS fits, "
-            f"sum(CASE WHEN size > 0 AND size <= left_ AND h > lo THEN size ELSE 0 END) "
-            f"OVER (PARTITION BY source ORDER BY h) AS upto FROM r{k})"
-        )
-        steps.append(
-            f"r{k + 1} AS (SELECT doc_id, source, h, size, source_size, target, whole, "
-            f"hit OR (fits AND upto <= left_) AS hit, "
-            f"coalesce(min(CASE WHEN fits AND upto > left_ THEN h END) OVER (PARTITION BY source), "
-            f"CAST(1152921504606846976 AS BIGINT)) AS lo, "
-            f"left_ - coalesce(sum(CASE WHEN fits AND upto <= left_ THEN size END) OVER (PARTITION BY source), 0) "
-            f"AS left_ FROM e{k})"
-        )
+    """The same result as SQL: thresholds as running sums in hash order, for every try."""
+    own = "doc_id, source, h, size, source_size, target, whole, budget, room, first"
+    steps = []
+    for t in range(TRIES + 1):
+        if t == 0:
+            steps.append("b0 AS (SELECT *, room AS budget, false AS first FROM placed)")
+        else:
+            steps.append(
+                f"p{t} AS (SELECT source AS ps, h AS ph, words FROM (SELECT source, h, room, left_ * {GAP} > budget AS lacks, "
+                f"sum(size) AS words FROM t{t - 1}_r{rounds} WHERE size > 0 AND NOT hit AND NOT first GROUP BY ALL) "
+                f"WHERE lacks AND words <= room QUALIFY row_number() OVER (PARTITION BY source ORDER BY words DESC, h) = 1)"
+            )
+            steps.append(
+                f"b{t} AS (SELECT doc_id, source, h, size, source_size, target, whole, room - words AS room, budget, "
+                f"first OR (h = ph AND size > 0) AS first FROM t{t - 1}_r{rounds} JOIN p{t} ON source IS NOT DISTINCT FROM ps)"
+            )
+        steps.append(f"t{t}_r0 AS (SELECT {own}, false AS hit, CAST(-1 AS BIGINT) AS lo, room AS left_ FROM b{t})")
+        for k in range(rounds):
+            fits = "NOT first AND size > 0 AND size <= left_ AND h > lo"
+            steps.append(
+                f"t{t}_e{k} AS (SELECT {own}, hit, lo, left_, {fits} AS fits, "
+                f"sum(CASE WHEN {fits} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) AS upto FROM t{t}_r{k})"
+            )
+            steps.append(
+                f"t{t}_r{k + 1} AS (SELECT {own}, hit OR (fits AND upto <= left_) AS hit, "
+                f"coalesce(min(CASE WHEN fits AND upto > left_ THEN h END) OVER (PARTITION BY source), "
+                f"CAST(1152921504606846976 AS BIGINT)) AS lo, "
+                f"left_ - coalesce(sum(CASE WHEN fits AND upto <= left_ THEN size END) OVER (PARTITION BY source), 0) "
+                f"AS left_ FROM t{t}_e{k})"
+            )
+    tries = " UNION ALL ".join(
+        f"SELECT {t} AS try, doc_id, source, h, size, source_size, target, whole, hit OR first AS hit, left_ FROM t{t}_r{rounds}"
+        for t in range(TRIES + 1)
+    )
+    steps.append(f"tries AS ({tries})")
+    steps.append("nearest AS (SELECT source AS ns, try AS nt FROM (SELECT DISTINCT source, try, left_ FROM tries) QUALIFY row_number() OVER (PARTITION BY source ORDER BY left_, try) = 1)")
     return (
         r"""WITH slim AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
@@ -194,5 +244,6 @@ placed AS (SELECT doc_id, s.source, h, size, source_size, target, false AS hit,
 """
         + ",\n".join(steps)
         + f"\nSELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, "
-        f"CAST(size * (whole + CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r{rounds}"
+        f"CAST(size * (whole + CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM tries "
+        f"JOIN nearest ON source IS NOT DISTINCT FROM ns AND try = nt"
     )
