@@ -341,3 +341,32 @@ def test_archives_with_members_are_accepted_and_torn_ones_not():
     with pytest.raises(ValueError):
         list(warc.records([b"no archive\r\n\r\n"]))
     assert re.match(rb"WARC/1.1\r\nWARC-Type: response", one)
+
+
+@pytest.mark.parametrize("tail", ["", "'>", '">', ">"])
+@pytest.mark.parametrize("bit", ["<a ", '<a "', "<a '", "<a ''", "<!", "<?", "<a \"'", "<a b=\"'\" "])
+def test_unclosed_tags_take_linear_time(bit, tail):
+    import time
+
+    begin = time.time()
+    html_text.extract(f"<p>some words</p>{bit * 40_000}{tail}", {})
+    assert time.time() - begin < 5
+
+
+def test_markup_equals_one_pattern():
+    import random
+
+    whole = re.compile(
+        r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*>|<\?[^>]*>"
+        r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    )
+    rnd = random.Random(1)
+    pieces = ["<", "a", ">", '"', "'", "!--", "-->", "<![CDATA[", "]]>", "<!", "<?", " ", "/", "</b", "<i x=", "=", "-"]
+    for _ in range(20_000):
+        page = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 14)))
+        want = [(m.start(), m.end(), m.group(2) or "", m.group(3) or "") for m in whole.finditer(page)]
+        markup, at, got = html_text.Markup(page), 0, []
+        while (found := markup.next(at)) is not None:
+            at = found[1]
+            got.append((*found[:2], *found[4:]))
+        assert got == want

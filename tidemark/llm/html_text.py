@@ -29,11 +29,8 @@ SAMPLE_PAGES = 400
 #: Cost of a tag in words per unit of log odds, its bounds, and the cost of a block tag that no labelled page has.
 SCALE, LEAST, MOST, UNKNOWN = 4.0, 0.05, 40.0, 3.0
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 #: Elements whose content is no markup, and those of them that no page closes late: their parent's end ends them too.
 RAW = {"script", "style", "textarea", "title", "iframe"}
@@ -90,6 +87,62 @@ def raw_end(page: str, name: str, at: int, parent: str, known: dict[str, tuple[i
     return above.start() if above else last
 
 
+class Markup:
+    """Finds comments and tags of a page from left to right, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.first = (-1, -1)  # where the last search for a mark began, and the mark it found
+        self.dead: set[int] = set()  # quotes outside of quotes from which no tag ends
+
+    def tag_end(self, at: int) -> int:
+        """Where a tag ends whose attributes begin at `at`, -1 if nowhere; a quoted part hides what it holds."""
+        page, passed = self.page, []
+        if at > self.last[">"]:
+            return -1
+        if not self.first[0] <= at <= self.first[1]:
+            self.first = (at, MARK.search(page, at).start())
+        mark = self.first[1]
+        while True:
+            sign = page[mark]
+            if sign == ">":
+                return mark + 1
+            passed.append(mark)
+            if mark in self.dead or mark >= self.last[sign]:
+                break
+            found = MARK.search(page, page.index(sign, mark + 1) + 1)
+            if found is None:
+                break
+            mark = found.start()
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, str, str] | None:
+        """(begin, end, text of a CDATA section, slash of an end tag, name, attributes) of the next markup."""
+        page = self.page
+        while True:
+            found = START.search(page, at)
+            if found is None:
+                return None
+            begin, at = found.span()
+            comment, section, other, slash, name = found.groups()
+            if comment or section:
+                sign = "-->" if comment else "]]>"
+                stop = page.find(sign, at)
+                end = len(page) if stop < 0 else stop + 3
+                return begin, end, page[at : len(page) if stop < 0 else stop] if section else None, "", "", ""
+            if other:
+                end = page.find(">", at) + 1 if at <= self.last[">"] else 0
+                if end > 0:
+                    return begin, end, None, "", "", ""
+            else:
+                end = self.tag_end(at)
+                if end > 0:
+                    return begin, end, None, slash, name, page[at : end - 1]
+            at = begin + 1
+
+
 def tokens(page: str) -> list[list]:
     """['text', string], ['open', name, key, aside, end, explicit] and ['close', name] in order; raw elements and comments
     left out.
@@ -106,23 +159,24 @@ def tokens(page: str) -> list[list]:
         opened[top[1]] -= 1
         top[4], top[5] = len(out), explicit
 
-    at, n = 0, len(page)
+    at, n, markup = 0, len(page), Markup(page)
     while at < n:
-        found = TOKEN.search(page, at)
+        found = markup.next(at)
         if found is None:
             out.append(["text", page[at:]])
             break
-        if found.start() > at:
-            out.append(["text", page[at : found.start()]])
-        at = found.end()
-        if found.group(0).startswith("<![CDATA["):
-            out.append(["text", found.group(0)[9:].removesuffix("]]>")])
+        begin, end, section, slash, name, attributes = found
+        if begin > at:
+            out.append(["text", page[at:begin]])
+        at = end
+        if section is not None:
+            out.append(["text", section])
             continue
-        if not found.group(2):
+        if not name:
             continue
-        name = found.group(2).lower()
-        closed = found.group(3).endswith("/")
-        if found.group(1):
+        name = name.lower()
+        closed = attributes.endswith("/")
+        if slash:
             if opened.get(name):
                 deep = len(stack) - 1
                 while stack[deep][1] != name:
@@ -149,7 +203,7 @@ def tokens(page: str) -> list[list]:
                     while len(stack) > deep:
                         drop()
                     deep -= 1
-            key, aside = key_of(name, found.group(3))
+            key, aside = key_of(name, attributes)
             token = ["open", name, key, aside or name in HIDDEN, len(out) + 1, False]
             out.append(token)
             if name not in VOID and not (closed and name in HIDDEN):
