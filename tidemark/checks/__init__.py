@@ -23,4 +23,4 @@ def check(sql: str | None = None):
 
 
 def load() -> None:
-    from . import basics, evaluation, kernels, labelling, modelling, reports, scans, statics, survivals, timelines  # noqa: F401
+    from . import basics, evaluation, kernels, labelling, limits, modelling, reports, scans, statics, survivals, timelines  # noqa: F401
