@@ -287,7 +287,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     Each record is fetched by its offset; the digest of a stored payload is computed anew and must be the header's.
     """
-    ranges = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # A stated number of partitions is kept; without it the few bytes of the index end up in one task.
+    n = max(1, index.select("file").distinct().count())
+    ranges = index.select("file", "offset", "length").repartition(n, "file").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_reader(folder), PAGES)
 
 
