@@ -121,6 +121,48 @@ def test_notices_with_small_changes_are_found(spark):
     assert got[3] == ("", "", 0, None) and got[4] == ("", "", 0, None)
 
 
+def test_like_licenses_are_told_apart(spark):
+    grant = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons {} International License."
+    bsd = "Redistribution and use in source and binary forms, with or without any such kind of modification of it are permitted provided that the following conditions are met"
+    data = {
+        cc.format("Attribution 4.0"): "cc-by", cc.format("Attribution-ShareAlike 4.0"): "cc-by-sa",
+        cc.format("Attribution-Share Alike 4.0"): "cc-by-sa", cc.format("Attribution-NoDerivatives 4.0"): "cc-by-nd",
+        cc.format("Attribution-NonCommercial 4.0"): "cc-by-nc", cc.format("Attribution-NonCommercial-ShareAlike 4.0"): "cc-by-nc-sa",
+        cc.format("Attribution-ShareAlike 4.0") + " Text. " + cc.format("Attribution 4.0"): "cc-by,cc-by-sa",
+        grant.format("General Public License", "2"): "gpl-2", grant.format("General Public License", "3"): "gpl-3",
+        grant.format("Affero General Public License", "3").replace("program", "library"): "agpl-3",
+        grant.format("Lesser General Public License", "2.1").replace("program", "library"): "lgpl",
+        "This work is licensed under the GNU General Public License.": "gpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense", bsd: "bsd",
+    }
+    frame = spark.createDataFrame([(k, text) for k, text in enumerate(data)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(frame).collect()}
+    assert [got[k] for k in range(len(data))] == list(data.values())
+
+
+def test_alignment_equals_plain_recursion():
+    rnd = random.Random(8)
+    for _ in range(60):
+        own = [rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randrange(1, 7))]
+        words = [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randrange(0, 12))]
+        best = 0
+        score = {}
+        for i in range(len(words) + 1):
+            for j in range(len(own) + 1):
+                ways = [0]
+                if i and j:
+                    ways.append(score[i - 1, j - 1] + (1 if words[i - 1] == own[j - 1] else -1))
+                if i:
+                    ways.append(score[i - 1, j] - 1)
+                if j:
+                    ways.append(score[i, j - 1] - 1)
+                score[i, j] = max(ways)
+                best = max(best, score[i, j])
+        matches, other, first, end = licenses.aligned(words, own)
+        assert end - first == matches + other and matches >= best and (matches > 0) == (best > 0)
+
+
 # --- languages -----------------------------------------------------------------------------------------------------
 
 
