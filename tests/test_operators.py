@@ -196,18 +196,40 @@ def test_many_copies(spark, cells):
     assert rows(got, "query_id", "item_id", "score") == sorted(_near_brute(data, 4), key=repr)
 
 
+def _asked_share(data, k, metric, cells, block_rows):
+    """Share of (vector, block) pairs that are compared when every vector asks all others."""
+    class Cover:
+        value = similar._cover(np.random.default_rng(1).permutation(data)[: similar.SAMPLE * cells], cells, metric)
+
+    frame = pd.DataFrame({"_g": 0, "query_id": np.arange(len(data)), "_vector": list(data)})
+    frame = next(similar._assigner(Cover, metric)([frame]))
+    pivots = Cover.value[0]
+    exact = similar._apart(data, pivots, metric)[0][np.arange(len(data)), frame["_cell"]]
+    assert (exact <= frame["_reach"] + 1e-6).all()
+    blocks = frame.groupby("_cell", as_index=False).agg(_n=("_reach", "size"), _reach=("_reach", "max"))
+    blocks["_first"] = (blocks["_n"].cumsum() - blocks["_n"]) // block_rows
+    blocks["_parts"] = -(-blocks["_n"] // block_rows)
+    asked = similar._asker(Cover, k, metric, "query_id")(frame.assign(_query=0), blocks)
+    total = int((blocks["_first"] + blocks["_parts"]).max())
+    return asked["_blocks"].map(len).sum() / len(data) / total
+
+
+@pytest.mark.parametrize("width", [64, 256])
+@pytest.mark.parametrize("metric", ["euclid", "cosine"])
+def test_clustered_vectors_meet_few_blocks(width, metric):
+    draw = np.random.default_rng(width)
+    centres = draw.normal(size=(100, width))
+    data = centres[draw.integers(100, size=10_000)] + 0.1 * draw.normal(size=(10_000, width))
+    assert _asked_share(data, 5, metric, cells=200, block_rows=500) < 0.2
+
+
 def test_far_cells_are_left_out(spark):
     draw = np.random.default_rng(8)
     centres = draw.normal(size=(12, 5)) * 100
     data = np.concatenate([c + draw.normal(size=(40, 5)) for c in centres])
     frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(data)], "id long, vector array<double>")
 
-    class Pivots:
-        value = centres
-
-    cells = pd.DataFrame({"_g": 0, "_cell": np.arange(12), "_items": 40, "_reach": 6.0})
-    pairs = similar._pairer(Pivots, 3, "euclid")(cells, cells)
-    assert (pairs["_query_cell"] == pairs["_item_cell"]).all() and len(pairs) == 12
+    assert _asked_share(data, 3, "euclid", cells=24, block_rows=40) < 0.2
     got = nearest(frame, frame, 3, metric="euclid", block_rows=40, cells=12)
     found = sorted((r["query_id"], r["item_id"], r["score"]) for r in got.collect())
     want = _near_brute(data, 3)

@@ -1,9 +1,10 @@
 """Exact nearest neighbours between two sets of vectors.
 
-Every vector belongs to the cell of its nearest pivot.  From the radii of the
-cells the triangle inequality says which pairs of a query cell and an item cell
-can hold a result; only blocks of vectors with such a pair are compared.  A
-block pair returns its best ``k`` per query, so pairs are never written out.
+A cover of two levels, pivots and pivots of pivots, puts every vector into the
+cell of a near pivot.  From the radii of the item cells the triangle inequality
+says for every query vector which cells can hold a result, and the vector is
+sent only to the blocks of those cells.  A block pair returns its best ``k``
+per query, so pairs are never written out.
 Cells and block sizes follow the number of items; there is one way for all
 sizes.
 """
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..session import freeze
 from .keys import null_safe_join
@@ -27,6 +28,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # a block holds about 20 times the root of the items, within these bounds
 LEAST_BLOCK, MOST_BLOCK = 2_000, 200_000
+# the broadcast pivots take at most this many bytes, the sample from which they come so many times more
+PIVOT_BYTES, SAMPLE = 8_000_000, 8
+# upper pivots that are chosen by distance, and how many of them a vector tries
+_SPREAD, _TRIED = 1_024, 4
 _CHUNK_CELLS = 4_000_000
 _EPSILON = float(np.finfo("float64").eps)
 
@@ -113,48 +118,94 @@ def _apart(rows: np.ndarray, pivots: np.ndarray, metric: str) -> tuple[np.ndarra
     return _rough(rows, pivots)
 
 
-def _assigner(pivots, metric: str):
+def _cover(sample: np.ndarray, wanted: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots in the order of their upper pivots, and where the pivots of each upper one begin (and the end).
+
+    The upper pivots are those of the sample that lie farthest from all chosen
+    before, so every dense region gets one; the others come as sampled.
+    """
+    wanted = min(wanted, len(sample))
+    chosen, nearest_one = [0], _apart(sample, sample[:1], metric)[0][:, 0]
+    upper = np.zeros(len(sample), dtype="int64")
+    while len(chosen) < min(_SPREAD, (wanted + 1) // 2):
+        far = int(nearest_one.argmax())
+        if nearest_one[far] <= 0:
+            break
+        d = _apart(sample, sample[far: far + 1], metric)[0][:, 0]
+        upper[d < nearest_one] = len(chosen)
+        nearest_one = np.minimum(nearest_one, d)
+        # rounding leaves a vector a little apart from itself
+        nearest_one[far] = 0.0
+        upper[far] = len(chosen)
+        chosen.append(far)
+    others = np.setdiff1d(np.arange(len(sample)), chosen)[: wanted - len(chosen)]
+    members = np.concatenate([np.array(chosen, dtype="int64"), others])
+    # uppers in the order of their distance from the first one, so that neighbouring cells lie near each other
+    place = np.empty(len(chosen), dtype="int64")
+    place[np.argsort(_apart(sample[chosen], sample[:1], metric)[0][:, 0], kind="stable")] = np.arange(len(chosen))
+    # an upper pivot is the first of its own
+    order = np.lexsort((nearest_one[members], np.arange(len(members)) >= len(chosen), place[upper[members]]))
+    members = members[order]
+    begin = np.searchsorted(place[upper[members]], np.arange(len(chosen) + 1))
+    return sample[members], begin
+
+
+def _assigner(cover, metric: str):
+    """Cell of every vector, and its distance from the pivot at most: a near pivot, not always the nearest."""
+
     def assign(batches):
-        own_pivots = pivots.value
+        pivots, begin = cover.value
+        uppers = pivots[begin[:-1]]
         for batch in batches:
-            if len(batch):
-                rows = np.stack(batch["_vector"]).astype("float64")
-                step = max(1, _CHUNK_CELLS // len(own_pivots))
-                cell, reach = [], []
-                for start in range(0, len(rows), step):
-                    d, lost = _apart(rows[start: start + step], own_pivots, metric)
-                    own = d.argmin(axis=1)
-                    cell.append(own)
-                    reach.append(d[np.arange(len(own)), own] + lost)
-                yield batch.assign(_cell=np.concatenate(cell).astype("int64"), _reach=np.concatenate(reach))
+            if not len(batch):
+                continue
+            rows = np.stack(batch["_vector"]).astype("float64")
+            cell, reach = np.zeros(len(rows), dtype="int64"), np.full(len(rows), np.inf)
+            step = max(1, _CHUNK_CELLS // len(uppers))
+            for start in range(0, len(rows), step):
+                part = np.arange(start, min(start + step, len(rows)))
+                d, _ = _apart(rows[part], uppers, metric)
+                tried = np.argpartition(d, min(_TRIED, d.shape[1]) - 1, axis=1)[:, :_TRIED]
+                for u in np.unique(tried):
+                    own = part[(tried == u).any(axis=1)]
+                    below, lost = _apart(rows[own], pivots[begin[u]: begin[u + 1]], metric)
+                    best = below.argmin(axis=1)
+                    far = below[np.arange(len(own)), best] + lost
+                    nearer = far < reach[own]
+                    reach[own[nearer]], cell[own[nearer]] = far[nearer], begin[u] + best[nearer]
+            yield batch.assign(_cell=cell, _reach=reach)
 
     return assign
 
 
-def _pairer(pivots, k: int, metric: str):
-    """Cell pairs of one group that can hold a result."""
-
-    def pair(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        own_pivots = pivots.value
-        cell, size, reach = items["_cell"].to_numpy(), items["_items"].to_numpy(), items["_reach"].to_numpy()
-        asking, item_cells = [], []
-        for a, radius in zip(queries["_cell"], queries["_reach"]):
-            d, lost = _apart(own_pivots[a: a + 1], own_pivots[cell], metric)
-            # all items of the nearest cells lie within the last of these, so the k-th result does
-            within = d[0] + lost[0] + radius + reach
-            order = np.argsort(within, kind="stable")
-            enough = int(np.searchsorted(np.cumsum(size[order]), k + 1))
-            bound = within[order[enough]] if enough < len(order) else np.inf
-            hit = cell[d[0] - lost[0] - radius - reach <= bound * (1 + 1e-12)]
-            asking.append(np.full(len(hit), a))
-            item_cells.append(hit)
-        group = int(queries["_g"].iloc[0]) if len(queries) else 0
-        out = pd.DataFrame({"_query_cell": np.concatenate(asking or [np.zeros(0)]).astype("int64"),
-                            "_item_cell": np.concatenate(item_cells or [np.zeros(0)]).astype("int64")})
-        out.insert(0, "_g", group)
-        return out
-
-    return pair
+def _asker(cover, k: int, metric: str, name: str):
+    """For every query of a block the item blocks that can hold one of its results."""
+
+    def ask(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        pivots, _ = cover.value
+        cells = cells.sort_values("_first", kind="stable")
+        cell, size, reach = cells["_cell"].to_numpy(), cells["_n"].to_numpy(), cells["_reach"].to_numpy()
+        first = cells["_first"].to_numpy()
+        blocks = [np.zeros(0, dtype="int64")] * len(queries)
+        if len(queries) and len(cells):
+            rows = np.stack(queries["_vector"]).astype("float64")
+            # the cells that share their first block stand together
+            heads = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+            # a cell of many items has several blocks of its own
+            spans = np.maximum.reduceat(cells["_parts"].to_numpy(), heads)
+            step = max(1, _CHUNK_CELLS // len(cells))
+            for start in range(0, len(rows), step):
+                d, lost = _apart(rows[start: start + step], pivots[cell], metric)
+                lost = lost[:, None]
+                # all items of a cell lie within its bound; one with more than k of them bounds the k-th result
+                enough = np.where(size > k, d + lost + reach, np.inf).min(axis=1, keepdims=True)
+                hit = np.logical_or.reduceat(d - lost - reach <= enough * (1 + 1e-12), heads, axis=1)
+                for n, row in enumerate(hit):
+                    found = [np.arange(first[heads[h]], first[heads[h]] + spans[h]) for h in np.flatnonzero(row)]
+                    blocks[start + n] = np.unique(np.concatenate(found))
+        return queries[["_g", name, "_vector", "_query"]].assign(_blocks=blocks)
+
+    return ask
 
 
 def _blocks(celled: DataFrame, rows: int) -> DataFrame:
@@ -210,8 +261,8 @@ def nearest(
     to the smaller item id.  ``block_rows`` and ``cells`` follow the number of
     items unless they are given; the result does not depend on them.
 
-    The pivots are broadcast: a quarter of the root of the items in number,
-    about 13 MB at ten thousand million items of 64 numbers.
+    The pivots are broadcast: twice the root of the items in number, and 8 MB
+    at most; the driver chooses them from a sample of eight times that size.
     """
     by, spark = list(by), items.sparkSession
     right = items.select(*by, F.col(id_column).alias("item_id"), F.col(vector).alias("_vector"))
@@ -224,8 +275,9 @@ def nearest(
     right = null_safe_join(right, groups, by).drop(*by)
     count = right.count()
     rows = block_rows or min(MOST_BLOCK, max(LEAST_BLOCK, int(20 * math.sqrt(count))))
-    wanted = cells or max(1, int(math.sqrt(count) / 4))
-    picked = right.orderBy(F.xxhash64("item_id"), "item_id", "_g").limit(wanted).select("_vector").collect()
+    width = right.agg(F.max(F.size("_vector"))).first()[0] or 1
+    wanted = cells or max(1, min(int(2 * math.sqrt(count)), PIVOT_BYTES // (8 * width)))
+    picked = right.orderBy(F.xxhash64("item_id"), "item_id", "_g").limit(SAMPLE * wanted).select("_vector").collect()
     schema = StructType(
         [
             StructField("_g", LongType()),
@@ -237,10 +289,7 @@ def nearest(
     if not picked:
         return _top(null_safe_join(spark.createDataFrame([], schema).drop("_g"), groups, []).select(
             *by, "query_id", "item_id", "score"), k, by)
-    pivots = np.array([r[0] for r in picked], dtype="float64")
-    # cells of neighbouring numbers lie near each other, so that a block holds few regions
-    pivots = pivots[np.argsort(_apart(pivots, pivots[:1], metric)[0][:, 0], kind="stable")]
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = spark.sparkContext.broadcast(_cover(np.array([r[0] for r in picked], dtype="float64"), wanted, metric))
 
     def celled(side: DataFrame) -> DataFrame:
         added = StructType(side.schema.fields + [StructField("_cell", LongType()), StructField("_reach", DoubleType())])
@@ -248,23 +297,19 @@ def nearest(
 
     left, right = celled(left), celled(right)
     left_blocks, right_blocks = freeze(_blocks(left, rows)), freeze(_blocks(right, rows))
-    asking = left_blocks.select("_g", "_cell", "_reach").groupBy("_g")
-    holding = right_blocks.select("_g", "_cell", "_reach", F.col("_n").alias("_items")).groupBy("_g")
-    cell_pairs = asking.cogroup(holding).applyInPandas(
-        _pairer(shared, k, metric), "_g long, _query_cell long, _item_cell long"
-    )
-
-    def numbers(blocks: DataFrame, cell: str, name: str) -> DataFrame:
-        span = F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)
-        return blocks.select("_g", F.col("_cell").alias(cell), F.explode(span).alias(name))
-
-    block_pairs = freeze(
-        cell_pairs.join(numbers(left_blocks, "_query_cell", "_query"), ["_g", "_query_cell"])
-        .join(numbers(right_blocks, "_item_cell", "_item"), ["_g", "_item_cell"])
-        .select("_g", "_query", "_item").distinct()
+    asking = _placed(left, left_blocks, "query_id", "_query")
+    # the cells of a group, once for each of its query blocks
+    last = F.col("_first") + F.col("_parts") - 1
+    query_blocks = left_blocks.select("_g", F.explode(F.sequence(F.col("_first"), last)).alias("_query")).distinct()
+    asked = StructType(
+        [*asking.schema.fields, StructField("_blocks", ArrayType(LongType()))]
     )
+    sent = freeze(
+        asking.groupBy("_g", "_query").cogroup(right_blocks.join(query_blocks, "_g").groupBy("_g", "_query"))
+        .applyInPandas(_asker(shared, k, metric, "query_id"), asked)
+    ).withColumn("_item", F.explode("_blocks")).drop("_blocks")
+    block_pairs = freeze(sent.select("_g", "_query", "_item").distinct())
     keys = ["_g", "_query", "_item"]
-    sent = _placed(left, left_blocks, "query_id", "_query").join(block_pairs, ["_g", "_query"])
     held = _placed(right, right_blocks, "item_id", "_item").join(block_pairs, ["_g", "_item"])
 
     def match(key: tuple, q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
