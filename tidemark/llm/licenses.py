@@ -120,6 +120,15 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "triples"])
 
 
+def _counted(batches):
+    """(doc_id, key, n_words) of every row."""
+    import pyarrow as pa
+
+    for batch, texts in runs(batches):
+        at = word_hashes(texts, "letters")[1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64))], names=["doc_id", "key", "n_words"])
+
+
 def aligned(words: list[bytes], own: list[bytes]) -> tuple[int, int, int, int]:
     """Best local alignment of a notice with words: (matches, other words within, first word, word after the last).
 
@@ -244,8 +253,8 @@ def scan(docs: DataFrame) -> DataFrame:
     voted = rows_with_bit(slim.select("key", "text"), "key", bitmap(spans, "key"))
     texts = voted.join(spans, "key").groupBy("key").agg(F.min("text").alias("text"), F.first("spans").alias("spans"))
     found = texts.mapInArrow(_verified, FOUND)
-    n_words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), n_words.alias("n_words"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = slim.mapInArrow(_counted, f"doc_id {kind}, key long, n_words long")
     return rows.join(found, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
