@@ -204,7 +204,10 @@ def _asked_share(data, k, metric, cells, block_rows):
     frame = pd.DataFrame({"_g": 0, "query_id": np.arange(len(data)), "_vector": list(data)})
     frame = next(similar._assigner(Cover, metric)([frame]))
     pivots = Cover.value[0]
-    exact = similar._apart(data, pivots, metric)[0][np.arange(len(data)), frame["_cell"]]
+    own = pivots[frame["_cell"]]
+    exact = np.linalg.norm(data - own, axis=1) if metric == "euclid" else np.arccos(
+        np.clip(similar._exact(data, own, metric), 0, 1)
+    )
     assert (exact <= frame["_reach"] + 1e-6).all()
     blocks = frame.groupby("_cell", as_index=False).agg(_n=("_reach", "size"), _reach=("_reach", "max"))
     blocks["_first"] = (blocks["_n"].cumsum() - blocks["_n"]) // block_rows
