@@ -317,6 +317,58 @@ def test_layout_class_of_body_loses_nothing():
     assert got == PROSE
 
 
+def strange():
+    """Labelled pages whose class names tell nothing."""
+    menu = "<div class='q1'>" + "".join(f"<b>item {k}</b> " for k in range(6)) + "</div>"
+    return [page(f"<div id='z9'>{menu}<article><h1>Title</h1><p class='t'>{PROSE}</p></article><div class='c-7f k2'><p>{PROSE}</p></div></div>") for _ in range(20)]
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div class='q1'>one two</div><p>{PROSE}</p><div class='c-7f'><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE),
+        (f"<section id='k2'>{PROSE}</section><div id='z9'><p class='t'>{PROSE}</p></div>", PROSE),
+        (f"<div class='c-7f'><article><p>{PROSE}</p></article></div>", PROSE),
+        (f"<article><p>{PROSE}</p><div class='k2'>kept</div><div class='ads'>{PROSE}</div><p>End</p></article>", f"{PROSE}\nkept\nEnd"),
+        (f"<div><p>{PROSE}</p><div class='k2'>{PROSE * 20}</div><p>{PROSE * 3}</p></div>", f"{PROSE}\n{PROSE * 3}"),
+        (f"<div class='k2'>{PROSE}</div>", ""),
+    ],
+)
+def test_unknown_names_are_learned(body, want):
+    assert html_text.extract(page(body), html_text.fit_weights(strange())) == want
+
+
+def test_names_seen_in_articles_lose_nothing():
+    seen = [page(f"<div class='box'>{PROSE}</div><article><div class='box'>{PROSE}</div></article>") for _ in range(9)]
+    weights = html_text.fit_weights(seen)
+    assert weights[".box"] == 0 and weights[".ads"] == -html_text.PRIOR
+    assert html_text.extract(page(f"<div class='box'>{PROSE}</div>"), weights) == PROSE
+
+
+def test_results_come_from_the_weights(folder):
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{folder}/pages.parquet").html.dropna().tolist()
+    weights = html_text.fit_weights(pages[:100])
+    zero = dict.fromkeys(weights, 0.0)
+    assert sum(html_text.extract(p, weights) != html_text.extract(p, zero) for p in pages) > 0.9 * len(pages)
+
+
+def test_best_part_equals_all_parts():
+    rnd = random.Random(6)
+    for _ in range(400):
+        scores = [(float(rnd.randint(-3, 5)), float(rnd.randint(-6, 1))) for _ in range(rnd.randint(0, 9))]
+        sums = {
+            (i, j): sum(own for own, _ in scores[i:j]) + sum(parting for _, parting in scores[i + 1 : j])
+            for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)
+        }
+        best = max([0.0, *sums.values()])
+        begin, end = html_text.best_part(scores)
+        assert sums.get((begin, end), 0.0) == best
+        if best > 0:
+            assert (end, -begin) == min((j, -i) for (i, j), total in sums.items() if total == best)
+
+
 def test_pages(spark):
     data = [(k, f"u{k}", h) for k, h in enumerate(labelled())] + [(90, None, None), (91, "u", ""), (92, "u", "<p>"), (90, None, None), (None, "u", "just words"), (93, "u", "<article " + "x" * 50_000)]
     pages = spark.createDataFrame([(*r, "t") for r in data], "page_id long, url string, html string, text string")

@@ -1,12 +1,17 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Every word scores +1; a tag scores what labelled pages say: the more often it
-stands outside their article, the more it costs. One scan finds the contiguous part with the largest sum. Within that
-part, elements that are never article text (menus, adverts, forms, comments, ...) are left out; inside an open `article`
-or `main` the other tags cost nothing. Elements end where their parent does if their own end tag is missing.
+A page is a sequence of words and tags. A word scores +1, less what labelled pages say of the elements that hold it: the
+more often words under a class, id or role name (or in a `nav`, `aside`, ...) stand outside the article, the lower. A tag
+costs by the same rule. One scan finds the contiguous part with the largest sum. An element whose words score below
+zero is never worth having: where it lies within the best part, the scan pays for its tags and the text is without it.
+Inside an open `article` or `main` tags cost nothing. Elements end where their parent does if their own end tag is
+missing.
 
 Labelled pages are pages that mark their article with an element of that name. The weights are fitted on a bounded
-sample (`SAMPLE_PAGES`, the first by a hash of the id); the scan covers whole pages.
+sample (`SAMPLE_PAGES`, the first by a hash of the id); the scan covers whole pages. Names that the sample may lack start
+from prior odds (`PRIOR_TAGS`, `PRIOR_NAMES`). Labels tell nothing of adverts inside an article, so there only names with
+prior odds count, and the sample weakens those by `AGAINST` at most. Without any weight no element is left out but those
+that hold no text.
 """
 
 from __future__ import annotations
@@ -51,25 +56,36 @@ ENDS = {
 }
 #: Elements that hold the article or the page, whatever their class is called.
 HOLDERS = {"html", "body", "main", "article"}
-#: Elements, and whole class, id and role names, that are never article text.
-ASIDE_TAGS = {"nav", "aside", "footer", "form", "menu", "button", "dialog", "label"}
-ASIDE_NAMES = re.compile(
-    r"^(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promos?|banners?|nav|navbar|navigation|menus?|sidebars?|footers?|comments?|replies"
-    r"|respond|disqus|cookies?|consent|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|signup|share|sharing|social"
-    r"|related|recommended|breadcrumbs?|pagination|pager|toolbar|widgets?|masthead|complementary|contentinfo)$",
-    re.I,
-)
-
-
-def key_of(name: str, attributes: str) -> tuple[str, bool]:
-    """(name of the tag with its first class or id, whether its element is never article text)."""
+#: Odds (natural logarithm) that a word under a name stands outside the article: before any page is seen, for tags of
+#: form controls whatever is seen, and how far the words of labelled pages can move them down or up.
+PRIOR, CONTROL, AGAINST, FOR = 4.0, 6.0, 2.0, 6.0
+CONTROLS = {"form", "menu", "button", "dialog", "label"}
+#: Tags and whole class, id and role names with prior odds.
+PRIOR_TAGS = {"nav", "aside", "footer", "header"}
+PRIOR_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "sponsor", "sponsored", "promo", "promos", "banner",
+    "banners", "nav", "navbar", "navigation", "menu", "menus", "sidebar", "sidebars", "footer", "footers", "comment", "comments",
+    "reply", "replies", "respond", "disqus", "cookie", "cookies", "consent", "notice", "notices", "alert", "alerts", "popup",
+    "popups", "modal", "modals", "overlay", "overlays", "newsletter", "newsletters", "subscribe", "signup", "share", "sharing",
+    "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "widget", "widgets",
+    "masthead", "complementary", "contentinfo",
+}
+#: Prior odds by region: `<tag` or `.name`.
+ODDS = (
+    {f"<{t}": PRIOR for t in sorted(PRIOR_TAGS)} | {f".{n}": PRIOR for n in sorted(PRIOR_NAMES)} | {f"<{t}": CONTROL for t in sorted(CONTROLS)}
+)
+
+
+def key_of(name: str, attributes: str) -> tuple[str, tuple[str, ...]]:
+    """(name of the tag with its first class or id, regions that its element opens: `<tag` and `.name` of every class, id and role)."""
     names = []
     for attribute, a, b, c in ATTRIBUTE.findall(attributes) if attributes else []:
         if attribute.lower() in ("class", "id", "role"):
             names += (a or b or c).split()
-    aside = name not in HOLDERS and (name in ASIDE_TAGS or any(ASIDE_NAMES.match(w) for w in names))
     words = [w for n in names for w in re.split(r"[_-]+", n) if w]
-    return (f"{name}.{words[0].lower()}" if words else name), aside
+    regions = [f"<{name}"] if f"<{name}" in ODDS else []
+    regions += [f".{n.lower()}" for n in names]
+    return (f"{name}.{words[0].lower()}" if words else name), () if name in HOLDERS else tuple(regions)
 
 
 def raw_end(page: str, name: str, at: int, parent: str, known: dict[str, tuple[int, int]]) -> int:
@@ -144,7 +160,7 @@ class Markup:
 
 
 def tokens(page: str) -> list[list]:
-    """['text', string], ['open', name, key, aside, end, explicit] and ['close', name] in order; raw elements and comments
+    """['text', string], ['open', name, key, regions, end, explicit] and ['close', name] in order; raw elements and comments
     left out.
 
     `end` is the index of the token that ends the element, `explicit` whether that is its own end tag.
@@ -203,8 +219,8 @@ def tokens(page: str) -> list[list]:
                     while len(stack) > deep:
                         drop()
                     deep -= 1
-            key, aside = key_of(name, attributes)
-            token = ["open", name, key, aside or name in HIDDEN, len(out) + 1, False]
+            key, regions = key_of(name, attributes)
+            token = ["open", name, key, regions, len(out) + 1, False]
             out.append(token)
             if name not in VOID and not (closed and name in HIDDEN):
                 stack.append(token)
@@ -214,35 +230,81 @@ def tokens(page: str) -> list[list]:
     return out
 
 
+def words_before(found: list[list]) -> list[int]:
+    """Number of words before every token, and of all; text in elements that hold none (`HIDDEN`) does not count."""
+    out, total, shown = [0], 0, 0
+    for at, token in enumerate(found):
+        if token[0] == "open" and token[1] in HIDDEN:
+            shown = max(shown, token[4] + token[5])
+        elif token[0] == "text" and at >= shown:
+            total += len(token[1].split())
+        out.append(total)
+    return out
+
+
 def fit_weights(pages: list[str]) -> dict[str, float]:
-    """Cost of every tag key (negative), from pages that mark their article."""
-    inside: dict[str, int] = {}
-    outside: dict[str, int] = {}
+    """Cost of every tag key, and score that words lose in every region (both negative), from pages that mark their article.
+
+    An element that holds an article is no evidence against its names; a name of an element with words on either side of the
+    article's border counts both.
+    """
+    tags: dict[str, list[int]] = {}  # [outside, inside], in tags
+    words: dict[str, list[int]] = {}  # the same in words
     for page in pages:
-        depth, at, found = 0, 0, tokens(page)
+        found = tokens(page)
+        before = words_before(found)
+        articles = [k for k, t in enumerate(found) if t[0] == "open" and t[1] == "article"]
+        at = border = 0
         while at < len(found):
-            token = found[at]
+            token, here = found[at], at
             at += 1
-            if token[0] == "open":
-                name, key = token[1:3]
-                if name in HIDDEN:
-                    at = token[4] + token[5]
-                elif name == "article":
-                    depth += 1
+            if token[0] != "open":
+                continue
+            _, name, key, regions, end, explicit = token
+            if name in HIDDEN:
+                at = end + explicit
+            elif name == "article":
+                border = max(border, end)
+            else:
+                inside = here < border
+                tags.setdefault(key, [0, 0])[inside] += 1
+                next_one = bisect.bisect_right(articles, here)
+                if inside or next_one == len(articles) or articles[next_one] >= end:
+                    for region in regions:
+                        words.setdefault(region, [0, 0])[inside] += before[end] - before[here]
                 else:
-                    counts = inside if depth else outside
-                    counts[key] = counts.get(key, 0) + 1
-            elif token[0] == "close" and token[1] == "article":
-                depth = max(0, depth - 1)
+                    for region in regions:
+                        words.setdefault(region, [0, 0])[1] += before[end] - before[here]
     out = {}
-    for key in {*inside, *outside}:
-        odds = math.log((outside.get(key, 0) + 1) / (inside.get(key, 0) + 1))
-        out[key] = -min(MOST, max(LEAST, SCALE * odds))
+    for key, (outside, inside) in tags.items():
+        out[key] = -min(MOST, max(LEAST, SCALE * math.log((outside + 1) / (inside + 1))))
+    for region in {*words, *ODDS}:
+        outside, inside = words.get(region, (0, 0))
+        seen = 0.0 if region[1:] in CONTROLS and region[0] == "<" else math.log((outside + 1) / (inside + 1))
+        out[region] = -max(0.0, ODDS.get(region, 0.0) + min(FOR, max(-AGAINST, seen)))
     return out
 
 
+def best_part(scores: list[tuple[float, float]]) -> tuple[int, int]:
+    """First and last + 1 of the blocks with the largest sum, in one pass; each is (its score, score of what parts it from the
+    one before). Of equal sums the part that ends first, of those the shortest; (0, 0) if no sum is above zero."""
+    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
+    for k, (own, parting) in enumerate(scores):
+        if k == begin or total + parting <= 0:
+            total, begin = 0.0, k
+        else:
+            total += parting
+        total += own
+        if total > best:
+            best, best_at = total, (begin, k + 1)
+    return best_at
+
+
 def extract(page: str, weights: dict[str, float]) -> str:
-    """Blocks of the best part, in order, one per line; white space inside a block is one blank."""
+    """Blocks of the best part, in order, one per line; white space inside a block is one blank.
+
+    `weights` as `fit_weights` returns them; without any (an empty dict) words score +1 wherever they stand.
+    """
     blocks: list[tuple[float, str]] = []  # (score of the tags since the block before, text)
     words: list[str] = []
     cost = 0.0
@@ -260,6 +322,11 @@ def extract(page: str, weights: dict[str, float]) -> str:
             cost = 0.0
         words.clear()
 
+    def score_of(regions: tuple[str, ...]) -> float:
+        """Score of a word in an element with these regions."""
+        known = [r for r in regions if not inside or (r in ODDS and r != "<header")]
+        return 1.0 + min((weights.get(r, 0.0) for r in known), default=0.0)
+
     found = tokens(page)
     marks = [k for k, t in enumerate(found) if t[0] == "open" and t[1] in ("article", "main")]
     at = 0
@@ -277,7 +344,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
             continue
         name = token[1]
         if token[0] == "open":
-            _, _, key, aside, end, explicit = token
+            _, _, key, regions, end, explicit = token
             if name in HIDDEN:
                 words.append(" ")
                 at = end + explicit
@@ -289,36 +356,28 @@ def extract(page: str, weights: dict[str, float]) -> str:
             if name in ("article", "main"):
                 inside.append(end)
                 free += end < last
-            skip = (aside or (name == "header" and not inside)) and name not in VOID
+            skip = bool(regions) and name not in VOID and score_of(regions) < 0
             if skip and not inside:
                 # An element with the article or the page's main part in it is kept; one that was left open ends there.
                 mark = bisect.bisect_left(marks, at)
                 if mark < len(marks) and marks[mark] < end:
                     skip, end, explicit = not explicit, marks[mark], False
+            # What is in an article or left out of it does not part it.
             if skip:
                 close_block()
+                if not was_free and not inside:
+                    cost += cost_of(key, name) + (cost_of(name, name) if explicit else 0.0)
                 at = end + explicit
-            # What is in an article or left out of it does not part it.
-            if not was_free and not (skip and inside):
+            elif not was_free:
                 cost += cost_of(key, name)
-                if skip and explicit:
-                    cost += cost_of(name, name)
         else:
             if name in BLOCKS:
                 close_block()
             if not free:
                 cost += cost_of(name, name) / 2
     close_block()
-    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
-    for k, (tags, text) in enumerate(blocks):
-        if k == begin or total + tags <= 0:
-            total, begin = 0.0, k
-        else:
-            total += tags
-        total += len(text.split())
-        if total > best:
-            best, best_at = total, (begin, k + 1)
-    return "\n".join(text for _, text in blocks[best_at[0] : best_at[1]])
+    begin, end = best_part([(float(len(text.split())), tags) for tags, text in blocks])
+    return "\n".join(text for _, text in blocks[begin:end])
 
 
 def labelled_pages(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
@@ -336,7 +395,8 @@ def main_texts(pages: DataFrame, weights: dict[str, float] | None = None) -> Dat
     """page_id, url, text, n_chars of every page.
 
     A NULL or empty html, or one without words, gives an empty text with 0 characters. Of equal sums the part that ends
-    first is taken. Without labelled pages every tag costs UNKNOWN. Repeated rows are answered alike.
+    first is taken. Without labelled pages every tag costs UNKNOWN and only prior odds tell regions. Repeated rows are
+    answered alike.
     """
     import pyarrow as pa
 
