@@ -320,7 +320,7 @@ def test_layout_class_of_body_loses_nothing():
 def strange():
     """Labelled pages whose class names tell nothing."""
     menu = "<div class='q1'>" + "".join(f"<b>item {k}</b> " for k in range(6)) + "</div>"
-    return [page(f"<div id='z9'>{menu}<article><h1>Title</h1><p class='t'>{PROSE}</p></article><div class='c-7f k2'><p>{PROSE}</p></div></div>") for _ in range(20)]
+    return [page(f"<div id='z9'>{menu}<article><h1>Title</h1><p class='t'>{PROSE}</p><p>{PROSE}</p></article><div class='c-7f k2'><p>{PROSE}</p></div></div>") for _ in range(20)]
 
 
 @pytest.mark.parametrize(
