@@ -237,6 +237,48 @@ def test_lanes_hold_every_symbol(monkeypatch):
     assert [int(((matrix != 9) * (owner == k)).sum()) for k in range(5)] == counts.tolist()
 
 
+@pytest.mark.parametrize("kind", ["mixed", "one letter", "period", "lacking"])
+def test_lanes_count_as_one_parse(monkeypatch, kind):
+    rnd = random.Random(4)
+    monkeypatch.setattr(language_id, "LANE", 8)
+    sample = {"one letter": [2] * 3, "period": [2, 3, 2, 4] * 3}.get(kind) or [rnd.randrange(2, 5) for _ in range(200)]
+    symbols = 7
+    table = language_id.automaton(sample, symbols)
+    known = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, len(sample) + 1)}
+    texts = []
+    for _ in range(40):
+        n = rnd.choice([0, 1, 7, 8, 9, 16, 17, rnd.randrange(300)])
+        if kind == "one letter":
+            texts.append([2] * n)
+        elif kind == "period":
+            texts.append(([2, 3, 2, 4] * n)[:n])
+        else:
+            texts.append([rnd.randrange(2, 6 if kind == "lacking" else 5) for _ in range(n)])
+    want = []
+    for text in texts:
+        count, at = 0, 0
+        while at < len(text):
+            stop = at + 1
+            while stop < len(text) and tuple(text[at : stop + 1]) in known:
+                stop += 1
+            count, at = count + 1, stop
+        want.append(count)
+    codes, counts = np.array(sum(texts, []), dtype=np.int32), np.array([len(t) for t in texts])
+    matrix, owner = language_id.lanes(codes, counts, symbols - 1)
+    follows = np.concatenate(([False], owner[1:] == owner[:-1]))
+    got = np.bincount(owner, weights=language_id.phrases(matrix, table, symbols, follows), minlength=len(texts))
+    assert got.tolist() == want
+
+
+def test_a_long_text_of_one_letter_takes_linear_time():
+    import time
+
+    model = {"symbols": 4, "table": language_id.symbol_table(["a"]), "models": [("x", language_id.automaton([2] * 3, 4), 3)]}
+    begin = time.time()
+    assert language_id.classify(["a" * 1_500_000], model)[0] == ["x"]
+    assert time.time() - begin < 10
+
+
 def test_language_identification(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")

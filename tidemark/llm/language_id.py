@@ -25,7 +25,8 @@ from .words import runs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_CHARS = 24, 2_000, 2_000_000
-#: Characters of a lane. Long texts are parsed in lanes side by side; a lane's end closes a phrase in every language.
+#: Characters of a lane. Long texts are parsed in lanes side by side; each is then entered with the phrase that the lane before
+#: leaves open, as far as that changes anything, so the phrases are those of one parse of the whole text.
 LANE = 512
 BLANK, OTHER, FIRST = 0, 1, 2
 #: State after a letter that the sample lacks, and before the first one.
@@ -139,19 +140,61 @@ def lanes(codes: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray,
     return np.ascontiguousarray(out.reshape(-1, LANE).T), owner
 
 
-def phrases(matrix: np.ndarray, table: tuple[np.ndarray, np.ndarray], symbols: int) -> np.ndarray:
-    """Phrases that each lane needs against one automaton; a letter that the sample lacks is one by itself.
+def phrases(matrix: np.ndarray, table: tuple[np.ndarray, np.ndarray], symbols: int, follows: np.ndarray | None = None) -> np.ndarray:
+    """Phrases that begin in each lane against one automaton; a letter that the sample lacks is one by itself.
 
-    The last symbol stands for no character; it only ends lanes.
+    The last symbol stands for no character; it only ends lanes. `follows` tells which lanes go on with the text of the
+    lane before. All lanes are parsed as if a phrase began with them; then again from the state that the lane before ends
+    in, until both parses are in the same state. Where that is not before the lane's end, the next one is corrected after it.
     """
     places, again = table
-    state = np.full(matrix.shape[1], NOWHERE, dtype=np.int64)
-    count = np.zeros(matrix.shape[1], dtype=np.int32)
+    n = matrix.shape[1]
+    end = np.full(n, NOWHERE, dtype=np.int64)
+    count = np.zeros(n, dtype=np.int32)
     for row in matrix:
-        found = places[state + row]
-        other = (found >> 32) != state
+        found = places[end + row]
+        other = (found >> 32) != end
         count += other
-        state = np.where(other, again[row], found & 0xFFFFFFFF)
+        end = np.where(other, again[row], found & 0xFFFFFFFF)
+    if follows is not None and follows.any():
+        entry = np.full(n, NOWHERE, dtype=np.int64)
+        late = np.flatnonzero(follows)
+        entry[late] = end[late - 1]
+        state, fresh_state = entry[late], np.full(len(late), NOWHERE, dtype=np.int64)
+        for row in matrix:
+            apart = state != fresh_state
+            late, state, fresh_state = late[apart], state[apart], fresh_state[apart]
+            if not len(late):
+                break
+            codes = row[late]
+            found, fresh_found = places[state + codes], places[fresh_state + codes]
+            other, fresh_other = (found >> 32) != state, (fresh_found >> 32) != fresh_state
+            count[late] += other.astype(np.int32) - fresh_other
+            state = np.where(other, again[codes], found & 0xFFFFFFFF)
+            fresh_state = np.where(fresh_other, again[codes], fresh_found & 0xFFFFFFFF)
+        end[late] = state
+        look, anew = memoryview(places), memoryview(again)
+        for lane in late.tolist():
+            after = lane + 1
+            while after < n and follows[after] and entry[after] != end[after - 1]:
+                now, was, entry[after] = int(end[after - 1]), int(entry[after]), end[after - 1]
+                more = 0
+                for c in matrix[:, after].tolist():
+                    found, before = look[now + c], look[was + c]
+                    if found >> 32 == now:
+                        now = found & 0xFFFFFFFF
+                    else:
+                        now, more = anew[c], more + 1
+                    if before >> 32 == was:
+                        was = before & 0xFFFFFFFF
+                    else:
+                        was, more = anew[c], more - 1
+                    if now == was:
+                        break
+                else:
+                    end[after] = now
+                count[after] += more
+                after += 1
     return count - (matrix == symbols - 1).sum(axis=0, dtype=np.int32)
 
 
@@ -191,10 +234,12 @@ def classify(texts: list[str], model: dict) -> tuple[list[str], list[float]]:
     owner = np.repeat(np.arange(len(texts)), counts)
     letters = np.bincount(owner, weights=codes != BLANK, minlength=len(texts))
     matrix, lane_of = lanes(codes, counts, model["symbols"] - 1)
+    follows = np.zeros(len(lane_of), dtype=bool)
+    follows[1:] = lane_of[1:] == lane_of[:-1]
     models = model["models"]
     cost = np.full((max(1, len(models)), len(texts)), np.inf)
     for k, (_, table, size) in enumerate(models):
-        needed = np.bincount(lane_of, weights=phrases(matrix, table, model["symbols"]), minlength=len(texts))
+        needed = np.bincount(lane_of, weights=phrases(matrix, table, model["symbols"], follows), minlength=len(texts))
         cost[k] = needed * np.log2(size + 1) / np.maximum(letters, 1)
     best = cost.argmin(axis=0)
     ordered = np.sort(cost, axis=0)
