@@ -208,6 +208,40 @@ def test_additive_hazard_without_covariates_is_nelson_aalen(spark):
     assert got and all(r["baseline"] == pytest.approx(want[r["t"]]) for r in got)
 
 
+@pytest.mark.parametrize("intercept", [True, False])
+def test_additive_survival_equals_plain_sums(spark, intercept, monkeypatch):
+    import math
+
+    import numpy as np
+
+    rows_in = [(float(1 + i % 9), i % 3 != 0, 1.0 + (i * 7) % 5, 0.5 * ((i * 3) % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows_in, "t double, e boolean, a double, b double")
+    fitted = op.additive_hazard(df, ["a", "b"], "t", "e", intercept=intercept)
+    assert fitted.columns == ["t", *["baseline"] * intercept, "a", "b"]
+    subjects = spark.createDataFrame([(1, 0.1, 0.2), (2, 0.0, 0.0), (3, None, 1.0)], "k int, a double, b double")
+    monkeypatch.setattr(op._every_time, "__defaults__", (4,))
+    got = {(r.k, r.t): r.survival for r in op.additive_survival(fitted, subjects, ["a", "b"], "k").collect()}
+    x = np.array([[1.0] * intercept + [a, b] for _, _, a, b in rows_in])
+    times, died = np.array([r[0] for r in rows_in]), np.array([r[1] for r in rows_in])
+    total, want = np.zeros(x.shape[1]), {}
+    for t in sorted(set(times[died])):
+        risk = x[times >= t]
+        m = risk.T @ risk
+        if np.linalg.det(m) > 1e-6 * np.prod(np.diag(m)):
+            total = total + np.linalg.solve(m, x[(times == t) & died].sum(axis=0))
+        for k, a, b in ((1, 0.1, 0.2), (2, 0.0, 0.0)):
+            want[k, t] = math.exp(-float(total @ np.array([1.0] * intercept + [a, b])))
+        want[3, t] = None
+    assert got.keys() == want.keys() and len(got) > 3 * 4
+    assert all(got[at] is None if value is None else got[at] == pytest.approx(value) for at, value in want.items())
+    assert op.additive_survival(fitted.limit(0), subjects, ["a", "b"], "k").count() == 0
+
+
+def test_additive_model_without_terms_is_refused(spark):
+    with pytest.raises(ValueError):
+        op.additive_hazard(spark.createDataFrame(_subjects(9), SCHEMA), [], "t", "e", intercept=False)
+
+
 def test_baseline_without_effect_is_breslow(spark):
     df = spark.createDataFrame(_subjects(80), SCHEMA)
     fit = op.cox_fit(df, ["s"], "t", "e")

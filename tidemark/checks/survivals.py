@@ -386,6 +386,35 @@ def additive_hazard(spark, folder):
     return found.select("t", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("baseline", "quantity", "discount")])
 
 
+@check(LINES_SQL + """,
+per AS (
+  SELECT duration AS t, SUM(quantity * quantity) AS xx, SUM(quantity * discount) AS xy, SUM(discount * discount) AS yy,
+         COUNT(*) FILTER (WHERE event) AS d, COALESCE(SUM(quantity) FILTER (WHERE event), 0) AS dx,
+         COALESCE(SUM(discount) FILTER (WHERE event), 0) AS dy
+  FROM lines GROUP BY 1
+),
+risk AS (
+  SELECT t, d, dx, dy, SUM(xx) OVER w AS xx, SUM(xy) OVER w AS xy, SUM(yy) OVER w AS yy
+  FROM per WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING)
+),
+steps AS (
+  SELECT t, CASE WHEN xx * yy - xy * xy > 1e-6 * xx * yy THEN (yy * dx - xy * dy) / (xx * yy - xy * xy) ELSE 0 END AS b1,
+         CASE WHEN xx * yy - xy * xy > 1e-6 * xx * yy THEN (xx * dy - xy * dx) / (xx * yy - xy * xy) ELSE 0 END AS b2
+  FROM risk WHERE d > 0
+),
+total AS (SELECT t, SUM(b1) OVER w AS b1, SUM(b2) OVER w AS b2 FROM steps WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)),
+subjects AS (SELECT priority, AVG(quantity) AS x1, AVG(discount) AS x2 FROM lines GROUP BY 1)
+SELECT priority, CAST(t AS DOUBLE) AS t, ROUND(EXP(-(b1 * x1 + b2 * x2)), 5) AS survival FROM total, subjects""")
+def additive_survival(spark, folder):
+    """Survival of the mean subject of every priority by the additive model without an intercept."""
+    lines = freeze(_lines(spark, folder))
+    names = ["quantity", "discount"]
+    subjects = lines.groupBy("priority").agg(*[F.avg(c).alias(c) for c in names])
+    cumulative = op.additive_hazard(lines, names, "duration", "event", intercept=False)
+    curves = op.additive_survival(cumulative, subjects, names, "priority")
+    return curves.withColumn("survival", F.round("survival", 5))
+
+
 @check()
 def cox_time_varying(spark, folder):
     """Hazard of an exit by funding received so far, over (start, stop] intervals."""

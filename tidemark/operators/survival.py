@@ -500,51 +500,94 @@ def baseline_hazard(
     )
 
 
-def subject_curves(baseline: DataFrame, subjects: DataFrame, fit: HazardFit, key: str) -> DataFrame:
+#: Times of a curve that meet a subject in one row.
+BLOCK_TIMES = 1000
+
+
+def _every_time(
+    subjects: DataFrame, curve: DataFrame, names: list[str], limit: int | None, block: int = BLOCK_TIMES
+) -> DataFrame:
+    """Subjects with a struct ``c`` of (t, names) per row of the curve.
+
+    The curve is cut into blocks of times; a subject is written once per block
+    and meets the block's rows by its number, so no row or broadcast holds a
+    whole curve.
+    """
+    numbered = ordered_scan(curve.select("t", *names), [], ["t"], {"_n": row_number()}, limit)
+    blocks = freeze(
+        numbered.groupBy(F.expr(f"(_n - 1) div {block}").alias("_block"))
+        .agg(F.collect_list(F.struct("t", *names)).alias("_times"))
+    )
+    last = blocks.agg(F.max("_block")).first()[0] or 0
+    spread = subjects.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
+    return spread.join(blocks, "_block").withColumn("c", F.explode("_times")).drop("_block", "_times")
+
+
+def subject_curves(
+    baseline: DataFrame, subjects: DataFrame, fit: HazardFit, key: str, limit: int | None = ROWS_PER_GROUP
+) -> DataFrame:
     """Survival of each subject at every event time; a row per subject and time, so subjects are few or chosen."""
     scored = freeze(subjects.select(key, F.exp(fit.risk()).alias("_factor")))
-    curve = freeze(baseline.agg(F.array_sort(F.collect_list(F.struct("t", "hazard"))).alias("_curve")))
-    return scored.join(F.broadcast(curve)).select(key, "_factor", F.explode("_curve").alias("c")).select(
+    return _every_time(scored, baseline, ["hazard"], limit).select(
         key, "c.t", F.exp(-F.col("c.hazard") * F.col("_factor")).alias("survival")
     )
 
 
+def additive_survival(
+    cumulative: DataFrame, subjects: DataFrame, covariates: list[str], key: str, limit: int | None = ROWS_PER_GROUP
+) -> DataFrame:
+    """Survival of each subject at every event time by the functions of `additive_hazard`, with or without a baseline.
+
+    The hazard of an additive model can fall below zero, the survival then
+    exceeds one; it is returned as it is.  A missing covariate gives NULL.
+    """
+    chosen = freeze(subjects.select(key, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]))
+    names = [c for c in ("baseline",) if c in cumulative.columns] + list(covariates)
+    hazard = F.lit(0.0)
+    for name in names:
+        part = F.col("c").getField(name)
+        hazard += part if name not in covariates else part * F.col(f"_x{covariates.index(name)}")
+    return _every_time(chosen, cumulative, names, limit).select(key, "c.t", F.exp(-hazard).alias("survival"))
+
+
 def additive_hazard(
     df: DataFrame, covariates: list[str], duration: str, event: str, ridge: float = 0.0,
-    limit: int | None = ROWS_PER_GROUP,
+    limit: int | None = ROWS_PER_GROUP, intercept: bool = True,
 ) -> DataFrame:
-    """Aalen's additive model: cumulative regression functions of the baseline and every covariate.
+    """Aalen's additive model: cumulative regression functions of every covariate and, with an intercept, of the baseline.
 
     Per event time one small matrix of sums over the risk set is solved; the
     rows themselves are read once.  A matrix that is singular, or nearly so as
     at the end of a study, adds nothing.
     """
-    names = ["baseline", *covariates]
+    names = ["baseline"] * intercept + list(covariates)
     p = len(names)
-    x = [F.lit(1.0)] + [F.col(c).cast("double") for c in covariates]
+    if not p:
+        raise ValueError("a model without intercept needs a covariate")
+    x = [F.lit(1.0)] * intercept + [F.col(c).cast("double") for c in covariates]
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     died = F.coalesce(F.col(event).cast("boolean"), F.lit(False))
     per_time = freeze(
         df.filter(F.col(duration).isNotNull()).groupBy(F.col(duration).cast("double").alias("t")).agg(
             *[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs],
             *[F.sum(F.when(died, x[i]).otherwise(0.0)).alias(f"d{i}") for i in range(p)],
+            F.count_if(died).alias("deaths"),
         )
     )
     at_risk = ordered_scan(
         per_time, [], [F.col("t").desc()], {f"r{i}_{j}": running_sum(f"m{i}_{j}") for i, j in pairs}, limit
-    ).filter("d0 > 0").select("t", *[f"r{i}_{j}" for i, j in pairs], *[f"d{i}" for i in range(p)])
+    ).filter("deaths > 0").select("t", *[f"r{i}_{j}" for i, j in pairs], *[f"d{i}" for i in range(p)])
 
     def solve(batches):
         for batch in batches:
+            m = np.empty((len(batch), p, p))
+            for i, j in pairs:
+                m[:, i, j] = m[:, j, i] = batch[f"r{i}_{j}"]
+            m += ridge * np.eye(p)
+            sound = np.linalg.det(m) > 1e-6 * np.prod(np.diagonal(m, axis1=1, axis2=2), axis=1)
+            dead = batch[[f"d{i}" for i in range(p)]].to_numpy(dtype=float)
             out = np.zeros((len(batch), p))
-            for n, row in enumerate(batch.itertuples(index=False)):
-                values = row._asdict()
-                m = np.zeros((p, p))
-                for i, j in pairs:
-                    m[i, j] = m[j, i] = values[f"r{i}_{j}"]
-                m += ridge * np.eye(p)
-                if np.linalg.det(m) > 1e-6 * np.prod(np.diag(m)):
-                    out[n] = np.linalg.solve(m, [values[f"d{i}"] for i in range(p)])
+            out[sound] = np.linalg.solve(m[sound], dead[sound][:, :, None])[:, :, 0]
             found = batch[["t"]].copy()
             for i in range(p):
                 found[f"s{i}"] = out[:, i]
