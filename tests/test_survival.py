@@ -193,6 +193,26 @@ def test_cox_spread_over_tasks(spark, monkeypatch):
     assert op.cox_fit(df, ["s", "x"], "t", "e").coef == pytest.approx(plain.coef, abs=1e-9)
 
 
+def test_folds_are_fitted_and_scored_together(spark, monkeypatch):
+    data = [(f"{i}", *r[1:]) for i, r in enumerate(_subjects(160))]
+    df = spark.createDataFrame(data, "id string, " + SCHEMA.split(", ", 1)[1])
+    step, calls = op._cox_step, []
+    monkeypatch.setattr(op, "_cox_step", lambda *a, **b: calls.append(1) or step(*a, **b))
+    got = {r["fold"]: r for r in plan.kfold_concordance(df, ["s", "x"], "t", "e", "id", k=4).collect()}
+    together = len(calls)
+    folded = plan.folds(df, "e", "id", 4).cache()
+    most = 0
+    for fold in range(4):
+        calls.clear()
+        fit = op.cox_fit(folded.filter(F.col("fold") != fold), ["s", "x"], "t", "e")
+        most = max(most, len(calls))
+        held = folded.filter(F.col("fold") == fold).withColumn("score", -fit.risk())
+        want = op.concordance(held, "t", "e", "score").first()
+        assert [got[fold][c] for c in ("comparable", "concordant", "tied")] == [want[c] for c in ("comparable", "concordant", "tied")]
+    # the folds take their steps together: as many as the slowest of them
+    assert together <= most + 1
+
+
 def test_hopeless_fit_says_so(spark):
     data = [(float(i), i % 2 == 0, 1.0 * (i % 3), 2.0 * (i % 3)) for i in range(30)]
     df = spark.createDataFrame(data, "t double, e boolean, a double, b double")

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import ratio
 from ..session import freeze
@@ -300,6 +301,7 @@ def chi_square_tail(x: float, degrees: int) -> float:
 # ---- proportional hazards --------------------------------------------------
 
 _TIES_PER_ROW = 100_000
+_TIE_SUMS = ("l", "a0", "a1", "b0", "b1", "b2")
 _NORMAL_95 = 1.959963984540054
 
 
@@ -351,59 +353,153 @@ def cox_fit(
     A model that does not settle in ``steps`` steps, or whose information is
     singular, comes back with ``converged`` false.
     """
+    return _cox_fits(df, covariates, duration, event, None, [0], start, ties, steps, tolerance, limit)[0]
+
+
+def cox_fit_folds(
+    df: DataFrame,
+    covariates: list[str],
+    duration: str,
+    event: str,
+    fold: str,
+    k: int,
+    start: str | None = None,
+    ties: str = "efron",
+    steps: int = 25,
+    tolerance: float = 1e-9,
+    limit: int | None = ROWS_PER_GROUP,
+) -> list[HazardFit]:
+    """``cox_fit`` on the rows outside each fold 0..k-1, all fits in the same steps, so folds add no jobs."""
+    return _cox_fits(df, covariates, duration, event, fold, list(range(k)), start, ties, steps, tolerance, limit)
+
+
+def _cox_fits(df, covariates, duration, event, fold, models, start, ties, steps, tolerance, limit) -> list[HazardFit]:
+    """One fit per entry of ``models``, on the rows whose ``fold`` is another one."""
     p = len(covariates)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+
+    def taught(c: str, m: int) -> Column:
+        return F.col(c) if fold is None else F.when(F.col(fold) != m, F.col(c))
+
     moments = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(covariates)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(covariates)],
+        *[F.avg(taught(c, m)).alias(f"m{m}_{i}") for m in models for i, c in enumerate(covariates)],
+        *[F.stddev_pop(taught(c, m)).alias(f"s{m}_{i}") for m in models for i, c in enumerate(covariates)],
     ).first()
-    means = np.array([float(moments[f"m{i}"]) for i in range(p)])
-    scales = np.array([float(moments[f"s{i}"]) or 1.0 for i in range(p)])
-    data = freeze(
-        df.select(
-            F.col(duration).cast("double").alias("_t"),
-            (F.col(start).cast("double") if start else F.lit(None).cast("double")).alias("_from"),
-            F.col(event).cast("boolean").alias("_e"),
-            *[
-                ((F.col(c).cast("double") - float(means[i])) / float(scales[i])).alias(f"x{i}")
-                for i, c in enumerate(covariates)
-            ],
-        )
+    means = {m: np.array([float(moments[f"m{m}_{i}"]) for i in range(p)]) for m in models}
+    scales = {m: np.array([float(moments[f"s{m}_{i}"]) or 1.0 for i in range(p)]) for m in models}
+    names = [f"c{i}" for i in range(p)]
+    slim = df.select(
+        (F.col(fold) if fold else F.lit(-1)).cast("int").alias("_fold"),
+        F.col(duration).cast("double").alias("_t"),
+        (F.col(start).cast("double") if start else F.lit(None).cast("double")).alias("_from"),
+        F.col(event).cast("boolean").alias("_e"),
+        *[F.col(c).cast("double").alias(n) for c, n in zip(covariates, names)],
     )
+    # equal rows count as one of their number
+    data = freeze(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).cast("double").alias("_n")))
     # the times stay the same in every step, so their number is checked once
     if limit is not None and data.select(F.explode(F.array("_t", "_from"))).distinct().count() * 2 <= limit:
         limit = None
-    beta = np.zeros(p)
-    likelihood, gradient, hessian = _cox_step(data, beta, p, pairs, ties, limit)
-    taken, converged = 0, False
-    while taken < steps and not converged:
+
+    def evaluate(points: dict[int, np.ndarray]) -> dict:
+        told = [
+            (m, *[float(v) for v in point], *[float(v) for v in means[m]], *[float(v) for v in scales[m]])
+            for m, point in points.items()
+        ]
+        fields = [f"{kind}{i} double" for kind in ("beta", "mean", "scale") for i in range(p)]
+        stated = df.sparkSession.createDataFrame(told, ", ".join(["model int", *fields]))
+        return _cox_step(data, stated, p, pairs, ties, start is not None, limit)
+
+    beta = {m: np.zeros(p) for m in models}
+    at = evaluate(beta)
+    if len(at) < len(models):
+        raise ValueError("a hazard model needs events")
+    taken, converged = dict.fromkeys(models, 0), dict.fromkeys(models, False)
+    move, size, tries = {}, {}, {}
+    going = list(models)
+    while True:
+        for m in [m for m in going if m not in move]:
+            try:
+                if taken[m] >= steps or converged[m]:
+                    raise StopIteration
+                step = np.linalg.solve(at[m][2], at[m][1])
+            except (np.linalg.LinAlgError, StopIteration):
+                going.remove(m)
+                continue
+            taken[m] += 1
+            size[m] = float(np.abs(step).max())
+            move[m], tries[m] = step * min(1.0, 5.0 / size[m] if size[m] else 1.0), 0
+        if not going:
+            break
+        found = evaluate({m: beta[m] + move[m] for m in going})
+        for m in going:
+            tries[m] += 1
+            likelihood, here = at[m][0], found[m]
+            better = here[0] is not None and here[0] >= likelihood - 1e-9 * abs(likelihood)
+            if not better:
+                move[m] = move[m] / 2
+            if better or tries[m] == 20:
+                beta[m], at[m] = beta[m] + move.pop(m), here
+                converged[m] = size[m] < tolerance
+    fits = []
+    for m in models:
         try:
-            move = np.linalg.solve(hessian, gradient)
+            error = np.sqrt(np.diag(np.linalg.inv(at[m][2]))) / scales[m]
         except np.linalg.LinAlgError:
-            break
-        taken += 1
-        size = float(np.abs(move).max())
-        move = move * min(1.0, 5.0 / size if size else 1.0)
-        for _ in range(20):
-            found = _cox_step(data, beta + move, p, pairs, ties, limit)
-            if found[0] is not None and found[0] >= likelihood - 1e-9 * abs(likelihood):
-                break
-            move = move / 2
-        beta = beta + move
-        likelihood, gradient, hessian = found
-        converged = size < tolerance
-    try:
-        error = np.sqrt(np.diag(np.linalg.inv(hessian))) / scales
-    except np.linalg.LinAlgError:
-        error, converged = np.full(p, np.nan), False
-    return HazardFit(covariates, beta / scales, error, likelihood, taken, means, converged)
-
-
-def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
+            error, converged[m] = np.full(p, np.nan), False
+        fits.append(HazardFit(covariates, beta[m] / scales[m], error, at[m][0], taken[m], means[m], converged[m]))
+    return fits
+
+
+def _tied(most: int):
+    """Adds Efron's sums over the ties of each row, of which ``_block`` names at most ``most``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            deaths, r0, b0, block = (
+                batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k", "r_a0", "b0", "_block")
+            )
+            first = block.astype("int64") * most
+            n = np.minimum(first + most, deaths.astype("int64")) - first
+            out = np.zeros((6, len(n)))
+            ends = np.cumsum(n)
+            begin = 0
+            while begin < len(n):
+                # as many rows as have about a million ties
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + 1_000_000, side="right")))
+                own = np.repeat(np.arange(begin, end), n[begin:end])
+                tie = np.arange(len(own)) - np.repeat(ends[begin:end] - n[begin:end] - ends[begin] + n[begin], n[begin:end])
+                f = (first[own] + tie) / deaths[own]
+                s0 = r0[own] - f * b0[own]
+                with np.errstate(all="ignore"):
+                    one = 1 / s0
+                    values = (np.log(s0), one, f * one, one * one, f * one * one, f * f * one * one)
+                for i, value in enumerate(values):
+                    out[i, begin:end] = np.bincount(own - begin, value, end - begin)
+                begin = end
+            gaps = batch.column(batch.schema.get_field_index("r_a0")).is_null().to_numpy(zero_copy_only=False)
+            added = [pa.array(row, mask=gaps) for row in out]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], names=[*batch.schema.names, *[f"s_{c}" for c in ("l", "a0", "a1", "b0", "b1", "b2")]]
+            )
+
+    return run
+
+
+def _cox_step(data: DataFrame, stated: DataFrame, p: int, pairs, ties: str, entering: bool, limit) -> dict:
+    """Per model its likelihood, gradient and information at its coefficients; ``stated`` has one row per model."""
     x = [F.col(f"x{i}") for i in range(p)]
-    risk = sum((float(b) * xi for b, xi in zip(beta, x)), F.lit(0.0))
-    weighted = data.withColumn("_w", F.exp(risk)).withColumn("_r", risk)
-    w, dead = F.col("_w"), F.col("_e")
+    # the coefficients come as rows, so that every step runs the same compiled plan
+    scaled = data.join(F.broadcast(stated), F.col("_fold") != F.col("model")).select(
+        "model", "_t", "_from", "_e", "_n",
+        *[((F.col(f"c{i}") - F.col(f"mean{i}")) / F.col(f"scale{i}")).alias(f"x{i}") for i in range(p)],
+        *[f"beta{i}" for i in range(p)],
+    )
+    risk = sum((F.col(f"beta{i}") * xi for i, xi in enumerate(x)), F.lit(0.0))
+    weighted = scaled.withColumn("_r", risk).withColumn("_w", F.col("_n") * F.exp("_r"))
+    w, n, dead = F.col("_w"), F.col("_n"), F.col("_e")
 
     def parts(sign: int) -> list[Column]:
         factor = w * sign
@@ -415,8 +511,8 @@ def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
 
     risk_names = ["a0"] + [f"a1_{i}" for i in range(p)] + [f"a2_{i}_{j}" for i, j in pairs]
     event_values = (
-        [F.when(dead, 1.0).otherwise(0.0).alias("k"), F.when(dead, F.col("_r")).alias("kr")]
-        + [F.when(dead, x[i]).alias(f"kx_{i}") for i in range(p)]
+        [F.when(dead, n).otherwise(0.0).alias("k"), F.when(dead, n * F.col("_r")).alias("kr")]
+        + [F.when(dead, n * x[i]).alias(f"kx_{i}") for i in range(p)]
         + [F.when(dead, w).alias("b0")]
         + [F.when(dead, w * x[i]).alias(f"b1_{i}") for i in range(p)]
         + [F.when(dead, w * x[i] * x[j]).alias(f"b2_{i}_{j}") for i, j in pairs]
@@ -425,37 +521,29 @@ def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
         f"b2_{i}_{j}" for i, j in pairs
     ]
     # a row leaves the risk sets above its time and, if it has a start, up to that start
-    rows = weighted.select(F.col("_t").alias("t"), F.lit(False).alias("_entry"), *parts(1), *event_values)
-    entries = weighted.filter(F.col("_from").isNotNull()).select(
-        F.col("_from").alias("t"), F.lit(True).alias("_entry"), *parts(-1)
-    )
-    per_time = rows.unionByName(entries, allowMissingColumns=True).groupBy("t", "_entry").agg(
+    rows = weighted.select("model", F.col("_t").alias("t"), F.lit(False).alias("_entry"), *parts(1), *event_values)
+    if entering:
+        entries = weighted.filter(F.col("_from").isNotNull()).select(
+            "model", F.col("_from").alias("t"), F.lit(True).alias("_entry"), *parts(-1)
+        )
+        rows = rows.unionByName(entries, allowMissingColumns=True)
+    per_time = rows.groupBy("model", "t", "_entry").agg(
         *[F.sum(c).alias(c) for c in risk_names], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in event_names]
     )
     # entries at a time count for that time, since the risk set needs start < t
     sums = ordered_scan(
-        per_time, [], [F.col("t").desc(), F.col("_entry").desc()], {f"r_{c}": running_sum(c) for c in risk_names}, limit
+        per_time, ["model"], [F.col("t").desc(), F.col("_entry").desc()],
+        {f"r_{c}": running_sum(c) for c in risk_names}, limit,
     ).filter(F.col("k") > 0)
     r0, b0, k = F.col("r_a0"), F.col("b0"), F.col("k")
     if ties == "efron":
-        # sums over the ties of f^m / s0 and f^m / s0^2 with f = tie / k, made inside the row
+        # sums over the ties of f^m / s0 and f^m / s0^2 with f = tie / k, made beside the row
         sums = sums.withColumn(
             "_block", F.explode(F.sequence(F.lit(0), F.floor((k - 1) / _TIES_PER_ROW).cast("int")))
         )
-        first = F.col("_block").cast("long") * _TIES_PER_ROW
-        tied = F.sequence(first, F.least(first + (_TIES_PER_ROW - 1), k.cast("long") - 1))
-        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("l", "a0", "a1", "b0", "b1", "b2")])
-
-        def add(total: Column, tie: Column) -> Column:
-            f = tie / k
-            s0 = r0 - f * b0
-            return F.struct(
-                (total["l"] + F.log(s0)).alias("l"), (total["a0"] + 1 / s0).alias("a0"), (total["a1"] + f / s0).alias("a1"),
-                (total["b0"] + 1 / (s0 * s0)).alias("b0"), (total["b1"] + f / (s0 * s0)).alias("b1"),
-                (total["b2"] + f * f / (s0 * s0)).alias("b2"),
-            )
-
-        sums = sums.withColumn("_s", F.aggregate(tied, zero, add))
+        sums = sums.mapInArrow(
+            _tied(_TIES_PER_ROW), StructType([*sums.schema.fields, *[StructField(f"s_{n}", DoubleType()) for n in _TIE_SUMS]])
+        ).withColumn("_s", F.struct(*[F.col(f"s_{n}").alias(n) for n in _TIE_SUMS]))
         lead = F.when(F.col("_block") == 0, 1.0).otherwise(0.0)
     else:
         one = F.lit(0.0)
@@ -471,16 +559,18 @@ def _cox_step(data: DataFrame, beta, p: int, pairs, ties: str, limit):
         square = r1[i] * r1[j] * s["b0"] - (r1[i] * d1[j] + r1[j] * d1[i]) * s["b1"] + d1[i] * d1[j] * s["b2"]
         return F.col(f"r_a2_{i}_{j}") * s["a0"] - F.col(f"b2_{i}_{j}") * s["a1"] - square
 
-    row = sums.agg(
+    found = sums.groupBy("model").agg(
         F.sum(lead * F.col("kr") - s["l"]).alias("l"),
         *[F.sum(lead * F.col(f"kx_{i}") - (r1[i] * s["a0"] - d1[i] * s["a1"])).alias(f"g{i}") for i in range(p)],
         *[F.sum(information(i, j)).alias(f"h{i}_{j}") for i, j in pairs],
-    ).first()
-    gradient = np.array([row[f"g{i}"] for i in range(p)])
-    hessian = np.zeros((p, p))
-    for i, j in pairs:
-        hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"]
-    return row["l"], gradient, hessian
+    ).collect()
+    told = {}
+    for row in found:
+        hessian = np.zeros((p, p))
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"]
+        told[row["model"]] = row["l"], np.array([row[f"g{i}"] for i in range(p)]), hessian
+    return told
 
 
 def baseline_hazard(

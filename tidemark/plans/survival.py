@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import days_between
@@ -14,7 +12,7 @@ from ..operators.survival import (
     add_covariates,
     clean_intervals,
     concordance,
-    cox_fit,
+    cox_fit_folds,
     kaplan_meier,
     last_intervals,
     long_format,
@@ -80,11 +78,10 @@ def event_times(objects: DataFrame, acquisitions: DataFrame) -> DataFrame:
 def kfold_concordance(
     df: DataFrame, covariates: list[str], duration: str, event: str, key: str, k: int = 10
 ) -> DataFrame:
-    """Fits on all folds but one and scores the one left out."""
+    """Fits on all folds but one and scores the one left out; the folds are fitted and scored in the same jobs."""
     folded = freeze(folds(df, event, key, k))
-    parts = []
-    for fold in range(k):
-        fit = cox_fit(folded.filter(F.col("fold") != fold), covariates, duration, event)
-        held = folded.filter(F.col("fold") == fold).withColumn("score", -fit.risk())
-        parts.append(concordance(held, duration, event, "score").withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, parts)
+    fits = cox_fit_folds(folded, covariates, duration, event, "fold", k)
+    score = F.coalesce(*[F.when(F.col("fold") == fold, -fit.risk()) for fold, fit in enumerate(fits)])
+    scored = concordance(folded.withColumn("score", score), duration, event, "score", by=["fold"])
+    every = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    return every.join(scored, "fold", "left").select("comparable", "concordant", "tied", "concordance", "fold")
