@@ -302,6 +302,14 @@ def test_concordance_per_group(spark):
         assert got[g] == _brute_concordance([r for r in data if r[3] == g])
 
 
+def test_intervals_are_cleaned_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(plan, "freeze", lambda df: written.append(df.columns) or df)
+    gaps = spark.createDataFrame([("a", None, 4.0, 1.0), ("b", 0.0, 4.0, None)], "id string, start double, stop double, x double")
+    assert rows(plan.fill_intervals(gaps, ["x"]), "id", "x") == [("a", 1.0), ("b", 1.0)]
+    assert written == [["id", "start", "stop", "x"]]
+
+
 def test_curve_per_subject_or_interval(spark):
     df = spark.createDataFrame(
         [("a", 0.0, 5.0, False), ("a", 5.0, 9.0, True), ("b", 0.0, 9.0, False)],

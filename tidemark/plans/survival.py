@@ -48,8 +48,11 @@ def survival_input(
 
 
 def fill_intervals(df: DataFrame, numeric: list[str], limit: int | None = ROWS_PER_GROUP) -> DataFrame:
-    """Clean intervals with missing numbers at the exact median of their column."""
-    return impute(clean_intervals(df), numeric, limit=limit)
+    """Clean intervals with missing numbers at the exact median of their column.
+
+    They are read four times, so they are written once instead of being joined and cleaned for each reading.
+    """
+    return impute(freeze(clean_intervals(df)), numeric, limit=limit)
 
 
 def exit_curve(
