@@ -84,3 +84,25 @@ def test_single_fit_without_rows(spark):
     none = _frame(spark, *_rings(3)).limit(0)
     machines = kernel.fit(none, ["x", "y"], "label", [0, 1], [{"c": 1.0, "gamma": 0.1}], steps=2)
     assert kernel.predict(none, ["x", "y"], machines, ["id"]).count() == 0
+
+
+def test_resting_machines_cost_nothing(spark):
+    draw = np.random.default_rng(8)
+    data = [(float(a), float(b), int(a > 0), i % 2) for i, (a, b) in enumerate(draw.normal(size=(300, 2)))]
+    rows = spark.createDataFrame(data, "x double, y double, label int, fold int").repartition(3)
+    cosines = kernel.draw_cosines(2, 16)
+    settings = [{"c": 1.0, "gamma": 0.2}, {"c": 2.0, "gamma": 0.7}, {"c": 3.0, "gamma": 1.5}]
+    weights, along = draw.normal(size=(3, 2, 2, 17)), draw.normal(size=(3, 2, 2, 17))
+    machines = kernel.Machines(settings, [0, 1], 2, cosines, weights)
+    lengths = (1.0, 0.25)
+    whole = kernel.losses(rows, ["x", "y"], "label", machines, along, lengths)
+    x, label, fold = np.array([r[:2] for r in data]), np.array([r[2] for r in data]), np.array([r[3] for r in data])
+    for c, i, f, j in np.ndindex(3, 2, 2, 2):
+        z, sign = cosines.of(x[fold != f], settings[c]["gamma"]), np.where(label[fold != f] == j, 1.0, -1.0)
+        lack = np.maximum(0, 1 - sign * (z @ (weights[c, f, j] + lengths[i] * along[c, f, j])))
+        assert whole[c, i, f, j] == pytest.approx(np.r_[(lack**2).sum(), -2 * (lack * sign) @ z])
+    resting = {(1, f, j) for f in range(2) for j in range(2)} | {(2, 0, 1)}
+    some = kernel.losses(rows, ["x", "y"], "label", machines, along, lengths, resting)
+    for k in np.ndindex(3, 2, 2):
+        c, f, j = k
+        assert some[c, :, f, j] == pytest.approx(whole[c, :, f, j] * (k not in resting))

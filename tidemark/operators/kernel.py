@@ -32,6 +32,8 @@ STEPS = 80
 REST = 1e-3
 # the driver adds up this many partial sums per candidate, however many tasks there are
 MERGERS = 4
+# rows whose cosines are held at once
+ROWS_AT_ONCE = 2048
 
 
 @dataclass
@@ -43,8 +45,17 @@ class Cosines:
 
     def of(self, rows: np.ndarray, gamma: float) -> np.ndarray:
         """One column per cosine and a last one of ones."""
-        angles = rows @ self.directions.T * np.sqrt(2 * gamma) + self.phases
-        return np.hstack([np.sqrt(2 / len(self.phases)) * np.cos(angles), np.ones((len(rows), 1))])
+        return self.along(rows @ self.directions.T, gamma)
+
+    def along(self, projected: np.ndarray, gamma: float) -> np.ndarray:
+        """``of`` for rows that were multiplied by the directions before, which serves every width."""
+        out = np.ones((len(projected), len(self.phases) + 1))
+        cosines = out[:, :-1]
+        np.multiply(projected, np.sqrt(2 * gamma), out=cosines)
+        cosines += self.phases
+        np.cos(cosines, out=cosines)
+        cosines *= np.sqrt(2 / len(self.phases))
+        return out
 
 
 def draw_cosines(inputs: int, count: int = FEATURES, seed: int = SEED) -> Cosines:
@@ -75,40 +86,40 @@ def hinge(signs: np.ndarray, margins: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 1.0 - signs * margins)
 
 
-def _sums(machines: Machines, along: np.ndarray, lengths: tuple, features: list[str], label: str):
-    """Per task and candidate the summed losses and loss gradients of all its machines at all lengths."""
+def _sums(machines: Machines, along: np.ndarray, lengths: tuple, features: list[str], label: str, going: dict[int, list]):
+    """Per task and candidate the summed losses and loss gradients of its machines that are ``going``, at all lengths."""
     import pyarrow as pa
 
     fold_count, classes = machines.folds, np.array(machines.classes)
 
     def run(batches):
-        total = None
+        total = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _matrix(batch, features)
-            truth = batch.column(batch.schema.get_field_index(label)).to_numpy(zero_copy_only=False)
-            fold = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-            signs = np.where(truth[:, None] == classes, 1.0, -1.0)
-            found = []
-            for c, setting in enumerate(machines.settings):
-                z = machines.cosines.of(rows, setting["gamma"])
-                out = np.zeros((len(lengths), fold_count, len(classes), z.shape[1] + 1))
-                for f in range(fold_count):
-                    # with one fold only, all rows teach
-                    used = fold != f if fold_count > 1 else np.ones(len(fold), dtype=bool)
-                    own, sign = z[used], signs[used]
-                    margin, change = own @ machines.weights[c, f].T, own @ along[c, f].T
-                    for k, t in enumerate(lengths):
-                        lack = hinge(sign, margin + t * change)
-                        out[k, f, :, 0] = (lack**2).sum(axis=0)
-                        out[k, f, :, 1:] = -2 * (lack * sign).T @ own
-                found.append(out)
-            total = np.stack(found) if total is None else total + np.stack(found)
-        if total is not None:
-            blobs = [part.tobytes() for part in total]
+            every = _matrix(batch, features) if batch.num_rows else ()
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = slice(start, start + ROWS_AT_ONCE)
+                rows = every[part]
+                truth = batch.column(batch.schema.get_field_index(label)).to_numpy(zero_copy_only=False)[part]
+                fold = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)[part]
+                signs = np.where(truth[:, None] == classes, 1.0, -1.0)
+                # with one fold only, all rows teach
+                taught = fold[:, None] != np.arange(fold_count) if fold_count > 1 else np.ones((len(fold), 1), dtype=bool)
+                projected = rows @ machines.cosines.directions.T
+                for c, own in going.items():
+                    z = machines.cosines.along(projected, machines.settings[c]["gamma"])
+                    f, j = (np.array(x) for x in zip(*own))
+                    sign, used = signs[:, j], taught[:, f]
+                    margin, change = z @ machines.weights[c, f, j].T, z @ along[c, f, j].T
+                    lack = np.stack([np.where(used, hinge(sign, margin + t * change), 0.0) for t in lengths], axis=1)
+                    out = np.zeros((len(lengths), len(own), z.shape[1] + 1))
+                    out[:, :, 0] = (lack**2).sum(axis=0)
+                    pull = (lack * sign[:, None, :]).reshape(len(rows), -1)
+                    out[:, :, 1:] = (-2 * pull.T @ z).reshape(len(lengths), len(own), -1)
+                    total[c] = total[c] + out if c in total else out
+        if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["candidate", "sums"]
+                [pa.array(list(total), pa.int32()), pa.array([part.tobytes() for part in total.values()], pa.binary())],
+                names=["candidate", "sums"],
             )
 
     return run
@@ -121,16 +132,27 @@ def _added(key, frame):
     return pd.DataFrame({"candidate": [key[0]], "sums": [total.tobytes()]})
 
 
-def losses(rows: DataFrame, features: list[str], label: str, machines: Machines, along: np.ndarray, lengths: tuple) -> np.ndarray:
-    """(candidate, length, fold, class, 1 + feature): summed squared hinges and their gradients, from one aggregate."""
+def losses(
+    rows: DataFrame, features: list[str], label: str, machines: Machines, along: np.ndarray, lengths: tuple,
+    resting: set[tuple] = frozenset(),
+) -> np.ndarray:
+    """(candidate, length, fold, class, 1 + feature): summed squared hinges and their gradients, from one aggregate.
+
+    Machines that are ``resting``, named by candidate, fold and class, cost nothing and stay zero.
+    """
+    going: dict[int, list] = {}
+    for k in np.ndindex(*machines.weights.shape[:3]):
+        if k not in resting:
+            going.setdefault(k[0], []).append(k[1:])
     partial = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("int").alias(label), "fold")
-    partial = partial.mapInArrow(_sums(machines, along, lengths, features, label), "candidate int, sums binary")
+    partial = partial.mapInArrow(_sums(machines, along, lengths, features, label, going), "candidate int, sums binary")
     partial = partial.withColumn("merger", F.pmod(F.spark_partition_id(), F.lit(MERGERS)))
     found = partial.groupBy("candidate", "merger").applyInPandas(_added, "candidate int, sums binary").collect()
-    shape = (len(lengths), machines.folds, len(machines.classes), machines.weights.shape[-1] + 1)
-    out = np.zeros((len(machines.settings), *shape))
+    out = np.zeros((len(machines.settings), len(lengths), machines.folds, len(machines.classes), machines.weights.shape[-1] + 1))
     for row in found:
-        out[row.candidate] += np.frombuffer(bytes(row.sums)).reshape(shape)
+        own = going[row.candidate]
+        f, j = (np.array(x) for x in zip(*own))
+        out[row.candidate][:, f, j] += np.frombuffer(bytes(row.sums)).reshape(len(lengths), len(own), -1)
     return out
 
 
@@ -175,7 +197,7 @@ def fit(
     resting: set[tuple] = set()
     for step in range(steps + 1):
         lengths = LENGTHS if step else (0.0,)
-        found = losses(rows, features, label, machines, along, lengths)
+        found = losses(rows, features, label, machines, along, lengths, resting)
         for k in keys:
             if k in resting:
                 continue
@@ -238,11 +260,13 @@ def _votes(machines: Machines, features: list[str], label: str):
             rows = _matrix(batch, features)
             truth = np.searchsorted(classes, batch.column(batch.schema.get_field_index(label)).to_numpy(zero_copy_only=False))
             fold = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-            for c in range(len(machines.settings)):
+            projected = rows @ machines.cosines.directions.T
+            for c, setting in enumerate(machines.settings):
                 for f in range(machines.folds):
                     mine = fold == f
                     if mine.any():
-                        np.add.at(cells[c, f], (truth[mine], machines.scores(rows[mine], c, f).argmax(axis=1)), 1)
+                        scores = machines.cosines.along(projected[mine], setting["gamma"]) @ machines.weights[c, f].T
+                        np.add.at(cells[c, f], (truth[mine], scores.argmax(axis=1)), 1)
         at = np.argwhere(cells)
         yield pa.RecordBatch.from_arrays(
             [
