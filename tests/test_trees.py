@@ -139,3 +139,36 @@ def test_draws_within_groups_equal_draws_of_each_group(spark):
     for g in "abc":
         want = sampling.upsample(df.filter(F.col("g") == g), "label", "id", 2, [0, 1])
         assert rows(got.filter(F.col("g") == g), "label", "id", "draw") == rows(want, "label", "id", "draw")
+
+
+def test_equal_rows_travel_once_for_all_trees(spark, monkeypatch):
+    distinct = _data(30)
+    copies = [(m, f"{key}#{i}", *rest) for m, key, *rest in distinct for i in range(20)]
+    written = []
+    monkeypatch.setattr(trees, "freeze", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    asked = _frame(spark, distinct).drop("label")
+    shares, _ = trees.fit_predict(_frame(spark, copies), asked, NAMES, trees.Rule(3, trees=6))
+    assert shares.count() == 30
+    # neither copies nor trees multiply what is written and dealt to the tasks
+    assert written[0].count() <= 60
+
+
+def test_nodes_grown_together_equal_nodes_alone():
+    rnd = np.random.default_rng(4)
+    bins, labels = rnd.integers(0, 6, (300, 5)).astype(np.int8), rnd.integers(0, 3, 300)
+    weights, counts = rnd.integers(0, 4, 300).astype(float), np.ones(300, dtype=np.int64)
+    rule = trees.Rule(3, max_features=2, min_split=4, bins=6)
+    got, gains = trees.grow(bins, labels, weights, counts, bins, 3, "LR", rule)
+    want, total, stack = np.zeros((300, 3)), np.zeros(5), [("LR", np.arange(300))]
+    while stack:
+        path, at = stack.pop()
+        taught = at[weights[at] > 0]
+        cells = trees._counts(bins[taught], labels[taught], weights[taught], rule)
+        split = trees.best_split(cells, len(taught), 3, path, rule)
+        if split is None:
+            want[at] = cells[0].sum(axis=0) / cells[0].sum()
+            continue
+        total[split[0]] += split[2]
+        left = bins[at, split[0]] <= split[1]
+        stack += [(path + "L", at[left]), (path + "R", at[~left])]
+    assert got == pytest.approx(want) and gains == pytest.approx(total)
