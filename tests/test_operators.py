@@ -415,3 +415,22 @@ def test_quantiles_shuffle_only_values_near_the_rank(spark):
     ends = df.groupBy("k").agg(F.percentile_approx("x", F.array(F.lit(0.498), F.lit(0.502)), F.lit(1000)).alias("e"))
     inside = df.join(ends, "k").filter((F.col("x") >= F.col("e")[0]) & (F.col("x") <= F.col("e")[1])).count()
     assert 0 < inside < 2000
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e6])
+def test_leaves_of_a_block_leave_no_neighbour_out(monkeypatch, spread):
+    draw = np.random.default_rng(5)
+    items = np.round(draw.uniform(0, 40, (6000, 3))) * spread
+    ids = draw.permutation(6000)
+    asked = np.r_[0:60, 0:10]
+    queries = pd.DataFrame({"query_id": [*ids[:60], *range(9000, 9010)], "_vector": list(items[asked])})
+    compared, rough = [], similar._candidates
+    monkeypatch.setattr(similar, "_candidates", lambda a, b, m: compared.append(len(a) * len(b)) or rough(a, b, m))
+    got = similar._best_pairs(queries, pd.DataFrame({"item_id": ids, "_vector": list(items)}), 5, "euclid")
+    found = {q: list(zip(part["item_id"], part["score"])) for q, part in got.groupby("query_id")}
+    for query, vector in zip(queries["query_id"], items[asked]):
+        score = -np.sqrt(((items - vector) ** 2).sum(axis=1))
+        want = sorted((-s, i) for i, s in zip(ids.tolist(), score.tolist()) if i != query)[:5]
+        assert found[query] == [(i, -d) for d, i in want]
+    # most of a block is not compared
+    assert sum(compared) < 0.4 * len(queries) * len(items)
