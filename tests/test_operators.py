@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -449,6 +450,21 @@ def test_quantiles_shuffle_only_values_near_the_rank(spark):
     assert 0 < inside < 2000
 
 
+def test_memory_of_candidate_pairs_is_bounded():
+    draw = np.random.default_rng(8)
+    left, right = draw.normal(size=(600, 20)), draw.normal(size=(500, 20))
+    row, column = (a.ravel() for a in np.indices((600, 500)))
+    tracemalloc.start()
+    got = similar._ranked(left, right, np.arange(600), np.arange(500), row, column, 2, "euclid")
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    apart = np.sqrt(((left[:, None] - right[None]) ** 2).sum(2))
+    want = [i for own in np.argsort(apart, axis=1, kind="stable")[:, :2] for i in own]
+    assert got["item_id"].tolist() == want
+    # 300,000 pairs of 20 numbers: one gathered side alone takes 48 MB
+    assert held < 45_000_000
+
+
 @pytest.mark.parametrize("spread", [1.0, 1e6])
 def test_leaves_of_a_block_leave_no_neighbour_out(monkeypatch, spread):
     draw = np.random.default_rng(5)
