@@ -201,6 +201,40 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert rows(repeats.remove_repeats(docs)) == cut(data)
 
 
+def test_a_text_that_every_pack_has_keeps_its_regions(spark, monkeypatch):
+    # Many packs have its anchors, but one region of each: no window of it needs a key of its own.
+    monkeypatch.setattr(repeats, "HOT", 100)
+    monkeypatch.setattr(repeats, "PACK_BYTES", 2000)
+
+    def never(*_):
+        raise AssertionError("windows were asked for one by one")
+
+    monkeypatch.setattr(repeats, "windows_of", never)
+    rnd = random.Random(11)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(200))
+    docs = make(spark, [(text, i, 1) for i in range(600)], "text string, doc_id long, pack int")
+    got = rows(repeats.remove_repeats(docs))
+    assert sorted((i, n, m) for i, n, m, *_ in got) == [(i, 200, 200 if i else 0) for i in range(600)]
+
+
+def test_anchors_are_dealt_evenly():
+    rnd = np.random.default_rng(5)
+    raw = rnd.integers(97, 123, 200_000).astype(np.uint8)
+    runs = repeats.window_runs(raw, np.array([0, len(raw)]))
+    code, _, place = repeats.pack_anchors(runs, np.array([1]), np.array([True]))
+    dealt = np.bincount(repeats.part_of(code, 50), minlength=50)
+    assert dealt.min() > 0 and dealt.max() < 1.5 * dealt.mean()
+    assert (code[place] == repeats.spread(runs[3])).all()
+
+
+def test_packs_know_the_bucket_of_the_writer(spark):
+    from pyspark.sql import functions as F
+
+    numbers = [0, 1, 7, (3 << 32) + 5, (900 << 32) + 123_456, -1, -(1 << 40)]
+    found = spark.createDataFrame([(n,) for n in numbers], "pack long").select("pack", F.expr("pmod(hash(pack), 37)")).collect()
+    assert repeats.bucket_of(np.array([r[0] for r in found]), 37).tolist() == [r[1] for r in found]
+
+
 def test_merged_transforms_are_the_sorted_suffixes():
     rnd = random.Random(3)
     strings = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(50, 90))).encode() for _ in range(12)]

@@ -13,7 +13,8 @@ A byte goes if a string of `LENGTH` bytes around it also starts in a document wi
    and the smallest document of an interval is that of all its windows.
 4. The packs get back, per region, the windows with a smaller document, and cut their texts.
 
-An anchor in very many packs would bring all its regions to one task. Its windows get keys of their own instead.
+An anchor of very many regions would bring them all to one task. Its windows get keys of their own instead. How many packs
+have an anchor says little of that: a line that every pack has is one region in each.
 """
 
 from __future__ import annotations
@@ -34,13 +35,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 50
 GRAM = 16
 #: Bytes of text in a pack and in a bucket of packs; windows handled in one go.
-PACK_BYTES, BUCKET_BYTES, WINDOWS = 1 << 20, 16 << 20, 1 << 17
-#: Entries of an anchor from which its windows get keys of their own.
-HOT = 2048
+PACK_BYTES, BUCKET_BYTES, WINDOWS = 4 << 20, 16 << 20, 1 << 17
+#: Regions of an anchor, distinct ones of each pack, from which its windows get keys of their own: about 2 MB.
+HOT = 1 << 15
+#: Keys of a task are settled in so many goes.
+GOES = 4
 #: Bytes of regions whose transforms are merged in one go; the regions of one anchor stay together.
 MERGED_BYTES = 2 << 20
 SHARDS = 4
-LOW48 = np.uint64((1 << 48) - 1)
+LOW32 = np.uint64((1 << 32) - 1)
+SEVERAL = np.uint16(1 << 15)
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -125,14 +129,17 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def six_bytes(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes dealt evenly: an anchor is the smallest of its window, so the first bits of its own hash are mostly 0."""
+    return mix64(hashes ^ np.uint64(0xA0761D6478BD642F))
 
 
-def from_six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+def stretches(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    if not len(sorted_values):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+    return begin, np.append(begin[1:], len(sorted_values))
 
 
 def pack_parts(row: dict):
@@ -144,6 +151,29 @@ def pack_parts(row: dict):
     return raw, bounds, ids, known
 
 
+def pack_anchors(runs, ids: np.ndarray, known: np.ndarray):
+    """The distinct anchors of a pack in the order of their spread hashes.
+
+    Returns these hashes; per anchor how many distinct regions it has, and SEVERAL with them if two documents have it;
+    and per run the place of its anchor, -1 in a text without an id.
+    """
+    _, _, text, hashes, region = runs
+    keep = np.flatnonzero(known[text])
+    place = np.full(len(text), -1, dtype=np.int64)
+    code = spread(hashes[keep])
+    order = np.lexsort((region[keep], code))
+    code, region, docs = code[order], region[keep][order], ids[text[keep]][order]
+    begin, end = stretches(code)
+    if not len(begin):
+        return code, np.zeros(0, dtype=np.uint16), place
+    place[keep[order]] = np.repeat(np.arange(len(begin)), end - begin)
+    new = np.ones(len(code), dtype=np.int64)
+    new[1:] = (code[1:] != code[:-1]) | (region[1:] != region[:-1])
+    count = np.minimum(np.add.reduceat(new, begin), int(SEVERAL) - 1).astype(np.uint16)
+    count[np.minimum.reduceat(docs, begin) != np.maximum.reduceat(docs, begin)] |= SEVERAL
+    return code[begin], count, place
+
+
 def asked(row: dict, parts: int):
     """The regions that a pack asks about.
 
@@ -153,15 +183,16 @@ def asked(row: dict, parts: int):
     """
     raw, bounds, ids, known = pack_parts(row)
     runs = window_runs(raw, bounds)
-    answers = row["shared"] or []
-    code = lambda h, p: (h & LOW48) ^ mix64(p.astype(np.uint64))
-    mine = code(runs[3], part_of(runs[3], parts))
-
-    def member(name):
-        theirs = [code(from_six(a[name]), np.full(len(a[name]) // 6, a["part"])) for a in answers if a[name]]
-        return np.isin(mine, np.concatenate(theirs)) & known[runs[2]] if theirs else np.zeros(len(mine), dtype=bool)
-
-    usual, hot = member("usual"), member("hot")
+    code, _, place = pack_anchors(runs, ids, known)
+    bounds_of = np.searchsorted(part_of(code, parts), np.arange(parts + 1))
+    marks = {}
+    for name in ("usual", "hot"):
+        # The last one is for the runs without an anchor.
+        marks[name] = np.zeros(len(code) + 1, dtype=bool)
+        for a in row["shared"] or []:
+            lo, hi = bounds_of[a["part"]], bounds_of[a["part"] + 1]
+            marks[name][lo:hi] = np.unpackbits(np.frombuffer(a[name], dtype=np.uint8), count=hi - lo)
+    usual, hot = marks["usual"][place], marks["hot"][place]
     kept = [x[usual] for x in runs]
     if hot.any():
         kept = [np.concatenate(pair) for pair in zip(kept, windows_of(raw, [x[hot] for x in runs]), strict=True)]
@@ -329,34 +360,60 @@ def settle(data: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarr
 # --- tasks ---------------------------------------------------------------------------------------------------------
 
 
-def _packs(batches):
+def bucket_of(pack: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark's writer gives to each number, by its 32-bit Murmur hash."""
+    turn = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    h = np.full(len(pack), 42, dtype=np.uint32)
+    for half in (pack & 0xFFFFFFFF, pack >> 32):
+        k = turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return np.mod(h.view(np.int32).astype(np.int64), buckets)
+
+
+def _packs(buckets: int, tasks: int):
     """Packs of about PACK_BYTES; a longer text is a pack of its own.
 
-    Their numbers follow from the task and the order of its rows, so a task that runs again makes the same packs.
+    A task fills one bucket after the other, so that the texts need no shuffle before they are written; the number of a
+    pack is the next one of the task that the writer puts into the bucket at hand. Numbers follow from the task and the
+    order of its rows, so a task that runs again makes the same packs.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    held, size, made = [], 0, TaskContext.get().partitionId() << 24
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
-    def packed():
-        nonlocal made
+    def packed(pack, held):
         texts = [t for _, t in held]
-        pack, made = made, made + 1
         columns = [[pack], [[i for i, _ in held]], [[len(t) for t in texts]], [b"".join(texts)]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "ids", "sizes", "bytes"])
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = (text or "").encode("utf-8", "surrogatepass")
-            if held and size + len(text) > PACK_BYTES:
-                yield packed()
-                held, size = [], 0
-            held.append((doc_id, text))
-            size += len(text)
-    if held:
-        yield packed()
+    def number(least: int, bucket: int) -> int:
+        while True:
+            found = np.flatnonzero(bucket_of(np.arange(least, least + 2 * buckets, dtype=np.int64), buckets) == bucket)
+            if len(found):
+                return least + int(found[0])
+            least += 2 * buckets
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        held, size, done, pack = [], 0, 0, (task << 32) - 1
+        bucket = lambda: (task * buckets // tasks + done // BUCKET_BYTES) % buckets
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = (text or "").encode("utf-8", "surrogatepass")
+                if held and size + len(text) > PACK_BYTES:
+                    yield packed(pack := number(pack + 1, bucket()), held)
+                    held, size, done = [], 0, done + size
+                held.append((doc_id, text))
+                size += len(text)
+        if held:
+            yield packed(number(pack + 1, bucket()), held)
+
+    return run
 
 
 def _rows(batches):
@@ -366,91 +423,100 @@ def _rows(batches):
 
 
 def _anchors(parts: int):
-    """(part, pack, hashes): the distinct anchors of a pack, twice if two of its documents have them."""
+    """(part, pack, hashes, counts): the distinct anchors of a pack, by four bytes that tell them apart inside a part."""
     import pyarrow as pa
 
     def run(batches):
         for row in _rows(batches):
             raw, bounds, ids, known = pack_parts(row)
-            _, _, text, hashes, _ = window_runs(raw, bounds)
-            keep = known[text]
-            hashes, owner = hashes[keep], ids[text[keep]]
-            if not len(hashes):
+            code, count, _ = pack_anchors(window_runs(raw, bounds), ids, known)
+            if not len(code):
                 continue
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-            several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-            sent = np.sort(np.concatenate((hashes[first], hashes[first][several])))
-            part = part_of(sent, parts)
-            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            ends = np.append(cut[1:], len(sent))
-            blobs = [six_bytes(sent[a:b]) for a, b in zip(cut, ends, strict=True)]
+            part, low = part_of(code, parts), (code & LOW32).astype("<u4")
+            begin, end = stretches(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cut], pa.int32()), pa.array([row["pack"]] * len(cut), pa.int64()), pa.array(blobs, pa.binary())],
-                names=["part", "pack", "hashes"],
-            )
+                [
+                    pa.array(part[begin], pa.int32()), pa.array([row["pack"]] * len(begin), pa.int64()),
+                    pa.array([low[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
+                    pa.array([count[a:b].astype("<u2").tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
+                ],
+                names=["part", "pack", "hashes", "counts"],
+            )
 
     return run
 
 
 def _shared(frame):
-    """(pack, part, usual, hot): the anchors of each pack that occur in a second document."""
+    """(pack, part, usual, hot): a bit for each anchor that a pack has sent, set if it occurs in a second document."""
     import pandas as pd
 
-    sizes = frame["hashes"].map(len).to_numpy() // 6
-    every = from_six(b"".join(frame["hashes"]))
-    owner = np.repeat(np.arange(len(frame)), sizes)
+    sizes = frame["hashes"].map(len).to_numpy() // 4
+    every = np.frombuffer(b"".join(frame["hashes"]), dtype="<u4")
+    counts = np.frombuffer(b"".join(frame["counts"]), dtype="<u2")
     order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, dtype=np.int64)
-    count = np.repeat(np.diff(np.append(first, len(every))), np.diff(np.append(first, len(every))))
-    picked = np.flatnonzero(count > 1)
-    picked = picked[np.argsort(owner[picked], kind="stable")]
+    begin, end = stretches(every[order])
+    counts = counts[order]
+    regions = np.add.reduceat((counts & ~SEVERAL).astype(np.int64), begin)
+    shared = (end - begin > 1) | (np.maximum.reduceat(counts, begin) >= SEVERAL)
+    usual, hot = np.zeros(len(every), dtype=bool), np.zeros(len(every), dtype=bool)
+    usual[order] = np.repeat(shared & (regions < HOT), end - begin)
+    hot[order] = np.repeat(shared & (regions >= HOT), end - begin)
+    ends = np.cumsum(sizes)
     rows = []
-    pack, part = frame["pack"].to_numpy(), int(frame["part"].iloc[0])
-    cut = np.flatnonzero(np.concatenate(([True], owner[picked][1:] != owner[picked][:-1]))) if len(picked) else []
-    for a, b in zip(cut, np.append(cut[1:], len(picked)) if len(picked) else [], strict=True):
-        at = picked[a:b]
-        hot = count[at] >= HOT
-        rows.append((int(pack[owner[at[0]]]), part, six_bytes(np.unique(every[at[~hot]])), six_bytes(np.unique(every[at[hot]]))))
+    for pack, part, a, b in zip(frame["pack"], frame["part"], ends - sizes, ends, strict=True):
+        if usual[a:b].any() or hot[a:b].any():
+            rows.append((int(pack), int(part), np.packbits(usual[a:b]).tobytes(), np.packbits(hot[a:b]).tobytes()))
     return pd.DataFrame(rows, columns=["pack", "part", "usual", "hot"])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, which compress better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(blob, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+#: What a pack says of a region in front of its bytes: four bytes of the key, which tell the keys of a task apart.
+ASKED = (("key", "<u4"), ("number", "<i4"), ("size", "u1"), ("least", "<i8"), ("more", "<i8"))
+
+
 def _asks(parts: int):
-    """(key, region, pack, number, least, most): the distinct shared regions of a pack."""
+    """(part, pack, n, size, asks): the distinct shared regions of a pack, compressed, with number, least and most document."""
     import pyarrow as pa
 
     def run(batches):
         for row in _rows(batches):
             raw, _, _, _, (key, first, last, least, most) = asked(row, parts)
-            size = last - first + LENGTH
-            for lo in range(0, len(key), 50_000):
-                part = slice(lo, min(len(key), lo + 50_000))
-                offsets = np.concatenate(([0], np.cumsum(size[part]))).astype(np.int32)
-                joined = pa.py_buffer(gathered(raw, first[part], size[part]).tobytes())
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key[part].view(np.int64)),
-                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), joined]),
-                        pa.array(np.full(n, row["pack"], dtype=np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32)),
-                        pa.array(least[part]), pa.array(most[part]),
-                    ],
-                    names=[c.split()[0] for c in ASK.split(", ")],
-                )
+            key = spread(key)
+            part = part_of(key, parts)
+            order = np.argsort(part, kind="stable")
+            begin, end = stretches(part[order])
+            sizes, blobs = [], []
+            for a, b in zip(begin, end, strict=True):
+                own = order[a:b]
+                size = last[own] - first[own] + LENGTH
+                # The span of the documents may be beyond 63 bits, but it wraps back.
+                column = {"key": key[own] & LOW32, "number": own, "size": size, "least": least[own], "more": most[own] - least[own]}
+                blob = b"".join([*(planes(column[n].astype(k)) for n, k in ASKED), gathered(raw, first[own], size).tobytes()])
+                sizes.append(len(blob))
+                blobs.append(pa.compress(blob, codec="zstd", asbytes=True))
+            columns = [part[order][begin], [row["pack"]] * len(begin), end - begin, sizes, blobs]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in ASK.split(", ")])
 
     return run
 
 
-ASK = "key long, region binary, pack long, number int, least long, most long"
+ASK = "part int, pack long, n int, size long, asks binary"
 SEGMENT = np.dtype([("number", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("least", "<i8")])
 
 
-def region_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Hash of every region data[offsets[k] : offsets[k + 1]], from the eight-byte words at both ends."""
+def region_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every region data[begin : end], from the eight-byte words at both ends."""
     words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    begin, end = offsets[:-1], offsets[1:]
     out = (end - begin).astype(np.uint64)
     # Six words reach 48 bytes from either end; no region has more than 2 * LENGTH - GRAM bytes.
     for k in range(6):
@@ -464,15 +530,37 @@ def _settled(table):
     """(pack, segments): runs of windows of a region with the smallest document that has them."""
     import pyarrow as pa
 
-    table = table.combine_chunks()
-    column = {n: table[n].to_numpy() for n in ("key", "pack", "number", "least", "most")}
-    region = table["region"].combine_chunks()
-    region = region.chunk(0) if isinstance(region, pa.ChunkedArray) else region
-    region = region.cast(pa.large_binary())
-    _, offsets, data = region.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[region.offset : region.offset + len(region) + 1]
-    data = np.frombuffer(data, dtype=np.uint8)
-    code = region_codes(data, offsets)
+    found = {n: [] for n, _ in ASKED} | {"pack": [], "data": []}
+    for pack, n, size, asks in zip(*(table[c].to_pylist() for c in ("pack", "n", "size", "asks")), strict=True):
+        blob, at = pa.decompress(asks, decompressed_size=size, codec="zstd", asbytes=True), 0
+        for name, kind in ASKED:
+            upto = at + n * np.dtype(kind).itemsize
+            found[name].append(from_planes(blob[at:upto], kind))
+            at = upto
+        found["data"].append(np.frombuffer(blob, dtype=np.uint8)[at:])
+        found["pack"].append(np.full(n, pack, dtype=np.int64))
+    column = {n: np.concatenate(found.pop(n)) for n in list(found)}
+    data, size = column.pop("data"), column.pop("size").astype(np.int64)
+    column["most"] = column["least"] + column.pop("more")
+    begin = np.cumsum(size) - size
+    out, packs = [], []
+    for go in range(GOES):
+        own = np.flatnonzero(column["key"] % GOES == go)
+        if len(own):
+            got = settled_asks({n: x[own] for n, x in column.items()}, data, begin[own], size[own])
+            out.append(got[0])
+            packs.append(got[1])
+    out, packs = np.concatenate(out), np.concatenate(packs)
+    order = np.argsort(packs, kind="stable")
+    out, packs = out[order], packs[order]
+    begin, end = stretches(packs)
+    blobs = [out[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+    return pa.table({"pack": pa.array(packs[begin], pa.int64()), "segments": pa.array(blobs, pa.binary())})
+
+
+def settled_asks(column: dict, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments and their packs of the regions data[begin : begin + size], all that there are of their keys."""
+    code = region_codes(data, begin, begin + size)
     order = np.lexsort((code, column["key"]))
     key, code = column["key"][order], code[order]
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
@@ -480,7 +568,7 @@ def _settled(table):
     new[1:] |= code[1:] != code[:-1]
     first = np.flatnonzero(new)
     docs = np.minimum.reduceat(column["least"][order], first)
-    begin, size = offsets[order[first]], offsets[order[first] + 1] - offsets[order[first]]
+    begin, size = begin[order[first]], size[order[first]]
     counts = size - LENGTH + 1
     base = np.cumsum(counts) - counts
     # The only region of an anchor is a repeated interval as a whole.
@@ -512,12 +600,7 @@ def _settled(table):
     row, seg = row[useful], seg[useful]
     out = np.zeros(len(row), dtype=SEGMENT)
     out["number"], out["lo"], out["hi"], out["least"] = column["number"][row], low[seg], high[seg], value[seg]
-    packs = column["pack"][row]
-    order = np.argsort(packs, kind="stable")
-    out, packs = out[order], packs[order]
-    cut = np.flatnonzero(np.concatenate(([True], packs[1:] != packs[:-1]))) if len(packs) else np.zeros(0, dtype=np.int64)
-    blobs = [out[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(packs)), strict=False)]
-    return pa.table({"pack": pa.array(packs[cut], pa.int64()), "segments": pa.array(blobs, pa.binary())})
+    return out, column["pack"][row]
 
 
 def cut_texts(row: dict, parts: int):
@@ -574,11 +657,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = min(100_000, parts_for(total, BUCKET_BYTES, 6))
     parts = parts_for(total, BUCKET_BYTES, 6)
     name = f"packs_{uuid.uuid4().hex}"
-    packs = slim.mapInArrow(_packs, "pack long, ids array<long>, sizes array<long>, bytes binary").repartition(buckets, "pack")
+    packed = _packs(buckets, max(1, slim.rdd.getNumPartitions()))
+    packs = slim.mapInArrow(packed, "pack long, ids array<long>, sizes array<long>, bytes binary")
     packs.write.bucketBy(buckets, "pack").option("compression", "zstd").option("path", frozen_path(spark)).saveAsTable(name)
     packs = spark.table(name)
 
-    anchors = packs.mapInArrow(_anchors(parts), "part int, pack long, hashes binary")
+    anchors = packs.mapInArrow(_anchors(parts), "part int, pack long, hashes binary, counts binary")
     shared = anchors.groupBy("part").applyInPandas(_shared, "pack long, part int, usual binary, hot binary")
     path = frozen_path(spark)
     shared.write.parquet(path)
@@ -587,8 +671,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = packs.join(answers, "pack", "left").select("pack", "ids", "sizes", "bytes", "shared")
 
     asks = known.where("shared is not null").mapInArrow(_asks(parts), ASK)
-    asks = asks.withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(4 * parts)).cast("int"))
-    settled = asks.groupBy("bundle").applyInArrow(_settled, "pack long, segments binary")
+    settled = asks.groupBy("part").applyInArrow(_settled, "pack long, segments binary")
     path = frozen_path(spark)
     settled.write.parquet(path)
     settled = spark.read.schema(settled.schema).parquet(path)
