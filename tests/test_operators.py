@@ -482,3 +482,40 @@ def test_leaves_of_a_block_leave_no_neighbour_out(monkeypatch, spread):
         assert found[query] == [(i, -d) for d, i in want]
     # most of a block is not compared
     assert sum(compared) < 0.4 * len(queries) * len(items)
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "far", "near_ties", "outlier", "missing"])
+def test_wide_blocks_in_half_size_numbers_give_the_exact_neighbours(kind, monkeypatch):
+    rnd = np.random.default_rng(8)
+    items = rnd.normal(size=(900, 64))
+    if kind == "copies":
+        items[300:600] = items[:300]
+        items[600:] = items[:300] + rnd.normal(size=(300, 64)) * 1e-9
+    elif kind == "far":
+        items += 1e6
+    elif kind == "near_ties":
+        items = items[:1] + rnd.integers(0, 2, (900, 64)) * 1e-7
+    elif kind == "outlier":
+        items[7] *= 1e12
+    elif kind == "missing":
+        items[5, 5] = np.nan
+    ids = rnd.permutation(900)
+    ids[10] = ids[11]
+    asked, wide = np.arange(0, 900, 3), []
+    # 900 items are more than a chunk of 32 queries takes
+    monkeypatch.setattr(similar, "_CHUNK_CELLS", 32 * 960)
+    rough = similar._candidates
+    monkeypatch.setattr(similar, "_candidates", lambda a, b, m: wide.append(len(a)) or rough(a, b, m))
+    got = similar._best_pairs(
+        pd.DataFrame({"query_id": ids[asked], "_vector": list(items[asked])}),
+        pd.DataFrame({"item_id": ids, "_vector": list(items)}), 5, "euclid",
+    )
+    if kind in ("plain", "copies", "far"):
+        assert not wide
+    if kind == "missing":
+        return
+    found = {q: list(zip(own["item_id"], own["score"])) for q, own in got.groupby("query_id")}
+    for q in asked:
+        scores = similar._exact(np.broadcast_to(items[q], items.shape), items, "euclid")
+        want = sorted((-s, i) for s, i in zip(scores, ids) if i != ids[q])[:5]
+        assert found[ids[q]] == [(i, -s) for s, i in want]
