@@ -217,6 +217,13 @@ def test_a_text_that_every_pack_has_keeps_its_regions(spark, monkeypatch):
     assert sorted((i, n, m) for i, n, m, *_ in got) == [(i, 200, 200 if i else 0) for i in range(600)]
 
 
+def test_regions_of_a_period_have_codes_of_their_own():
+    texts = [(b"i" + b" in" * 20)[:53], (b"n" + b" in" * 20)[:50]]
+    ends = np.cumsum([len(t) for t in texts])
+    codes = repeats.region_codes(np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, ends[:-1]), ends)
+    assert codes[0] != codes[1]
+
+
 def test_anchors_are_dealt_evenly():
     rnd = np.random.default_rng(5)
     raw = rnd.integers(97, 123, 200_000).astype(np.uint8)

@@ -517,7 +517,8 @@ SEGMENT = np.dtype([("number", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("least", "
 def region_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of every region data[begin : end], from the eight-byte words at both ends."""
     words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    out = (end - begin).astype(np.uint64)
+    # Mixed, since a length that meets the first word as it is makes up for another first byte in a text with a period.
+    out = mix64((end - begin).astype(np.uint64))
     # Six words reach 48 bytes from either end; no region has more than 2 * LENGTH - GRAM bytes.
     for k in range(6):
         for at in (begin + 8 * k, end - 8 * (k + 1)):
